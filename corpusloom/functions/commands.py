@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from .paths import _c
 
 # One fragment: text up to (and then past) an operator outside quotes.
-_FRAGMENT = r"((?:\\.|\"(?:\\.|[^\"\\])*\"|'[^']*'|(?!&&|\|\||;)[\s\S])*)(?:&&|\|\||;|$)"
-_TOKEN = r"((?:\\.|\"(?:\\.|[^\"\\])*\"|'[^']*'|[^\s\"'\\])+)"
+_QUOTED = r"\"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+\"|'[^']*+'"
+_FRAGMENT = r"((?:[^\\\"'&|;]++|\\[\s\S]|" + _QUOTED + r"|(?!&&|\|\||;)[\s\S])*)(?:&&|\|\||;|$)"
+_TOKEN = r"((?:[^\s\"'\\]++|\\[\s\S]|" + _QUOTED + r")+)"
 
 
 def command_fragments(command: Column | str) -> Column:
     """Commands joined by ``&&``, ``||`` or ``;`` outside quotes, trimmed, empty ones dropped."""
-    pieces = F.transform(F.regexp_extract_all(_c(command), F.lit(_FRAGMENT), F.lit(1)), F.trim)
+    pieces = F.transform(F.regexp_extract_all(_c(command), F.lit(_FRAGMENT), F.lit(1)), lambda piece: F.trim(piece))
     return F.filter(pieces, lambda piece: piece != "")
 
 

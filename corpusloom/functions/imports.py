@@ -10,9 +10,10 @@ from .paths import _c
 # Comments and literals are recognised first so that references inside them do not count; a reference keeps
 # its own quoted specifier because its alternative is tried before the plain literal.
 _COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
-_LITERAL = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
+# Unrolled quantifiers: regex recursion must not grow with the length of a literal.
+_LITERAL = r"\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 _QUOTED = r"(?:\"[^\"\n]*\"|'[^'\n]*')"
-_GAP = r"(?:\s|/\*[\s\S]*?\*/)*"
+_GAP = r"\s*+(?:/\*[\s\S]*?\*/\s*+)*+"
 _REFERENCE = (
     r"(?<![\w$.])(?:"
     r"import" + _GAP + r"\(" + _GAP + r"(?:" + _QUOTED + _GAP + r"[,)]|[^)\"'][^)]*\))"
