@@ -78,8 +78,9 @@ def option(words: Column | str, keys: Sequence[str]) -> Column:
     words = _c(words)
     found = []
     for key in keys:
+        prefix = f"{key}="
         at = F.array_position(words, key).cast("int")
         following = F.when(at > 0, F.get(words, at))
-        inline = F.get(F.filter(words, lambda word, k=key: word.startswith(k + "=")), F.lit(0))
+        inline = F.get(F.filter(words, lambda word: word.startswith(prefix)), F.lit(0))
         found += [following, F.substring(inline, F.lit(len(key) + 2), F.length(inline))]
     return F.coalesce(*found)

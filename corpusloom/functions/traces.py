@@ -20,7 +20,7 @@ def duration_ms(start_ns: Column | str, end_ns: Column | str) -> Column:
 
     Integer decimals keep every digit; the clocks never pass through a double.
     """
-    start, end = _c(start_ns).cast("decimal(20,0)"), _c(end_ns).cast("decimal(20,0)")
+    start, end = _c(start_ns).try_cast("decimal(20,0)"), _c(end_ns).try_cast("decimal(20,0)")
     micros = F.floor((end - start) / F.lit(1000).cast("decimal(20,0)"))
     return F.when(end >= start, micros.cast("bigint") / F.lit(1000.0))
 
