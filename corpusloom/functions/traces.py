@@ -76,7 +76,7 @@ def otlp_attributes(pairs: Column | str) -> Column:
         limited,
         lambda item: F.struct(
             item["key"].alias("key"),
-            F.coalesce(item["value.stringValue"], item["value.intValue"], item["value.doubleValue"], item["value.boolValue"], F.lit("")).alias("value"),
+            F.coalesce(*[item["value"][form] for form in ("stringValue", "intValue", "doubleValue", "boolValue")], F.lit("")).alias("value"),
         ),
     )
     return clean_attributes(last_wins_map(entries))

@@ -25,14 +25,18 @@ JAEGER = (
 )
 CHROME = "traceEvents array<struct<ph:string,name:string,cat:string,pid:string,tid:string,ts:string,dur:string,args:map<string,string>>>"
 RECORD = (
-    "version string, traceId string, traceID string, trace_id string, spanId string, spanID string, span_id string, parentSpanId string, parent_span_id string, "
+    "version string, traceId string, trace_id string, spanId string, span_id string, parentSpanId string, parent_span_id string, "
     "name string, operationName string, message string, body string, service string, severityText string, startTimeUnixNano string, endTimeUnixNano string, "
     "timeUnixNano string, duration string, timeUnit string, timeOrigin string, durationUnit string, attributes map<string,string>, filePath string, line string"
 )
 SPAN_COLUMNS = ("trace_id", "span_id", "parent_span_id", "name", "service", "start_raw", "end_raw", "duration_raw", "duration_ms", "format", "time_unit", "time_origin", "duration_unit", "path", "line", "function_name", "attributes", "source_file", "seq")
 LOG_COLUMNS = ("trace_id", "span_id", "body", "service", "time_raw", "severity", "format", "attributes", "source_file", "seq")
 LABEL_CHARS = 180
-_EMPTY = F.lit(None).cast("string")
+
+
+def _empty() -> Column:
+    return F.lit(None).cast("string")
+
 
 
 def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -46,9 +50,9 @@ def _spans(rows: DataFrame) -> DataFrame:
     pick = lambda *keys: F.coalesce(*[F.element_at("attributes", key) for key in keys])
     nano = F.col("format").isin("OTLP") | F.col("_nano")
     ms = F.coalesce(F.when(nano, duration_ms("start_raw", "end_raw")), F.col("duration_raw").try_cast("double") / 1000)
-    own_path = F.col("_path") if "_path" in rows.columns else _EMPTY
-    own_line = F.col("_line") if "_line" in rows.columns else _EMPTY
-    given = lambda name: F.col(name) if name in rows.columns else _EMPTY
+    own_path = F.col("_path") if "_path" in rows.columns else _empty()
+    own_line = F.col("_line") if "_line" in rows.columns else _empty()
+    given = lambda name: F.col(name) if name in rows.columns else _empty()
     return rows.select(
         "trace_id", "span_id", "parent_span_id", F.substring("name", 1, LABEL_CHARS).alias("name"), "service", "start_raw", "end_raw", "duration_raw", ms.alias("duration_ms"), "format",
         timing_unit("format", nano, given("_time_unit")).alias("time_unit"), timing_origin("format", nano, given("_time_origin")).alias("time_origin"),
@@ -69,7 +73,7 @@ def otlp_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     span_rows = spans.select(
         F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"), F.nullif("x.parentSpanId", F.lit("")).alias("parent_span_id"), F.coalesce("x.name", F.lit("span")).alias("name"),
         F.coalesce(F.element_at("inherited", "service.name"), F.lit("")).alias("service"), F.col("x.startTimeUnixNano").alias("start_raw"), F.col("x.endTimeUnixNano").alias("end_raw"),
-        _EMPTY.alias("duration_raw"), F.lit("OTLP").alias("format"), F.lit(True).alias("_nano"), merged().alias("attributes"), "source_file", F.struct("r", "s", "n").alias("seq"),
+        _empty().alias("duration_raw"), F.lit("OTLP").alias("format"), F.lit(True).alias("_nano"), merged().alias("attributes"), "source_file", F.struct("r", "s", "n").alias("seq"),
     )
     held = parsed.select("source_file", F.posexplode("d.resourceLogs").alias("r", "item"))
     held = held.select("source_file", "r", otlp_attributes("item.resource.attributes").alias("inherited"), F.posexplode(F.coalesce("item.scopeLogs", "item.instrumentationLibraryLogs")).alias("s", "scope"))
@@ -91,14 +95,14 @@ def jaeger_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     parent = F.get(F.filter("x.references", lambda ref: ref["refType"] == "CHILD_OF"), F.lit(0))["spanID"]
     rows = spans.select(
         F.col("x.traceID").alias("trace_id"), F.col("x.spanID").alias("span_id"), parent.alias("parent_span_id"), F.coalesce("x.operationName", F.lit("span")).alias("name"), service.alias("service"),
-        F.col("x.startTime").alias("start_raw"), _EMPTY.alias("end_raw"), F.col("x.duration").alias("duration_raw"), F.lit("Jaeger").alias("format"), F.lit(False).alias("_nano"),
+        F.col("x.startTime").alias("start_raw"), _empty().alias("end_raw"), F.col("x.duration").alias("duration_raw"), F.lit("Jaeger").alias("format"), F.lit(False).alias("_nano"),
         tags.alias("attributes"), "source_file", F.struct("r", F.lit(0).alias("s"), "n").alias("seq"),
     )
     events = spans.select("source_file", "r", "n", service.alias("service"), F.col("x.traceID").alias("trace_id"), F.col("x.spanID").alias("span_id"), F.posexplode("x.logs").alias("k", "e"))
     fields = clean_attributes(last_wins_map(F.coalesce("e.fields", F.array().cast(_TAG))))
     events = events.withColumn("attributes", fields)
     body = F.coalesce(F.element_at("attributes", "event"), F.element_at("attributes", "message"), F.lit("span event"))
-    logs = events.select("trace_id", "span_id", F.substring(body, 1, LABEL_CHARS).alias("body"), "service", F.col("e.timestamp").alias("time_raw"), _EMPTY.alias("severity"), F.lit("Jaeger").alias("format"), "attributes", "source_file", F.struct("r", "n", "k").alias("seq"))
+    logs = events.select("trace_id", "span_id", F.substring(body, 1, LABEL_CHARS).alias("body"), "service", F.col("e.timestamp").alias("time_raw"), _empty().alias("severity"), F.lit("Jaeger").alias("format"), "attributes", "source_file", F.struct("r", "n", "k").alias("seq"))
     return _spans(rows), logs
 
 
@@ -126,7 +130,7 @@ def chrome_records(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         trace.alias("trace_id"), span_id("n").alias("span_id"), parent.alias("parent_span_id"), F.coalesce("name", F.lit("span")).alias("name"), "service", F.col("ts").alias("start_raw"), end.alias("end_raw"),
         duration.alias("duration_raw"), F.lit("Chrome Trace").alias("format"), F.lit(False).alias("_nano"), attributes.alias("attributes"), "source_file", F.struct(F.lit(0).alias("r"), F.lit(0).alias("s"), F.col("n").cast("int").alias("n")).alias("seq"),
     ]
-    whole = events.filter("phase = 'X'").select(*shape(F.lit(""), _EMPTY, _EMPTY, F.col("dur"), args))
+    whole = events.filter("phase = 'X'").select(*shape(F.lit(""), _empty(), _empty(), F.col("dur"), args))
     nested = events.filter("phase in ('B', 'E', 'i', 'I')")
     paired = cut_lineage(bracket_pairs(nested, keys, order))
     spans = complete_brackets(paired, keys, order, item="n")
@@ -141,7 +145,7 @@ def chrome_records(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     instants = attach_instants(nested, keys, order, paired, item="n")
     logs = instants.select(
         chrome_trace.alias("trace_id"), F.when(F.col("span_item").isNotNull(), span_id("span_item")).alias("span_id"), F.coalesce("name", F.lit("log")).alias("body"), "service", F.col("ts").alias("time_raw"),
-        _EMPTY.alias("severity"), F.lit("Chrome Trace").alias("format"), args.alias("attributes"), "source_file", F.struct(F.lit(0).alias("r"), F.lit(0).alias("s"), F.col("n").cast("int").alias("n")).alias("seq"),
+        _empty().alias("severity"), F.lit("Chrome Trace").alias("format"), args.alias("attributes"), "source_file", F.struct(F.lit(0).alias("r"), F.lit(0).alias("s"), F.col("n").cast("int").alias("n")).alias("seq"),
     )
     known = ("X", "B", "E", "i", "I", "M")
     counts = events.filter(~F.col("phase").isin(*known)).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).withColumn("warning", F.lit("unsupported-phase"))
@@ -159,21 +163,24 @@ def structured_rows(documents: DataFrame) -> DataFrame:
             F.concat(*[F.coalesce(F.from_json(F.get_json_object("text", f"$.{k}"), "array<string>"), F.array().cast("array<string>")) for k in ("spans", "logs")]),
         ).otherwise(F.array("text"))
     )
-    return documents.select("source_file", F.posexplode(listed).alias("n", "record")).withColumn("x", F.from_json("record", RECORD))
+    return documents.select("source_file", F.posexplode(listed).alias("n", "record")).select(
+        # Spellings that differ only in case cannot share one struct.
+        "*", F.from_json("record", RECORD).alias("x"), F.get_json_object("record", "$.traceID").alias("_trace"), F.get_json_object("record", "$.spanID").alias("_span")
+    )
 
 
-def record_kind(x: str = "x") -> Column:
+def record_kind(x: str = "x", other_span: str = "_span") -> Column:
     """log with a message, body or severity; span with a span id, start or operation; else log; null without a name."""
     f = lambda name: F.coalesce(F.col(f"{x}.{name}"), F.lit("")) != ""
     has_name = f("name") | f("message") | f("body") | f("operationName")
     is_log = f("message") | f("body") | f("severityText")
-    is_span = f("spanId") | f("spanID") | f("startTimeUnixNano") | f("operationName")
+    is_span = f("spanId") | (F.coalesce(F.col(other_span), F.lit("")) != "") | f("startTimeUnixNano") | f("operationName")
     return F.when(has_name, F.when(is_log, "log").when(is_span, "span").otherwise("log"))
 
 
 def structured_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = structured_rows(documents).withColumn("kind", record_kind())
-    trace, span = F.coalesce("x.traceId", "x.traceID", "x.trace_id", F.lit("")), F.coalesce("x.spanId", "x.spanID", "x.span_id", F.lit(""))
+    trace, span = F.coalesce("x.traceId", "_trace", "x.trace_id", F.lit("")), F.coalesce("x.spanId", "_span", "x.span_id", F.lit(""))
     attributes = clean_attributes(F.coalesce("x.attributes", F.from_json(F.lit("{}"), "map<string,string>")))
     seq = F.struct(F.lit(0).alias("r"), F.lit(0).alias("s"), "n").alias("seq")
     spans = rows.filter("kind = 'span'").select(
