@@ -279,7 +279,7 @@ def ownership(nodes: DataFrame, files: DataFrame, runtime_candidates: DataFrame
     return placed.select("id", F.posexplode(chain).alias("level", "_s")).select("id", "level", "_s.scope", "_s.kind")
 
 
-def ownership_mode(chains: DataFrame) -> Column:
+def ownership_mode() -> Column:
     """Aggregate over an ownership table: grounded, mixed or fallback."""
     is_context = F.col("kind") == "context"
     grounded = F.max(is_context & (F.col("scope") != "context:unclassified"))

@@ -110,7 +110,7 @@ def stack_map(
     scopes = scope_candidates(candidates, by)
     owners = scopes.select(*by, F.col("path").alias("owner_path"), "owner")
     attributed = attribute_usage(fact_evidence, evidence, owners, by)
-    usage = stack_usage(attributed, by)
+    usage = stack_usage(attributed.withColumnRenamed("fact_kind", "kind"), by)
     live = usage.select(*by, F.col("scope").alias("owner")).distinct()
     shown = scopes.join(live, [*by, "owner"], "left_semi")
     regions = region_nesting(shown.select(*by, F.col("owner").alias("id"), "path"), by)
