@@ -201,7 +201,7 @@ def root_depth(t):
 )
 def parent_cycles(t):
     size = t.part.agg((F.max("p_partkey") + 1).alias("_size"))
-    parents = t.part.select(c("p_partkey").alias("id"), F.lit(1).alias("_k")).join(size.withColumn("_k", F.lit(1)), "_k")
+    parents = t.part.select(c("p_partkey").alias("id"), F.lit(1).alias("_k")).join(F.broadcast(size.withColumn("_k", F.lit(1))), "_k")  # one row
     parents = parents.select("id", F.when(c("id") % 10 != 0, (c("id") * 7 + 3) % c("_size")).alias("parent_id"))
     return R.roots(parents).select("id", "cyclic")
 

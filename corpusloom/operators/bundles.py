@@ -222,19 +222,21 @@ def dependency_detail(edges: DataFrame, summary: Column) -> DataFrame:
 def boundary_stats(edges: DataFrame, memberships: DataFrame) -> DataFrame:
     """Internal, outgoing and incoming edges of each region over its (transitive) members.
 
-    ``memberships`` (``region``, ``id``) may nest; an edge is internal to every region that holds both its ends.
-    Edges are first counted per end pair, so parallel edges do not multiply through the joins.
+    ``memberships`` (``region``, ``id``) may nest; an edge is internal to every region that holds both its ends.  Ends
+    are counted per node before they meet the memberships, so only internal edges are looked at pair by pair, and
+    parallel edges are merged first.
     """
+    inside = memberships.select("region", "id").distinct()
+
+    def lifted(end: str, name: str) -> DataFrame:
+        per_node = edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+        return per_node.join(inside, "id").groupBy("region").agg(F.sum("_n").alias(name))
+
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_n"))
-    out = pairs.join(memberships.select(F.col("id").alias("src"), "region"), "src").select("src", "dst", "_n", "region", F.lit(1).alias("_o"), F.lit(0).alias("_i"))
-    into = pairs.join(memberships.select(F.col("id").alias("dst"), "region"), "dst").select("src", "dst", "_n", "region", F.lit(0).alias("_o"), F.lit(1).alias("_i"))
-    ends = out.unionByName(into).groupBy("src", "dst", "region").agg(F.max("_n").alias("_n"), F.max("_o").alias("_o"), F.max("_i").alias("_i"))
-    both, leave, arrive = (F.col("_o") + F.col("_i") == 2), (F.col("_i") == 0), (F.col("_o") == 0)
-    return ends.groupBy("region").agg(
-        F.sum(F.when(both, F.col("_n")).otherwise(0)).alias("internal"),
-        F.sum(F.when(leave, F.col("_n")).otherwise(0)).alias("outgoing"),
-        F.sum(F.when(arrive, F.col("_n")).otherwise(0)).alias("incoming"),
-    )
+    held = pairs.join(inside.withColumnRenamed("id", "src"), "src").join(inside.withColumnRenamed("id", "dst"), ["dst", "region"])
+    internal = held.groupBy("region").agg(F.sum("_n").alias("internal"))
+    ends = lifted("src", "_out").join(lifted("dst", "_in"), "region", "full").join(internal, "region", "left").fillna(0)
+    return ends.select("region", "internal", (F.col("_out") - F.col("internal")).alias("outgoing"), (F.col("_in") - F.col("internal")).alias("incoming"))
 
 
 def unresolved_summary(nodes: DataFrame, edges: DataFrame, call_site: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import cut_lineage, lookup_join
@@ -54,52 +54,61 @@ def resolve_calls(
     ``reachable``: ``path``, ``specifier``, ``target`` (see re-export reach), with ``direct`` for plain imports;
     ``shadowed``: ``call_id`` of calls whose receiver is a parameter or local; ``classes``: ``path``, ``name``.
     """
-    fns = functions.select(*by, "fn_id", "path", "name", "class_name", "parent", "default_export", "language")
+    def per(*keys: str, frame: DataFrame = functions) -> DataFrame:
+        """Functions per key as smallest id, largest id and number: enough to tell one candidate from several."""
+        return frame.groupBy(*by, *keys).agg(F.min("fn_id").alias("_low"), F.max("fn_id").alias("_high"), F.count(F.lit(1)).alias("_n"))
+
     parts = F.split("callee", SEPARATOR)
     owner_info = functions.select(*by, F.col("fn_id").alias("owner"), F.col("class_name").alias("_class"), F.col("language").alias("_language"))
     asked = calls.select(*by, "call_id", "path", "owner", "callee", F.element_at(parts, -1).alias("name"), F.get(parts, F.lit(0)).alias("_receiver"), (F.size(parts) > 1).alias("_member"), (F.size(parts) == 2).alias("_direct"))
     asked = lookup_join(asked, owner_info, [*by, "owner"])
     asked = cut_lineage(asked.join(shadowed.select(*by, "call_id").distinct(), [*by, "call_id"], "left_anti"))
     plain, member = asked.filter(~F.col("_member")), asked.filter("_member")
-    keep = [*by, "call_id", "fn_id", "tier", "confidence"]
+    keep = [*by, "call_id", "_low", "_high", "_n", "tier", "confidence"]
+
+    def tier(frame: DataFrame, rank: Column, confidence: Column) -> DataFrame:
+        return frame.withColumn("tier", rank.cast("double")).withColumn("confidence", confidence).select(*keep)
 
     # Tier 1: declarations of the enclosing scopes, nearest first; implicit-this languages see their class next.
     chain = scopes.select(*by, F.col("id").alias("owner"), F.col("ancestor").alias("parent"), "distance")
-    nested = plain.join(chain, [*by, "owner"]).join(fns.select(*by, "fn_id", "path", "name", "parent"), [*by, "path", "name", "parent"])
-    nested = nested.select(*by, "call_id", "fn_id", (F.col("distance") * 2).cast("double").alias("tier"), F.lit("source").alias("confidence"))
+    places = plain.select(*by, "path", "owner", "name").distinct()
+    nested = places.join(chain, [*by, "owner"]).join(per("path", "name", "parent"), [*by, "path", "name", "parent"])
+    nearest = nested.groupBy(*by, "path", "owner", "name").agg(F.min_by(F.struct("_low", "_high", "_n", "distance"), "distance").alias("_t")).select(*by, "path", "owner", "name", "_t.*")
+    tiers = [tier(lookup_join(plain, nearest, [*by, "path", "owner", "name"], "inner"), F.col("distance") * 2, F.lit("source"))]
+    by_class = per("path", "name", "class_name").withColumnRenamed("class_name", "_class")
     implicit = plain.filter((F.coalesce("_class", F.lit("")) != "") & ~F.coalesce(F.col("_language").isin(*IMPLICIT_THIS_EXCEPT), F.lit(False)))
-    methods = implicit.withColumnRenamed("_class", "class_name").join(fns.select(*by, "fn_id", "path", "name", "class_name"), [*by, "path", "name", "class_name"])
-    methods = methods.select(*by, "call_id", "fn_id", F.lit(1.0).alias("tier"), F.lit("source").alias("confidence"))
+    tiers.append(tier(lookup_join(implicit, by_class, [*by, "path", "name", "_class"], "inner"), F.lit(1), F.lit("source")))
     # Tier 2: imported names, limited to files the specifier reaches.
     bound = asked.withColumn("local", F.col("_receiver")).join(bindings.select(*by, "path", "local", "original", "specifier"), [*by, "path", "local"])
     files = reachable.select(*by, "path", "specifier", F.col("target").alias("_file"), "direct")
     bound = bound.join(files, [*by, "path", "specifier"])
-    target = fns.select(*by, F.col("fn_id"), F.col("path").alias("_file"), F.col("name").alias("_name"), F.col("class_name").alias("_fn_class"), "default_export")
-    # The wanted name is part of the key, so an import meets only functions of that name in its files.
-    wanted = F.when(~F.col("_member") & ~F.col("original").isin("*", "default"), F.col("original")).otherwise(F.col("name"))
-    by_name = bound.filter(F.col("_member") | (F.col("original") != "default")).withColumn("_name", wanted).join(target, [*by, "_file", "_name"])
-    class_fits = ~F.col("_member") | F.col("original").isin("*", "default") | (F.col("_fn_class") == F.col("original"))
-    by_name = by_name.filter(class_fits).withColumn("tier", F.lit(1e6))
-    by_default = bound.filter(~F.col("_member") & (F.col("original") == "default")).join(target.filter("default_export"), [*by, "_file"]).withColumn("tier", F.lit(1e6))
-    built = bound.filter(~F.col("_member") & ~F.col("original").isin("*", "default")).withColumn("_fn_class", F.col("original")).join(
-        target.filter(F.col("_name").isin(*CONSTRUCTORS)), [*by, "_file", "_fn_class"]
-    ).withColumn("tier", F.lit(2e6))
     sure = F.when(F.col("_member") | ~F.coalesce("direct", F.lit(False)), "inferred").otherwise("source")
-    imported = [part.withColumn("confidence", sure).select(*keep) for part in (by_name, by_default, built)]
+    # The wanted name (and class, for members of a named import) is part of the key.
+    wanted = F.when(~F.col("_member") & ~F.col("original").isin("*", "default"), F.col("original")).otherwise(F.col("name"))
+    free = ~F.col("_member") | F.col("original").isin("*", "default")
+    named = bound.filter(F.col("_member") | (F.col("original") != "default")).withColumn("_name", wanted)
+    in_file = functions.withColumnsRenamed({"path": "_file", "name": "_name", "class_name": "_fn_class"})
+    tiers.append(tier(named.filter(free).join(per("_file", "_name", frame=in_file), [*by, "_file", "_name"]), F.lit(1e6), sure))
+    scoped = named.filter(~free).withColumn("_fn_class", F.col("original"))
+    tiers.append(tier(scoped.join(per("_file", "_name", "_fn_class", frame=in_file), [*by, "_file", "_name", "_fn_class"]), F.lit(1e6), sure))
+    default = bound.filter(~F.col("_member") & (F.col("original") == "default"))
+    tiers.append(tier(default.join(per("_file", frame=in_file.filter("default_export")), [*by, "_file"]), F.lit(1e6), sure))
+    built = bound.filter(~F.col("_member") & ~F.col("original").isin("*", "default")).withColumn("_fn_class", F.col("original"))
+    makers = per("_file", "_fn_class", frame=in_file.filter(F.col("_name").isin(*CONSTRUCTORS)))
+    tiers.append(tier(built.join(makers, [*by, "_file", "_fn_class"]), F.lit(2e6), sure))
     # Tier 3: members of this/self or of a class named in the same file; calls with an import binding stop at tier 2.
     unbound = member.filter("_direct").withColumn("local", F.col("_receiver")).join(bindings.select(*by, "path", "local"), [*by, "path", "local"], "left_anti")
-    own = unbound.filter(F.col("_receiver").isin("this", "self", "$this")).withColumn("class_name", F.col("_class"))
-    own = own.join(fns.select(*by, "fn_id", "path", "name", "class_name"), [*by, "path", "name", "class_name"]).withColumn("confidence", F.lit("source"))
-    tiers = [nested, methods, *imported, own.withColumn("tier", F.lit(3e6)).select(*keep)]
+    own = unbound.filter(F.col("_receiver").isin("this", "self", "$this"))
+    tiers.append(tier(lookup_join(own, by_class, [*by, "path", "name", "_class"], "inner"), F.lit(3e6), F.lit("source")))
     if classes is not None:
-        named = unbound.join(classes.select(*by, "path", F.col("name").alias("_receiver")).distinct(), [*by, "path", "_receiver"], "left_semi")
-        named = named.withColumn("class_name", F.col("_receiver")).join(fns.select(*by, "fn_id", "path", "name", "class_name"), [*by, "path", "name", "class_name"])
-        tiers.append(named.withColumn("tier", F.lit(3e6)).withColumn("confidence", F.lit("inferred")).select(*keep))
+        known = unbound.join(classes.select(*by, "path", F.col("name").alias("_receiver")).distinct(), [*by, "path", "_receiver"], "left_semi")
+        known = known.withColumn("_class", F.col("_receiver"))
+        tiers.append(tier(lookup_join(known, by_class, [*by, "path", "name", "_class"], "inner"), F.lit(3e6), F.lit("inferred")))
     hits = tiers[0]
     for part in tiers[1:]:
-        hits = hits.unionByName(part.select(*hits.columns))
+        hits = hits.unionByName(part)
     per_tier = hits.groupBy(*by, "call_id", "tier").agg(
-        F.min("fn_id").alias("_low"), F.max("fn_id").alias("_high"), F.min_by("confidence", F.when(F.col("confidence") == "inferred", 0).otherwise(1)).alias("_sure"), F.count_distinct("fn_id").alias("_n")
+        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min_by("confidence", F.when(F.col("confidence") == "inferred", 0).otherwise(1)).alias("_sure"), F.sum("_n").alias("_n")
     )
     first = per_tier.groupBy(*by, "call_id").agg(F.min_by(F.struct("_low", "_high", "_sure", "_n"), "tier").alias("_t"))
     joined = lookup_join(calls, first, [*by, "call_id"])

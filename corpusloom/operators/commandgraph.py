@@ -81,14 +81,15 @@ def command_targets(fragments: DataFrame, technologies: DataFrame, runtimes: Dat
     own = runtimes.groupBy(*by, "package_id").agg(F.min_by("fact_id", "seq").alias("_own"))
     # Without partition columns the corpus-wide first is one row; a constant key joins it.
     key = [*by, "_k"]
-    any_ = runtimes.withColumn("_k", F.lit(1)).groupBy(*key).agg(F.min_by("fact_id", "seq").alias("_any"))
+    one = (lambda frame: frame) if by else F.broadcast  # a single row
+    any_ = one(runtimes.withColumn("_k", F.lit(1)).groupBy(*key).agg(F.min_by("fact_id", "seq").alias("_any")))
     served = workers.filter(F.coalesce("subcommand", F.lit("")).isin(*STARTING_SUBCOMMANDS, "types")).withColumn("_k", F.lit(1))
     served = lookup_join(lookup_join(served, own, [*by, "package_id"]), any_, key)
     runtime = served.withColumn("fact_id", F.coalesce("_own", "_any")).filter("fact_id is not null").select(*by, "fragment_id", "fact_id", F.when(F.col("subcommand") == "types", "uses").otherwise("starts").alias("kind"))
 
     asked = workers.filter("subcommand = 'd1'").withColumn("_k", F.lit(1))
     per_package = databases.groupBy(*by, "package_id").agg(F.min_by("fact_id", "seq").alias("_own"))
-    overall = databases.withColumn("_k", F.lit(1)).groupBy(*key).agg(F.min_by("fact_id", "seq").alias("_any"))
+    overall = one(databases.withColumn("_k", F.lit(1)).groupBy(*key).agg(F.min_by("fact_id", "seq").alias("_any")))
     names = databases.select(*by, "package_id", "fact_id", "seq", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("binding"), F.lower("database_name"))))).alias("name"))
     words = asked.select(*by, "fragment_id", "package_id", F.posexplode(F.slice("positional", 2, F.greatest(F.size("positional"), F.lit(1)))).alias("_at", "_word")).withColumn("name", F.lower("_word"))
     local = words.join(names, [*by, "package_id", "name"]).groupBy(*by, "fragment_id").agg(F.min_by("fact_id", F.struct("_at", "seq")).alias("_named_own"))

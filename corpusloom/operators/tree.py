@@ -29,7 +29,7 @@ def ancestors(parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         new = cut_lineage(new.join(closure.select(*keys), keys, "left_anti"))
         if new.isEmpty():
             return closure
-        closure = cut_lineage(closure.unionByName(new))
+        closure = closure.unionByName(new)  # pieces stay stored; there are as many as rounds
         active = new.select(*by, "id").distinct()
         hop = jumps.select(*by, F.col("id").alias("to"), F.col("to").alias("_next"))
         jumps = jumps.join(active, [*by, "id"], "left_semi").join(hop, [*by, "to"]).select(*by, "id", F.col("_next").alias("to"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import dir_name
-from ..plans import lookup_join
+from ..plans import cut_lineage, lookup_join
 from .bundles import degrees
 from .filters import edges_for
 from .merge import stack_usage
@@ -74,7 +74,8 @@ def attribute_usage(fact_evidence: DataFrame, evidence: DataFrame, scopes: DataF
         named = placed.filter(F.col("scope_path").isNotNull()).select(*by, F.col("scope_path").alias("path")).distinct()
         explicit = nearest_owner(named, scopes, by, is_directory=True).select(*by, F.col("path").alias("scope_path"), F.col("owner").alias("_named"))
         placed = lookup_join(placed, explicit, [*by, "scope_path"]).withColumn("_own", F.coalesce("_named", "_own"))
-    placed = placed.withColumn("scope", F.col("_own"))
+    # Four branches below read this table; store it once.
+    placed = cut_lineage(placed.select(*by, "fact_id", "fact_kind", "stack_id", F.col("_own").alias("scope"), "evidence_id", "role"))
     cols = [*by, "fact_id", "fact_kind", "stack_id", "scope", "evidence_id", "role"]
     usage = placed.filter("role = 'usage' and scope is not null").select(*cols)
     used = usage.select(*by, "fact_id", "scope").distinct()

@@ -43,6 +43,8 @@ def lookup_join(
     keys = list(on)
     if salt <= 1:
         return left.join(right, keys, how)
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salt)))
+    # A hash of the row, not a random number: a recomputed task must send its rows to the same place.
+    hashable = [name for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salt)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -2,6 +2,9 @@
 
 Inputs are tables with ``source_file`` and ``text`` (one document per row; one record per row for JSON Lines), so the
 same parsers serve files, message payloads and streams.  Clocks stay exact strings.
+
+Top-level arrays are exploded with the outer form: the inner form makes the optimizer add a size filter that parses every
+document a second time.
 """
 
 from __future__ import annotations
@@ -66,7 +69,7 @@ def _spans(rows: DataFrame) -> DataFrame:
 def otlp_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans and logs of OTLP JSON; resource attributes are inherited, own attributes win."""
     parsed = documents.select("source_file", F.from_json("text", OTLP).alias("d"))
-    resources = parsed.select("source_file", F.posexplode("d.resourceSpans").alias("r", "item"))
+    resources = parsed.select("source_file", F.posexplode_outer("d.resourceSpans").alias("r", "item")).filter("item is not null")
     scopes = resources.select("source_file", "r", otlp_attributes("item.resource.attributes").alias("inherited"), F.posexplode(F.coalesce("item.scopeSpans", "item.instrumentationLibrarySpans")).alias("s", "scope"))
     spans = scopes.select("source_file", "r", "s", "inherited", F.posexplode("scope.spans").alias("n", "x")).withColumn("own", otlp_attributes("x.attributes"))
     merged = lambda: F.map_concat(F.map_filter("inherited", lambda key, _: ~F.map_contains_key(F.col("own"), key)), "own")
@@ -75,7 +78,7 @@ def otlp_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.element_at("inherited", "service.name"), F.lit("")).alias("service"), F.col("x.startTimeUnixNano").alias("start_raw"), F.col("x.endTimeUnixNano").alias("end_raw"),
         _empty().alias("duration_raw"), F.lit("OTLP").alias("format"), F.lit(True).alias("_nano"), merged().alias("attributes"), "source_file", F.struct("r", "s", "n").alias("seq"),
     )
-    held = parsed.select("source_file", F.posexplode("d.resourceLogs").alias("r", "item"))
+    held = parsed.select("source_file", F.posexplode_outer("d.resourceLogs").alias("r", "item")).filter("item is not null")
     held = held.select("source_file", "r", otlp_attributes("item.resource.attributes").alias("inherited"), F.posexplode(F.coalesce("item.scopeLogs", "item.instrumentationLibraryLogs")).alias("s", "scope"))
     logs = held.select("source_file", "r", "s", "inherited", F.posexplode("scope.logRecords").alias("n", "x")).withColumn("own", otlp_attributes("x.attributes"))
     body = F.coalesce("x.body.stringValue", "x.body.intValue", "x.body.doubleValue", "x.body.boolValue", F.lit("log"))
@@ -88,7 +91,7 @@ def otlp_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def jaeger_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans (parent from CHILD_OF only) and their events as logs."""
-    traces = documents.select("source_file", F.posexplode(F.from_json("text", JAEGER)["data"]).alias("r", "t"))
+    traces = documents.select("source_file", F.posexplode_outer(F.from_json("text", JAEGER)["data"]).alias("r", "t")).filter("t is not null")
     spans = traces.select("source_file", "r", "t.processes", F.posexplode("t.spans").alias("n", "x"))
     service = F.coalesce(F.element_at("processes", F.col("x.processID"))["serviceName"], F.lit(""))
     tags = clean_attributes(last_wins_map(F.coalesce("x.tags", F.array().cast(_TAG))))
@@ -108,7 +111,7 @@ def jaeger_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def chrome_events(documents: DataFrame) -> DataFrame:
     """Raw trace events with their thread and position."""
-    events = documents.select("source_file", F.posexplode(F.from_json("text", CHROME)["traceEvents"]).alias("n", "x"))
+    events = documents.select("source_file", F.posexplode_outer(F.from_json("text", CHROME)["traceEvents"]).alias("n", "x")).filter("x is not null")
     thread = F.concat_ws(":", F.coalesce("x.pid", F.lit("")), F.coalesce("x.tid", F.lit("")))
     return events.select("source_file", F.col("n").cast("bigint").alias("n"), thread.alias("thread"), F.col("x.ph").alias("phase"), "x.name", F.coalesce(F.nullif("x.cat", F.lit("")), F.concat(F.lit("process "), F.coalesce("x.pid", F.lit("")))).alias("service"), "x.ts", "x.dur", "x.args")
 
