@@ -353,8 +353,8 @@ def stack_map(t):
 
 @query(
     "stack_map_regions",
-    """SELECT 'scope:' || CASE WHEN n_nationkey % 2 = 0 THEN 'package' ELSE 'config' END || ':ws/n' || n_nationkey AS id, NULL AS parent_id FROM nation
-  UNION ALL SELECT 'scope:runtime:ws/n' || n_nationkey || '/sub', 'scope:' || CASE WHEN n_nationkey % 2 = 0 THEN 'package' ELSE 'config' END || ':ws/n' || n_nationkey FROM nation WHERE n_nationkey % 5 = 0""",
+    f"""WITH {ATTRIBUTED}, sc AS (SELECT DISTINCT scope, replace(scope, '/sub', '') AS top FROM att), nm AS (SELECT scope, top, 'scope:' || CASE WHEN scope <> top THEN 'runtime' WHEN regexp_extract(top, '[0-9]+$')::INT % 2 = 0 THEN 'package' ELSE 'config' END || ':' || scope AS id FROM sc)
+  SELECT nm.id, up.id AS parent_id FROM nm LEFT JOIN nm up ON up.scope = nm.top AND nm.scope <> nm.top""",
 )
 def stack_map_regions(t):
     return V.stack_map(*_usage_inputs(t))["region"].select("id", "parent_id")

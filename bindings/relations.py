@@ -186,9 +186,9 @@ def _memberships(t):
 
 @query(
     "boundary_stats",
-    f"""WITH {EDGES}, {_MEMBERS}, x AS (SELECT e.id, region, TRUE AS a, FALSE AS b FROM e JOIN m ON m.id = e.src
-  UNION ALL SELECT e.id, region, FALSE, TRUE FROM e JOIN m ON m.id = e.dst),
-  y AS (SELECT id, region, bool_or(a) AS a, bool_or(b) AS b FROM x GROUP BY id, region)
+    f"""WITH {EDGES}, {_MEMBERS}, ee AS (SELECT row_number() OVER () AS n, src, dst FROM e), x AS (SELECT n, region, TRUE AS a, FALSE AS b FROM ee JOIN m ON m.id = src
+  UNION ALL SELECT n, region, FALSE, TRUE FROM ee JOIN m ON m.id = dst),
+  y AS (SELECT n, region, bool_or(a) AS a, bool_or(b) AS b FROM x GROUP BY n, region)
   SELECT region, count(*) FILTER (a AND b) AS internal, count(*) FILTER (a AND NOT b) AS outgoing, count(*) FILTER (b AND NOT a) AS incoming
   FROM y GROUP BY region""",
 )
