@@ -188,7 +188,7 @@ def content_range(nodes: DataFrame, edges: DataFrame, path: str | None = None, e
         fresh = moved.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(artifact_ids, "id", "left_semi").join(artifacts, "id", "left_anti")
         if links is None:
             links = adjacency(typed.filter("kind = 'flow-artifact'"), "both")
-        spread = cut_lineage(reach(links, fresh).select("id").distinct())
+        spread = cut_lineage(reach(links, fresh, symmetric=True).select("id").distinct())
         include(touching(typed.filter("kind = 'flow-artifact'"), spread))
         artifacts = cut_lineage(artifacts.unionByName(spread).distinct())
         reading = typed.filter("kind = 'flow-input'").join(spread.withColumnRenamed("id", "src"), "src", "left_semi").join(allowed.withColumnRenamed("id", "dst"), "dst", "left_semi")

@@ -155,9 +155,9 @@ def template_slices(template_edges: DataFrame, returns: DataFrame, parameters: D
 
     ``template_edges``: ``fn_id``, ``src``, ``dst``; ``returns``/``parameters``: ``fn_id``, ``id``.  Adds ``returns_it``.
     """
-    from .traverse import reach
+    from .traverse import reach, store_steps
 
-    steps = cut_lineage(template_edges.select("fn_id", F.col("dst").alias("from"), F.col("src").alias("to")).distinct())
+    steps = store_steps(template_edges.select("fn_id", F.col("dst").alias("from"), F.col("src").alias("to")), ["fn_id"])
     needed = reach(steps, returns.select("fn_id", "id"), by=["fn_id"]).select("fn_id", "id", F.lit(True).alias("returns_it"))
     every = needed.unionByName(parameters.select("fn_id", "id", F.lit(False).alias("returns_it")))
     return every.groupBy("fn_id", "id").agg(F.max("returns_it").alias("returns_it"))

@@ -1,8 +1,9 @@
 """Breadth-first traversal as frontier joins.
 
-Each round joins only the new frontier to the adjacency and drops nodes seen before; the frontier is checkpointed so
-plans stay flat and a lost executor re-reads one round.  Adjacency is spread by (from, to), never by its hub node, so
-adaptive execution can split the joins of hubs.
+The adjacency is stored once, partitioned and sorted by its start, and stays in place: each round moves only the new
+frontier to it and drops nodes seen before.  A start's edges are spread over a few parts, so a hub does not sit in one
+partition; frontier rows are copied to each part.  Frontiers are checkpointed, so plans stay flat and a lost executor
+re-reads one round.
 """
 
 from __future__ import annotations
@@ -12,32 +13,54 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import cut_lineage
+from ..plans import cut_lineage, store_partitioned
 from .filters import edge_direction
 
 DIRECTIONS = ("both", "outgoing", "incoming")
+PARTS = 4
+
+
+def store_steps(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Store distinct (``from``, ``to``) steps for repeated frontier joins."""
+    spread = steps.select(*by, "from", "to").distinct().withColumn("part", F.pmod(F.xxhash64("to"), F.lit(PARTS)))
+    return store_partitioned(spread, [*by, "from", "part"])
+
+
+def to_parts(frontier: DataFrame) -> DataFrame:
+    """Copy each frontier row to every part of its start."""
+    parts = F.array(*[F.lit(part).cast("bigint") for part in range(PARTS)])
+    return frontier.select("*", F.explode(parts).alias("part"))
 
 
 def adjacency(edges: DataFrame, direction: str = "both", by: Sequence[str] = ()) -> DataFrame:
-    """Distinct (``from``, ``to``) steps allowed by a direction."""
+    """Stored steps allowed by a direction."""
     forward = edges.select(*by, F.col("src").alias("from"), F.col("dst").alias("to"))
     backward = edges.select(*by, F.col("dst").alias("from"), F.col("src").alias("to"))
     steps = {"outgoing": forward, "incoming": backward, "both": forward.unionByName(backward)}[direction]
-    return cut_lineage(steps.filter(F.col("from") != F.col("to")).distinct())
+    return store_steps(steps.filter(F.col("from") != F.col("to")), by)
 
 
-def reach(steps: DataFrame, seeds: DataFrame, labels: Sequence[str] = (), by: Sequence[str] = (), max_hops: int | None = None) -> DataFrame:
-    """Hop distance from the seeds along ``steps`` (see :func:`adjacency`).
+def reach(
+    steps: DataFrame, seeds: DataFrame, labels: Sequence[str] = (), by: Sequence[str] = (), max_hops: int | None = None, symmetric: bool = False
+) -> DataFrame:
+    """Hop distance from the seeds along stored ``steps``.
 
     ``seeds`` has ``id`` and optional label columns; every label is traversed on its own in the same rounds.
+    ``symmetric`` steps lead from one distance only to the distances next to it, so only the last two frontiers are
+    checked for nodes seen before; otherwise all of them are.
     """
     keys = [*by, *labels, "id"]
     frontier = cut_lineage(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)))
-    seen, hop = frontier, 0
+    seen, before, hop = frontier, None, 0
     while (max_hops is None or hop < max_hops) and not frontier.isEmpty():
         hop += 1
-        met = frontier.withColumnRenamed("id", "from").join(steps, [*by, "from"]).select(*by, *labels, F.col("to").alias("id")).distinct()
-        frontier = cut_lineage(met.join(seen.select(*keys), keys, "left_anti").withColumn("depth", F.lit(hop)))
+        starts = to_parts(frontier.withColumnRenamed("id", "from"))
+        met = starts.join(steps, [*by, "from", "part"]).select(*by, *labels, F.col("to").alias("id")).distinct()
+        known = seen
+        if symmetric:
+            known = frontier if before is None else frontier.unionByName(before)
+        fresh = cut_lineage(met.join(known.select(*keys), keys, "left_anti").withColumn("depth", F.lit(hop)))
+        before, frontier = frontier, fresh
         seen = seen.unionByName(frontier)
         if hop % 16 == 0:  # keep the plan of the union short on very deep graphs
             seen = cut_lineage(seen)
@@ -47,12 +70,12 @@ def reach(steps: DataFrame, seeds: DataFrame, labels: Sequence[str] = (), by: Se
 def bfs_depths(nodes: DataFrame, edges: DataFrame, seed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Undirected distance of every reachable node from the seed; empty when the seed is not a node."""
     known = seed.join(nodes.select(*by, "id"), [*by, "id"], "left_semi")
-    return reach(adjacency(edges, "both", by), known, by=by)
+    return reach(adjacency(edges, "both", by), known, by=by, symmetric=True)
 
 
 def neighbours(edges: DataFrame, seed: DataFrame, hops: int, direction: str = "both", by: Sequence[str] = ()) -> DataFrame:
     """Nodes within ``hops`` of the seed, itself included."""
-    return reach(adjacency(edges, direction, by), seed, by=by, max_hops=hops)
+    return reach(adjacency(edges, direction, by), seed, by=by, max_hops=hops, symmetric=direction == "both")
 
 
 def khop_relations(edges: DataFrame, seed: DataFrame, hops: int = 1, direction: str = "both", structural: str | None = None) -> DataFrame:
@@ -62,7 +85,7 @@ def khop_relations(edges: DataFrame, seed: DataFrame, hops: int = 1, direction:
     """
     hops = max(1, hops)
     real = edges.filter(~F.coalesce(F.col(structural), F.lit(False))) if structural else edges
-    inside = reach(adjacency(real, direction), seed, max_hops=hops - 1).select("id")
+    inside = reach(adjacency(real, direction), seed, max_hops=hops - 1, symmetric=direction == "both").select("id")
     directed = edge_direction(real, inside, "_met").filter(F.col("_met").isNotNull())
     if direction != "both":
         directed = directed.filter(F.col("_met").isin(direction, "internal"))

@@ -1,4 +1,4 @@
-from .lineage import checkpoint_folder, cut_lineage
+from .lineage import checkpoint_folder, cut_lineage, store_partitioned
 from .skew import fixed_size_hint, lookup_join, only_value
 from .scan import Blocks, positions
 
@@ -10,4 +10,5 @@ __all__ = [
     "lookup_join",
     "only_value",
     "positions",
+    "store_partitioned",
 ]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +36,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once, reliably, and drop its lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store_partitioned(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Materialise ``df`` hash-partitioned and sorted by ``keys``, so that later joins on them move only the other side.
+
+    The stored layout is known to the planner only when the storing plan itself is not adaptive, so adaptive execution
+    is switched off for this one write.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    setting = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(setting)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Everything upstream still runs adaptively: it is cut off first.
+    source = cut_lineage(df)
+    spark.conf.set(setting, "false")
+    try:
+        return source.repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    finally:
+        spark.conf.set(setting, before)
