@@ -112,7 +112,14 @@ def _dense_graph(t):
     return pairs.filter("src <> dst").select("src", "dst").distinct()
 
 
-@query("scc_depths")
+@query(
+    "scc_depths",
+    f"""WITH RECURSIVE {G}, n AS (SELECT src AS id FROM g UNION SELECT dst FROM g), {REACH},
+  m AS (SELECT x.a AS id, max(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a), co AS (SELECT n.id, coalesce(component, n.id) AS component FROM n LEFT JOIN m ON m.id = n.id),
+  ce AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM g JOIN co a ON a.id = g.src JOIN co b ON b.id = g.dst WHERE a.component <> b.component),
+  dp(id, depth) AS (SELECT DISTINCT component, 0 FROM co UNION SELECT ce.dst, depth + 1 FROM dp JOIN ce ON ce.src = dp.id), dd AS (SELECT id, max(depth) AS depth FROM dp GROUP BY id)
+  SELECT co.id, component, depth FROM co JOIN dd ON dd.id = co.component""",
+)
 def scc_depths(t):
     return K.scc_depths(all_nodes(t), graph(t))
 
@@ -138,7 +145,16 @@ def _kept(t):
     return t.part.filter("p_brand = 'Brand#3'").select(c("p_partkey").alias("id"))
 
 
-@query("compress_paths")
+@query(
+    "compress_paths",
+    f"""WITH RECURSIVE {G}, k AS (SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#3'),
+  f AS (SELECT id FROM k UNION SELECT g.dst FROM f JOIN g ON g.src = f.id), b AS (SELECT id FROM k UNION SELECT g.src FROM b JOIN g ON g.dst = b.id), rel AS (SELECT id FROM f INTERSECT SELECT id FROM b),
+  e AS (SELECT src, dst, CASE WHEN p_size % 7 = 0 THEN 'callback' ELSE 'calls' END AS kind, p_size % 11 = 0 AS weak FROM g JOIN part ON p_partkey = src WHERE src IN (SELECT id FROM rel) AND dst IN (SELECT id FROM rel)),
+  st AS (SELECT id FROM k UNION SELECT src FROM e GROUP BY src HAVING count(*) > 1 UNION SELECT dst FROM e GROUP BY dst HAVING count(*) > 1),
+  w(src, spot, hops, kind, cb, weak) AS (SELECT src, dst, 1::BIGINT, kind, kind = 'callback', weak FROM e WHERE src IN (SELECT id FROM st)
+    UNION ALL SELECT w.src, e.dst, hops + 1, 'processing-path', cb OR e.kind = 'callback', w.weak OR e.weak FROM w JOIN e ON e.src = w.spot WHERE w.spot NOT IN (SELECT id FROM st))
+  SELECT src, spot AS dst, hops, kind, CASE WHEN weak THEN 'inferred' ELSE 'source' END AS confidence, cb AS has_callback FROM w WHERE spot IN (SELECT id FROM st)""",
+)
 def compress_paths(t):
     _, relations, _ = C.compress_paths(_typed_graph(t), _kept(t))
     return relations.select("src", "dst", "hops", "kind", "confidence", "has_callback")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import values
-from corpusloom.plans import Blocks, checkpoint_folder, fixed_size_hint, lookup_join, only_value, positions
+from corpusloom.plans import Blocks, checkpoint_folder, fixed_size_hint, lookup_join, only_value, positions, store_partitioned
 
 
 def test_hot_key_is_split_over_blocks(spark):
@@ -41,3 +41,16 @@ def test_size_check_before_broadcast(spark):
 def test_checkpoint_folder_is_kept(spark):
     first = checkpoint_folder(spark)
     assert checkpoint_folder(spark) == first
+
+
+def test_stored_side_is_not_moved_again(spark):
+    stored = store_partitioned(spark.range(2000).select((F.col("id") % 100).alias("k"), "id"), ["k"])
+    joined = spark.range(50).select(F.col("id").alias("k")).join(stored, "k")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    assert joined.count() == 1000 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
