@@ -60,7 +60,7 @@ def exact_duplicates(docs: DataFrame, salts: int | None = None) -> DataFrame:
     spread = leaders.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("ranges")).filter("ranges > 1").select("text_sha256")
     asked = leaders.join(spread, "text_sha256", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long").alias("key"), normalised(F.col("text")).alias("norm"))
-    found = asked.join(texts, F.col("leader").eqNullSafe(F.col("key"))).filter(F.sha2(F.encode("norm", "utf-8"), 256) == F.col("text_sha256"))
+    found = asked.hint("merge").join(texts, F.col("leader").eqNullSafe(F.col("key"))).filter(F.sha2(F.encode("norm", "utf-8"), 256) == F.col("text_sha256"))
     # A repeated key brings the same text more than once.
     found = found.select("text_sha256", "salt", "leader", "leader_chars", "members", "norm").dropDuplicates(["text_sha256", "salt"])
     met = found.withColumn("head", F.substring("norm", 1, _SPLITTER_CHARS)).repartitionByRange(n, "head").sortWithinPartitions("head", "norm")
@@ -82,7 +82,7 @@ def exact_duplicates(docs: DataFrame, salts: int | None = None) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat key and text one stays."""
     kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
-    found = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_key")) & (F.sha2(F.encode(normalised(F.col("text")), "utf-8"), 256) == F.col("_sha")))
+    found = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_key")) & (F.sha2(F.encode(normalised(F.col("text")), "utf-8"), 256) == F.col("_sha")))
     # Partitioned by the key already: no further exchange of texts.
     return found.dropDuplicates(["_key", "_sha"]).select(*docs.columns)
 
