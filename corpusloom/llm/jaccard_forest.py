@@ -248,7 +248,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     # What may be similar is brought together with its sets and verified.
     near = stored(near.join(nodes, "node"), "forest-near")
     asked = near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    texts = typed.withColumnRenamed("doc_id", "_key").join(asked, F.col("_key").eqNullSafe(F.col("first_doc")))
+    # Both sides are sorted by key at any size: what is asked for grows with the input.
+    texts = typed.withColumnRenamed("doc_id", "_key").join(asked.hint("merge"), F.col("_key").eqNullSafe(F.col("first_doc")))
     kinds = "node binary, root binary, copies long, size long"
     sets = texts.select("text", "node", "root", "copies", "size").mapInArrow(_set_rows(words), f"{kinds}, set binary")
     pairs = block_pairs(sets, "root", "size", "node", block).select("root", "_i", "_j", "_own", "node", "copies", "set")
