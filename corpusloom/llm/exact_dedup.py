@@ -81,10 +81,10 @@ def exact_duplicates(docs: DataFrame, salts: int | None = None) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat key and text one stays."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
-    found = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_key")) & (F.sha2(F.encode(normalised(F.col("text")), "utf-8"), 256) == F.col("_sha")))
+    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_corpusloom_key"), F.col("text_sha256").alias("_corpusloom_sha"))
+    found = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_corpusloom_key")) & (F.sha2(F.encode(normalised(F.col("text")), "utf-8"), 256) == F.col("_corpusloom_sha")))
     # Partitioned by the key already: no further exchange of texts.
-    return found.dropDuplicates(["_key", "_sha"]).select(*docs.columns)
+    return found.dropDuplicates(["_corpusloom_key", "_corpusloom_sha"]).select(*docs.columns)
 
 
 SQL = r"""

@@ -269,5 +269,5 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose key names their class; rows that repeat a key stay or go together."""
     classes = jaccard_classes(docs, **options)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_key")), "left_semi")
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_corpusloom_key")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_corpusloom_key")), "left_semi")

@@ -172,5 +172,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
-    scored = score_quality(docs, train_quality(docs, labels), threshold=threshold, score="_quality_score", predicted="_quality_kept")
-    return scored.filter("_quality_kept = 1").select(*docs.columns)
+    scored = score_quality(docs, train_quality(docs, labels), threshold=threshold, score="_corpusloom_score", predicted="_corpusloom_kept")
+    return scored.filter("_corpusloom_kept = 1").select(*docs.columns)

@@ -313,7 +313,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     n = partitions(docs.sparkSession)
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version().alias("version"), "text")
     schema = "doc_id long, version long, key long, frag long, n int, lo int, hi int, w int"
-    rows = typed.mapInArrow(_fragment_rows(length, gram), schema)
+    # Found once: counting reads them several times.
+    rows = stored(typed.mapInArrow(_fragment_rows(length, gram), schema), "repeat-rows")
     # At most HOT_KEYS keys, from a sample of the texts; the sample decides where rows are counted, never what is found.
     sample = typed.sample(0.01, seed=17).mapInArrow(_fragment_rows(length, gram), schema)
     seen = sample.groupBy("key").agg(F.sum("n").alias("seen")).filter("seen >= 20").orderBy(F.desc("seen"), "key").limit(HOT_KEYS).select("key")
@@ -356,8 +357,8 @@ def _kept(data: bytes, cut: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    spans = spans.withColumnsRenamed({"doc_id": "_key", "version": "_version", "spans": "_spans"})
-    return docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_key")) & (_version() == F.col("_version")), "left").drop("_key", "_version")
+    spans = spans.withColumnsRenamed({"doc_id": "_corpusloom_key", "version": "_corpusloom_version", "spans": "_corpusloom_spans"})
+    return docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_corpusloom_key")) & (_version() == F.col("_corpusloom_version")), "left").drop("_corpusloom_key", "_corpusloom_version")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,14 +375,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_bytes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of ``docs`` (doc_id, text)."""
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(typed, repeat_spans(docs, **options)).select("doc_id", "text", "_spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(typed, repeat_spans(docs, **options)).select("doc_id", "text", "_corpusloom_spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # A cut may leave part of a character; such bytes go too.
         texts = [_kept(data, cut).decode("utf-8", "ignore") if (cut := _merged(spans)) else data.decode() for data, spans in zip(_encoded(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], [*batch.schema.names[2:], "_text"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], [*batch.schema.names[2:], "_corpusloom_text"])
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -389,7 +390,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     joined = _with_spans(docs, repeat_spans(docs, **options))
     others = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    cut = joined.select("text", "_spans", *others).mapInArrow(_shortened, f"{kinds}, _text string").withColumnRenamed("_text", "text")
+    cut = joined.select("text", "_corpusloom_spans", *others).mapInArrow(_shortened, f"{kinds}, _corpusloom_text string").withColumnRenamed("_corpusloom_text", "text")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
