@@ -33,7 +33,7 @@ RATE = 0.1
 VARIANTS = 4
 _SPACE = "▁"
 _NONE = np.int64(1 << 62)
-_CHUNK_BYTES = 3_000_000
+_CHUNK_BYTES = 2_000_000
 
 
 class Pieces:
@@ -265,7 +265,8 @@ def dropout_round_trip(docs: DataFrame, seed: int = 0, rate: float = RATE, varia
     """doc_id, n_pieces, ids_crc32, decoded_sha256 and lossless: each text encoded, decoded from its ids and compared."""
     path = model or tokenizer_path(MODEL)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"), "text")
-    encoded = rows.mapInArrow(_encode(path, seed, rate, variants), "doc_id long, text_sha256 string, ids binary")
-    decoded = encoded.mapInArrow(_decode(path), "doc_id long, text_sha256 string, ids binary, n_pieces long, ids_crc32 long, decoded string")
+    encode, decode = _encode(path, seed, rate, variants), _decode(path)
+    # One after the other in one worker, which holds the model once.
+    decoded = rows.mapInArrow(lambda batches: decode(encode(batches)), "doc_id long, text_sha256 string, ids binary, n_pieces long, ids_crc32 long, decoded string")
     digest = F.sha2(F.encode("decoded", "utf-8"), 256)
     return decoded.select("doc_id", "n_pieces", "ids_crc32", digest.alias("decoded_sha256"), (digest == F.col("text_sha256")).alias("lossless"))
