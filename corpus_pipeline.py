@@ -9,36 +9,35 @@ from corpusloom.llm.harmonic_packing import pack_documents
 from corpusloom.llm.jaccard_forest import drop_near_duplicates
 from corpusloom.llm.quality_model import keep_good
 from corpusloom.llm.repeat_index import without_repeats
-from corpusloom.llm.storage import stored
-from corpusloom.session import tune
+from corpusloom.llm.storage import prepared, stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good, learnt from the labels outside the held-out fold."""
-    return keep_good(docs, tune(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return keep_good(docs, prepared(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal without white space."""
-    tune(spark)
+    prepared(spark)
     return drop_exact_duplicates(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group connected by similar sets of five words."""
-    tune(spark)
+    prepared(spark)
     return drop_near_duplicates(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of strings of 200 bytes that occur more than once."""
-    tune(spark)
+    prepared(spark)
     return without_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 4096 tokens."""
-    tune(spark)
+    prepared(spark)
     return pack_documents(docs)
 
 
@@ -56,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written before the next one reads it."""
-    docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

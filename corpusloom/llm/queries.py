@@ -10,15 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.session import tune
-
 from . import chat_format, exact_dedup, harmonic_packing, host_rules, html_tree, jaccard_forest, merge_dropout, quality_model, repeat_index, token_store
+from .storage import prepared
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    # Batches of Python workers: some thousand texts.
-    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:

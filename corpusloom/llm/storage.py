@@ -7,6 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.plans.lineage import checkpoint_folder
+from corpusloom.session import tune
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings, and Python workers that read some thousand texts at a time."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

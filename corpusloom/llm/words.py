@@ -19,7 +19,7 @@ END_ID = 2
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:;=>?@\[-`{-~]+$"
 _RUN = r"([a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+)"
 _CUT = "\x1f"
-_CHUNK_BYTES = 10_000_000
+_CHUNK_BYTES = 4_000_000
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -47,7 +47,7 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """Encodes batches of texts; ``memory`` bounds the number of remembered runs of letters or signs."""
 
-    def __init__(self, path: str, memory: int = 700_000):
+    def __init__(self, path: str, memory: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
