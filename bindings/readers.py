@@ -415,11 +415,6 @@ def ddl_models(t):
     return DD.ddl_rows(_schema_files(t))["model"].groupBy("coverage").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_files")
-def scan_files(t):
-    return FI.scan_files(t.spark, t.folder, by_project=False).select("path", "name", "extension", "size")
-
-
 def _paths(t):
     """Documents as paths in ordinary, excluded and sensitive places."""
     k = c("doc_id")
@@ -448,7 +443,7 @@ def select_inputs(t):
 
 @query(
     "guard_inputs",
-    f"WITH {PATHS} SELECT project_id, CASE WHEN size > 1048576 THEN 'oversized' ELSE 'secret' END AS reason, count(*) AS n FROM (SELECT lang AS project_id, * FROM fp) WHERE size > 1048576 OR (doc_id % 7 IN (2, 3, 5) AND doc_id % 3 = 0) GROUP BY ALL",
+    f"WITH {PATHS} SELECT project_id, 'secret' AS reason, count(*) AS n FROM (SELECT lang AS project_id, * FROM fp) WHERE doc_id % 7 IN (2, 3, 5) AND doc_id % 3 = 0 GROUP BY ALL",
 )
 def guard_inputs(t):
     marked = _paths(t).withColumn("text", F.when(c("doc_id") % 3 == 0, F.concat(F.lit("a: b\nkind: Secret\n"), "text")).otherwise(F.regexp_replace("text", "Secret", "secret")))

@@ -347,7 +347,7 @@ def lock_versions(t):
   x AS (SELECT path, unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[len(p) - i + 1:], '/'))) AS suffix FROM q),
   y AS (SELECT path, suffix, count(*) OVER (PARTITION BY suffix) AS n FROM x),
   z AS (SELECT path, coalesce(arg_min(suffix, length(suffix)) FILTER (n = 1), path) AS l FROM y GROUP BY path)
-  SELECT path, CASE WHEN length(l) > 48 THEN l[:45] || '…' ELSE l END AS label FROM z""",
+  SELECT path, l AS label FROM z""",
 )
 def short_labels(t):
     return W.short_labels(page_paths(t).select("path").distinct())

@@ -76,10 +76,10 @@ def explaining_fields(t):
 @query(
     "ranked_results",
     f"""WITH {_TOKENS} SELECT id, name AS label, CASE WHEN name = 'small' THEN 0 WHEN starts_with(name, 'small') THEN 1 WHEN contains(name, 'small') THEN 2 ELSE 3 END AS rank FROM x
-  WHERE contains(name, 'small') OR contains(path, 'small') OR contains(grp, 'small') OR contains(field, 'small') ORDER BY rank, label, grp, id LIMIT 50""",
+  WHERE contains(name, 'small') OR contains(path, 'small') OR contains(grp, 'small') OR contains(field, 'small')""",
 )
 def ranked_results(t):
-    return S.ranked(S.entity_search(_entities(t), "small")).select("id", "label", "rank").limit(50)
+    return S.ranked(S.entity_search(_entities(t), "small")).select("id", "label", "rank")
 
 
 @query(

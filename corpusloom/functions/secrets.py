@@ -7,6 +7,7 @@ express, so it runs as a vectorised UDF; everything else is a built-in expressio
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,18 +29,23 @@ _ASSIGNMENT = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 _URL = re.compile(URL_SCHEMES + r"://[^\s\"'<>`]+", re.IGNORECASE)
-_USER = re.compile(r"(://)([^/@]+)@")
-_PARAMETER = re.compile(r"([?&])([^=&]+)=([^&#]*)")
 _SECRET = re.compile(SECRET_PARAMETER, re.IGNORECASE)
 
 
 def _hide(value: str) -> str:
-    return re.sub(r"[^\r\n]", MASK, value)
+    return "".join(ch if ch in "\r\n" else MASK for ch in value)
 
 
 def _mask_url(url: str) -> str:
-    url = _USER.sub(lambda m: m[1] + _hide(m[2]) + "@", url, count=1)
-    return _PARAMETER.sub(lambda m: f"{m[1]}{m[2]}={_hide(m[3])}" if _SECRET.search(m[2]) else m[0], url)
+    """Hide user info (all before the last @ of the authority) and the values of parameters with a secret name."""
+    address, asked, query = url.partition("?")
+    scheme, mark, rest = address.partition("://")
+    authority, slash, path = rest.partition("/")
+    user, at, host = authority.rpartition("@")
+    query, hash_, fragment = query.partition("#")
+    fields = [field.partition("=") for field in query.split("&")]
+    shown = "&".join(name + equals + (_hide(value) if _SECRET.search(unquote(name)) else value) for name, equals, value in fields)
+    return scheme + mark + _hide(user) + at + host + slash + path + asked + shown + hash_ + fragment
 
 
 def mask_source_text(source: str) -> str:
@@ -67,7 +73,14 @@ def mask_url_source(texts: pd.Series) -> pd.Series:
 
 def public_url(url: Column | str) -> Column:
     """Identity form of a URL: no user info, secret query values replaced by ``[redacted]``."""
-    plain = F.regexp_replace(_c(url), r"(?i)(" + URL_SCHEMES + r"://)[^/@?#]+@", "$1")
-    words = SECRET_PARAMETER.replace("|^sig$", "")
-    named = F.regexp_replace(plain, r"(?i)([?&][^=&#]*" + words + r"[^=&#]*=)[^&#]*", "$1[redacted]")
-    return F.regexp_replace(named, r"(?i)([?&]sig=)[^&#]*", "$1[redacted]")
+    plain = F.regexp_replace(_c(url), r"(?i)(" + URL_SCHEMES + r"://)[^/?#]*@", "$1")
+
+    def shown(field: Column) -> Column:
+        name = F.substring_index(field, "=", 1)
+        secret = F.coalesce(F.try_url_decode(name), name).rlike("(?i)" + SECRET_PARAMETER) & F.contains(field, F.lit("="))
+        return F.when(secret, F.concat(name, F.lit("=[redacted]"))).otherwise(field)
+
+    query = F.regexp_extract(plain, r"(?s)^[^?#]*\?([^#]*)", 1)
+    fields = F.array_join(F.transform(F.split(query, "&"), shown), "&")
+    redacted = F.concat(F.regexp_extract(plain, r"(?s)^([^?#]*\?)", 1), fields, F.regexp_extract(plain, r"(?s)(#.*)$", 1))
+    return F.when(plain.rlike(r"^[^?#]*\?"), redacted).otherwise(plain)

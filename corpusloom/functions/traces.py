@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from .paths import _c
 
-# Attribute limits and names that are always hidden.
-ATTRIBUTE_CHARS = 1000
-ATTRIBUTE_KEYS = 150
+# Names that are always hidden.
 HIDDEN_KEY = r"(?i)authorization|cookie|password|secret|token|credential|api[_.-]?key"
 IGNORED_KEYS = ("__proto__", "constructor", "prototype")
 HIDDEN_VALUE = "••••"
@@ -50,18 +48,11 @@ def duration_unit(format: Column | str, raw: Column | str, given: Column | str)
 
 
 def clean_attributes(attributes: Column | str) -> Column:
-    """At most 150 entries, values cut at 1000 characters, secret keys hidden."""
-    entries = F.slice(F.map_entries(_c(attributes)), 1, ATTRIBUTE_KEYS)
+    """All entries with whole values; secret keys hidden."""
+    entries = F.map_entries(_c(attributes))
     kept = F.filter(entries, lambda item: (item["key"] != "") & ~item["key"].isin(*IGNORED_KEYS))
-    cleaned = F.transform(
-        kept,
-        lambda item: F.struct(
-            item["key"],
-            F.when(item["key"].rlike(HIDDEN_KEY), F.lit(HIDDEN_VALUE)).otherwise(
-                F.substring(F.coalesce(item["value"], F.lit("")), 1, ATTRIBUTE_CHARS)
-            ),
-        ),
-    )
+    shown = lambda item: F.when(item["key"].rlike(HIDDEN_KEY), F.lit(HIDDEN_VALUE)).otherwise(F.coalesce(item["value"], F.lit("")))
+    cleaned = F.transform(kept, lambda item: F.struct(item["key"].alias("key"), shown(item).alias("value")))
     return F.map_from_entries(cleaned)
 
 
@@ -71,23 +62,24 @@ OTLP_VALUE = "struct<stringValue:string,intValue:string,doubleValue:string,boolV
 def otlp_attributes(pairs: Column | str) -> Column:
     """OTLP ``[{key, value: {stringValue|intValue|…}}]`` as a map; a repeated key keeps its last value."""
     pairs = F.coalesce(_c(pairs), F.array().cast(f"array<struct<key:string,value:{OTLP_VALUE}>>"))
-    limited = F.slice(pairs, 1, ATTRIBUTE_KEYS)
     entries = F.transform(
-        limited,
-        lambda item: F.struct(
-            item["key"].alias("key"),
-            F.coalesce(*[item["value"][form] for form in ("stringValue", "intValue", "doubleValue", "boolValue")], F.lit("")).alias("value"),
+        pairs,
+        lambda item: F.named_struct(
+            F.lit("key"),
+            item["key"],
+            F.lit("value"),
+            F.coalesce(*[item["value"][form] for form in ("stringValue", "intValue", "doubleValue", "boolValue")], F.lit("")),
         ),
     )
     return clean_attributes(last_wins_map(entries))
 
 
 def last_wins_map(entries: Column) -> Column:
-    """Map of an entry array in which the last entry of a key counts."""
-    size = F.size(entries)
-
-    def is_last(item: Column, index: Column) -> Column:
-        rest = F.slice(entries, index + 2, F.greatest(size - index - 1, F.lit(0)))
-        return ~F.exists(rest, lambda other: other["key"] == item["key"])
-
-    return F.map_from_entries(F.filter(entries, is_last))
+    """Map of an entry array in which the last entry of a key counts; sorts the entries, so long arrays stay cheap."""
+    named = lambda **parts: F.named_struct(*[piece for name, part in parts.items() for piece in (F.lit(name), part)])
+    by_key = F.sort_array(F.transform(entries, lambda item, index: named(key=item["key"], at=index, value=item["value"])))
+    following = F.slice(by_key, F.lit(2), F.greatest(F.size(by_key) - 1, F.lit(0)))
+    # The shorter array is filled up with null beside the last entry.
+    marked = F.zip_with(by_key, following, lambda this, after: named(at=this["at"], key=this["key"], value=this["value"], last=after.isNull() | (after["key"] != this["key"])))
+    in_order = F.sort_array(F.filter(marked, lambda item: item["last"]))
+    return F.map_from_entries(F.transform(in_order, lambda item: named(key=item["key"], value=item["value"])))

@@ -29,19 +29,14 @@ def edge_slots(edges: DataFrame, order: Sequence[Column | str] = ("id",), by: Se
     return placed.withColumn("slot", F.col("slot") - 1).drop("_low", "_high")
 
 
-LABEL_CHARS = 48
-
-
 def short_labels(paths: DataFrame, path: str = "path", by: Sequence[str] = ()) -> DataFrame:
-    """Shortest trailing part that no other distinct path shares, cut to 48 characters."""
+    """Shortest trailing part that no other distinct path shares, whole, so that labels stay distinct."""
     suffixes = paths.select(*by, path).distinct().select(*by, path, F.posexplode(path_suffixes(path)).alias("_n", "_suffix"))
     # A suffix is unique when all paths ending in it are the same path.
     shared = suffixes.groupBy(*by, "_suffix").agg(F.min(path).alias(path), (F.min(path) == F.max(path)).alias("_one"))
     own = shared.filter("_one").select(*by, path, "_suffix").withColumn("_n", F.size(F.split("_suffix", "/")))
     best = own.groupBy(*by, path).agg(F.min_by("_suffix", "_n").alias("label"))
-    joined = lookup_join(paths, best, [*by, path]).withColumn("label", F.coalesce("label", F.col(path)))
-    cut = F.concat(F.substring("label", 1, LABEL_CHARS - 3), F.lit("…"))
-    return joined.withColumn("label", F.when(F.length("label") > LABEL_CHARS, cut).otherwise(F.col("label")))
+    return lookup_join(paths, best, [*by, path]).withColumn("label", F.coalesce("label", F.col(path)))
 
 
 def distinct_titles(items: DataFrame, title: str, where: Sequence[str], context: Column) -> DataFrame:

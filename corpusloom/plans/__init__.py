@@ -1,12 +1,11 @@
 from .lineage import checkpoint_folder, cut_lineage, store_partitioned
-from .skew import fixed_size_hint, lookup_join, only_value
+from .skew import lookup_join, only_value
 from .scan import Blocks, positions
 
 __all__ = [
     "Blocks",
     "checkpoint_folder",
     "cut_lineage",
-    "fixed_size_hint",
     "lookup_join",
     "only_value",
     "positions",

@@ -18,15 +18,6 @@ def only_value(column: Column | str) -> Column:
     return F.when(F.min(value) == F.max(value), F.min(value))
 
 
-def fixed_size_hint(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast ``df`` only after counting that it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows.  A larger table is returned without a hint and
-    goes through the ordinary (adaptive, skew-splitting) shuffle join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,

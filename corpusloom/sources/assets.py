@@ -39,7 +39,7 @@ def asset_refs(pages: DataFrame, text: str = "text", hosts: dict[str, tuple[str,
     stack, base = None, None
     for name, (stack_id, prefix) in hosts.items():
         stack = F.when(host == name, stack_id) if stack is None else stack.when(host == name, stack_id)
-        inside = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1_000_000))
+        inside = F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1)))
         base = F.when(host == name, inside) if base is None else base.when(host == name, inside)
     package = F.nullif(F.regexp_extract(base, r"^((?:@[^/@]+/)?[^/@]+)(?:@[^/]+)?(?:/|$)", 1), F.lit(""))
     return found.withColumn("stack_id", stack).filter(F.col("stack_id").isNotNull()).select(*rest, "stack_id", public_url("_url").alias("href"), package.alias("package_name"))

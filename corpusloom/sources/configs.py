@@ -61,9 +61,9 @@ def config_resources(files: DataFrame) -> dict[str, DataFrame]:
     resources.append(servers.select(*base, F.lit("upstream-server").alias("type"), "binding", none.alias("identifier"), none.alias("account"), F.lit("configured").alias("environment"), "endpoint"))
 
     ci = named(r"^\.gitlab-ci\.yml$").withColumn("text", F.regexp_replace("text", r"(?m)^[ \t]*#[^\n]*$\n?", ""))
-    jobs = ci.select(*base, F.explode(F.regexp_extract_all("text", F.lit(r"(?m)(^[A-Za-z_.][^\s:#][^:\n]*:[ \t]*\r?\n(?:[ \t]+[^\n]*(?:\n|$)|\r?\n)+)"), F.lit(1))).alias("b"))
+    jobs = ci.select(*base, F.explode(F.regexp_extract_all("text", F.lit(r"(?m)(^[A-Za-z_.][^\s:#][^:\n]*:[ \t]*\r?\n(?:[ \t]++[^\n]*+(?:\n|$)|\r?\n)++)"), F.lit(1))).alias("b"))
     jobs = jobs.withColumn("job", F.trim(F.regexp_extract("b", r"^([^:\n]+):", 1))).filter(~F.col("job").isin(*CI_RESERVED) & ~F.col("job").startswith("."))
-    script = F.regexp_extract("b", r"(?m)^[ \t]+script:[ \t]*\r?\n((?:[ \t]+-[^\n]*(?:\n|$))+)", 1)
+    script = F.regexp_extract("b", r"(?m)^[ \t]+script:[ \t]*\r?\n((?:[ \t]++-[^\n]*+(?:\n|$))++)", 1)
     job = jobs.select(*base, "job", F.posexplode(F.regexp_extract_all(script, F.lit(r"(?m)^[ \t]+-\s*(.+?)\s*$"), F.lit(1))).alias("seq", "command"))
     inline = F.split(F.regexp_extract("b", r"(?m)^[ \t]+needs:[ \t]*\[([^\]]*)\]", 1), r"\s*,\s*")
     need = jobs.select(*base, "job", F.explode(inline).alias("needs")).withColumn("needs", F.regexp_replace(F.trim("needs"), r"^[\"']|[\"']$", "")).filter("needs <> ''")

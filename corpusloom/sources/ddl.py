@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NAME = r"[\"`\[]?[\w]+[\"`\]]?(?:\.[\"`\[]?[\w]+[\"`\]]?)?"
-_INNER = r"[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-_TABLE = r"(?is)(create\s+(?:temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?" + _NAME + r"\s*\((?:" + _INNER + r")*\))"
-_ITEM = r"((?:[^,()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))+)"
+# Possessive runs: the matcher loops over them instead of recursing, whatever the length of a table.
+_INNER = r"[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+_TABLE = r"(?is)(create\s+(?:temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?" + _NAME + r"\s*\((?:" + _INNER + r")*+\))"
+_ITEM = r"((?:[^,()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))++)"
 _TABLE_RULE = r"(?i)^(?:constraint\s+\S+\s+)?(?:primary\s+key|foreign\s+key|unique|check|exclude|index|key)\b"
 
 

@@ -32,7 +32,6 @@ CONFIG_NAME_RULES = (
     r"\.(?:gemspec|tf|json|jsonc|ya?ml|xaml|html|astro|vue|svelte|css)$", r"^(?:webpack|jest|cypress|nuxt|astro|svelte)\.config\.",
 )
 USAGE_EXTENSIONS = (".cjs", ".cts", ".js", ".jsx", ".mjs", ".mts", ".ts", ".tsx", ".vue", ".svelte", ".astro", ".html", ".xaml")
-MAX_INPUT_BYTES = 1024 * 1024
 SECRET_MANIFEST = r"(?:^|\n)\s*kind\s*:\s*[\"']?Secret\b|\"kind\"\s*:\s*\"Secret\""
 
 
@@ -43,7 +42,7 @@ def scan_files(spark: SparkSession, root: str, by_project: bool = True) -> DataF
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    below = F.regexp_replace(F.col("path"), "^.*?" + base.replace(".", r"\."), "")
+    below = F.substr("path", F.locate(base, "path") + len(base))
     if by_project:
         project, local = F.substring_index(below, "/", 1), F.regexp_replace(below, "^[^/]*/", "")
     else:
@@ -102,15 +101,15 @@ def select_inputs(files: DataFrame) -> DataFrame:
     )
 
 
-def guard(size: Column | str, path: Column | str, text: Column | str) -> Column:
-    """Reason an input is left out: ``oversized``, ``unreadable`` or ``secret``; null when it may be used."""
+def guard(path: Column | str, text: Column | str) -> Column:
+    """Reason an input is left out, whatever its size: ``unreadable`` or ``secret``; null when it may be used."""
     secret = _c(path).rlike(r"(?i)\.(?:ya?ml|json)$") & _c(text).rlike(SECRET_MANIFEST)
-    return F.when(_c(size) > MAX_INPUT_BYTES, "oversized").when(_c(text).isNull(), "unreadable").when(secret, "secret")
+    return F.when(_c(text).isNull(), "unreadable").when(secret, "secret")
 
 
 def guard_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Usable inputs, and one warning per input left out."""
-    marked = files.withColumn("_reason", guard("size", "path", "text"))
+    marked = files.withColumn("_reason", guard("path", "text"))
     warning = marked.filter(F.col("_reason").isNotNull()).select(
         *[c for c in files.columns if c == "project_id"], "path", F.col("_reason").alias("reason"),
         F.when(F.col("_reason") == "unreadable", "error").otherwise("warning").alias("severity"),
@@ -118,18 +117,17 @@ def guard_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter(F.col("_reason").isNull()).drop("_reason"), warning
 
 
-def follow_references(files: DataFrame, loaded: DataFrame, references: Callable[[DataFrame], DataFrame], by: Sequence[str] = (), max_pass: int = 8) -> DataFrame:
-    """Add files named by files already loaded, for up to eight passes (the depth the feature follows).
+def follow_references(files: DataFrame, loaded: DataFrame, references: Callable[[DataFrame], DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """Add files named by files already loaded, until nothing new is named; a file is read once, so cycles end.
 
     ``references`` maps newly loaded files to the paths they name (``path``).
     """
     key = [*by, "path"]
     allowed = files.filter(not_excluded("path") & ~is_sensitive("path"))
     fresh = loaded = cut_lineage(loaded)
-    for _ in range(max_pass):
+    while True:
         named = references(fresh).select(*key).distinct().join(loaded.select(*key), key, "left_anti")
         fresh = cut_lineage(allowed.join(named, key, "left_semi"))
         if fresh.isEmpty():
-            break
-        loaded = loaded.unionByName(fresh, allowMissingColumns=True)
-    return loaded
+            return loaded
+        loaded = cut_lineage(loaded.unionByName(fresh, allowMissingColumns=True))

@@ -82,7 +82,7 @@ def _toml_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 data = tomllib.loads(text)
             except (tomllib.TOMLDecodeError, TypeError) as error:
-                out.append((project, path, None, None, None, None, str(error)[:200]))
+                out.append((project, path, None, None, None, None, str(error)))
                 continue
             if path.lower().endswith("cargo.toml"):
                 tables = [("dependencies", "dependency"), ("dev-dependencies", "devDependency"), ("build-dependencies", "devDependency")]
@@ -157,12 +157,12 @@ def manifest_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts.append(rows(gems, "gem", F.regexp_extract("line", gem, 1), F.regexp_extract("line", gem, 2), plain))
 
     for section, kind in (("dependencies", plain), ("dev_dependencies", dev)):
-        block = F.regexp_extract("text", rf"(?m)^{section}:[^\n]*\n((?:[ \t#][^\n]*(?:\n|$)|\n)*)", 1)
+        block = F.regexp_extract("text", rf"(?m)^{section}:[^\n]*\n((?:[ \t#][^\n]*+(?:\n|$)|\n)*+)", 1)
         pub = named(r"^pubspec\.yaml$").select(*base, F.explode(F.split(block, "\n")).alias("line"))
         entry = r"^  ([A-Za-z_]\w*):\s*([^\s#]*)"
         parts.append(rows(pub.filter(F.col("line").rlike(entry)), "dart", F.regexp_extract("line", entry, 1), F.regexp_extract("line", entry, 2), kind))
 
-    swift = named(r"^package\.swift$").select(*base, F.explode(F.regexp_extract_all("text", F.lit(r"(?s)\.package\s*\(((?:[^()]|\([^()]*\))*)\)"), F.lit(1))).alias("d"))
+    swift = named(r"^package\.swift$").select(*base, F.explode(F.regexp_extract_all("text", F.lit(r"(?s)\.package\s*\(((?:[^()]++|\([^()]*+\))*+)\)"), F.lit(1))).alias("d"))
     address = F.regexp_extract("d", r"url:\s*\"([^\"]+)\"", 1)
     parts.append(rows(swift, "swift", F.regexp_replace(file_name(address), r"\.git$", ""), F.regexp_extract("d", r"(?:from:|exact:)\s*\"([^\"]+)\"", 1), plain))
 
@@ -197,7 +197,7 @@ def workspace_patterns(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ignored = chosen.filter("path <> _best").select("project_id", "path", F.lit("workspace-config").alias("detector_id"))
     clean = F.regexp_replace("text", r"(?m)(^|\s)#[^\n]*$", "$1")
     inline = F.split(F.regexp_extract(clean, r"(?m)^\s*packages\s*:\s*\[([^\]]*)\]", 1), ",")
-    block = F.regexp_extract(clean, r"(?m)^\s*packages\s*:[ \t]*\r?\n((?:\s*-[^\n]*(?:\n|$)|[ \t]*\r?\n)*)", 1)
+    block = F.regexp_extract(clean, r"(?m)^\s*packages\s*:[ \t]*\r?\n((?:\s*+-[^\n]*+(?:\n|$)|[ \t]*+\r?\n)*+)", 1)
     items = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^\s*-\s*(.+?)\s*$"), F.lit(1)), lambda item: item)
     listed = F.when(F.size(items) > 0, items).otherwise(inline)
     unquoted = F.filter(F.transform(listed, lambda item: F.regexp_replace(F.trim(item), r"^([\"'])(.*)\1$", "$2")), lambda item: item != "")

@@ -34,7 +34,6 @@ RECORD = (
 )
 SPAN_COLUMNS = ("trace_id", "span_id", "parent_span_id", "name", "service", "start_raw", "end_raw", "duration_raw", "duration_ms", "format", "time_unit", "time_origin", "duration_unit", "path", "line", "function_name", "attributes", "source_file", "seq")
 LOG_COLUMNS = ("trace_id", "span_id", "body", "service", "time_raw", "severity", "format", "attributes", "source_file", "seq")
-LABEL_CHARS = 180
 
 
 def _empty() -> Column:
@@ -57,7 +56,7 @@ def _spans(rows: DataFrame) -> DataFrame:
     own_line = F.col("_line") if "_line" in rows.columns else _empty()
     given = lambda name: F.col(name) if name in rows.columns else _empty()
     return rows.select(
-        "trace_id", "span_id", "parent_span_id", F.substring("name", 1, LABEL_CHARS).alias("name"), "service", "start_raw", "end_raw", "duration_raw", ms.alias("duration_ms"), "format",
+        "trace_id", "span_id", "parent_span_id", F.col("name").alias("name"), "service", "start_raw", "end_raw", "duration_raw", ms.alias("duration_ms"), "format",
         timing_unit("format", nano, given("_time_unit")).alias("time_unit"), timing_origin("format", nano, given("_time_origin")).alias("time_origin"),
         duration_unit("format", "duration_raw", given("_duration_unit")).alias("duration_unit"),
         F.translate(F.coalesce(pick("code.file.path", "code.filepath"), own_path), "\\", "/").alias("path"),
@@ -83,7 +82,7 @@ def otlp_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     logs = held.select("source_file", "r", "s", "inherited", F.posexplode("scope.logRecords").alias("n", "x")).withColumn("own", otlp_attributes("x.attributes"))
     body = F.coalesce("x.body.stringValue", "x.body.intValue", "x.body.doubleValue", "x.body.boolValue", F.lit("log"))
     log_rows = logs.select(
-        F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"), F.substring(body, 1, LABEL_CHARS).alias("body"), F.coalesce(F.element_at("inherited", "service.name"), F.lit("")).alias("service"),
+        F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"), body.alias("body"), F.coalesce(F.element_at("inherited", "service.name"), F.lit("")).alias("service"),
         F.coalesce("x.timeUnixNano", "x.observedTimeUnixNano").alias("time_raw"), F.col("x.severityText").alias("severity"), F.lit("OTLP").alias("format"), merged().alias("attributes"), "source_file", F.struct("r", "s", "n").alias("seq"),
     )
     return _spans(span_rows), log_rows
@@ -105,7 +104,7 @@ def jaeger_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = clean_attributes(last_wins_map(F.coalesce("e.fields", F.array().cast(_TAG))))
     events = events.withColumn("attributes", fields)
     body = F.coalesce(F.element_at("attributes", "event"), F.element_at("attributes", "message"), F.lit("span event"))
-    logs = events.select("trace_id", "span_id", F.substring(body, 1, LABEL_CHARS).alias("body"), "service", F.col("e.timestamp").alias("time_raw"), _empty().alias("severity"), F.lit("Jaeger").alias("format"), "attributes", "source_file", F.struct("r", "n", "k").alias("seq"))
+    logs = events.select("trace_id", "span_id", body.alias("body"), "service", F.col("e.timestamp").alias("time_raw"), _empty().alias("severity"), F.lit("Jaeger").alias("format"), "attributes", "source_file", F.struct("r", "n", "k").alias("seq"))
     return _spans(rows), logs
 
 
@@ -193,7 +192,7 @@ def structured_records(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("x.filePath").alias("_path"), F.col("x.line").alias("_line"), F.col("x.timeUnit").alias("_time_unit"), F.col("x.timeOrigin").alias("_time_origin"), F.col("x.durationUnit").alias("_duration_unit"), "source_file", seq,
     )
     logs = rows.filter("kind = 'log'").select(
-        trace.alias("trace_id"), span.alias("span_id"), F.substring(F.coalesce("x.name", "x.operationName", "x.message", "x.body"), 1, LABEL_CHARS).alias("body"), F.coalesce("x.service", F.lit("")).alias("service"),
+        trace.alias("trace_id"), span.alias("span_id"), F.coalesce("x.name", "x.operationName", "x.message", "x.body").alias("body"), F.coalesce("x.service", F.lit("")).alias("service"),
         F.col("x.timeUnixNano").alias("time_raw"), F.col("x.severityText").alias("severity"), F.lit("structured").alias("format"), attributes.alias("attributes"), "source_file", seq,
     )
     return _spans(spans), logs
@@ -207,9 +206,9 @@ def validate_spans(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter(F.col("error").isNull()).drop("error"), marked.filter(F.col("error").isNotNull())
 
 
-def validate_documents(documents: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def validate_documents(documents: DataFrame) -> DataFrame:
     """One row per document with its ``format`` and ``error`` (null when acceptable), and a warning count for
-    FOLLOWS_FROM references.  The size limit is optional: large inputs are what the cluster is for."""
+    FOLLOWS_FROM references."""
     has = lambda key: F.get_json_object("text", f"$.{key}").isNotNull()
     format_ = F.when(has("resourceSpans") | has("resourceLogs"), "OTLP").when(has("traceEvents"), "Chrome Trace").when(has("data"), "Jaeger").otherwise("structured")
     lists = lambda key: F.coalesce(F.get_json_object("text", f"$.{key}"), F.lit("[]")).rlike(r"^\s*\[\s*\]$")
@@ -217,7 +216,6 @@ def validate_documents(documents: DataFrame, max_bytes: int | None = None) -> Da
     kinds = F.regexp_extract_all("text", F.lit(r"\"refType\"\s*:\s*\"([^\"]*)\""), F.lit(1))
     error = (
         F.when(~F.col("text").rlike(r"^\s*[\[{]"), "not-json")
-        .when(F.length("text") > max_bytes if max_bytes else F.lit(False), "too-large")
         .when((format_ == "structured") & version.isNotNull() & (version != "1"), "unsupported-version")
         .when(~lists("edges") | ~lists("relations"), "own-relation-list")
         .when(F.exists(kinds, lambda kind: ~kind.isin("CHILD_OF", "FOLLOWS_FROM")), "unsupported-reference")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import values
-from corpusloom.plans import Blocks, checkpoint_folder, fixed_size_hint, lookup_join, only_value, positions, store_partitioned
+from corpusloom.plans import Blocks, checkpoint_folder, lookup_join, only_value, positions, store_partitioned
 
 
 def test_hot_key_is_split_over_blocks(spark):
@@ -32,12 +32,6 @@ def test_salted_lookup_equals_plain(spark):
     assert values(plain, "k", "id", "v") == values(salted, "k", "id", "v")
 
 
-def test_size_check_before_broadcast(spark):
-    small, large = spark.range(10), spark.range(1000)
-    hint = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-    assert hint(fixed_size_hint(small, 100)) and not hint(fixed_size_hint(large, 100))
-
-
 def test_checkpoint_folder_is_kept(spark):
     first = checkpoint_folder(spark)
     assert checkpoint_folder(spark) == first

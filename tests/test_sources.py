@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import values
 from corpusloom.operators import spans as S
 from corpusloom.sources import configs as CO
+from corpusloom.sources import ddl as DD
 from corpusloom.sources import dictionary as DI
 from corpusloom.sources import files as FI
 from corpusloom.sources import manifests as MA
@@ -44,10 +45,36 @@ def test_listing_does_not_read_content(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
-def test_follow_references_stops_after_eight_passes(spark):
+def test_follow_references_to_the_end(spark):
     files = spark.createDataFrame([(f"f{i}.props", i) for i in range(20)], "path string, i int")
-    found = FI.follow_references(files, files.filter("i = 0"), lambda loaded: loaded.select(F.concat(F.lit("f"), (F.col("i") + 1).cast("string"), F.lit(".props")).alias("path")))
-    assert found.count() == 9
+    # The last file names the first again.
+    found = FI.follow_references(files, files.filter("i = 0"), lambda loaded: loaded.select(F.concat(F.lit("f"), ((F.col("i") + 1) % 20).cast("string"), F.lit(".props")).alias("path")))
+    assert found.count() == 20
+
+
+def test_large_inputs_are_read(spark):
+    columns = ",\n".join(f"  c{i} decimal(10, 2) not null default (1 + (2))" for i in range(2000))
+    tables = spark.createDataFrame([("s.sql", "sql", f"create table big (\n{columns},\n  primary key (c0, c1)\n);")], "path string, language string, text string")
+    rows = DD.ddl_rows(tables)
+    assert rows["field"].count() == 2000 and values(rows["constraint"], "kind", "columns") == [("primary", ["c0", "c1"])]
+    lines = "\n".join(f"    - echo {i}" for i in range(100_000))
+    jobs = spark.createDataFrame([(".gitlab-ci.yml", f"build:\n  script:\n{lines}\n\ntest:\n  script:\n    - ok\n")], "path string, text string")
+    assert CO.config_resources(jobs)["job"].count() == 100_001
+    patterns = "\n".join(f"  - 'apps/a{i}'" for i in range(100_000))
+    found, _ = MA.workspace_patterns(spark.createDataFrame([("p", "pnpm-workspace.yaml", f"packages:\n{patterns}\n")], "project_id string, path string, text string"))
+    assert found.count() == 100_000
+    dependencies = "\n".join(f"  d{i}: ^1.{i}" for i in range(20_000))
+    more = ", ".join(f".product(name: \"n{i}\")" for i in range(20_000))
+    manifests = [("pubspec.yaml", f"name: x\ndependencies:\n{dependencies}\n"), ("Package.swift", f".package(url: \"https://h/o/kit.git\", from: \"1.0\", traits: [{more}])")]
+    listed, _ = MA.manifest_rows(spark.createDataFrame(manifests, "path string, text string"))
+    assert listed.filter("ecosystem = 'dart'").count() == 20_000 and values(listed.filter("ecosystem = 'swift'"), "name", "version_range") == [("kit", "1.0")]
+    assert FI.guard_inputs(spark.createDataFrame([("a.txt", 5_000_000, "x" * 5_000_000)], "path string, size long, text string"))[0].count() == 1
+
+
+def test_root_with_pattern_signs(spark, tmp_path):
+    root = tmp_path / "a+b (c)"
+    write(root, {"one/x.ts": "x", "one/lib/y.ts": "y"})
+    assert values(FI.scan_files(spark, str(root)), "project_id", "path") == [("one", "lib/y.ts"), ("one", "x.ts")]
 
 
 def test_manifest_warnings(spark):
