@@ -104,6 +104,8 @@ def test_masking_keeps_length_and_lines(spark):
     assert masked.split("\n")[2] == "https://•••@h/x?token=" + "•" * 9
     assert masked.split("\n")[3] == 'name = "kept"'
     assert masked.split("\n")[4] == "password=" + "•" * 5
+    assert one(spark, S.public_url(L("https://u:p@ss@h/x?api%5Fkey=123&b=1")), S.public_url(L("https://h/x?sig=1&design=2#token=3"))) == ["https://h/x?api%5Fkey=[redacted]&b=1", "https://h/x?sig=[redacted]&design=2#token=3"]
+    assert one(spark, S.mask_url_source(L("see https://u:p@ss@h/x?api%5Fkey=12&b=1#f now"))) == ["see https://••••••@h/x?api%5Fkey=••&b=1#f now"]
     assert one(spark, S.public_url(L("https://u:p@h/x?api_key=123&b=1#f")), S.public_url(L("https://h/x?b=1"))) == [
         "https://h/x?api_key=[redacted]&b=1#f", "https://h/x?b=1",
     ]
