@@ -224,12 +224,6 @@ _DEPENDS = """d AS (SELECT 'n' || c_nationkey AS src, p_name AS dst, l_orderkey
   JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49)"""
 
 
-def _depends(t):
-    lines = t.lineitem.filter("l_quantity >= 49").join(t.orders, c("o_orderkey") == c("l_orderkey"))
-    placed = lines.join(t.customer, c("c_custkey") == c("o_custkey")).join(t.part, c("p_partkey") == c("l_partkey"))
-    return placed.select(s("n", c("c_nationkey")).alias("src"), c("p_name").alias("dst"), c("l_orderkey").alias("evidence"))
-
-
 _GROUPS = """g AS (SELECT id AS dst, CASE WHEN lo IS NULL THEN 'unlinked' WHEN lo = hi THEN lo ELSE 'shared' END AS "group" FROM
   (SELECT DISTINCT p_brand || ':' || p_size AS id FROM part) LEFT JOIN
   (SELECT dst, min(src) AS lo, max(src) AS hi FROM d GROUP BY dst) ON dst = id)"""

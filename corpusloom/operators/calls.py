@@ -163,43 +163,50 @@ def template_slices(template_edges: DataFrame, returns: DataFrame, parameters: D
     return every.groupBy("fn_id", "id").agg(F.max("returns_it").alias("returns_it"))
 
 
-MAX_SLICE = 12
-
-
 def instantiate_calls(
-    template_edges: DataFrame, returns: DataFrame, parameters: DataFrame, invocations: DataFrame, arguments: DataFrame
+    template_edges: DataFrame, returns: DataFrame, parameters: DataFrame, invocations: DataFrame, arguments: DataFrame, locals_: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Copy the needed slice of a callee into each call site, so that values of different calls do not mix.
 
     ``invocations``: ``call_id`` (the operation node), ``fn_id`` (callee), ``caller`` (enclosing function or null),
-    ``result_id``; ``arguments``: ``call_id``, ``position``, ``value_id``; ``parameters``: ``fn_id``, ``id``, ``position``.
-    Slices above 12 nodes, and calls inside a copied slice, become one summary node per call.  A call inside a slice
-    that was copied is followed once (as a summary); recursion stops at the call's own boundary.
+    ``result_id``; ``arguments``: ``call_id``, ``position``, ``value_id``; ``parameters``: ``fn_id``, ``id``, ``position``
+    and optional ``rest`` (takes every argument from its position on); ``template_edges``: ``fn_id``, ``src``, ``dst`` and
+    optional ``kind``, of which ``parameter-default`` is left out where the call gives that argument.  ``locals_``
+    (``fn_id``, ``id``) are the nodes of each function: a value from outside is not copied, its edge leads into the copy.
+    Without it every node is local.
+
+    Slices of any size are copied.  A call inside a copied slice becomes one summary node per copy, and recursion stops
+    at the call's own boundary.
 
     Returns nodes (``id``, ``original``, ``call_id``, ``shape``) and edges (``src``, ``dst``, ``kind``, ``call_id``).
     """
-    slices = cut_lineage(template_slices(template_edges, returns, parameters.select("fn_id", "id")))
-    sizes = slices.groupBy("fn_id").agg(F.count(F.lit(1)).alias("_size"))
-    top = lookup_join(invocations, sizes, ["fn_id"], "inner").withColumn("context", F.col("call_id")).withColumn("_nested", F.lit(False))
-    copied = top.filter(F.col("_size") <= MAX_SLICE)
-    # Calls that sit in a copied slice: operation and result are both part of it; depth two is summarised.
+    kind = F.col("kind") if "kind" in template_edges.columns else F.lit("flow")
+    template = template_edges.select("fn_id", "src", "dst", kind.alias("kind"))
+    inner_edges, outer_edges = template, None
+    if locals_ is not None:
+        own = locals_.select("fn_id", F.col("id").alias("src")).distinct()
+        inner_edges, outer_edges = template.join(own, ["fn_id", "src"], "left_semi"), template.join(own, ["fn_id", "src"], "left_anti")
+    slices = cut_lineage(template_slices(inner_edges, returns, parameters.select("fn_id", "id")))
+    top = invocations.join(slices.select("fn_id").distinct(), "fn_id", "left_semi").withColumn("context", F.col("call_id"))
+    # Calls that sit in a copied slice: operation and result are both part of it; they are summarised.
     inner = invocations.select(F.col("caller").alias("fn_id"), F.col("call_id").alias("_op"), F.col("result_id").alias("_res"), F.col("fn_id").alias("_callee"))
-    inside = copied.select("context", "fn_id").join(inner, "fn_id")
     for column in ("_op", "_res"):
-        inside = inside.join(slices.select("fn_id", F.col("id").alias(column)), ["fn_id", column], "left_semi")
+        inner = inner.join(slices.select("fn_id", F.col("id").alias(column)), ["fn_id", column], "left_semi")
+    inside = top.select("context", "fn_id").join(inner, "fn_id")
     mint = lambda node, context: F.concat_ws(":", node, F.lit("context"), context)
     nested = inside.filter(F.col("_callee") != F.col("fn_id")).select(
         mint(F.col("_op"), F.col("context")).alias("context"), F.col("_op").alias("call_id"), F.col("_callee").alias("fn_id"),
-        mint(F.col("_res"), F.col("context")).alias("result_id"), F.col("context").alias("_outer"), F.lit(True).alias("_nested"),
+        mint(F.col("_res"), F.col("context")).alias("result_id"), F.col("context").alias("_outer"), F.col("fn_id").alias("_within"),
     )
-    nested = lookup_join(nested, sizes, ["fn_id"], "inner")
-    base = ["context", "call_id", "fn_id", "result_id", "_nested", "_size"]
-    everyone = cut_lineage(top.withColumn("_outer", F.lit(None).cast("string")).select(*base, "_outer").unionByName(nested.select(*base, "_outer")))
-    full = everyone.filter(~F.col("_nested") & (F.col("_size") <= MAX_SLICE))
-    brief = everyone.filter(F.col("_nested") | (F.col("_size") > MAX_SLICE))
+    nested = nested.join(slices.select("fn_id").distinct(), "fn_id", "left_semi")
+    base = ["context", "call_id", "fn_id", "result_id", "_outer", "_within"]
+    top = top.withColumn("_outer", F.lit(None).cast("string")).withColumn("_within", F.lit(None).cast(dict(slices.dtypes)["fn_id"]))
+    everyone = cut_lineage(top.select(*base).unionByName(nested.select(*base)))
+    full, brief = everyone.filter(F.col("_outer").isNull()), everyone.filter(F.col("_outer").isNotNull())
 
     nodes = full.join(slices.select("fn_id", "id"), "fn_id").select(mint(F.col("id"), F.col("context")).alias("id"), F.col("id").alias("original"), F.col("context").alias("call_id"), F.lit("copy").alias("shape"))
-    params = parameters.select("fn_id", F.col("id").alias("_param"), "position")
+    rest = F.coalesce("rest", F.lit(False)) if "rest" in parameters.columns else F.lit(False)
+    params = parameters.select("fn_id", F.col("id").alias("_param"), F.col("position").alias("_at"), rest.alias("_rest"))
     with_params = brief.join(params, "fn_id")
     nodes = nodes.unionByName(with_params.select(mint(F.col("_param"), F.col("context")).alias("id"), F.col("_param").alias("original"), F.col("context").alias("call_id"), F.lit("parameter").alias("shape")))
     returning = returns.select("fn_id").distinct()
@@ -208,12 +215,28 @@ def instantiate_calls(
     nodes = nodes.unionByName(answered.select(summary.alias("id"), F.col("fn_id").cast("string").alias("original"), F.col("context").alias("call_id"), F.lit("summary").alias("shape")))
     nodes = nodes.unionByName(answered.select(exit_.alias("id"), F.col("fn_id").cast("string").alias("original"), F.col("context").alias("call_id"), F.lit("return").alias("shape")))
 
-    ins = slices.select("fn_id", F.col("id").alias("src"))
-    body = template_edges.select("fn_id", "src", "dst").join(ins, ["fn_id", "src"], "left_semi").join(ins.withColumnRenamed("src", "dst"), ["fn_id", "dst"], "left_semi")
-    edges = full.join(body, "fn_id").select(mint(F.col("src"), F.col("context")).alias("src"), mint(F.col("dst"), F.col("context")).alias("dst"), F.lit("flow").alias("kind"), F.col("context").alias("call_id"))
-    actual = everyone.join(arguments.select("call_id", "position", "value_id"), "call_id").join(params, ["fn_id", "position"])
+    ins = slices.select("fn_id", F.col("id").alias("dst"))
+    body = inner_edges.join(ins, ["fn_id", "dst"], "left_semi").join(ins.withColumnRenamed("dst", "src"), ["fn_id", "src"], "left_semi").withColumn("_local", F.lit(True))
+    if outer_edges is not None:
+        body = body.unionByName(outer_edges.join(ins, ["fn_id", "dst"], "left_semi").withColumn("_local", F.lit(False)))
+    passed = arguments.select("call_id", F.col("position").alias("_given"), "value_id")
+    copied = full.join(body.filter("kind <> 'parameter-default'"), "fn_id").select("context", "src", "dst", "kind", "_local")
+    if "kind" in template_edges.columns:
+        default = body.filter("kind = 'parameter-default'").join(params.select("fn_id", F.col("_param").alias("dst"), "_at"), ["fn_id", "dst"])
+        unset = full.join(default, "fn_id").join(passed.select("call_id", F.col("_given").alias("_at")), ["call_id", "_at"], "left_anti")
+        copied = copied.unionByName(unset.select("context", "src", "dst", "kind", "_local"))
+    source = F.when(F.col("_local"), mint(F.col("src"), F.col("context"))).otherwise(F.col("src"))
+    edges = copied.select(source.alias("src"), mint(F.col("dst"), F.col("context")).alias("dst"), "kind", F.col("context").alias("call_id"))
+    # An argument of a nested call counts when it was copied along with the slice around it.
+    kept = slices.select(F.col("fn_id").alias("_within"), F.col("id").alias("value_id"))
+    offered = everyone.join(passed, "call_id")
+    offered = offered.filter(F.col("_outer").isNull()).unionByName(offered.filter(F.col("_outer").isNotNull()).join(kept, ["_within", "value_id"], "left_semi").select(*offered.columns))
+    single = offered.join(params.filter(~F.col("_rest")).withColumnRenamed("_at", "_given"), ["fn_id", "_given"]).select("context", "_outer", "value_id", "_param")
+    spread = offered.join(params.filter(F.col("_rest")), "fn_id").filter(F.col("_given") >= F.col("_at")).select("context", "_outer", "value_id", "_param")
     actual_id = F.when(F.col("_outer").isNull(), F.col("value_id")).otherwise(mint(F.col("value_id"), F.col("_outer")))
-    edges = edges.unionByName(actual.select(actual_id.alias("src"), mint(F.col("_param"), F.col("context")).alias("dst"), F.lit("passes-to").alias("kind"), F.col("context").alias("call_id")))
+    edges = edges.unionByName(
+        single.unionByName(spread).select(actual_id.alias("src"), mint(F.col("_param"), F.col("context")).alias("dst"), F.lit("passes-to").alias("kind"), F.col("context").alias("call_id"))
+    )
     given = full.join(returns.select("fn_id", "id"), "fn_id")
     edges = edges.unionByName(given.select(mint(F.col("id"), F.col("context")).alias("src"), F.col("result_id").alias("dst"), F.lit("returns").alias("kind"), F.col("context").alias("call_id")))
     used = with_params.join(slices.filter("returns_it").select("fn_id", F.col("id").alias("_param")), ["fn_id", "_param"], "left_semi")
@@ -223,41 +246,33 @@ def instantiate_calls(
     return nodes.distinct(), edges.distinct()
 
 
-MAX_INHERITANCE = 16
-
-
 def expand_fields(models: DataFrame, fields: DataFrame, extends: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Own and inherited fields of each model: a nearer definition hides a farther one of the same name.
 
     ``models`` (``model_id``); ``fields`` (``model_id``, ``name``, ``type``, ``pos``); ``extends`` (``model_id``, ``base_id``).
     Returns the fields with their ``origin`` and ``distance``, and per model ``expansion``: expanded, or partial /
-    unexpanded when a base is unknown, the chain is cyclic or deeper than 16.
+    unexpanded when it or a base extends an unknown model or, over any number of steps, itself.
     """
     known = cut_lineage(models.select("model_id").distinct())
-    bases = cut_lineage(extends.select("model_id", "base_id").distinct())
-    chain = cut_lineage(known.select("model_id", F.col("model_id").alias("origin"), F.lit(0).alias("distance")))
-    frontier, depth, trouble = chain, 0, None
-    while not frontier.isEmpty():
-        depth += 1
-        step = frontier.join(bases.withColumnsRenamed({"model_id": "origin"}), "origin").select("model_id", F.col("base_id").alias("origin"))
-        step = cut_lineage(step.distinct())
-        unknown = step.join(known.select(F.col("model_id").alias("origin")), "origin", "left_anti").select("model_id")
-        circular = step.filter(F.col("origin") == F.col("model_id")).select("model_id")
-        bad = unknown.unionByName(circular)
-        if depth > MAX_INHERITANCE:
-            bad = bad.unionByName(step.select("model_id"))
-        trouble = bad if trouble is None else trouble.unionByName(bad)
-        if depth > MAX_INHERITANCE:
-            break
-        real = step.join(known.select(F.col("model_id").alias("origin")), "origin", "left_semi")
-        frontier = cut_lineage(real.join(chain, ["model_id", "origin"], "left_anti").withColumn("distance", F.lit(depth)))
-        chain = cut_lineage(chain.unionByName(frontier))
+    up = extends.select("model_id", F.col("base_id").alias("origin"), F.lit(1).alias("distance")).distinct()
+    up = cut_lineage(up.join(known, "model_id", "left_semi"))
+    # Paths double in length each round; once no pair is new, every distance is the shortest one.
+    pairs, before = up.count(), -1
+    while pairs != before:
+        onward = up.select(F.col("model_id").alias("origin"), F.col("origin").alias("_far"), F.col("distance").alias("_more"))
+        longer = up.join(onward, "origin").select("model_id", F.col("_far").alias("origin"), (F.col("distance") + F.col("_more")).alias("distance"))
+        up = cut_lineage(up.unionByName(longer).groupBy("model_id", "origin").agg(F.min("distance").alias("distance")))
+        pairs, before = up.count(), pairs
+    real = known.withColumnRenamed("model_id", "origin")
+    cyclic = up.filter(F.col("model_id") == F.col("origin")).select("model_id")
+    missing = up.join(real, "origin", "left_anti").select("model_id")
+    below = up.join(cyclic.withColumnRenamed("model_id", "origin"), "origin", "left_semi").select("model_id")
+    above = up.filter(F.col("model_id") != F.col("origin")).join(real, "origin", "left_semi")
+    chain = known.select("model_id", F.col("model_id").alias("origin"), F.lit(0).alias("distance")).unionByName(above)
     listed = chain.join(fields.withColumnRenamed("model_id", "origin"), "origin")
     rest = [c for c in listed.columns if c not in ("model_id", "name")]
     nearest = listed.groupBy("model_id", "name").agg(F.min_by(F.struct(*rest), F.struct("distance", "origin")).alias("_f")).select("model_id", "name", "_f.*")
-    # Trouble in a base is trouble in everything that extends it.
-    direct = trouble.distinct().withColumnRenamed("model_id", "origin") if trouble is not None else known.limit(0).withColumnRenamed("model_id", "origin")
-    marked = chain.join(direct, "origin", "left_semi").select("model_id").distinct().withColumn("_bad", F.lit(True))
+    marked = cyclic.unionByName(missing).unionByName(below).distinct().withColumn("_bad", F.lit(True))
     owned = nearest.groupBy("model_id").agg(F.count(F.lit(1)).alias("fields"))
     state = lookup_join(lookup_join(known, marked, ["model_id"]), owned, ["model_id"])
     expansion = F.when(F.col("_bad").isNull(), "expanded").when(F.coalesce("fields", F.lit(0)) > 0, "partial").otherwise("unexpanded")

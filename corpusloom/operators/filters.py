@@ -22,21 +22,57 @@ def glob_match(path: Column, patterns: Sequence[str]) -> Column:
     return hit & ~clean.rlike("|".join(negative)) if negative else hit
 
 
+SPREAD = 8
+
+
+def pattern_keys(patterns: DataFrame, pattern: Column) -> DataFrame:
+    """Add ``_key`` (what every matching path must share) and ``_part`` to a table of globs, for an equality join with
+    :func:`path_keys`.
+
+    The key is the fixed directory before the first wildcard; where there is none, the last segment if it is fixed, its
+    fixed extension, or the number of segments; only globs with none of these share one key.  Each glob is copied to
+    ``SPREAD`` parts, over which the paths of one key are hashed.
+    """
+    body = F.regexp_replace(pattern, r"^\./|/$", "")
+    root, leaf = glob_root(pattern), F.substring_index(body, "/", -1)
+    extension = F.regexp_extract(leaf, r"(\.[^.*?/]+)$", 1)
+    deep = F.contains(body, F.lit("**"))
+    key = (
+        F.when(root != ".", F.concat(F.lit("in:"), root))
+        .when(~leaf.rlike(r"[*?]"), F.concat(F.lit("leaf:"), leaf))
+        .when(extension != "", F.concat(F.lit("ext:"), extension))
+        .when(~deep, F.concat(F.lit("depth:"), F.size(F.split(body, "/")).cast("string")))
+        .otherwise(F.lit("any"))
+    )
+    return patterns.withColumn("_key", key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+
+
+def path_keys(paths: DataFrame, path: Column) -> DataFrame:
+    """Add every ``_key`` under which a glob of :func:`pattern_keys` can match ``path``, and its ``_part``."""
+    leaf = F.substring_index(path, "/", -1)
+    keys = F.concat(
+        F.transform(path_prefixes(path), lambda prefix: F.concat(F.lit("in:"), prefix)),
+        F.array(
+            F.concat(F.lit("leaf:"), leaf),
+            F.concat(F.lit("ext:"), F.regexp_extract(leaf, r"(\.[^.]+)$", 1)),
+            F.concat(F.lit("depth:"), F.size(F.split(path, "/")).cast("string")),
+            F.lit("any"),
+        ),
+    )
+    return paths.withColumn("_part", F.pmod(F.hash(path), F.lit(SPREAD))).withColumn("_key", F.explode(F.array_distinct(keys)))
+
+
 def glob_join(paths: DataFrame, patterns: DataFrame, by: Sequence[str] = (), path: str = "path") -> DataFrame:
     """Rows of ``paths`` selected by a pattern table (``pattern``, a leading ``!`` negates).
 
-    The directory before the first wildcard is the join key: a path meets only patterns rooted at one of its
-    own ancestors instead of every pattern.
+    A path meets only patterns with which it shares a fixed piece (see :func:`pattern_keys`).
     """
-    keyed = patterns.withColumn("_negative", F.col("pattern").startswith("!")).withColumn(
-        "_glob", F.regexp_replace("pattern", "^!", "")
-    )
-    keyed = keyed.select(*by, "_negative", glob_root("_glob").alias("_root"), glob_to_regex("_glob").alias("_regex")).distinct()
+    glob = F.regexp_replace("pattern", "^!", "")
+    keyed = patterns.select(*by, F.col("pattern").startswith("!").alias("_negative"), glob.alias("_glob")).distinct()
+    keyed = pattern_keys(keyed, F.col("_glob")).withColumn("_regex", glob_to_regex("_glob")).drop("_glob")
     own = F.regexp_replace(F.col(path), r"^\./", "")
-    candidates = paths.select(*by, path).distinct().select(
-        *by, path, own.alias("_own"), F.explode(F.array_distinct(F.concat(F.array(F.lit(".")), path_prefixes(own)))).alias("_root")
-    )
-    hits = candidates.join(keyed, [*by, "_root"]).filter(F.rlike(F.col("_own"), F.col("_regex")))
+    candidates = path_keys(paths.select(*by, path).distinct().withColumn("_own", own), F.col("_own"))
+    hits = candidates.join(keyed, [*by, "_key", "_part"]).filter(F.rlike(F.col("_own"), F.col("_regex")))
     flags = hits.groupBy(*by, path).agg(F.max("_negative").alias("_rejected"), F.min("_negative").alias("_only_negative"))
     chosen = flags.filter(~F.col("_rejected") & ~F.col("_only_negative")).select(*by, path)
     return paths.join(chosen, [*by, path], "left_semi")
@@ -263,8 +299,3 @@ def selection_context(
     if not keep_internal:
         related = related.filter(F.col("direction") != "internal")
     return ids, related
-
-
-def unique_or_null(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per key: ``value`` when exactly one distinct value exists, else null."""
-    return df.groupBy(*keys).agg(only_value(value).alias(value))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import cut_lineage, lookup_join
@@ -76,7 +76,8 @@ def eligible_groups(metrics: DataFrame, groups: DataFrame, active: DataFrame | N
 
     ``groups``: ``group_id``, ``level``, ``maximum_span``, optional ``seq`` as tie order.
     """
-    joined = lookup_join(metrics, groups.select("group_id", "level", "maximum_span"), ["group_id"], "inner")
+    order = [c for c in ("seq",) if c in groups.columns]
+    joined = lookup_join(metrics, groups.select("group_id", "level", "maximum_span", *order), ["group_id"], "inner")
     if active is not None:
         joined = lookup_join(joined, active.select("group_id").distinct().withColumn("_was", F.lit(True)), ["group_id"])
     else:
@@ -90,7 +91,7 @@ def eligible_groups(metrics: DataFrame, groups: DataFrame, active: DataFrame | N
     crowded = F.col("crowded") >= limit("crowded")
     dense = (F.col("spacing") <= limit("spacing")) | crowded
     turn = F.when(wide & crowded, 2).when(~wide & dense, 1)
-    return joined.withColumn("pass", turn).filter(F.col("pass").isNotNull()).select("group_id", "level", "pass")
+    return joined.withColumn("pass", turn).filter(F.col("pass").isNotNull()).select("group_id", "level", "pass", *order)
 
 
 def assign_owners(
@@ -106,7 +107,10 @@ def assign_owners(
 
     ``memberships`` (``group_id``, ``id``); ``protected`` (``id``) stay individual; ``expanded`` (``group_id``) never
     own and keep their members out of automatic groups; ``manual`` (``group_id``, ``id``, ``seq``) come first.
-    Groups are served level by level; a level has disjoint groups, so each round is one grouped count and one join.
+
+    Automatic groups take turns: pass 1 from the coarsest level, pass 2 from the finest, within a level by ``seq``
+    (backwards in pass 2), then by id.  A group that would get fewer than ``minimum_free`` points takes none, so they
+    stay free for the groups behind it, of any level and also where groups of one level overlap.
     """
     free = points.select("id").distinct()
     if protected is not None:
@@ -120,24 +124,38 @@ def assign_owners(
         opened = memberships.join(expanded.select("group_id").distinct(), "group_id", "left_semi").select("id").distinct()
         free = free.join(opened, "id", "left_anti")
         eligible = eligible.join(expanded.select("group_id").distinct(), "group_id", "left_anti")
-    free = cut_lineage(free)
-    candidates = cut_lineage(lookup_join(memberships.select("group_id", "id"), eligible, ["group_id"], "inner"))
-    turns = candidates.select("pass", "level").distinct().collect()  # one row per level of the hierarchy
-    order = sorted((row for row in turns), key=lambda row: (row["pass"], -row["level"] if row["pass"] == 1 else row["level"]))
-    for turn in order:
-        here = candidates.filter((F.col("pass") == turn["pass"]) & (F.col("level") == turn["level"])).join(free, "id", "left_semi")
-        single = here.groupBy("id").agg(F.min("group_id").alias("group_id"))
-        enough = single.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum_free)
-        won = single.join(enough, "group_id", "left_semi").select("id", F.concat(F.lit("automatic:"), F.col("group_id").cast("string")).alias("owner"), F.lit("automatic").alias("mode"))
-        won = cut_lineage(won)
-        owned = won if owned is None else owned.unionByName(won)
-        free = cut_lineage(free.join(won, "id", "left_anti"))
+    seq = F.coalesce(F.col("seq").cast("bigint"), F.lit(0)) if "seq" in eligible.columns else F.lit(0).cast("bigint")
+    level = F.coalesce(F.col("level").cast("double"), F.lit(float("-inf")))
+    onward = F.when(F.col("pass") == 1, -1).otherwise(1)
+    turns = eligible.select("group_id", F.struct(F.col("pass"), (level * onward).alias("level"), (seq * -onward).alias("seq"), F.col("group_id")).alias("_turn"))
+    members = memberships.select("group_id", "id").distinct().join(free, "id", "left_semi")
+    won = _serve(lookup_join(members, turns, ["group_id"], "inner"), minimum_free)
+    won = won.select("id", F.concat(F.lit("automatic:"), F.col("group_id").cast("string")).alias("owner"), F.lit("automatic").alias("mode"))
+    owned = won if owned is None else owned.unionByName(won)
     everyone = points.select("id").distinct()
-    if owned is None:
-        return everyone.select("id", F.col("id").cast("string").alias("owner"), F.lit("individual").alias("mode"))
     return lookup_join(everyone, owned, ["id"]).select("id", F.coalesce("owner", F.col("id").cast("string")).alias("owner"), F.coalesce("mode", F.lit("individual")).alias("mode"))
 
 
+def _serve(candidates: DataFrame, minimum: int) -> DataFrame:
+    """``group_id`` of each ``id`` when groups take their free members in order of ``_turn`` and need ``minimum`` of them.
+
+    A group wins for certain when enough points have no other open group before it, and loses for certain when too few
+    points are without a winner before it.  The first open group is always one of the two, so every round decides some.
+    """
+    state = cut_lineage(candidates.withColumn("_won", F.lit(False)))
+    turn = Window.partitionBy("id").orderBy("_turn")
+    earlier = turn.rowsBetween(Window.unboundedPreceding, -1)
+    while not state.filter(~F.col("_won")).isEmpty():
+        beaten = F.coalesce(F.max("_won").over(earlier), F.lit(False))
+        state = state.withColumn("_first", F.row_number().over(turn) == 1).withColumn("_beaten", beaten).filter(~F.col("_beaten")).drop("_beaten")
+        state = cut_lineage(state)
+        counts = state.groupBy("group_id").agg(F.count_if("_first").alias("_sure"), F.count(F.lit(1)).alias("_most"))
+        verdict = counts.filter(F.col("_most") >= minimum).select("group_id", (F.col("_sure") >= minimum).alias("_wins"))
+        state = lookup_join(state.drop("_first"), verdict, ["group_id"], "inner")
+        state = cut_lineage(state.withColumn("_won", F.col("_won") | F.col("_wins")).drop("_wins"))
+    return state.groupBy("id").agg(F.min_by("group_id", "_turn").alias("group_id"))
+
+
 def owner_breakdown(owners: DataFrame, points: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """Members of each group by category, and how many of them match a search."""
     joined = lookup_join(owners.filter("mode <> 'individual'"), points.select("id", "category"), ["id"])

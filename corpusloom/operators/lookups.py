@@ -11,7 +11,7 @@ from ..functions.commands import TOOL_TECHNOLOGY
 from ..functions.names import lookup_key, mapped, normalize_identifier, normalize_route
 from ..functions.paths import glob_to_regex
 from ..plans import lookup_join, only_value
-from .filters import glob_join
+from .filters import glob_join, path_keys, pattern_keys
 
 
 def unique_lookup(items: DataFrame, dictionary: DataFrame, on: Sequence[str], owner: str = "owner", by: Sequence[str] = ()) -> DataFrame:
@@ -229,10 +229,9 @@ def match_members(patterns: DataFrame, packages: DataFrame, by: Sequence[str] =
     """Workspace members selected by patterns, and positive patterns that matched no package."""
     members = glob_join(packages, patterns, by)
     positive = patterns.filter(~F.col("pattern").startswith("!"))
-    keyed = positive.select(*by, "pattern", glob_to_regex("pattern").alias("_regex"), F.get(F.split(F.regexp_replace("pattern", r"^\./", ""), "/"), F.lit(0)).alias("_head"))
-    keyed = keyed.withColumn("_key", F.when(F.col("_head").rlike(r"[*?]"), F.lit("*")).otherwise(F.col("_head")))
-    heads = packages.select(*by, "path").distinct().select("*", F.explode(F.array(F.get(F.split("path", "/"), F.lit(0)), F.lit("*"))).alias("_key"))
-    used = heads.join(keyed, [*by, "_key"]).filter(F.rlike(F.col("path"), F.col("_regex"))).select(*by, "pattern").distinct()
+    keyed = pattern_keys(positive.select(*by, "pattern").distinct(), F.col("pattern")).withColumn("_regex", glob_to_regex("pattern"))
+    own = path_keys(packages.select(*by, "path").distinct(), F.col("path"))
+    used = own.join(keyed, [*by, "_key", "_part"]).filter(F.rlike(F.col("path"), F.col("_regex"))).select(*by, "pattern").distinct()
     return members, positive.join(used, [*by, "pattern"], "left_anti")
 
 
@@ -251,22 +250,30 @@ def valid_version(ecosystem: Column, version: Column) -> Column:
     return out.otherwise(version.rlike(VERSION_RULE_OTHER))
 
 
-def resolve_versions(dependencies: DataFrame, locks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Locked version of each dependency from its nearest lock that knows it.
+def resolve_versions(dependencies: DataFrame, locks: DataFrame, members: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Locked version of each dependency from its nearest applicable lock that knows it.
 
     ``dependencies``: ``dependency_id``, ``project_dir``, ``ecosystem``, ``name``, ``version_range``; ``locks``:
     ``lock_dir``, ``ecosystem``, ``name``, ``version`` and optional ``descriptor``, ``source_identity``, ``framework``.
     Several versions or sources in that lock are ambiguous, except one per framework for NuGet.
-    """
-    from ..functions.paths import ancestor_dirs
 
+    A lock applies to the project of its own folder and to the projects its root lists: ``members`` (``lock_dir``,
+    ``ecosystem``, ``project_dir``, see :func:`match_members`).  Optional columns of ``dependencies``: ``lock_path``, the
+    only lock folder to look at, and ``lock_disabled``.
+    """
     wanted = dependencies.withColumn("_key", normalize_identifier("ecosystem", "name"))
     held = locks.withColumn("_key", normalize_identifier("ecosystem", "name")).withColumn("_bad", ~valid_version(F.col("ecosystem"), F.col("version")))
-    asked = wanted.select(*by, "project_dir", "ecosystem", "_key", "version_range").distinct()
-    reach = asked.withColumn("lock_dir", F.explode(F.array_distinct(F.concat(ancestor_dirs("project_dir"), F.array("project_dir")))))
+    chosen = F.col("lock_path") if "lock_path" in wanted.columns else F.lit(None).cast("string")
+    disabled = F.coalesce("lock_disabled", F.lit(False)) if "lock_disabled" in wanted.columns else F.lit(False)
+    wanted = wanted.withColumn("_chosen", F.when(disabled, "").otherwise(F.coalesce(chosen, F.lit("*"))))
+    asked = wanted.select(*by, "project_dir", "ecosystem", "_key", "version_range", "_chosen").distinct()
+    reach = asked.filter("_chosen <> ''").withColumn("lock_dir", F.when(F.col("_chosen") == "*", F.col("project_dir")).otherwise(F.col("_chosen")))
+    if members is not None:
+        listed = members.select(*by, "lock_dir", "ecosystem", "project_dir").filter("lock_dir <> project_dir").distinct()
+        reach = reach.unionByName(asked.filter("_chosen = '*'").join(listed, [*by, "project_dir", "ecosystem"]))
     hits = reach.join(held.select(*by, "lock_dir", "ecosystem", "_key", "version", "descriptor", "source_identity", "framework", "_bad"), [*by, "lock_dir", "ecosystem", "_key"])
     hits = hits.filter(F.col("descriptor").isNull() | (F.col("descriptor") == F.col("version_range")))
-    per_lock = hits.groupBy(*by, "project_dir", "ecosystem", "_key", "version_range", "lock_dir").agg(
+    per_lock = hits.groupBy(*by, "project_dir", "ecosystem", "_key", "version_range", "_chosen", "lock_dir").agg(
         F.min("version").alias("_v0"),
         F.max("version").alias("_v1"),
         F.count_distinct(F.coalesce("source_identity", F.lit(""))).alias("_sources"),
@@ -275,10 +282,10 @@ def resolve_versions(dependencies: DataFrame, locks: DataFrame, by: Sequence[str
         F.count_distinct("framework").alias("_frameworks"),
     )
     depth = F.when(F.col("lock_dir") == ".", 0).otherwise(F.length("lock_dir"))
-    nearest = per_lock.groupBy(*by, "project_dir", "ecosystem", "_key", "version_range").agg(
+    nearest = per_lock.groupBy(*by, "project_dir", "ecosystem", "_key", "version_range", "_chosen").agg(
         F.max_by(F.struct("lock_dir", "_v0", "_v1", "_sources", "_bad", "_rows", "_frameworks"), depth).alias("_l")
     )
-    joined = lookup_join(wanted, nearest, [*by, "project_dir", "ecosystem", "_key", "version_range"])
+    joined = lookup_join(wanted, nearest, [*by, "project_dir", "ecosystem", "_key", "version_range", "_chosen"])
     per_framework = (F.col("ecosystem") == "nuget") & (F.col("_l._frameworks") == F.col("_l._rows"))
     one = F.col("_l._v0") == F.col("_l._v1")
     status = (

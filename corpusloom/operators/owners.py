@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestor_dirs, dir_name, glob_to_regex
 from ..plans import lookup_join, only_value
+from .filters import path_keys, pattern_keys
 
 ROOT_SALT = 8
 
@@ -70,20 +71,19 @@ def pattern_root(dirs: DataFrame, patterns: DataFrame, by: Sequence[str] = ()) -
     rules = patterns.select(
         *by,
         F.col("pattern").startswith("!").alias("_negative"),
-        glob_to_regex(plain).alias("_regex"),
+        plain.alias("_glob"),
         F.size(F.split(F.regexp_replace(plain, r"^\./|/$", ""), "/")).alias("_expected"),
-        F.get(F.split(F.regexp_replace(plain, r"^\./|/$", ""), "/"), F.lit(0)).alias("_head"),
-    )
-    # The first pattern segment, when fixed, must equal the first path segment; open patterns use a shared key.
-    rules = rules.withColumn("_key", F.when(F.col("_head").rlike(r"[*?]"), F.lit("*")).otherwise(F.col("_head"))).drop("_head")
+    ).distinct()
+    rules = pattern_keys(rules, F.col("_glob")).withColumn("_regex", glob_to_regex("_glob")).drop("_glob")
     ancestors = dirs.select(*by, "path").distinct().withColumn(
         "ancestor", F.explode(F.array_distinct(F.concat(F.filter(ancestor_dirs("path"), lambda d: d != "."), F.array("path"))))
     )
-    keyed = ancestors.select("*", F.explode(F.array(F.get(F.split("ancestor", "/"), F.lit(0)), F.lit("*"))).alias("_key"))
-    hits = keyed.join(rules, [*by, "_key"]).filter(F.rlike(F.col("ancestor"), F.col("_regex")))
+    # A rule meets each distinct ancestor once; the directories below it are joined to its verdict.
+    keyed = path_keys(ancestors.select(*by, "ancestor").distinct(), F.col("ancestor"))
+    hits = keyed.join(rules, [*by, "_key", "_part"]).filter(F.rlike(F.col("ancestor"), F.col("_regex")))
     gap = F.abs(F.size(F.split("ancestor", "/")) - F.col("_expected"))
-    per = hits.groupBy(*by, "path", "ancestor").agg(F.max("_negative").alias("_rejected"), F.min(F.when(~F.col("_negative"), gap)).alias("_gap"))
-    fit = per.filter(~F.col("_rejected") & F.col("_gap").isNotNull())
+    per = hits.groupBy(*by, "ancestor").agg(F.max("_negative").alias("_rejected"), F.min(F.when(~F.col("_negative"), gap)).alias("_gap"))
+    fit = lookup_join(ancestors, per.filter(~F.col("_rejected") & F.col("_gap").isNotNull()), [*by, "ancestor"], "inner")
     best = fit.groupBy(*by, "path").agg(F.min_by("ancestor", F.struct("_gap", -F.length("ancestor"))).alias("root"))
     return lookup_join(dirs, best, [*by, "path"])
 
@@ -113,8 +113,3 @@ def common_ancestor(members: DataFrame, group: Sequence[str] = ("group",), path:
     shared = F.size(F.filter(same, lambda item: item))
     prefix = F.array_join(F.when(shared > 0, F.slice("_low", F.lit(1), shared)).otherwise(F.array().cast("array<string>")), "/")
     return ends.select(*group, F.when(prefix == "", F.lit(".")).otherwise(prefix).alias("ancestor"))
-
-
-def command_owner(by_path: DataFrame) -> DataFrame:
-    """Unique owner per path, null when two different owners claim it."""
-    return by_path.groupBy("path").agg(only_value("owner").alias("owner"))

@@ -183,8 +183,3 @@ def attach_instants(events: DataFrame, keys: Sequence[str], order: Sequence[str]
     seen = last_before(begins.unionByName(instants), [*keys, "_level"], [*order, "_item"], F.col("_begin"), F.col("_item"), "span_item")
     found = seen.filter(~F.col("_begin")).select(*keys, F.col("_item").alias(item), F.when(F.col("_level") > 0, F.col("span_item")).alias("span_item"))
     return lookup_join(events.filter(F.lower(phase) == "i"), found, [*keys, item])
-
-
-def unique_binding(candidates: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Exactly-one rule as a helper for callers with their own candidate tables."""
-    return candidates.groupBy(*keys).agg(only_value(value).alias(value))

@@ -127,7 +127,7 @@ def test_reaching_definitions(spark):
     assert values(CA.reaching_definitions(uses, definitions, scopes, parameters), "use_id", "def_id") == [("u1", "d1"), ("u1", "d2"), ("u2", "d3"), ("u3", "c"), ("u3", "o"), ("u4", "par")]
 
 
-def test_instances_copy_small_and_summarise_large_or_nested(spark):
+def test_instances_copy_any_size_and_summarise_nested(spark):
     chain = [("big", f"b{i}", f"b{i + 1}") for i in range(14)]
     template = spark.createDataFrame([("small", "sp", "sr"), ("small", "sop", "sres"), ("small", "sres", "sr"), *chain], "fn_id string, src string, dst string")
     returns = spark.createDataFrame([("small", "sr"), ("big", "b14")], "fn_id string, id string")
@@ -137,14 +137,43 @@ def test_instances_copy_small_and_summarise_large_or_nested(spark):
     # The nested operation takes part in the slice because its result is returned.
     nodes, edges = CA.instantiate_calls(template, returns, parameters, invocations, arguments)
     shapes = values(nodes.groupBy("call_id", "shape").count(), "call_id", "shape", "count")
-    assert ("c1", "copy", 4) in shapes and ("c2", "summary", 1) in shapes and ("c2", "parameter", 1) in shapes
+    assert ("c1", "copy", 4) in shapes and ("c2", "copy", 15) in shapes
     assert ("sop:context:c1", "summary", 1) in shapes
     found = values(edges, "src", "dst", "kind")
     assert ("v1", "sp:context:c1", "passes-to") in found and ("sr:context:c1", "r1", "returns") in found
-    assert ("context-return:c2", "r2", "returns") in found and ("b0:context:c2", "context-operation:c2", "transform") in found
+    assert ("b14:context:c2", "r2", "returns") in found and ("b0:context:c2", "b1:context:c2", "flow") in found
     assert ("context-return:sop:context:c1", "sres:context:c1", "returns") in found
 
 
+def test_instances_keep_outer_values_rest_and_unset_defaults(spark):
+    template = spark.createDataFrame(
+        [("f", "p", "r", "flow"), ("f", "captured", "r", "flow"), ("f", "more", "r", "flow"), ("f", "d", "p", "parameter-default"), ("f", "unused", "aside", "flow")],
+        "fn_id string, src string, dst string, kind string",
+    )
+    local = spark.createDataFrame([("f", i) for i in ("p", "r", "more", "d", "unused", "aside")], "fn_id string, id string")
+    returns = spark.createDataFrame([("f", "r")], "fn_id string, id string")
+    parameters = spark.createDataFrame([("f", "p", 0, False), ("f", "more", 1, True)], "fn_id string, id string, position int, rest boolean")
+    invocations = spark.createDataFrame([("c1", "f", None, "r1"), ("c2", "f", None, "r2")], "call_id string, fn_id string, caller string, result_id string")
+    arguments = spark.createDataFrame([("c1", 0, "a"), ("c1", 1, "b"), ("c1", 2, "e")], "call_id string, position int, value_id string")
+    nodes, edges = CA.instantiate_calls(template, returns, parameters, invocations, arguments, local)
+    assert values(nodes.filter("call_id = 'c1'"), "original") == [("d",), ("more",), ("p",), ("r",)]
+    found = values(edges, "src", "dst", "kind")
+    assert ("captured", "r:context:c1", "flow") in found and ("captured", "r:context:c2", "flow") in found
+    assert [v for v in found if v[2] == "passes-to"] == [("a", "p:context:c1", "passes-to"), ("b", "more:context:c1", "passes-to"), ("e", "more:context:c1", "passes-to")]
+    assert [v for v in found if v[2] == "parameter-default"] == [("d:context:c2", "p:context:c2", "parameter-default")]
+
+
+def test_deep_inheritance_is_expanded(spark):
+    models = spark.range(40).select(F.col("id").cast("string").alias("model_id"))
+    fields = spark.createDataFrame([("0", "root", "int", 0)], "model_id string, name string, type string, pos int")
+    extends = spark.range(1, 40).select(F.col("id").cast("string").alias("model_id"), (F.col("id") - 1).cast("string").alias("base_id"))
+    nearest, state = CA.expand_fields(models, fields, extends)
+    assert nearest.filter("name = 'root' AND origin = '0'").agg(F.count(F.lit(1)), F.max("distance")).first() == (40, 39)
+    assert state.filter("expansion <> 'expanded'").count() == 0
+    looped = extends.union(spark.createDataFrame([("0", "20")], "model_id string, base_id string"))
+    assert CA.expand_fields(models, fields, looped)[1].filter("expansion = 'partial'").count() == 40
+
+
 def test_field_expansion_and_cycles(spark):
     models = spark.createDataFrame([("A",), ("B",), ("C",), ("X",), ("Y",), ("U",)], "model_id string")
     fields = spark.createDataFrame([("A", "id", "int", 0), ("A", "name", "text", 1), ("B", "name", "str", 0), ("C", "z", "int", 0), ("X", "x", "int", 0), ("U", "u", "int", 0)], "model_id string, name string, type string, pos int")
@@ -166,5 +195,12 @@ def test_locked_versions(spark):
         ],
         "lock_dir string, ecosystem string, name string, version string, descriptor string, source_identity string, framework string",
     )
-    got = {r["dependency_id"]: (r["status"], r["resolved_version"]) for r in L.resolve_versions(dependencies, locks).collect()}
+    listed = spark.createDataFrame([(".", e, "apps/a") for e in ("npm", "nuget")], "lock_dir string, ecosystem string, project_dir string")
+    got = {r["dependency_id"]: (r["status"], r["resolved_version"]) for r in L.resolve_versions(dependencies, locks, listed).collect()}
     assert got == {"1": ("resolved", "1.2.0"), "2": ("ambiguous", None), "3": ("unsupported", None), "4": ("per-framework", None), "5": ("unlocked", None), "6": ("resolved", "2.0.0")}
+    # A root that does not list the project has no say, a configured lock is the only one, and locks can be off.
+    got = {r["dependency_id"]: r["status"] for r in L.resolve_versions(dependencies, locks).collect()}
+    assert got == {"1": "resolved", "2": "unlocked", "3": "unlocked", "4": "unlocked", "5": "unlocked", "6": "unlocked"}
+    chosen = dependencies.withColumn("lock_path", F.lit(".")).withColumn("lock_disabled", F.col("dependency_id") == "6")
+    got = {r["dependency_id"]: (r["status"], r["resolved_version"]) for r in L.resolve_versions(chosen, locks, listed).collect()}
+    assert got["1"] == ("resolved", "1.0.0") and got["6"] == ("unlocked", None)

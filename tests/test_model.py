@@ -47,6 +47,31 @@ def test_ownership_rules(spark):
     assert (counts["scope"], counts["individual"], counts["manual_members"], counts["automatic_members"]) == (80, 0, 2, 78)
 
 
+def test_overlapping_groups_of_a_level_match_turns_one_by_one(spark):
+    points = spark.createDataFrame([(i,) for i in range(4)], "id int")
+    members = spark.createDataFrame([("A", 0), *[("B", i) for i in range(4)]], "group_id string, id int")
+    eligible = spark.createDataFrame([("A", 1, 1, 0), ("B", 1, 1, 1)], "group_id string, level int, pass int, seq int")
+    assert {r["owner"] for r in G.assign_owners(points, members, eligible).collect()} == {"automatic:B"}
+    rng = random.Random(11)
+    for _ in range(4):
+        groups = [(f"g{g}", rng.choice([1, 2, None]), rng.choice([1, 2]), rng.randrange(6)) for g in range(18)]
+        member = sorted({(g[0], rng.randrange(40)) for g in groups for _ in range(rng.randrange(1, 7))})
+        free, want = set(range(40)), {i: str(i) for i in range(40)}
+        low = float("-inf")
+        order = lambda g: (g[2], *((-(low if g[1] is None else g[1]), g[3]) if g[2] == 1 else (low if g[1] is None else g[1], -g[3])), g[0])
+        for group, *_ in sorted(groups, key=order):
+            mine = [i for g, i in member if g == group and i in free]
+            if len(mine) >= 2:
+                free -= set(mine)
+                want.update({i: f"automatic:{group}" for i in mine})
+        got = G.assign_owners(
+            spark.createDataFrame([(i,) for i in range(40)], "id int"),
+            spark.createDataFrame(member, "group_id string, id int"),
+            spark.createDataFrame(groups, "group_id string, level int, pass int, seq int"),
+        )
+        assert dict(values(got, "id", "owner")) == want
+
+
 def test_density_history_loosens_limits(spark):
     points = spark.createDataFrame([(i, (i % 4) * 18.0, (i // 4) * 18.0) for i in range(16)], "id int, x double, y double")
     memberships = points.select(F.lit("g").alias("group_id"), "id")

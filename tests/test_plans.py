@@ -1,6 +1,11 @@
+import re
+
 from pyspark.sql import functions as F
 
 from conftest import values
+from corpusloom.functions.paths import glob_regex
+from corpusloom.operators.filters import glob_join
+from corpusloom.operators.lookups import match_members
 from corpusloom.plans import Blocks, checkpoint_folder, lookup_join, only_value, positions, store_partitioned
 
 
@@ -48,3 +53,17 @@ def test_stored_side_is_not_moved_again(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
     assert joined.count() == 1000 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_glob_keys_lose_no_match(spark):
+    paths = sorted({f"{a}{b}{leaf}" for a in ("", "src/", "lib/x/") for b in ("", "en/", "a+b/c/") for leaf in ("m.ts", "m.d.ts", "README", ".env", "x")})
+    globs = ["**", "*", "*/*", "**/x", "*.ts", "**/*.ts", "**.d.ts", "src/**", "src/*", "*/en/*", "R*", "?rc/m.ts", "src/en/x", "./lib/x/*/", "README", "**/.e*", "lib/x/a+b/**", "*b/c/m*"]
+    table = spark.createDataFrame([(p,) for p in paths], "path string")
+    patterns = spark.createDataFrame([(g, g) for g in globs], "project string, pattern string")
+    every = table.crossJoin(patterns.select("project"))  # a fixture of 45 paths
+    want = sorted((g, p) for g in globs for p in paths if re.match(glob_regex(g), p, re.S))
+    assert values(glob_join(every, patterns, by=["project"]), "project", "path") == want
+    rejected = patterns.select("project", F.explode(F.array(F.lit("**"), F.concat(F.lit("!"), "pattern"))).alias("pattern"))
+    assert values(glob_join(every, rejected, by=["project"]), "project", "path") == sorted({(g, p) for g in globs for p in paths} - set(want))
+    _, unmatched = match_members(spark.createDataFrame([(g,) for g in [*globs, "none/*", "*.nope"]], "pattern string"), table)
+    assert values(unmatched) == [("*.nope",), ("none/*",)]
