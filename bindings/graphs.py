@@ -15,16 +15,27 @@ from .registry import PAGES, edges, page_paths, query, s
 c = F.col
 
 
-def graph(t):
-    """Parts that follow each other on an order: consecutive lines, both of at least 35 pieces."""
-    lines = t.lineitem.filter("l_quantity >= 35").select("l_orderkey", "l_linenumber", "l_partkey")
+def followers(t, *ends):
+    """What follows each part on an order: of all places where it stands, the first (``F.min``) or last (``F.max``) one."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     after = lines.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("l_partkey").alias("dst"))
-    pairs = lines.withColumnRenamed("l_partkey", "src").join(after, ["l_orderkey", "l_linenumber"])
-    return pairs.filter("src <> dst").select("src", "dst").distinct().withColumn("id", s(c("src"), "-", c("dst")))
+    pairs = lines.withColumnRenamed("l_partkey", "src").join(after, ["l_orderkey", "l_linenumber"]).filter("src <> dst")
+    place = F.struct("l_orderkey", "l_linenumber", "dst")
+    found = pairs.groupBy("src").agg(F.array(*[end(place) for end in ends]).alias("_ends"))
+    return found.select("src", F.explode(F.array_distinct(F.transform("_ends", lambda end: end["dst"]))).alias("dst"))
+
+
+FOLLOW = """pairs AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, (a.l_orderkey, a.l_linenumber, b.l_partkey) AS place FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
+    AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
+
+
+def graph(t):
+    """Each part leads to the parts that follow it on its first and on its last order."""
+    return followers(t, F.min, F.max).withColumn("id", s(c("src"), "-", c("dst")))
 
 
-G = """lines AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity >= 35),
-  g AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
+G = f"{FOLLOW}, g AS (SELECT src, arg_min(dst, place) AS dst FROM pairs GROUP BY src UNION SELECT src, arg_max(dst, place) FROM pairs GROUP BY src)"
+G_FIRST = f"{FOLLOW}, g AS (SELECT src, arg_min(dst, place) AS dst FROM pairs GROUP BY src)"
 SEED = "(SELECT min(src) FROM g)"
 
 
@@ -96,20 +107,12 @@ REACH = """r AS (SELECT DISTINCT src AS a, dst AS b FROM g UNION SELECT r.a, g.d
 
 @query(
     "scc_components",
-    f"""WITH RECURSIVE {G.replace('>= 35', '>= 40')}, n AS (SELECT src AS id FROM g UNION SELECT dst FROM g), {REACH},
+    f"""WITH RECURSIVE {G}, n AS (SELECT src AS id FROM g UNION SELECT dst FROM g), {REACH},
   m AS (SELECT x.a AS id, max(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a)
   SELECT n.id, coalesce(component, n.id) AS component FROM n LEFT JOIN m ON m.id = n.id""",
 )
 def scc_components(t):
-    dense = _dense_graph(t)
-    return K.strong_components(dense.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), dense)
-
-
-def _dense_graph(t):
-    lines = t.lineitem.filter("l_quantity >= 40").select("l_orderkey", "l_linenumber", "l_partkey")
-    after = lines.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("l_partkey").alias("dst"))
-    pairs = lines.withColumnRenamed("l_partkey", "src").join(after, ["l_orderkey", "l_linenumber"])
-    return pairs.filter("src <> dst").select("src", "dst").distinct()
+    return K.strong_components(all_nodes(t), graph(t))
 
 
 @query(
@@ -126,14 +129,15 @@ def scc_depths(t):
 
 @query(
     "longest_depths",
-    """WITH RECURSIVE g AS (SELECT DISTINCT least(l_partkey, l_suppkey * 20) AS src, greatest(l_partkey, l_suppkey * 20) AS dst FROM lineitem WHERE l_quantity >= 49 AND l_partkey <> l_suppkey * 20),
+    """WITH RECURSIVE u AS (SELECT least(l_partkey, l_suppkey * 20) AS src, greatest(l_partkey, l_suppkey * 20) AS dst, l_orderkey AS o FROM lineitem WHERE l_partkey <> l_suppkey * 20),
+  g AS (SELECT src, arg_max(dst, (o, dst)) AS dst FROM u GROUP BY src),
   r(id, depth) AS (SELECT src, 0 FROM g UNION SELECT dst, depth + 1 FROM r JOIN g ON g.src = r.id)
   SELECT id, max(depth) AS depth FROM r GROUP BY id""",
 )
 def longest_depths(t):
     scaled = c("l_suppkey") * 20
-    upward = t.lineitem.filter((c("l_quantity") >= 49) & (c("l_partkey") != scaled))
-    return K.longest_depths(upward.select(F.least("l_partkey", scaled).alias("src"), F.greatest("l_partkey", scaled).alias("dst")))
+    upward = t.lineitem.filter(c("l_partkey") != scaled).select(F.least("l_partkey", scaled).alias("src"), F.greatest("l_partkey", scaled).alias("dst"), "l_orderkey")
+    return K.longest_depths(upward.groupBy("src").agg(F.max_by("dst", F.struct("l_orderkey", "dst")).alias("dst")))
 
 
 def _typed_graph(t):

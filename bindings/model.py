@@ -43,9 +43,10 @@ MODEL = """md AS (SELECT 'r' || r_regionkey AS id, 'code-package' AS kind, NULL:
   UNION ALL SELECT 'p' || p_partkey, (['artifact', 'execution-config', 'resource', 'unresolved'])[p_partkey % 4 + 1], NULL, CASE p_partkey % 3 WHEN 0 THEN ['prod'] WHEN 1 THEN ['except:prod'] ELSE [] END, FALSE, NULL, CASE WHEN p_partkey % 4 = 1 THEN 'n' || (p_partkey % 25) END, NULL, FALSE FROM part)"""
 
 
-def model_edges(t, least: int = 46):
+def model_edges(t):
     """Typed flows between operations and their targets, command order between operations, and recorded definitions."""
-    lines = t.lineitem.filter(c("l_quantity") >= least).select("l_suppkey", "l_partkey", "l_returnflag", "l_linestatus").distinct()
+    # Of each operation and sort of flow, the first part it reaches over all line items.
+    lines = t.lineitem.groupBy("l_suppkey", c("l_partkey") % 4, "l_returnflag", "l_linestatus").agg(F.min("l_partkey").alias("l_partkey"))
     reading = (c("l_partkey") % 4 == 0) & (c("l_returnflag") == "R")
     kind = (
         F.when(reading, "flow-input").when(c("l_partkey") % 4 == 0, "flow-generates").when((c("l_partkey") % 4 == 1) & (c("l_returnflag") == "A"), "flow-deploys").when(c("l_partkey") % 4 == 1, "flow-starts")
@@ -61,8 +62,8 @@ def model_edges(t, least: int = 46):
     return rows.withColumn("id", F.concat_ws("|", "src", "dst", "kind", "environment")).withColumn("confidence", F.when(c("environment") == "prod", "source").otherwise("inferred"))
 
 
-def model_edges_sql(least: int = 46) -> str:
-    return f"""li AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS p, l_returnflag AS f, l_linestatus AS st FROM lineitem WHERE l_quantity >= {least}),
+def model_edges_sql() -> str:
+    return """li AS (SELECT l_suppkey AS k, min(l_partkey) AS p, l_returnflag AS f, l_linestatus AS st FROM lineitem GROUP BY l_suppkey, l_partkey % 4, l_returnflag, l_linestatus),
   me0 AS (SELECT CASE WHEN p % 4 = 0 AND f = 'R' THEN 'p' || p ELSE 's' || k END AS src, CASE WHEN p % 4 = 0 AND f = 'R' THEN 's' || k ELSE 'p' || p END AS dst,
   CASE WHEN p % 4 = 0 AND f = 'R' THEN 'flow-input' WHEN p % 4 = 0 THEN 'flow-generates' WHEN p % 4 = 1 AND f = 'A' THEN 'flow-deploys' WHEN p % 4 = 1 THEN 'flow-starts' WHEN p % 4 = 2 AND f = 'A' THEN 'flow-applies' WHEN p % 4 = 2 THEN 'data-operation' ELSE 'http-request' END AS kind,
   CASE WHEN st = 'O' THEN 'prod' ELSE '' END AS environment FROM li UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey // 3), CASE WHEN s_suppkey % 2 = 0 THEN 'flow-precedes' ELSE 'flow-invokes' END, '' FROM supplier WHERE s_suppkey <> s_suppkey // 3
@@ -107,7 +108,7 @@ def content_choices(t):
 
 @query(
     "content_range",
-    f"""WITH RECURSIVE {MODEL}, {model_edges_sql(50)}, op AS (SELECT id FROM md WHERE kind = 'tool-operation'), al AS (SELECT id FROM md WHERE purpose IN ('build', 'package', 'deploy')), sc AS (SELECT id FROM md WHERE purpose = 'script' UNION SELECT id FROM al),
+    f"""WITH RECURSIVE {MODEL}, {model_edges_sql()}, op AS (SELECT id FROM md WHERE kind = 'tool-operation'), al AS (SELECT id FROM md WHERE purpose IN ('build', 'package', 'deploy')), sc AS (SELECT id FROM md WHERE purpose = 'script' UNION SELECT id FROM al),
   io AS (SELECT * FROM me WHERE kind IN ('flow-input', 'flow-starts', 'flow-deploys', 'flow-generates', 'flow-applies')), ord AS (SELECT * FROM me WHERE kind IN ('flow-invokes', 'flow-precedes')), art AS (SELECT id FROM md WHERE kind = 'artifact'),
   step AS (SELECT 'o' AS a, dst AS x, 'o' AS b, src AS y FROM ord WHERE src IN (SELECT id FROM sc) UNION ALL SELECT 'o', src, 'a', dst FROM io WHERE dst IN (SELECT id FROM art) UNION ALL SELECT 'o', dst, 'a', src FROM io WHERE src IN (SELECT id FROM art)
     UNION ALL SELECT 'a', src, 'o', dst FROM io WHERE kind = 'flow-input' AND dst IN (SELECT id FROM al) UNION ALL SELECT 'a', dst, 'o', src FROM io WHERE kind = 'flow-generates' AND src IN (SELECT id FROM al)),
@@ -118,30 +119,30 @@ def content_choices(t):
   SELECT id, CASE WHEN id IN (SELECT id FROM al) THEN 'core' WHEN id IN (SELECT id FROM sub) THEN 'peer' ELSE 'support' END AS role FROM up""",
 )
 def content_range(t):
-    nodes, _ = A.content_range(model_nodes(t), model_edges(t, 50), path="publish")
+    nodes, _ = A.content_range(model_nodes(t), model_edges(t), path="publish")
     return nodes
 
 
 @query(
     "content_range_runtime",
-    f"""WITH RECURSIVE {MODEL}, {model_edges_sql(50)}, rt AS (SELECT * FROM me WHERE kind IN ('data-operation', 'http-request', 'service-use') AND src NOT IN (SELECT id FROM md WHERE kind = 'tool-operation')),
+    f"""WITH RECURSIVE {MODEL}, {model_edges_sql()}, rt AS (SELECT * FROM me WHERE kind IN ('data-operation', 'http-request', 'service-use') AND src NOT IN (SELECT id FROM md WHERE kind = 'tool-operation')),
   core AS (SELECT src AS id FROM rt UNION SELECT dst FROM rt), exp AS (SELECT src AS id FROM me WHERE kind = 'flow-definition' AND dst IN (SELECT id FROM core)), al2 AS (SELECT id FROM core UNION SELECT id FROM exp),
   up(id) AS (SELECT id FROM al2 UNION SELECT parent_id FROM up JOIN md ON md.id = up.id WHERE parent_id IS NOT NULL) SELECT id, CASE WHEN id IN (SELECT id FROM core) THEN 'core' ELSE 'support' END AS role FROM up""",
 )
 def content_range_runtime(t):
-    nodes, _ = A.content_range(model_nodes(t), model_edges(t, 50), path="runtime")
+    nodes, _ = A.content_range(model_nodes(t), model_edges(t), path="runtime")
     return nodes
 
 
 @query("content_range_environment")
 def content_range_environment(t):
-    nodes, _ = A.content_range(model_nodes(t), model_edges(t, 50), environment="prod")
+    nodes, _ = A.content_range(model_nodes(t), model_edges(t), environment="prod")
     return nodes.groupBy("role").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query("content_range_definition")
 def content_range_definition(t):
-    nodes, _ = A.content_range(model_nodes(t), model_edges(t, 50), meaning="definition")
+    nodes, _ = A.content_range(model_nodes(t), model_edges(t), meaning="definition")
     return nodes.groupBy("role").agg(F.count(F.lit(1)).alias("nodes"))
 
 
@@ -202,26 +203,26 @@ def usage_targets(t):
 
 @query(
     "usage_index",
-    f"""WITH {MODEL}, {model_edges_sql(50)}, {TARGETS}, i AS (SELECT dst AS id, count(DISTINCT coalesce(logical, src)) AS n FROM me JOIN ops ON ops.id = dst JOIN lo ON lo.id = src WHERE me.kind = 'flow-input' GROUP BY 1),
+    f"""WITH {MODEL}, {model_edges_sql()}, {TARGETS}, i AS (SELECT dst AS id, count(DISTINCT coalesce(logical, src)) AS n FROM me JOIN ops ON ops.id = dst JOIN lo ON lo.id = src WHERE me.kind = 'flow-input' GROUP BY 1),
   o AS (SELECT src AS id, count(DISTINCT (kind, dst, environment)) AS n FROM me JOIN ops ON ops.id = src WHERE kind IN ('flow-generates', 'flow-starts', 'flow-deploys', 'flow-applies') GROUP BY 1), k AS (SELECT id, count(*) AS n FROM tg GROUP BY 1)
   SELECT md.id, tool, md.purpose, coalesce(k.n, 0) AS targets, coalesce(i.n, 0) AS inputs, coalesce(o.n, 0) AS outputs, coalesce(k.n, 0) > 0 OR coalesce(i.n, 0) > 0 AS resolved FROM md JOIN ops ON ops.id = md.id LEFT JOIN i ON i.id = md.id LEFT JOIN o ON o.id = md.id LEFT JOIN k ON k.id = md.id""",
 )
 def usage_index(t):
-    return A.usage_index(model_nodes(t), model_edges(t, 50)).drop("context")
+    return A.usage_index(model_nodes(t), model_edges(t)).drop("context")
 
 
 @query("simple_overview")
 def simple_overview(t):
-    units, _ = A.simple_overview(model_nodes(t), model_edges(t, 50))
+    units, _ = A.simple_overview(model_nodes(t), model_edges(t))
     return units.groupBy("rule").agg(F.count(F.lit(1)).alias("entities"), F.count_distinct("unit").alias("units"))
 
 
 @query(
     "overview_conservation",
-    f"""WITH {MODEL}, {model_edges_sql(50)} SELECT (SELECT count(*) FROM md) AS entities, (SELECT count(*) FROM me WHERE src IN (SELECT id FROM md) AND dst IN (SELECT id FROM md)) AS relations""",
+    f"""WITH {MODEL}, {model_edges_sql()} SELECT (SELECT count(*) FROM md) AS entities, (SELECT count(*) FROM me WHERE src IN (SELECT id FROM md) AND dst IN (SELECT id FROM md)) AS relations""",
 )
 def overview_conservation(t):
-    units, relations = A.simple_overview(model_nodes(t), model_edges(t, 50))
+    units, relations = A.simple_overview(model_nodes(t), model_edges(t))
     return units.agg(F.count_distinct("id").alias("entities"), F.lit(1).alias("_k")).join(relations.agg(F.sum("n").alias("relations"), F.lit(1).alias("_k")), "_k").drop("_k")
 
 
@@ -264,12 +265,12 @@ def package_usage(t):
 
 @query(
     "technology_usage",
-    """WITH r AS (SELECT l_suppkey AS e, p_name AS n, CASE WHEN l_returnflag = 'R' OR l_linenumber = 1 THEN 2 ELSE 1 END AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45 UNION ALL SELECT l_suppkey, p_name, 3 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity < 3)
+    """WITH r AS (SELECT l_suppkey AS e, p_name AS n, CASE WHEN l_returnflag = 'R' OR l_linenumber = 1 THEN 2 ELSE 1 END AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 3 UNION ALL SELECT l_suppkey, p_name, 3 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity < 3)
   SELECT e AS entity, n AS name, CASE min(k) WHEN 1 THEN 'source' WHEN 2 THEN 'support' ELSE 'declared' END AS usage FROM r GROUP BY ALL""",
 )
 def technology_usage(t):
     named = t.lineitem.join(t.part.select(c("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    references = named.filter("l_quantity >= 45").select(
+    references = named.filter("l_quantity >= 3").select(
         c("l_suppkey").alias("entity"), c("p_name").alias("name"), F.when(c("l_linenumber") == 1, "a/tests/x.ts").otherwise("a/src/x.ts").alias("path"), (c("l_returnflag") == "R").alias("type_only")
     )
     declared = named.filter("l_quantity < 3").select(c("l_suppkey").alias("entity"), c("p_name").alias("name"))
@@ -315,7 +316,7 @@ def workspace_view(t):
 def _usage_inputs(t):
     """Line items as evidence of part brands (facts) in page folders (scopes)."""
     detector = F.when(c("l_linenumber") == 1, "package-dependency").when(c("l_linenumber") == 2, "source-import").when(c("l_linenumber") == 3, "vite-config").otherwise("other")
-    rows = t.lineitem.filter("l_quantity >= 40").join(t.part, c("p_partkey") == c("l_partkey"))
+    rows = t.lineitem.join(t.part, c("p_partkey") == c("l_partkey"))
     eid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     fact = rows.select(s("f", c("p_brand"), ":", c("p_size") % 5).alias("fact_id"), F.lit("technology").alias("fact_kind"), c("p_brand").alias("stack_id"), (c("p_size") % 5 == 0).alias("explicit"), eid.alias("evidence_id"))
     path = F.concat(s("ws/n", c("l_suppkey") % 30), F.when(c("l_orderkey") % 2 == 0, "/sub").otherwise(""), F.lit("/a.ts"))
@@ -327,7 +328,7 @@ def _usage_inputs(t):
 
 ATTRIBUTED = """ev AS (SELECT 'f' || p_brand || ':' || (p_size % 5) AS fact_id, p_brand AS stack_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS evidence_id,
     CASE WHEN l_linenumber = 4 THEN 'usage' WHEN l_linenumber = 1 THEN 'declaration' WHEN l_linenumber IN (2, 3) THEN 'usage' WHEN p_size % 5 = 0 THEN 'usage' ELSE 'declaration' END AS role,
-    CASE WHEN l_suppkey % 30 < 25 THEN 'ws/n' || (l_suppkey % 30) || CASE WHEN l_orderkey % 2 = 0 AND (l_suppkey % 30) % 5 = 0 THEN '/sub' ELSE '' END END AS scope FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 40),
+    CASE WHEN l_suppkey % 30 < 25 THEN 'ws/n' || (l_suppkey % 30) || CASE WHEN l_orderkey % 2 = 0 AND (l_suppkey % 30) % 5 = 0 THEN '/sub' ELSE '' END END AS scope FROM lineitem JOIN part ON p_partkey = l_partkey),
   us AS (SELECT DISTINCT fact_id, scope FROM ev WHERE role = 'usage' AND scope IS NOT NULL),
   att AS (SELECT fact_id, stack_id, scope, evidence_id, role FROM ev WHERE role = 'usage' AND scope IS NOT NULL
     UNION SELECT fact_id, stack_id, scope, evidence_id, role FROM ev WHERE role = 'declaration' AND scope IS NOT NULL AND fact_id NOT IN (SELECT fact_id FROM us)

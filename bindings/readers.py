@@ -96,12 +96,12 @@ def _chrome(t):
     base = [event("B", "outer", 0), event("i", "mark", 5), event("B", "inner", 10), event("E", "inner", 30), event("X", "whole", 40), event("M", "meta", 41), event("Z", "odd", 42)]
     tail = F.when(c("event_id") % 2 == 0, F.array(event("E", "outer", 90), event("E", "extra", 95))).otherwise(F.array(event("i", "late", 91)))
     doc = F.struct(F.concat(F.array(*base), tail).alias("traceEvents"))
-    return t.events.filter("event_type = 'signup'").select(s("t", c("event_id")).alias("source_file"), F.to_json(doc).alias("text"))
+    return t.events.select(s("t", c("event_id")).alias("source_file"), F.to_json(doc).alias("text"))
 
 
 @query(
     "chrome_spans",
-    """WITH e AS (SELECT 't' || event_id AS source_file, event_id % 2 = 0 AS done FROM events WHERE event_type = 'signup')
+    """WITH e AS (SELECT 't' || event_id AS source_file, event_id % 2 = 0 AS done FROM events)
   SELECT source_file, 'outer' AS name, NULL::VARCHAR AS parent_span_id, CASE WHEN done THEN 0.09::DOUBLE END AS duration_ms FROM e
   UNION ALL SELECT source_file, 'inner', 'chrome-0', 0.02 FROM e UNION ALL SELECT source_file, 'whole', NULL, 0.03 FROM e""",
 )
@@ -112,8 +112,8 @@ def chrome_spans(t):
 
 @query(
     "chrome_logs",
-    """SELECT 't' || event_id AS source_file, 'mark' AS body, 'chrome-0' AS span_id FROM events WHERE event_type = 'signup'
-  UNION ALL SELECT 't' || event_id, 'late', 'chrome-0' FROM events WHERE event_type = 'signup' AND event_id % 2 = 1""",
+    """SELECT 't' || event_id AS source_file, 'mark' AS body, 'chrome-0' AS span_id FROM events
+  UNION ALL SELECT 't' || event_id, 'late', 'chrome-0' FROM events WHERE event_id % 2 = 1""",
 )
 def chrome_logs(t):
     _, logs, _ = TR.chrome_records(_chrome(t))
@@ -122,7 +122,7 @@ def chrome_logs(t):
 
 @query(
     "chrome_warnings",
-    """WITH e AS (SELECT event_id % 2 = 0 AS done FROM events WHERE event_type = 'signup') SELECT 'unsupported-phase' AS warning, count(*) AS n FROM e
+    """WITH e AS (SELECT event_id % 2 = 0 AS done FROM events) SELECT 'unsupported-phase' AS warning, count(*) AS n FROM e
   UNION ALL SELECT 'end-without-begin', count(*) FROM e WHERE done UNION ALL SELECT 'begin-without-end', count(*) FROM e WHERE NOT done""",
 )
 def chrome_warnings(t):

@@ -106,12 +106,12 @@ def span_parents(t):
 
 @query(
     "observed_edges",
-    f"""WITH e AS (SELECT event_id, event_id - {K} AS parent FROM events), l AS (SELECT event_id, user_id * 100 AS span FROM events WHERE event_type = 'click')
+    f"""WITH e AS (SELECT event_id, event_id - {K} AS parent FROM events), l AS (SELECT event_id, user_id * 100 AS span FROM events)
   SELECT kind, count(*) AS n, count(DISTINCT src) AS sources FROM (SELECT 'observed-child' AS kind, p.event_id AS src FROM e JOIN events p ON p.event_id = e.parent WHERE e.parent <> e.event_id
   UNION ALL SELECT 'log-event', span FROM l JOIN events s ON s.event_id = l.span) GROUP BY kind""",
 )
 def observed_edges(t):
-    logs = t.events.filter("event_type = 'click'").select(F.lit("t").alias("trace_id"), (c("user_id") * 100).cast("string").alias("span_id"), c("event_id").alias("seq"))
+    logs = t.events.select(F.lit("t").alias("trace_id"), (c("user_id") * 100).cast("string").alias("span_id"), c("event_id").alias("seq"))
     return S.observed_edges(_spans(t), logs).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("sources"))
 
 
@@ -180,14 +180,14 @@ def boundary_values(t):
 
 @query(
     "adapt_data_trace",
-    """SELECT kind, count(*) AS n, sum(attrs)::BIGINT AS attributes FROM (SELECT 'span' AS kind, 2 AS attrs FROM events WHERE user_id % 2 = 0 UNION ALL SELECT 'value', 1 FROM events WHERE user_id % 2 = 0) GROUP BY kind""",
+    """SELECT kind, count(*) AS n, sum(attrs)::BIGINT AS attributes FROM (SELECT 'span' AS kind, 2 AS attrs FROM events UNION ALL SELECT 'value', 1 FROM events) GROUP BY kind""",
 )
 def adapt_data_trace(t):
     from corpusloom.operators.filters import adapt_data_trace as adapt
 
     marked = F.create_map(F.lit("traceId"), F.lit("t"), F.lit("http.url"), F.lit("x"))
     spans = t.events.select(s("span:", c("event_id")).alias("id"), F.lit("span").alias("kind"), marked.alias("attributes"), F.lit("a/b.py").alias("path"), F.lit(None).cast("int").alias("line"))
-    values = t.events.filter("user_id % 2 = 0").select(
+    values = t.events.select(
         s("value:", c("event_id")).alias("id"), F.lit("value").alias("kind"), F.create_map(F.lit("owner"), F.lit("x")).alias("attributes"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line")
     )
     links = t.events.select(

@@ -221,23 +221,24 @@ def dependency_detail(t):
 
 
 _DEPENDS = """d AS (SELECT 'n' || c_nationkey AS src, p_name AS dst, l_orderkey AS evidence FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-  JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49)"""
+  JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey)"""
 
 
 _GROUPS = """g AS (SELECT id AS dst, CASE WHEN lo IS NULL THEN 'unlinked' WHEN lo = hi THEN lo ELSE 'shared' END AS "group" FROM
-  (SELECT DISTINCT p_brand || ':' || p_size AS id FROM part) LEFT JOIN
+  (SELECT DISTINCT p_partkey || ':' || k AS id FROM part, range(10) r(k)) LEFT JOIN
   (SELECT dst, min(src) AS lo, max(src) AS hi FROM d GROUP BY dst) ON dst = id)"""
-_DEPENDS_PART = _DEPENDS.replace("p_name AS dst", "p_brand || ':' || p_size AS dst").replace("l_quantity >= 49", "l_quantity >= 50")
+_DEPENDS_PART = _DEPENDS.replace("p_name AS dst", "p_partkey || ':' || (l_suppkey % 10) AS dst")
 
 
 def _depends_part(t):
-    lines = t.lineitem.filter("l_quantity >= 50").join(t.orders, c("o_orderkey") == c("l_orderkey"))
+    lines = t.lineitem.join(t.orders, c("o_orderkey") == c("l_orderkey"))
     placed = lines.join(t.customer, c("c_custkey") == c("o_custkey")).join(t.part, c("p_partkey") == c("l_partkey"))
-    return placed.select(s("n", c("c_nationkey")).alias("src"), s(c("p_brand"), ":", c("p_size")).alias("dst"), c("l_orderkey").alias("evidence"))
+    return placed.select(s("n", c("c_nationkey")).alias("src"), s(c("p_partkey"), ":", c("l_suppkey") % 10).alias("dst"), c("l_orderkey").alias("evidence"))
 
 
 def _part_groups(t, dependencies):
-    return B.external_groups(dependencies, t.part.select(s(c("p_brand"), ":", c("p_size")).alias("id")))
+    every = t.part.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    return B.external_groups(dependencies, every.select(s(c("p_partkey"), ":", c("k")).alias("id")).distinct())
 
 
 @query("external_groups", f'WITH {_DEPENDS_PART}, {_GROUPS} SELECT "group", count(*) AS targets FROM g GROUP BY 1')
@@ -328,11 +329,11 @@ def drop_redundant(t):
 @query(
     "resolve_edges",
     f"""WITH {EDGES}, {OWNERS} SELECT 'bundle:' || to_json([a.owner, b.owner, kind, confidence])::VARCHAR AS bundle_id, count(*) AS originals
-  FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst WHERE l_quantity >= 50 GROUP BY ALL""",
+  FROM e JOIN o a ON a.id = e.src JOIN o b ON b.id = e.dst GROUP BY ALL""",
 )
 def resolve_edges(t):
     all_edges = edges(t)
-    return B.resolve_edges(B.bundle_members(all_edges, owners(t)), all_edges.filter("l_quantity >= 50"))
+    return B.resolve_edges(B.bundle_members(all_edges, owners(t)), all_edges)
 
 
 @query(
@@ -382,18 +383,18 @@ def _views(frame):
 
 @query(
     "project_view",
-    f"""WITH {EDGES}, {NODES}, x AS (SELECT * FROM e WHERE kind = 'A' AND l_quantity >= 50), u AS (SELECT src AS id FROM x UNION SELECT dst FROM x)
+    f"""WITH {EDGES}, {NODES}, x AS (SELECT * FROM e WHERE kind = 'A'), u AS (SELECT src AS id FROM x UNION SELECT dst FROM x)
   SELECT kind, confidence, count(*) AS n FROM n WHERE id IN (SELECT id FROM u) OR (kind = 'model' AND confidence <> 'unresolved' AND label NOT LIKE 'red%') GROUP BY ALL""",
 )
 def project_view(t):
-    shown, _ = FL.project_view(nodes(t), _views(edges(t).filter("l_quantity >= 50")), "data-model", excluded=c("label").startswith("red"))
+    shown, _ = FL.project_view(nodes(t), _views(edges(t)), "data-model", excluded=c("label").startswith("red"))
     return shown.groupBy("kind", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "apply_layer",
     f"""WITH {EDGES}, {NODES}, src AS (SELECT id FROM n WHERE confidence = 'source'),
-  se AS (SELECT id, src, dst, 'source' AS layer FROM e WHERE l_quantity < 10), oe AS (SELECT id, src, dst, 'observed' AS layer FROM e WHERE l_quantity >= 45 AND kind <> 'R'),
+  se AS (SELECT id, src, dst, 'source' AS layer FROM e WHERE l_quantity < 25), oe AS (SELECT id, src, dst, 'observed' AS layer FROM e WHERE l_quantity >= 25 AND kind <> 'R'),
   ids AS (SELECT id FROM src UNION SELECT id FROM n WHERE confidence <> 'source' AND kind <> 'value')
   SELECT layer, count(*) AS n FROM (SELECT * FROM se UNION ALL SELECT * FROM oe)
   WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids) GROUP BY layer""",
@@ -401,8 +402,8 @@ def project_view(t):
 def apply_layer(t):
     everything = _views(edges(t))
     known = nodes(t)
-    source = (known.filter("confidence = 'source'"), everything.filter("l_quantity < 10").withColumn("layer", F.lit("source")))
-    seen_edges = everything.filter("l_quantity >= 45 and kind <> 'R'").withColumn("layer", F.lit("observed"))
+    source = (known.filter("confidence = 'source'"), everything.filter("l_quantity < 25").withColumn("layer", F.lit("source")))
+    seen_edges = everything.filter("l_quantity >= 25 and kind <> 'R'").withColumn("layer", F.lit("observed"))
     seen = (known.filter("confidence <> 'source'"), seen_edges.withColumn("kind", F.lit("observed-child")))
     _, layered = FL.apply_layer(source, seen, "combined", "runtime-flow")
     return layered.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
