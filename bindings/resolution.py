@@ -222,9 +222,9 @@ def resolve_script(t):
 
 @query(
     "navigation_context",
-    """WITH q AS (SELECT o_orderkey AS id, o_custkey AS owner FROM orders WHERE o_orderkey % 4 = 0),
+    """WITH q AS (SELECT o_orderkey AS id, o_custkey AS owner FROM orders),
   nd AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS owner FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 2 = 0),
-  tg AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS owner FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'c' || c_custkey, NULL FROM customer UNION ALL SELECT 'n' || n_nationkey, NULL FROM nation),
+  tg AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS owner FROM orders UNION ALL SELECT 'c' || c_custkey, NULL FROM customer UNION ALL SELECT 'n' || n_nationkey, NULL FROM nation),
   own AS (SELECT owner AS id, count(DISTINCT id) AS n, min(id) AS m FROM nd GROUP BY owner), g AS (SELECT 'c' || c_custkey AS id, 'grp:' || c_mktsegment AS m FROM customer)
   SELECT tg.id, CASE WHEN a.id IS NOT NULL THEN 'direct' WHEN b.id IS NOT NULL THEN 'owner' WHEN own.n = 1 THEN 'owned' WHEN own.n > 1 THEN 'members' WHEN g.m IS NOT NULL THEN 'group' ELSE 'search' END AS context,
   CASE WHEN a.id IS NOT NULL THEN a.id WHEN b.id IS NOT NULL THEN b.id WHEN own.n = 1 THEN own.m WHEN own.n > 1 THEN NULL WHEN g.m IS NOT NULL THEN g.m END AS match,
@@ -240,7 +240,7 @@ def navigation_context(t):
     # One group row per listed customer keeps the group lists short.
     groups = t.customer.select(F.concat(F.lit("grp:"), "c_mktsegment").alias("id"), F.lit(None).cast("string").alias("owner"), F.array(customer).alias("members"))
     nobody = F.lit(None).cast("string").alias("owner")
-    targets = t.orders.filter("o_orderkey % 4 = 0").select(s("o", c("o_orderkey")).alias("id"), order_owner)
+    targets = t.orders.select(s("o", c("o_orderkey")).alias("id"), order_owner)
     targets = targets.unionByName(t.customer.select(customer.alias("id"), nobody)).unionByName(t.nation.select(s("n", c("n_nationkey")).alias("id"), nobody))
     return L.navigation_context(held.unionByName(groups), targets)
 
@@ -268,7 +268,7 @@ def resolve_identity(t):
     r"""WITH f AS (SELECT source || '/' || doc_id || CASE WHEN lang = 'en' THEN '.py' WHEN lang = 'fr' THEN '.rs' ELSE '.txt' END AS path, doc_id, lang, source FROM documents),
   x AS (SELECT path, CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'rust' END AS stack_id, 'extension' AS channel FROM f WHERE lang IN ('en', 'fr')
   UNION ALL SELECT path, 'lib-' || source, 'import' FROM f WHERE source IN ('src1', 'src2', 'src3')
-  UNION ALL SELECT path, 'dep-' || lang, 'dependency' FROM f WHERE doc_id % 3 = 0 AND lang IN ('de', 'es'))
+  UNION ALL SELECT path, 'dep-' || lang, 'dependency' FROM f WHERE lang IN ('de', 'es'))
   SELECT stack_id, channel, count(*) AS files FROM (SELECT DISTINCT * FROM x) GROUP BY ALL""",
 )
 def detect_technologies(t):
@@ -277,7 +277,7 @@ def detect_technologies(t):
     files = docs.select("path", "extension", F.element_at(F.split("path", "/"), -1).alias("name"))
     ecosystem = F.lit("pypi").alias("ecosystem")
     imports = docs.select("path", ecosystem, F.concat("source", F.lit(".deep.part")).alias("specifier"))
-    used = docs.filter("doc_id % 3 = 0").select("path", ecosystem, F.concat(F.lit("Dep_"), "lang").alias("name"))
+    used = docs.select("path", ecosystem, F.concat(F.lit("Dep_"), "lang").alias("name"))
     languages = t.documents.select("lang").distinct()
     sources = t.documents.select("source").distinct()
 
