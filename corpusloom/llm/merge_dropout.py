@@ -3,9 +3,10 @@
 The pieces and scores of a public model are used; nothing is trained.  A text is cut before each run of spaces, as no
 piece spans such a place.  Every cut part starts as characters (bytes where a character has no piece) and an agenda of
 neighbouring pairs that form a piece; the pair of best score merges first, the left one of equals.  A candidate, given by
-where its two sides begin and end, is skipped when a hash of seed, part, variant and candidate falls below the rate.
-The variant is one of ``variants``, chosen by a hash of seed, document and position, so that the same part is segmented
-differently here and there while each part and variant of a batch is segmented once.
+where its two sides begin and end, is skipped when a hash of seed, document, position, part and candidate falls below the rate: every
+occurrence has its own draws.  Occurrences of a part share a segmentation only where their draws agree on every candidate
+that it met: first the one that skips nothing, then one for each set of skips among its candidates; others are segmented
+on their own.  ``variants`` > 0 bounds the different draws of a part instead; 0, the default, does not.
 
 The space is written as U+2581 and a text begins with one more, as the model expects; a U+2581 of the text itself is
 written as bytes, so that decoding gives back every text exactly.
@@ -30,10 +31,12 @@ from .words import _spread, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 RATE = 0.1
-VARIANTS = 4
+VARIANTS = 0
 _SPACE = "▁"
 _NONE = np.int64(1 << 62)
 _CHUNK_BYTES = 2_000_000
+_RUN_BYTES = 1_000_000
+_SHARED_BYTES = 32
 
 
 class Pieces:
@@ -100,14 +103,24 @@ class Pieces:
         return out
 
 
+def _candidate(left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix((left.astype(np.uint64) << np.uint64(42)) | (middle.astype(np.uint64) << np.uint64(21)) | right.astype(np.uint64), 31)
+
+
+def _drawn(part: np.ndarray, candidate: np.ndarray, rate: float) -> np.ndarray:
+    return (mix(part ^ candidate, 32) >> np.uint64(11)).astype(np.float64) < rate * (1 << 53)
+
+
 def skipped(part: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.ndarray, rate: float) -> np.ndarray:
     """Whether candidates are dropped: ``part`` is the keyed hash of the part, the others are places in it."""
-    place = (left.astype(np.uint64) << np.uint64(42)) | (middle.astype(np.uint64) << np.uint64(21)) | right.astype(np.uint64)
-    return (mix(part ^ mix(place, 31), 32) >> np.uint64(11)).astype(np.float64) < rate * (1 << 53)
+    return _drawn(part, _candidate(left, middle, right), rate)
+
 
+def segment(pieces: Pieces, parts: list[bytes], keyed: np.ndarray, rate: float, met: list[tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all parts one after the other, and their number per part.  ``keyed``: hash of each part with its draw.
 
-def segment(pieces: Pieces, parts: list[bytes], keyed: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all parts one after the other, and their number per part.  ``keyed``: hash of each part with seed and variant."""
+    ``met`` takes the candidates that were looked at, as part numbers, hashes and whether each was skipped.
+    """
     points = np.frombuffer(b"".join(parts).decode().encode("utf-32-le"), "<u4").astype(np.int64)
     chars = np.array([len(p.decode()) for p in parts], np.int64)
     owner = np.repeat(np.arange(len(parts)), chars)
@@ -137,9 +150,12 @@ def segment(pieces: Pieces, parts: list[bytes], keyed: np.ndarray, rate: float)
         other = following[at]
         rank = pieces.merge_rank(symbol[at], symbol[other])
         at, other, rank = at[rank >= 0], other[rank >= 0], rank[rank >= 0]
-        if rate > 0:
-            keep = ~skipped(keyed[owner[at]], local[at], local[other], end[other], rate)
-            at, rank = at[keep], rank[keep]
+        if rate > 0 or met is not None:
+            candidate = _candidate(local[at], local[other], end[other])
+            skip = _drawn(keyed[owner[at]], candidate, rate)
+            if met is not None:
+                met.append((owner[at], candidate, skip))
+            at, rank = at[~skip], rank[~skip]
         agenda[at] = (rank << 32) | at
 
     offer(np.arange(n))
@@ -171,7 +187,86 @@ def segment(pieces: Pieces, parts: list[bytes], keyed: np.ndarray, rate: float)
     return symbol[alive], np.bincount(owner[alive], minlength=len(parts))
 
 
-def encode_texts(pieces: Pieces, texts: list[bytes], keys: np.ndarray, seed: int, rate: float, variants: int) -> Iterator[np.ndarray]:
+class _Runs:
+    """Segmentations one after the other."""
+
+    def __init__(self, pieces: Pieces, rate: float):
+        self.pieces, self.rate, self.n = pieces, rate, 0
+        self.ids, self.count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+    def add(self, parts: list[bytes], keyed: np.ndarray, rate: float, met: list[tuple] | None = None) -> np.ndarray:
+        """Numbers of the new segmentations."""
+        first, ends = self.n, np.cumsum([len(p) for p in parts])
+        at = 0
+        while at < len(parts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _RUN_BYTES, side="right")))
+            found: list[tuple] | None = None if met is None else []
+            ids, count = segment(self.pieces, parts[at:to], keyed[at:to], rate, found)
+            self.ids.append(ids)
+            self.count.append(count)
+            if met is not None:
+                met += [(owner + at, candidate, skip) for owner, candidate, skip in found]
+            at = to
+        self.n += len(parts)
+        return np.arange(first, self.n)
+
+    def differing(self, met: list[tuple], n: int, group: np.ndarray, keyed: np.ndarray) -> np.ndarray:
+        """For occurrences with the draws ``keyed``, a hash of the candidates met in their group's run that they draw otherwise; 0 if none."""
+        owner, candidate, skip = (np.concatenate(x) for x in zip(*met, strict=True))
+        order = np.argsort(owner, kind="stable")
+        candidate, skip = candidate[order], skip[order]
+        size = np.bincount(owner, minlength=n)
+        start = np.cumsum(size) - size
+        many = size[group]
+        which = _spread(start[group], many)
+        other = _drawn(np.repeat(keyed, many), candidate[which], self.rate) != skip[which]
+        # A sum only groups; whether any differs is counted.
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(other, candidate[which], np.uint64(0)))])
+            ends = np.cumsum(many)
+            out = sums[ends] - sums[ends - many]
+        counts = np.concatenate([[0], np.cumsum(other)])
+        return np.where(counts[ends] > counts[ends - many], np.maximum(out, np.uint64(1)), np.uint64(0))
+
+
+def _segment_occurrences(pieces: Pieces, names: list[bytes], codes: np.ndarray, keyed: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the segmentation of each occurrence of a part, and pieces and sizes of the segmentations."""
+    runs, answer = _Runs(pieces, rate), np.full(len(codes), -1, np.int64)
+    if rate <= 0:
+        answer = runs.add(names, np.zeros(len(names), np.uint64), 0.0)[codes]
+        return answer, np.concatenate(runs.ids), np.concatenate(runs.count)
+    # A part that stands once or is long hardly ever agrees with another draw.
+    shared = (np.bincount(codes, minlength=len(names)) > 1) & (np.array([len(p) for p in names], np.int64) <= _SHARED_BYTES)
+    rest = np.flatnonzero(shared[codes])
+    if len(rest):
+        kinds = np.flatnonzero(shared)
+        met: list[tuple] = []
+        made = runs.add([names[i] for i in kinds.tolist()], np.zeros(len(kinds), np.uint64), 0.0, met)
+        group = (np.cumsum(shared) - 1)[codes[rest]]
+        differs = runs.differing(met, len(kinds), group, keyed[rest])
+        answer[rest[differs == 0]] = made[group[differs == 0]]
+        rest, differs = rest[differs > 0], differs[differs > 0]
+        # Of occurrences with the same skips, the first is segmented with its own draws; others take that if they agree all along.
+        _, lead, group, size = np.unique(mix(differs ^ mix(codes[rest], 36), 37), return_index=True, return_inverse=True, return_counts=True)
+        leads = np.flatnonzero(size > 1)
+        if len(leads):
+            met = []
+            chosen = rest[lead[leads]]
+            made = runs.add([names[i] for i in codes[chosen].tolist()], keyed[chosen], rate, met)
+            among = np.full(len(size), -1)
+            among[leads] = np.arange(len(leads))
+            member = np.flatnonzero(among[group] >= 0)
+            inside = among[group[member]]
+            same = codes[rest[member]] == codes[chosen[inside]]
+            member, inside = member[same], inside[same]
+            agree = runs.differing(met, len(leads), inside, keyed[rest[member]]) == 0
+            answer[rest[member[agree]]] = made[inside[agree]]
+    alone = np.flatnonzero(answer < 0)
+    answer[alone] = runs.add([names[i] for i in codes[alone].tolist()], keyed[alone], rate)
+    return answer, np.concatenate(runs.ids), np.concatenate(runs.count)
+
+
+def encode_texts(pieces: Pieces, texts: list[bytes], keys: np.ndarray, seed: int, rate: float, variants: int = VARIANTS) -> Iterator[np.ndarray]:
     """Piece ids of each text."""
     data = np.frombuffer(b"".join(b" " + t for t in texts), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
@@ -181,24 +276,19 @@ def encode_texts(pieces: Pieces, texts: list[bytes], keys: np.ndarray, seed: int
     cut[1:] &= ~space[:-1]
     cut[text_start] = True
     starts = np.flatnonzero(cut)
-    ends = np.append(starts[1:], len(data))
     offsets = np.append(starts, len(data))
     listed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
     coded = pc.dictionary_encode(listed)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.searchsorted(text_start, starts, side="right") - 1
-    variant = (mix(mix(keys[owner], seed) ^ mix(starts - text_start[owner], 33), 34) % np.uint64(variants)).astype(np.int64)
-    pair = codes * variants + variant
-    present = np.zeros(len(coded.dictionary) * variants, bool)
-    present[pair] = True
-    wanted = np.flatnonzero(present)
+    draw = mix(mix(keys[owner], seed) ^ mix(starts - text_start[owner], 33), 34)
+    if variants > 0:
+        draw %= np.uint64(variants)
     names = coded.dictionary.to_pylist()
-    parts = [names[i] for i in (wanted // variants).tolist()]
-    joined = np.frombuffer(b"".join(parts), np.uint8)
-    length = np.array([len(p) for p in parts], np.int64)
+    joined = np.frombuffer(b"".join(names), np.uint8)
+    length = np.array([len(p) for p in names], np.int64)
     hashed = PrefixHash(joined).of(np.cumsum(length) - length, np.cumsum(length))
-    ids, count = segment(pieces, parts, mix(hashed ^ mix(wanted % variants, seed), 35), rate)
-    at = (np.cumsum(present) - 1)[pair]
+    at, ids, count = _segment_occurrences(pieces, names, codes, mix(hashed[codes] ^ mix(draw, seed), 35), rate)
     first = np.cumsum(count) - count
     flat = ids[_spread(first[at], count[at])].astype(pieces.dtype)
     bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=count[at], minlength=len(texts)))]).astype(np.int64)

@@ -160,6 +160,29 @@ def test_merge_dropout_is_the_agenda():
         assert ids[ends[i] - count[i] : ends[i]].tolist() == brute(text, keyed[i], 0.3)
 
 
+def test_merge_dropout_draws_for_every_occurrence():
+    pieces = merge_dropout.Pieces(tokenizer_path(merge_dropout.MODEL))
+    rng = np.random.default_rng(3)
+    words = ["the", "representation", "a", "internationalization", "of", "river", "日本", "y" * 40]
+    texts = [" ".join(rng.choice(words, 300)).encode() for _ in range(8)]
+    keys = np.arange(100, 100 + len(texts))
+    got = list(merge_dropout.encode_texts(pieces, texts, keys, 5, 0.1))
+    segmentations = {}
+    for text, key, ids in zip(texts, keys, got, strict=True):
+        parts = [b" " + w for w in text.split(b" ")]
+        at = np.cumsum([0, *[len(p) for p in parts]])[:-1]
+        joined = np.frombuffer(b"".join(parts), np.uint8)
+        hashed = merge_dropout.PrefixHash(joined).of(at, np.append(at[1:], len(joined)))
+        draw = merge_dropout.mix(merge_dropout.mix(np.repeat(key, len(parts)), 5) ^ merge_dropout.mix(at, 33), 34)
+        keyed = merge_dropout.mix(hashed ^ merge_dropout.mix(draw, 5), 35)
+        alone, count = merge_dropout.segment(pieces, parts, keyed, 0.1)
+        assert ids.tolist() == alone.tolist()
+        for part, one in zip(parts, np.split(alone, np.cumsum(count)[:-1]), strict=True):
+            segmentations.setdefault(part, set()).add(tuple(one.tolist()))
+    assert len(segmentations[b" representation"]) > 20 and len(segmentations[b" internationalization"]) > 20
+    assert len(segmentations[b" the"]) > 1
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
