@@ -29,7 +29,9 @@ FEATURES = 1 << 11
 MAX_PAGES = 300
 # Names of HTML, fixed values.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe svg template select".split())
+_RAW = frozenset("script style textarea title iframe".split())
+# Skipped with what they hold, but only where they have an end tag; these may nest.
+_SKIPPED = frozenset("noscript svg template select".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -38,12 +40,46 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _LISTS = frozenset("ul ol menu dl table".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_SLASH_IN_VALUE = re.compile(r"""=\s*[^\s"'=]*/\Z""")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 # What a page's own markup says about parts that are not the article, for labelling given pages.
 _ASIDE_TAGS = frozenset("nav header footer aside form button script style noscript menu dialog".split())
 _ASIDE_NAMES = frozenset("ad ads advert advertisement sponsor sponsored promo banner cookie consent notice alert sidebar widget menu nav navigation breadcrumb breadcrumbs header footer comment comments reply share social related newsletter subscribe popup modal".split())
 
 
+def _self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    return attributes.endswith("/") and not _SLASH_IN_VALUE.search(attributes)
+
+
+def _raw_end(source: str, name: str, at: int) -> int | None:
+    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+    return end.end() if end else None
+
+
+def _skipped_ends(source: str) -> dict[int, int]:
+    """Where the elements of ``_SKIPPED`` that have an end tag begin and end: an end tag belongs to the last one still open."""
+    ends, opened, at = {}, {name: [] for name in _SKIPPED}, 0
+    unclosed = set()
+    for match in _TAG.finditer(source):
+        if match.start() < at:
+            continue
+        name = (match.group(2) or match.group(5) or "").lower()
+        closing, attributes = match.group(1) or match.group(4), match.group(3) or match.group(6) or ""
+        if name in _RAW and not closing and name not in unclosed and not (opened["svg"] and _self_closed(attributes)):
+            end = _raw_end(source, name, match.end())
+            if end is None:
+                unclosed.add(name)
+            else:
+                at = end
+        elif name in _SKIPPED and closing:
+            if opened[name]:
+                ends[opened[name].pop()] = match.end()
+        elif name in _SKIPPED and not (name == "svg" and _self_closed(attributes)):
+            opened[name].append(match.start())
+    return ends
+
+
 class Page:
     """Elements in page order with their parents, and blocks of text with the element they stand in."""
 
@@ -51,6 +87,7 @@ class Page:
         self.tags, self.names, self.parent, self.depth = ["#page"], [()], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack, parts, where, at = [0], [], 0, 0
+        skipped: dict[int, int] | None = None
 
         def flush() -> None:
             nonlocal parts
@@ -98,8 +135,12 @@ class Page:
             self.depth.append(len(stack))
             if name in _RAW:
                 # Nothing inside these is text of the page.
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                at = _raw_end(source, name, at) or len(source)
+            elif name in _SKIPPED:
+                if not (name == "svg" and _self_closed(attributes)):
+                    skipped = _skipped_ends(source) if skipped is None else skipped
+                    # Without an end tag only the tag itself is skipped.
+                    at = skipped.get(start, at)
             elif name not in _VOID and not attributes.endswith("/"):
                 stack.append(node)
         if at < len(source):

@@ -183,6 +183,34 @@ def test_merge_dropout_draws_for_every_occurrence():
     assert len(segmentations[b" the"]) > 1
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<svg class="i"/>{}',
+        "<svg />{}<svg><text>Label</text></svg>",
+        "<svg class=i>{}",
+        '<svg class="i">{}<svg><title>Label</title></svg>',
+        "<svg><svg/><svg><style/></svg><text>Label</text></svg>{}",
+        "<select><!-- </select> -->{}",
+        "<noscript>{}",
+        "<noscript>{}<noscript>Label</noscript>",
+        "<template>{}",
+        "<script>'<svg>'</script><svg><text>Label</text></svg>{}",
+    ],
+)
+def test_html_icons_and_unclosed_elements_drop_no_text(inside):
+    found = [text for _, text in html_tree.Page(f"<article><p>Before.</p>{inside.format('<p>Behind the icon.</p>')}</article><p>End.</p>").blocks]
+    assert found == ["Before.", "Behind the icon.", "End."]
+
+
+def test_html_text_behind_an_icon_is_extracted(spark):
+    body = "".join(f"<p>The river had risen in the night, and by the morning the meadow was under water, {i}.</p>" for i in range(6))
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>High water</h1>{}" + body + "</article><footer>Imprint</footer></body></html>"
+    rows = spark.createDataFrame([(i, "u", page.format(icon)) for i, icon in enumerate(["", '<svg class="i"/>', "<select>", "<noscript>"])], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in html_tree.main_texts(rows).collect()}
+    assert "water, 5." in texts[0] and texts[0] == texts[1] == texts[2] == texts[3]
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
