@@ -140,9 +140,13 @@ def longest_depths(t):
     return K.longest_depths(upward.groupBy("src").agg(F.max_by("dst", F.struct("l_orderkey", "dst")).alias("dst")))
 
 
-def _typed_graph(t):
+def _typed(t, relations):
     kinds = t.part.select(c("p_partkey").alias("src"), F.when(c("p_size") % 7 == 0, "callback").otherwise("calls").alias("kind"), F.when(c("p_size") % 11 == 0, "inferred").otherwise("source").alias("confidence"))
-    return graph(t).join(kinds, "src")
+    return relations.join(kinds, "src")
+
+
+def _typed_graph(t):
+    return _typed(t, graph(t))
 
 
 def _kept(t):
@@ -188,6 +192,91 @@ def path_provenance(t):
     return provenance.agg(F.count_distinct("id").alias("edges"), F.count_distinct(F.split_part("id", F.lit("-"), F.lit(1))).alias("starts"))
 
 
+# The same operators on every follower of every part.  The SQL above describes the graph of first and last followers, and a
+# recursive query over all of them takes too long; tests compare these with brute force.
+def all_followers(t):
+    """Each part leads to every part that follows it on some order."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", c("l_partkey").alias("src"))
+    after = t.lineitem.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("l_partkey").alias("dst"))
+    pairs = lines.join(after, ["l_orderkey", "l_linenumber"]).filter("src <> dst").select("src", "dst").distinct()
+    return pairs.withColumn("id", s(c("src"), "-", c("dst")))
+
+
+def _whole(t):
+    """All edges, their nodes, and the node that the searches begin at."""
+    whole = all_followers(t)
+    return whole, whole.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), whole.agg(F.min("src").alias("id"))
+
+
+@query("bfs_depths_all")
+def bfs_depths_all(t):
+    whole, nodes, start = _whole(t)
+    return T.bfs_depths(nodes, whole, start)
+
+
+@query("khop_nodes_all")
+def khop_nodes_all(t):
+    whole, _, start = _whole(t)
+    return T.neighbours(whole, start, 3, "outgoing")
+
+
+@query("khop_relations_all")
+def khop_relations_all(t):
+    whole, _, start = _whole(t)
+    return T.khop_relations(whole, start, 2, "both").select("src", "dst")
+
+
+@query("signed_hops_all")
+def signed_hops_all(t):
+    whole, _, start = _whole(t)
+    return T.signed_hops(whole, start)
+
+
+@query("edge_emphasis_all")
+def edge_emphasis_all(t):
+    whole, nodes, _ = _whole(t)
+    ends = whole.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    hub = ends.agg(F.max_by("id", F.struct("n", -c("id"))).alias("id"))
+    return T.edge_emphasis(nodes, whole, hub).select("src", "dst", "emphasis")
+
+
+@query("scc_components_all")
+def scc_components_all(t):
+    whole, nodes, _ = _whole(t)
+    return K.strong_components(nodes, whole)
+
+
+@query("scc_depths_all")
+def scc_depths_all(t):
+    whole, nodes, _ = _whole(t)
+    return K.scc_depths(nodes, whole)
+
+
+@query("longest_depths_all")
+def longest_depths_all(t):
+    scaled = c("l_suppkey") * 20
+    upward = t.lineitem.filter(c("l_partkey") != scaled).select(F.least("l_partkey", scaled).alias("src"), F.greatest("l_partkey", scaled).alias("dst"))
+    return K.longest_depths(upward.distinct())
+
+
+@query("compress_paths_all")
+def compress_paths_all(t):
+    _, relations, _ = C.compress_paths(_typed(t, all_followers(t)), _kept(t))
+    return relations.select("src", "dst", "hops", "kind", "confidence", "has_callback")
+
+
+@query("path_junctions_all")
+def path_junctions_all(t):
+    junctions, _, _ = C.compress_paths(_typed(t, all_followers(t)), _kept(t))
+    return junctions.select("id", "junction")
+
+
+@query("path_provenance_all")
+def path_provenance_all(t):
+    _, _, provenance = C.compress_paths(_typed(t, all_followers(t)), _kept(t))
+    return provenance.agg(F.count_distinct("id").alias("edges"), F.count_distinct(F.split_part("id", F.lit("-"), F.lit(1))).alias("starts"))
+
+
 def _places(t):
     """region → nation → customer → order as one parent table."""
     world = t.region.select(s("r", c("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent_id"))
