@@ -569,11 +569,13 @@ def command_lines(t):
 )
 def path_functions(t):
     raw = page_paths(t).withColumn("raw", F.concat(F.lit("./"), F.replace("path", F.lit("/"), F.lit("\\")), F.lit("//"))).withColumn("p", PF.normalize_path("raw"))
-    up = F.when(F.contains("path", F.lit("/en")), "../../..").otherwise("../..")
-    clean = raw.filter(F.size(F.split("path", "/")) == 3)
-    return clean.select(
-        "page_id", c("p").alias("normalized"), PF.file_name("p").alias("file"), PF.dir_name("p").alias("dir"), PF.extension("p").alias("extension"), PF.safe_join(PF.dir_name("p"), F.lit("../x")).alias("joined"),
-        PF.safe_join(PF.dir_name("p"), up).alias("escaped"),
+    # Steps up from the folder of the page to its host, and one more under "en", which leaves the root.  A host alone is its own folder.
+    names = F.split("path", "/")
+    folder, ups = F.when(F.size(names) == 1, c("p")).otherwise(PF.dir_name("p")), F.greatest(F.size(names) - 2, F.lit(0))
+    out = F.concat(F.repeat(F.lit("../"), ups), F.lit(".."), F.when(F.get(names, F.lit(1)) == "en", "/..").otherwise(""))
+    return raw.select(
+        "page_id", c("p").alias("normalized"), PF.file_name("p").alias("file"), folder.alias("dir"), PF.extension("p").alias("extension"), PF.safe_join(folder, F.concat(F.repeat(F.lit("../"), ups), F.lit("x"))).alias("joined"),
+        PF.safe_join(folder, out).alias("escaped"),
     )
 
 
