@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, collocations, exact_dedup, harmonic_packing, host_rules, html_tree, jaccard_forest, license_rules, merge_dropout, quality_model, repeat_index, token_store
+from . import chat_format, collocations, exact_dedup, harmonic_packing, host_rules, html_tree, jaccard_forest, license_rules, merge_dropout, quality_model, repeat_index, spelling_variants, token_store
 from .storage import prepared
 
 
@@ -62,12 +62,16 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, folder, "documents"))
+
+
 def op13_license_rules(spark: SparkSession, folder: str) -> DataFrame:
     return license_rules.scan_licenses(_table(spark, folder, "documents")).drop("detections")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
-    for fn in (op1_token_store, op2_merge_dropout, op3_quality, op4_exact_dedup, op5_html_text, op6_jaccard_forest, op7_host_rules, op8_harmonic_packing, op9_chat_format, op10_repeat_index, op11_collocations, op13_license_rules)
+    for fn in (op1_token_store, op2_merge_dropout, op3_quality, op4_exact_dedup, op5_html_text, op6_jaccard_forest, op7_host_rules, op8_harmonic_packing, op9_chat_format, op10_repeat_index, op11_collocations, op12_spelling_variants, op13_license_rules)
 }
-ORACLES = {"op4_exact_dedup": exact_dedup.SQL, "op7_host_rules": host_rules.SQL, "op9_chat_format": chat_format.SQL, "op11_collocations": collocations.SQL, "op13_license_rules": license_rules.SQL}
+ORACLES = {"op4_exact_dedup": exact_dedup.SQL, "op7_host_rules": host_rules.SQL, "op9_chat_format": chat_format.SQL, "op11_collocations": collocations.SQL, "op12_spelling_variants": spelling_variants.SQL, "op13_license_rules": license_rules.SQL}
