@@ -12,6 +12,7 @@ other columns are ignored.  Words are runs of digits, letters a-z (A-Z are lower
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cache
 from typing import NamedTuple
 
@@ -159,23 +160,34 @@ def _count(spaced: Column) -> Column:
     return (F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2
 
 
-def spaced_words(text: Column) -> Column:
-    """The words of a text, each between two spaces."""
-    marked = F.regexp_replace(_lowered(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "  ")
-    inner = F.trim(marked)
-    return F.when(inner != "", F.concat(F.lit(" "), inner, F.lit(" "))).otherwise(F.lit(""))
+def marked_words(text: Column) -> Column:
+    """The lowered text with two spaces for whatever stands between its words."""
+    return F.regexp_replace(_lowered(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "  ")
 
 
-def base_places(t: Column) -> dict[str, tuple[Column, Column, Column]]:
-    """Per phrase: number of places, first start and last start in words (null if none)."""
-    found = {}
-    for phrase in BASE:
+def spaced_words(marked: Column) -> Column:
+    """The words of a marked text, each between two spaces."""
+    return F.when(F.trim(marked) != "", F.concat(F.lit(" "), F.trim(marked), F.lit(" "))).otherwise(F.lit(""))
+
+
+def base_places(t: Column) -> Column:
+    """One struct per phrase that occurs: label, number of places, first and last start in words."""
+    found = []
+    for phrase, label in BASE.items():
         spaced = "".join(f" {word} " for word in phrase.split())
         n = ((F.length(t) - F.length(F.replace(t, F.lit(spaced), F.lit("")))) / len(spaced)).cast("long")
         first = _count(F.substring_index(t, spaced, 1)).cast("long")
         last = (_count(t) - _count(F.substring_index(t, spaced, -1)) - len(phrase.split())).cast("long")
-        found[phrase] = (n, F.when(n > 0, first), F.when(n > 0, last))
-    return found
+        found.append(F.when(F.contains(t, F.lit(spaced)), F.struct(F.lit(label).alias("label"), n.alias("n"), first.alias("first"), last.alias("last"))))
+    return F.array_compact(F.array(*found))
+
+
+def _gate(keywords: Sequence[str]) -> str:
+    """Pattern of a word that is one of the keywords, tried letter by letter."""
+    by_letter: dict[str, list[str]] = {}
+    for keyword in keywords:
+        by_letter.setdefault(keyword[0], []).append(keyword[1:])
+    return " (?:" + "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in sorted(by_letter.items())) + ") "
 
 
 def _blocks(words: Column, keywords: Column) -> Column:
@@ -189,15 +201,18 @@ def _rule_column(rule: Rule) -> Column:
     return F.struct(*(F.lit(value).alias(name) for name, value in zip(Rule._fields, rule, strict=True)))
 
 
-def detections(t: Column) -> tuple[Column, ...]:
-    """Columns to be added one after the other: blocks, tried, matched and kept detections of a text in ``t``."""
+def detections(t: Column) -> dict[str, Column]:
+    """Columns to be added one after the other, from the words of a text in ``t`` to the matches that stay.
+
+    Each is a named column because the next uses it more than once.
+    """
     by_keyword: dict[str, list[Rule]] = {}
     for rule in rules():
         by_keyword.setdefault(rule.keyword, []).append(rule)
     keywords = F.array(*map(F.lit, by_keyword))
     table = F.create_map(*(part for keyword, listed in by_keyword.items() for part in (F.lit(keyword), F.array(*map(_rule_column, listed)))))
-    gate = t.rlike(" (?:" + "|".join(by_keyword) + ") ")
-    blocks = _blocks(F.when(gate, F.split(F.trim(t), " +")).otherwise(F.array().cast("array<string>")), keywords)
+    words = F.when(t.rlike(_gate(list(by_keyword))), F.split(F.trim(t), " +")).otherwise(F.array().cast("array<string>"))
+    blocks = _blocks(F.col("_words"), keywords)
     # Only rules whose keyword stands in the block are tried on it.
     chosen = F.transform(
         F.col("_blocks"),
@@ -255,7 +270,7 @@ def detections(t: Column) -> tuple[Column, ...]:
             lambda b: F.filter(b["found"], lambda x: (x["start"] >= b["core"]) & (x["start"] < b["core"] + CORE) & ~F.exists(b["found"], lambda y: hides(y, x))),
         )
     )
-    return blocks, chosen, found, placed, kept
+    return {"_words": words, "_blocks": blocks, "_chosen": chosen, "_found": found, "_placed": placed, "detections": kept}
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -265,18 +280,16 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     stay, as structs of rule, priority, weight, label, start and words.
     """
     t = F.col("_t")
-    base = base_places(t)
-    places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced_words(F.col(text)).alias("_t"))
-    for name, column in zip(("_blocks", "_chosen", "_found", "_placed", "detections"), detections(t), strict=True):
+    places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked_words(F.col(text)).alias("_t"))
+    for name, column in {"_t": spaced_words(t), "_base": base_places(t), **detections(t)}.items():
         places = places.withColumn(name, column)
-    listed = F.array_compact(F.array(*(F.when(n > 0, F.lit(BASE[phrase])) for phrase, (n, _, _) in base.items())))
     counted = places.select(
         "doc_id",
         _count(t).cast("long").alias("n_words"),
-        sum((n for n, _, _ in base.values()), F.lit(0)).cast("long").alias("n_base"),
-        F.least(*(first for _, first, _ in base.values())).alias("first_word"),
-        F.greatest(*(last for _, _, last in base.values())).alias("last_word"),
-        F.sort_array(F.array_distinct(listed)).alias("_base"),
+        F.aggregate("_base", F.lit(0).cast("long"), lambda total, p: total + p["n"]).alias("n_base"),
+        F.array_min("_base.first").alias("first_word"),
+        F.array_max("_base.last").alias("last_word"),
+        F.sort_array(F.array_distinct("_base.label")).alias("_base"),
         "detections",
     )
     score = F.greatest(F.coalesce(F.array_max(F.col("detections.weight")), F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(BASE_WEIGHT)).otherwise(F.lit(0.0)))
