@@ -255,6 +255,77 @@ def manifest_rows(t):
     return rows.groupBy("ecosystem", "name", "version_range", "dependency_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _project_files(t):
+    """One manifest per part in a form that declares projects, commands or members; names and commands come from the part."""
+    k, name, n = c("p_partkey"), F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))), c("p_size").cast("string")
+    file = _pick(k, "pyproject.toml", "Cargo.toml", "go.work", "settings.gradle", "setup.cfg", "build.sbt", "All.sln", "New.slnx", "kit.gemspec", "composer.json", "pom.xml", "package.json", "deno.json", "gradle/libs.versions.toml")
+    text = _pick(
+        k,
+        F.concat(F.lit("[project]\nname = \""), name, F.lit("\" # own\ndependencies = [\n  \"httpx["), n, F.lit("]>=1\",\n]\n[project.scripts]\nrun = \"pkg."), n, F.lit(":main\"\n[tool.uv.workspace]\nmembers = [\"libs/*\", 'apps/"), n, F.lit("']\n")),
+        F.concat(F.lit("[package]\nname='"), name, F.lit("'\n[workspace]\nmembers = [\n  \"a"), n, F.lit("\", # first\n]\n[dependencies.tokio]\nversion = \""), n, F.lit("\"\n[target.'cfg(unix)'.dependencies]\nnix = { path = \"../nix\", version = \"1\" }\n")),
+        F.concat(F.lit("go 1.22\nuse (\n\t./api"), n, F.lit(" // x\n\t\"./web\"\n)\n")),
+        F.concat(F.lit("include(':core:p"), n, F.lit("', \":web\")\ntasks.register(\"t"), n, F.lit("\") {}\n")),
+        F.concat(F.lit("[metadata]\nname = "), name, F.lit("\n[options]\ninstall_requires =\n    requests>="), n, F.lit(" ; python_version<'3'\n    six\nzip_safe = no\n")),
+        F.concat(F.lit("name := \""), name, F.lit("\"\nlibraryDependencies += \"org.a\" %% \"b\" % \"1."), n, F.lit("\"\n")),
+        F.concat(F.lit('Project("{F}") = "App", "App'), n, F.lit('\\App.csproj", "{1}"\nEndProject\n')),
+        F.concat(F.lit('<Solution><Project Path="App'), n, F.lit('/App.csproj" /></Solution>')),
+        F.concat(F.lit("Gem::Specification.new do |s|\n  s.name = '"), name, F.lit("'\n  s.add_dependency 'rack', '>= "), n, F.lit("'\n  s.add_development_dependency 'rake'\nend\n")),
+        F.concat(F.lit('{"name": "v/'), name, F.lit('", "scripts": {"check": ["lint '), n, F.lit('", "test"]}}')),
+        F.concat(F.lit("<project><artifactId>"), name, F.lit("</artifactId><properties><v>"), n, F.lit("</v></properties><modules><module>core</module></modules><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency></dependencies></project>")),
+        F.concat(F.lit('{"name": "'), name, F.lit('", "packageManager": "pnpm@9", "scripts": {"build": "tsc -p '), n, F.lit('"}, "workspaces": ["libs/*"]}')),
+        F.concat(F.lit('{"tasks": {"dev": "run '), n, F.lit('"}, "workspace": ["a"], "lock": "d.lock", "imports": {"l": "../l.ts"}}')),
+        F.concat(F.lit("[versions]\nv = \""), n, F.lit("\"\n[libraries]\njson-core = { module = \"org.j:core\", version.ref = \"v\" }\n")),
+    )
+    return t.part.select(F.lit("p").alias("project_id"), F.concat(s("m", k, "/"), file).alias("path"), text.alias("text"))
+
+
+_PARTS = "WITH p AS (SELECT p_partkey AS k, p_partkey % 14 AS f, lower(replace(p_type, ' ', '-')) AS name, p_size::VARCHAR AS n FROM part)"
+
+
+@query(
+    "manifest_projects",
+    f"""{_PARTS} SELECT 'm' || k || CASE WHEN f = 2 THEN '/go.work' WHEN f = 3 THEN '/settings.gradle' WHEN f = 6 THEN '/All.sln' WHEN f = 7 THEN '/New.slnx' WHEN f = 12 THEN '/deno.json' ELSE
+  '/' || ['pyproject.toml', 'Cargo.toml', '', '', 'setup.cfg', 'build.sbt', '', '', 'kit.gemspec', 'composer.json', 'pom.xml', 'package.json'][f + 1] END AS path, 'm' || k AS directory,
+  ['pypi', 'cargo', 'go', 'maven', 'pypi', 'maven', 'nuget', 'nuget', 'gem', 'composer', 'maven', 'npm', 'npm'][f + 1] AS ecosystem,
+  CASE WHEN f IN (2, 3, 12) THEN 'm' || k WHEN f = 6 THEN 'All' WHEN f = 7 THEN 'New' WHEN f = 9 THEN 'v/' || name ELSE name END AS name FROM p WHERE f < 13""",
+)
+def manifest_projects(t):
+    return MA.manifest_facts(_project_files(t)).filter("fact = 'project'").select("path", "directory", "ecosystem", "name")
+
+
+@query(
+    "manifest_commands",
+    f"""{_PARTS} SELECT 'm' || k AS directory, 'run' AS name, 'pkg.' || n || ':main' AS command, 'entry-point' AS purpose FROM p WHERE f = 0 UNION ALL SELECT 'm' || k, 't' || n, 'gradle t' || n, 'build-task' FROM p WHERE f = 3
+  UNION ALL SELECT 'm' || k, 'check', 'lint ' || n, NULL FROM p WHERE f = 9 UNION ALL SELECT 'm' || k, 'check:1', 'test', NULL FROM p WHERE f = 9 UNION ALL SELECT 'm' || k, 'build', 'tsc -p ' || n, NULL FROM p WHERE f = 11
+  UNION ALL SELECT 'm' || k, 'dev', 'run ' || n, NULL FROM p WHERE f = 12""",
+)
+def manifest_commands(t):
+    return MA.manifest_facts(_project_files(t)).filter("fact = 'command'").select("directory", "name", c("value").alias("command"), c("kind").alias("purpose"))
+
+
+@query(
+    "manifest_members",
+    f"""{_PARTS} SELECT 'm' || k AS directory, 'member' AS fact, v AS value FROM (SELECT k, unnest(CASE f WHEN 0 THEN ['libs/*', 'apps/' || n] WHEN 1 THEN ['a' || n] WHEN 2 THEN ['./api' || n, './web'] WHEN 3 THEN ['core/p' || n, 'web']
+    WHEN 6 THEN ['App' || n || '/App.csproj'] WHEN 7 THEN ['App' || n || '/App.csproj'] WHEN 10 THEN ['core'] WHEN 11 THEN ['libs/*'] WHEN 12 THEN ['a'] ELSE [] END) AS v FROM p)
+  UNION ALL SELECT 'm' || k, 'reference', CASE f WHEN 1 THEN '../nix' ELSE '../l.ts' END FROM p WHERE f IN (1, 12)
+  UNION ALL SELECT 'm' || k, 'tool', v FROM (SELECT k, unnest(CASE f WHEN 0 THEN ['uv'] WHEN 1 THEN ['cargo'] WHEN 3 THEN ['gradle'] WHEN 6 THEN ['dotnet'] WHEN 7 THEN ['dotnet'] WHEN 9 THEN ['composer'] WHEN 10 THEN ['maven'] WHEN 11 THEN ['pnpm'] WHEN 12 THEN ['deno'] ELSE [] END) AS v FROM p)""",
+)
+def manifest_members(t):
+    return MA.manifest_facts(_project_files(t)).filter("fact in ('member', 'reference', 'tool')").select("directory", "fact", "value")
+
+
+@query(
+    "manifest_forms",
+    f"""{_PARTS} SELECT ecosystem, name, version_range, dependency_type, count(*) AS n FROM (
+  SELECT 'pypi' AS ecosystem, 'httpx' AS name, '>=1' AS version_range, 'dependency' AS dependency_type FROM p WHERE f = 0 UNION ALL SELECT 'cargo', 'tokio', n, 'dependency' FROM p WHERE f = 1 UNION ALL SELECT 'cargo', 'nix', '1', 'dependency' FROM p WHERE f = 1
+  UNION ALL SELECT 'pypi', 'requests', '>=' || n, 'dependency' FROM p WHERE f = 4 UNION ALL SELECT 'pypi', 'six', '*', 'dependency' FROM p WHERE f = 4 UNION ALL SELECT 'maven', 'org.a:b', '1.' || n, 'dependency' FROM p WHERE f = 5
+  UNION ALL SELECT 'gem', 'rack', '>= ' || n, 'dependency' FROM p WHERE f = 8 UNION ALL SELECT 'gem', 'rake', '*', 'devDependency' FROM p WHERE f = 8 UNION ALL SELECT 'maven', 'g:a', n, 'dependency' FROM p WHERE f = 10) GROUP BY ALL""",
+)
+def manifest_forms(t):
+    rows, _ = MA.manifest_rows(_project_files(t))
+    return rows.groupBy("ecosystem", "name", "version_range", "dependency_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _lock_files(t):
     k, n = c("p_partkey"), F.concat(c("p_size").cast("string"), F.lit(".1.0"))
     name = _pick(k, "package-lock.json", "yarn.lock", "Cargo.lock", "uv.lock", "composer.lock", "packages.lock.json", "bun.lock", "deno.lock", "pubspec.lock", "Package.resolved", "yarn.lock")
