@@ -35,7 +35,8 @@ TOP = 2000
 # Grams looked at to choose the borders of partitions; results do not depend on them.
 BORDER_SAMPLE = 20_000
 _SAMPLE_SHARE = 64
-_CHUNK_BYTES = 6_000_000
+_CHUNK_BYTES = 4_000_000
+_OUT_ROWS = 10_000
 _SEP = 10
 _ESCAPE = 11
 _KIND = np.full(256, 2, np.int8)
@@ -44,8 +45,8 @@ _KIND[[*b".,;:!?", 10, 11, 12, 13]] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARKS = ".,;:!?\n\v\f\r"
-_BATCH_ROWS = 65_536
-_BATCH_BYTES = 16_000_000
+_BATCH_ROWS = 16_384
+_BATCH_BYTES = 4_000_000
 
 
 def _escaped(value: bytes) -> bytes:
@@ -78,8 +79,37 @@ def _codes(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return codes.astype(np.int64) + 1, len(found)
 
 
-def chunk_grams(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Distinct grams of a chunk in byte order, as one buffer and its offsets, and their counts."""
+class Grams:
+    """Distinct grams of a chunk in byte order, with their counts; bytes are only made for the grams asked for."""
+
+    def __init__(self, names: list[bytes], begin: np.ndarray, codes: np.ndarray, lang: np.ndarray, size: np.ndarray, counts: np.ndarray):
+        self.names, self.begin, self.codes, self.lang, self.size, self.counts = names, begin, codes, lang, size, counts
+        self.lengths = np.array([len(v) for v in names], np.int64)
+        self.at = np.cumsum(self.lengths) - self.lengths
+        self.buffer = np.frombuffer(b"".join(names), np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def one(self, i: int) -> bytes:
+        return self.names[self.lang[i]] + b"".join(self.names[c] for c in self.codes[self.begin[i] : self.begin[i] + self.size[i]])
+
+    def some(self, low: int, high: int) -> pa.Array:
+        """Grams of a range: the language, then the words, each behind a separator."""
+        size = self.size[low:high]
+        first = np.cumsum(size + 1) - (size + 1)
+        parts = np.empty(int(size.sum()) + len(size), np.int64)
+        words = np.ones(len(parts), bool)
+        words[first] = False
+        parts[first] = self.lang[low:high]
+        parts[words] = self.codes[_spread(self.begin[low:high], size)]
+        data = self.buffer[_spread(self.at[parts], self.lengths[parts])]
+        ends = np.cumsum(np.add.reduceat(self.lengths[parts], first))
+        return pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data)])
+
+
+def chunk_grams(texts: pa.Array, langs: pa.Array) -> Grams | None:
+    """The grams that start at each word of a chunk, up to five words or the end of the piece."""
     joined = np.frombuffer(b"\n".join(texts.cast(pa.large_binary()).to_pylist()) + b"\n", np.uint8)
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     data = _LOWER[joined]
@@ -91,41 +121,23 @@ def chunk_grams(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, np.ndarra
     if not n:
         return None
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    letters = data[word]
-    words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[word])])
     code, names = _ranked(words)
     lang_code, lang_names = _ranked(pc.fill_null(langs, "und").cast(pa.large_binary()))
     row = np.searchsorted(np.cumsum(sizes), starts, side="right")
-    piece = np.cumsum(kind == 1, dtype=np.int64)[starts]
+    piece = np.cumsum(kind == 1, dtype=np.int32)[starts]
     # Number of words left in the piece, this one included.
     last = np.flatnonzero(np.append(piece[1:] != piece[:-1], True))
     left = np.minimum(last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1, LONGEST)
     code += 1
     base = len(names) + 1
-    following = np.append(code[1:], 0)
-    pair, pairs = _codes(code * base + np.where(left > 1, following, 0))
-    third = np.where(left > 2, np.append(pair[2:], [0, 0])[:n], 0)
-    four, fours = _codes(pair * (pairs + 1) + third)
-    fifth = np.where(left > 4, np.append(code[4:], [0] * 4)[:n], 0)
-    lead = lang_code[row] * (fours + 1) + four
-    # Two keys at a time stay far below 63 bits; languages first.
-    lead, _ = _codes(lead)
-    _, first, counts = np.unique(lead * base + fifth, return_index=True, return_counts=True)
-    # Bytes of each gram: language, then its words, each behind a separator.
-    table = [*lang_names, *names]
-    lengths = np.array([len(v) for v in table], np.int64) + 1
-    buffer = np.frombuffer(b"".join(bytes([_SEP]) + v for v in table), np.uint8)
-    at = np.cumsum(lengths) - lengths
-    size = left[first]
-    parts = np.full(int(size.sum()) + len(first), -1, np.int64)
-    begin = np.cumsum(size + 1) - (size + 1)
-    parts[begin] = lang_code[row[first]]
-    rest = np.ones(len(parts), bool)
-    rest[begin] = False
-    parts[rest] = code[_spread(first, size)] - 1 + len(lang_names)
-    out = buffer[_spread(at[parts], lengths[parts])]
-    gram_size = np.add.reduceat(lengths[parts], begin)
-    return out, np.concatenate([[0], np.cumsum(gram_size)]), counts
+    # Codes of two words, then four, then the language and five: each keeps the order, and two fit into 63 bits.
+    pair, pairs = _codes(code * base + np.where(left > 1, np.append(code[1:], 0), 0))
+    four, fours = _codes(pair * (pairs + 1) + np.where(left > 2, np.append(pair[2:], [0, 0])[:n], 0))
+    lead, _ = _codes(lang_code[row] * (fours + 1) + four)
+    del pair, four
+    _, first, counts = np.unique(lead * base + np.where(left > 4, np.append(code[4:], [0] * 4)[:n], 0), return_index=True, return_counts=True)
+    return Grams([bytes([_SEP]) + v for v in (*lang_names, *names)], first, code - 1 + len(lang_names), lang_code[row[first]], left[first], counts)
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -168,15 +180,14 @@ def _gram_rows(borders: list[bytes]):
             found = chunk_grams(texts, langs)
             if found is None:
                 continue
-            data, offsets, counts = found
-            grams = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
             # Grams are in order: each border is looked up in them, not the other way round.
-            cuts = [bisect_right(range(len(grams)), border, key=lambda i: grams[i].as_py()) for border in borders]
-            part = np.zeros(len(grams) + 1, np.int32)
+            cuts = [bisect_right(range(len(found)), border, key=found.one) for border in borders]
+            part = np.zeros(len(found) + 1, np.int32)
             np.add.at(part, cuts, 1)
             part = np.cumsum(part[:-1], dtype=np.int32)
-            for at in range(0, len(counts), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(part[at : at + 50_000]), grams.slice(at, 50_000).cast(pa.binary()), pa.array(counts[at : at + 50_000])], ["part", "gram", "n"])
+            for at in range(0, len(found), _OUT_ROWS):
+                to = min(at + _OUT_ROWS, len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(part[at:to]), found.some(at, to), pa.array(found.counts[at:to])], ["part", "gram", "n"])
 
     return run
 

@@ -57,7 +57,7 @@ def brute_collocations(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("least", "top", "chunk"), [(3, 40, 6_000_000), (20, 2000, 400)])
+@pytest.mark.parametrize(("least", "top", "chunk"), [(3, 40, 4_000_000), (20, 2000, 400)])
 def test_collocations(spark, monkeypatch, least, top, chunk):
     monkeypatch.setattr(collocations, "_CHUNK_BYTES", chunk)
     rows = phrase_rows()
