@@ -344,6 +344,31 @@ def lock_versions(t):
     return L.resolve_versions(dependencies, locks, members).select("project_dir", "name", "lock_dir", "status", "resolved_version")
 
 
+@query(
+    "lock_importers",
+    """WITH d AS (SELECT DISTINCT 'n' || c_nationkey AS project_dir, 'p' || l_partkey AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+  k AS (SELECT DISTINCT 'p' || l_partkey AS name, '1.' || (l_suppkey % 3) || '.0' AS version FROM lineitem),
+  a AS (SELECT DISTINCT 'n' || c_nationkey AS project_dir, 'p' || l_partkey AS name, CASE WHEN l_partkey % 3 > 0 THEN '1.' || (l_suppkey % 3) || '.0' END AS version
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 4 > 0 AND l_returnflag <> 'R'),
+  h AS (SELECT d.project_dir, d.name, min(k.version) AS v0, max(k.version) AS v1 FROM d JOIN k USING (name)
+    WHERE d.project_dir NOT IN (SELECT project_dir FROM a) OR EXISTS (SELECT 1 FROM a WHERE a.project_dir = d.project_dir AND a.name = d.name AND (a.version IS NULL OR a.version = k.version)) GROUP BY ALL)
+  SELECT d.project_dir, d.name, CASE WHEN v0 IS NULL THEN 'unlocked' WHEN v0 <> v1 THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN v0 = v1 THEN v0 END AS resolved_version FROM d LEFT JOIN h USING (project_dir, name)""",
+)
+def lock_importers(t):
+    """Nations are projects of one workspace, parts its packages; what a nation asks for in the lock decides among their versions."""
+    buyers = t.lineitem.join(t.orders, c("o_orderkey") == c("l_orderkey")).join(t.customer, c("c_custkey") == c("o_custkey"))
+    project, part, version = s("n", c("c_nationkey")), s("p", c("l_partkey")), s("1.", c("l_suppkey") % 3, ".0")
+    dependencies = buyers.select(project.alias("project_dir"), project.alias("project_name"), part.alias("name"), F.lit("cargo").alias("ecosystem"), F.lit("*").alias("version_range")).distinct()
+    none, place = F.lit(None).cast("string"), {"lock_dir": F.lit("."), "ecosystem": F.lit("cargo")}
+    asking = buyers.filter((c("c_nationkey") % 4 > 0) & (c("l_returnflag") != "R"))
+    asks = asking.select(project.alias("owner"), part.alias("name"), F.when(c("l_partkey") % 3 > 0, version).alias("version"), none.alias("source_identity")).distinct().withColumns(place)
+    packages = t.lineitem.select(part.alias("name"), version.alias("version"), F.lit("registry").alias("source_identity"))
+    own = asking.select(project.alias("name"), F.lit("0.1.0").alias("version"), none.alias("source_identity"))
+    locks = packages.unionByName(own).distinct().withColumns({**place, "descriptor": none, "framework": none, "importer": none})
+    members = t.nation.select(F.lit(".").alias("lock_dir"), F.lit("cargo").alias("ecosystem"), s("n", c("n_nationkey")).alias("project_dir"))
+    return L.resolve_versions(dependencies, locks, members, asks=asks).select("project_dir", "name", "status", "resolved_version")
+
+
 @query(
     "short_labels",
     rf"""WITH {PAGES}, q AS (SELECT DISTINCT path, string_split(path, '/') AS p FROM pg),

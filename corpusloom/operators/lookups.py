@@ -250,7 +250,34 @@ def valid_version(ecosystem: Column, version: Column) -> Column:
     return out.otherwise(version.rlike(VERSION_RULE_OTHER))
 
 
-def resolve_versions(dependencies: DataFrame, locks: DataFrame, members: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+def _asked_by_project(hits: DataFrame, reach: DataFrame, projects: DataFrame, held: DataFrame, asks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Locked rows that the project's own package in the lock asks for; all rows where the lock has no such package or several."""
+    place = [*by, "project_dir", "ecosystem", "lock_dir"]
+    packages = held.filter(F.col("ecosystem").isin("cargo", "pypi")).select(*by, "lock_dir", "ecosystem", F.col("_key").alias("_own"), "importer", F.col("source_identity").alias("_from"))
+    at = reach.select(*place).distinct().join(projects, [*by, "project_dir", "ecosystem"])
+    # A package is the project's own by its folder; a Cargo package without a source is of this workspace.
+    own = at.join(packages, [*by, "lock_dir", "ecosystem", "_own"]).filter((F.col("importer") == F.col("project_dir")) | ((F.col("ecosystem") == "cargo") & F.col("_from").isNull()))
+    alone = own.groupBy(*place, "_own").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(*place, "_own")
+    listed = asks.select(
+        *by, "lock_dir", "ecosystem", normalize_identifier("ecosystem", "owner").alias("_own"), normalize_identifier("ecosystem", "name").alias("_key"), F.col("version").alias("_version"), F.col("source_identity").alias("_source")
+    )
+    asked = alone.join(listed, [*by, "lock_dir", "ecosystem", "_own"]).alias("a")
+    marked = hits.join(alone.select(*place, F.lit(True).alias("_owned")).distinct(), place, "left")
+    free = marked.filter("_owned is null").drop("_owned")
+    bound = marked.filter("_owned").drop("_owned").alias("h")
+    same = F.lit(True)
+    for column in [*place, "_key"]:
+        same = same & (F.col(f"h.{column}") == F.col(f"a.{column}"))
+    fits = (F.col("_version").isNull() | (F.col("_version") == F.col("h.version"))) & (F.col("_source").isNull() | (F.col("_source") == F.col("h.source_identity")))
+    return free.unionByName(bound.join(asked, same & fits, "left_semi"))
+
+
+def lock_asks(locks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What packages of locks ask for, a row each: ``lock_dir``, ``ecosystem``, ``owner``, ``name``, ``version``, ``source_identity``."""
+    return locks.select(*by, "lock_dir", "ecosystem", F.col("name").alias("owner"), F.explode("asks").alias("a")).select(*by, "lock_dir", "ecosystem", "owner", "a.*")
+
+
+def resolve_versions(dependencies: DataFrame, locks: DataFrame, members: DataFrame | None = None, by: Sequence[str] = (), asks: DataFrame | None = None) -> DataFrame:
     """Locked version of each dependency from its nearest applicable lock that knows it.
 
     ``dependencies``: ``dependency_id``, ``project_dir``, ``ecosystem``, ``name``, ``version_range``; ``locks``:
@@ -260,6 +287,10 @@ def resolve_versions(dependencies: DataFrame, locks: DataFrame, members: DataFra
     A lock applies to the project of its own folder and to the projects its root lists: ``members`` (``lock_dir``,
     ``ecosystem``, ``project_dir``, see :func:`match_members`).  Optional columns of ``dependencies``: ``lock_path``, the
     only lock folder to look at, and ``lock_disabled``.
+
+    Where ``dependencies`` has a ``project_name`` and ``locks`` an ``importer``, ``asks`` (see :func:`lock_asks`) tells what packages of
+    Cargo and Python locks ask for: a lock that holds the project itself exactly once gives only versions and sources that the
+    project asks for there.
     """
     wanted = dependencies.withColumn("_key", normalize_identifier("ecosystem", "name"))
     held = locks.withColumn("_key", normalize_identifier("ecosystem", "name")).withColumn("_bad", ~valid_version(F.col("ecosystem"), F.col("version")))
@@ -273,6 +304,9 @@ def resolve_versions(dependencies: DataFrame, locks: DataFrame, members: DataFra
         reach = reach.unionByName(asked.filter("_chosen = '*'").join(listed, [*by, "project_dir", "ecosystem"]))
     hits = reach.join(held.select(*by, "lock_dir", "ecosystem", "_key", "version", "descriptor", "source_identity", "framework", "_bad"), [*by, "lock_dir", "ecosystem", "_key"])
     hits = hits.filter(F.col("descriptor").isNull() | (F.col("descriptor") == F.col("version_range")))
+    if asks is not None:
+        projects = wanted.select(*by, "project_dir", "ecosystem", normalize_identifier("ecosystem", "project_name").alias("_own")).distinct()
+        hits = _asked_by_project(hits, reach, projects, held, asks, by)
     per_lock = hits.groupBy(*by, "project_dir", "ecosystem", "_key", "version_range", "_chosen", "lock_dir").agg(
         F.min("version").alias("_v0"),
         F.max("version").alias("_v1"),

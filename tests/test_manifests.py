@@ -164,3 +164,59 @@ def test_long_files_and_one_scan(spark):
     assert values(facts.filter("fact in ('dependency', 'member')").groupBy("path", "fact").count()) == [("a/Cargo.toml", "dependency", n), ("a/Cargo.toml", "member", n), ("a/Gemfile", "dependency", n), ("a/requirements.txt", "dependency", n)]
     plan = facts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1 and "Union" not in plan and "Python" not in plan and "MapInPandas" not in plan
+
+
+def test_importers_of_locks(spark):
+    from corpusloom.operators.lookups import lock_asks, resolve_versions
+    from corpusloom.sources.locks import lock_rows
+
+    cargo = """version = 4
+[[package]]
+name = "api"
+version = "0.1.0"
+dependencies = [
+ "serde 1.0.0",
+ "rand 0.8.0 (registry+x)",
+]
+
+[[package]]
+name = "web"
+version = "0.1.0"
+dependencies = [
+ "serde 2.0.0",
+]
+
+[[package]]
+name = "serde"
+version = "1.0.0"
+source = "registry+x"
+
+[[package]]
+name = "serde"
+version = "2.0.0"
+source = "registry+x"
+
+[[package]]
+name = "rand"
+version = "0.8.0"
+source = "registry+x"
+
+[[package]]
+name = "rand"
+version = "0.8.0"
+source = "git+y"
+"""
+    uv = '[[package]]\nname = "tool"\nversion = "1.0"\nsource = { editable = "packages/tool" }\ndependencies = [\n    { name = "httpx", version = "2.0" },\n]\n\n[[package]]\nname = "httpx"\nversion = "1.0"\nsource = { registry = "https://p" }\n\n[[package]]\nname = "httpx"\nversion = "2.0"\nsource = { registry = "https://p" }\n'
+    locks = lock_rows(spark.createDataFrame([("rs/Cargo.lock", cargo), ("py/uv.lock", uv)], "path string, text string"))
+    assert values(locks.filter("importer is not null"), "name", "importer") == [("tool", "py/packages/tool")]
+    wanted = [("rs/api", "api", "cargo", "serde"), ("rs/web", "web", "cargo", "serde"), ("rs/web", "web", "cargo", "rand"), ("rs/api", "api", "cargo", "rand"), ("rs/new", "new", "cargo", "serde"), ("py/packages/tool", "tool", "pypi", "httpx"), ("py/other", "tool", "pypi", "httpx")]
+    dependencies = spark.createDataFrame([(*w, "*") for w in wanted], "project_dir string, project_name string, ecosystem string, name string, version_range string")
+    members = spark.createDataFrame([(d.split("/")[0], e, d) for d, _, e, _ in wanted], "lock_dir string, ecosystem string, project_dir string")
+    got = resolve_versions(dependencies, locks, members, asks=lock_asks(locks))
+    assert values(got, "project_dir", "name", "status", "resolved_version") == sorted(
+        [
+            ("rs/api", "serde", "resolved", "1.0.0"), ("rs/web", "serde", "resolved", "2.0.0"), ("rs/web", "rand", "unlocked", None), ("rs/api", "rand", "resolved", "0.8.0"),
+            ("rs/new", "serde", "ambiguous", None), ("py/packages/tool", "httpx", "resolved", "2.0"), ("py/other", "httpx", "ambiguous", None),
+        ],
+        key=repr,
+    )
