@@ -32,7 +32,7 @@ from .words import _spread
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-# Grams looked at to choose the borders of partitions; results do not depend on them.
+# Grams, at most, brought to the driver to choose the borders of partitions; results do not depend on them.
 BORDER_SAMPLE = 20_000
 _SAMPLE_SHARE = 64
 _CHUNK_BYTES = 4_000_000
@@ -260,9 +260,10 @@ def edges(docs: DataFrame) -> DataFrame:
     rows = docs.select("text", F.col("lang").cast("string").alias("lang"))
     n = partitions(docs.sparkSession)
     if n > 1:
-        # A sixty-fourth of the documents by hash, then a bounded number of their grams, choose the borders.
+        # A sixty-fourth of the documents by hash, then one gram of each hash bucket, choose the borders.
         light = rows.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(_SAMPLE_SHARE)) == 0)
-        sample = light.mapInArrow(_gram_rows([]), "part int, gram binary, n long").select("gram", F.xxhash64("gram").alias("h")).orderBy("h").limit(BORDER_SAMPLE)
+        hashed = light.mapInArrow(_gram_rows([]), "part int, gram binary, n long").select("gram", F.xxhash64("gram").alias("h"))
+        sample = hashed.groupBy(F.pmod("h", F.lit(BORDER_SAMPLE))).agg(F.min_by("gram", "h").alias("gram"))
         grams = sorted(bytes(row.gram) for row in sample.collect())
         borders = sorted({grams[len(grams) * i // n] for i in range(1, n)}) if grams else []
     else:
