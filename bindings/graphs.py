@@ -9,42 +9,30 @@ from corpusloom.operators import owners as O
 from corpusloom.operators import scc as K
 from corpusloom.operators import traverse as T
 from corpusloom.operators import tree as R
+from corpusloom.plans import cut_lineage
 
 from .registry import PAGES, edges, page_paths, query, s
 
 c = F.col
 
 
-def followers(t, *ends):
-    """What follows each part on an order: of all places where it stands, the first (``F.min``) or last (``F.max``) one."""
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    after = lines.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("l_partkey").alias("dst"))
-    pairs = lines.withColumnRenamed("l_partkey", "src").join(after, ["l_orderkey", "l_linenumber"]).filter("src <> dst")
-    place = F.struct("l_orderkey", "l_linenumber", "dst")
-    found = pairs.groupBy("src").agg(F.array(*[end(place) for end in ends]).alias("_ends"))
-    return found.select("src", F.explode(F.array_distinct(F.transform("_ends", lambda end: end["dst"]))).alias("dst"))
+def followers(t):
+    """Each part leads to every part that follows it on some order."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", c("l_partkey").alias("src"))
+    after = t.lineitem.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("l_partkey").alias("dst"))
+    pairs = lines.join(after, ["l_orderkey", "l_linenumber"]).filter("src <> dst").select("src", "dst").distinct()
+    return pairs.withColumn("id", s(c("src"), "-", c("dst")))
 
 
-FOLLOW = """pairs AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, (a.l_orderkey, a.l_linenumber, b.l_partkey) AS place FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
+G = """g AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
     AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
-
-
-def graph(t):
-    """Each part leads to the parts that follow it on its first and on its last order."""
-    return followers(t, F.min, F.max).withColumn("id", s(c("src"), "-", c("dst")))
-
-
-G = f"{FOLLOW}, g AS (SELECT src, arg_min(dst, place) AS dst FROM pairs GROUP BY src UNION SELECT src, arg_max(dst, place) FROM pairs GROUP BY src)"
-G_FIRST = f"{FOLLOW}, g AS (SELECT src, arg_min(dst, place) AS dst FROM pairs GROUP BY src)"
 SEED = "(SELECT min(src) FROM g)"
 
 
-def seed(t):
-    return graph(t).agg(F.min("src").alias("id"))
-
-
-def all_nodes(t):
-    return graph(t).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+def graph(t):
+    """All edges, written once for the steps that read them, their nodes, and the node that the searches begin at."""
+    whole = cut_lineage(followers(t))
+    return whole, whole.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), whole.agg(F.min("src").alias("id"))
 
 
 def bfs_sql(name: str, step: str, limit: int = 40) -> str:
@@ -58,12 +46,14 @@ BOTH = "gg AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g)"
 
 @query("bfs_depths", f"WITH RECURSIVE {G}, {BOTH}, {bfs_sql('d', 'gg.b', 25)} SELECT id, depth FROM d")
 def bfs_depths(t):
-    return T.bfs_depths(all_nodes(t), graph(t), seed(t))
+    whole, nodes, start = graph(t)
+    return T.bfs_depths(nodes, whole, start)
 
 
 @query("khop_nodes", f"WITH RECURSIVE {G}, gg AS (SELECT src AS a, dst AS b FROM g), {bfs_sql('d', 'gg.b', 3)} SELECT id, depth FROM d")
 def khop_nodes(t):
-    return T.neighbours(graph(t), seed(t), 3, "outgoing")
+    whole, _, start = graph(t)
+    return T.neighbours(whole, start, 3, "outgoing")
 
 
 @query(
@@ -72,7 +62,8 @@ def khop_nodes(t):
   WHERE src IN (SELECT id FROM d WHERE depth < 2) OR dst IN (SELECT id FROM d WHERE depth < 2)""",
 )
 def khop_relations(t):
-    return T.khop_relations(graph(t), seed(t), 2, "both").select("src", "dst")
+    whole, _, start = graph(t)
+    return T.khop_relations(whole, start, 2, "both").select("src", "dst")
 
 
 @query(
@@ -83,7 +74,8 @@ def khop_relations(t):
   SELECT coalesce(f.id, b.id) AS id, CASE WHEN i IS NOT NULL AND (o IS NULL OR i <= o) THEN -i ELSE o END AS hop FROM f FULL JOIN b ON f.id = b.id""",
 )
 def signed_hops(t):
-    return T.signed_hops(graph(t), seed(t))
+    whole, _, start = graph(t)
+    return T.signed_hops(whole, start)
 
 
 HUB = "(SELECT arg_max(id, (n, -id)) FROM (SELECT id, count(*) AS n FROM (SELECT src AS id FROM g UNION ALL SELECT dst FROM g) GROUP BY id))"
@@ -97,9 +89,10 @@ HUB = "(SELECT arg_max(id, (n, -id)) FROM (SELECT id, count(*) AS n FROM (SELECT
   FROM g LEFT JOIN d x ON x.id = src LEFT JOIN d y ON y.id = dst""",
 )
 def edge_emphasis(t):
-    ends = graph(t).select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    whole, nodes, _ = graph(t)
+    ends = whole.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     hub = ends.agg(F.max_by("id", F.struct("n", -c("id"))).alias("id"))
-    return T.edge_emphasis(all_nodes(t), graph(t), hub).select("src", "dst", "emphasis")
+    return T.edge_emphasis(nodes, whole, hub).select("src", "dst", "emphasis")
 
 
 REACH = """r AS (SELECT DISTINCT src AS a, dst AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b)"""
@@ -112,7 +105,8 @@ REACH = """r AS (SELECT DISTINCT src AS a, dst AS b FROM g UNION SELECT r.a, g.d
   SELECT n.id, coalesce(component, n.id) AS component FROM n LEFT JOIN m ON m.id = n.id""",
 )
 def scc_components(t):
-    return K.strong_components(all_nodes(t), graph(t))
+    whole, nodes, _ = graph(t)
+    return K.strong_components(nodes, whole)
 
 
 @query(
@@ -124,20 +118,20 @@ def scc_components(t):
   SELECT co.id, component, depth FROM co JOIN dd ON dd.id = co.component""",
 )
 def scc_depths(t):
-    return K.scc_depths(all_nodes(t), graph(t))
+    whole, nodes, _ = graph(t)
+    return K.scc_depths(nodes, whole)
 
 
 @query(
     "longest_depths",
-    """WITH RECURSIVE u AS (SELECT least(l_partkey, l_suppkey * 20) AS src, greatest(l_partkey, l_suppkey * 20) AS dst, l_orderkey AS o FROM lineitem WHERE l_partkey <> l_suppkey * 20),
-  g AS (SELECT src, arg_max(dst, (o, dst)) AS dst FROM u GROUP BY src),
-  r(id, depth) AS (SELECT src, 0 FROM g UNION SELECT dst, depth + 1 FROM r JOIN g ON g.src = r.id)
+    """WITH RECURSIVE u AS (SELECT least(l_partkey, l_suppkey * 20) AS src, greatest(l_partkey, l_suppkey * 20) AS dst FROM lineitem WHERE l_partkey <> l_suppkey * 20),
+  g AS (SELECT DISTINCT src, dst FROM u), r(id, depth) AS (SELECT src, 0 FROM g UNION SELECT dst, depth + 1 FROM r JOIN g ON g.src = r.id)
   SELECT id, max(depth) AS depth FROM r GROUP BY id""",
 )
 def longest_depths(t):
     scaled = c("l_suppkey") * 20
-    upward = t.lineitem.filter(c("l_partkey") != scaled).select(F.least("l_partkey", scaled).alias("src"), F.greatest("l_partkey", scaled).alias("dst"), "l_orderkey")
-    return K.longest_depths(upward.groupBy("src").agg(F.max_by("dst", F.struct("l_orderkey", "dst")).alias("dst")))
+    upward = t.lineitem.filter(c("l_partkey") != scaled).select(F.least("l_partkey", scaled).alias("src"), F.greatest("l_partkey", scaled).alias("dst"))
+    return K.longest_depths(upward.distinct())
 
 
 def _typed(t, relations):
@@ -146,7 +140,7 @@ def _typed(t, relations):
 
 
 def _typed_graph(t):
-    return _typed(t, graph(t))
+    return cut_lineage(_typed(t, followers(t)))
 
 
 def _kept(t):
@@ -192,91 +186,6 @@ def path_provenance(t):
     return provenance.agg(F.count_distinct("id").alias("edges"), F.count_distinct(F.split_part("id", F.lit("-"), F.lit(1))).alias("starts"))
 
 
-# The same operators on every follower of every part.  The SQL above describes the graph of first and last followers, and a
-# recursive query over all of them takes too long; tests compare these with brute force.
-def all_followers(t):
-    """Each part leads to every part that follows it on some order."""
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", c("l_partkey").alias("src"))
-    after = t.lineitem.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("l_partkey").alias("dst"))
-    pairs = lines.join(after, ["l_orderkey", "l_linenumber"]).filter("src <> dst").select("src", "dst").distinct()
-    return pairs.withColumn("id", s(c("src"), "-", c("dst")))
-
-
-def _whole(t):
-    """All edges, their nodes, and the node that the searches begin at."""
-    whole = all_followers(t)
-    return whole, whole.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), whole.agg(F.min("src").alias("id"))
-
-
-@query("bfs_depths_all")
-def bfs_depths_all(t):
-    whole, nodes, start = _whole(t)
-    return T.bfs_depths(nodes, whole, start)
-
-
-@query("khop_nodes_all")
-def khop_nodes_all(t):
-    whole, _, start = _whole(t)
-    return T.neighbours(whole, start, 3, "outgoing")
-
-
-@query("khop_relations_all")
-def khop_relations_all(t):
-    whole, _, start = _whole(t)
-    return T.khop_relations(whole, start, 2, "both").select("src", "dst")
-
-
-@query("signed_hops_all")
-def signed_hops_all(t):
-    whole, _, start = _whole(t)
-    return T.signed_hops(whole, start)
-
-
-@query("edge_emphasis_all")
-def edge_emphasis_all(t):
-    whole, nodes, _ = _whole(t)
-    ends = whole.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    hub = ends.agg(F.max_by("id", F.struct("n", -c("id"))).alias("id"))
-    return T.edge_emphasis(nodes, whole, hub).select("src", "dst", "emphasis")
-
-
-@query("scc_components_all")
-def scc_components_all(t):
-    whole, nodes, _ = _whole(t)
-    return K.strong_components(nodes, whole)
-
-
-@query("scc_depths_all")
-def scc_depths_all(t):
-    whole, nodes, _ = _whole(t)
-    return K.scc_depths(nodes, whole)
-
-
-@query("longest_depths_all")
-def longest_depths_all(t):
-    scaled = c("l_suppkey") * 20
-    upward = t.lineitem.filter(c("l_partkey") != scaled).select(F.least("l_partkey", scaled).alias("src"), F.greatest("l_partkey", scaled).alias("dst"))
-    return K.longest_depths(upward.distinct())
-
-
-@query("compress_paths_all")
-def compress_paths_all(t):
-    _, relations, _ = C.compress_paths(_typed(t, all_followers(t)), _kept(t))
-    return relations.select("src", "dst", "hops", "kind", "confidence", "has_callback")
-
-
-@query("path_junctions_all")
-def path_junctions_all(t):
-    junctions, _, _ = C.compress_paths(_typed(t, all_followers(t)), _kept(t))
-    return junctions.select("id", "junction")
-
-
-@query("path_provenance_all")
-def path_provenance_all(t):
-    _, _, provenance = C.compress_paths(_typed(t, all_followers(t)), _kept(t))
-    return provenance.agg(F.count_distinct("id").alias("edges"), F.count_distinct(F.split_part("id", F.lit("-"), F.lit(1))).alias("starts"))
-
-
 def _places(t):
     """region → nation → customer → order as one parent table."""
     world = t.region.select(s("r", c("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent_id"))
@@ -327,7 +236,7 @@ def tree_children(t):
 )
 def scope_members(t):
     owned = t.lineitem.select(s("o", c("l_orderkey")).alias("scope"))
-    return R.scope_members(owned, R.ancestors(_places(t)))
+    return R.scope_members(owned, _places(t))
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import cut_lineage, lookup_join
+from ..plans import rewritten, lookup_join
 
 
 def ancestors(parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -17,8 +17,8 @@ def ancestors(parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     keys = [*by, "id", "ancestor"]
     links = parents.filter(F.col("parent_id").isNotNull())
-    jumps = cut_lineage(links.select(*by, "id", F.col("parent_id").alias("to")))
-    closure = cut_lineage(parents.select(*by, "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
+    jumps = rewritten(links.select(*by, "id", F.col("parent_id").alias("to")))
+    closure = rewritten(parents.select(*by, "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
     step = 1
     while True:
         # A node's ancestors beyond `step` are the ancestors of its `step`-th ancestor.
@@ -26,14 +26,14 @@ def ancestors(parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             closure.select(*by, F.col("id").alias("to"), "ancestor", "distance"), [*by, "to"]
         ).select(*keys, (F.col("distance") + step).alias("distance"))
         new = further.groupBy(*keys).agg(F.min("distance").alias("distance"))
-        new = cut_lineage(new.join(closure.select(*keys), keys, "left_anti"))
+        new = rewritten(new.join(closure.select(*keys), keys, "left_anti"))
         if new.isEmpty():
             return closure
         closure = closure.unionByName(new)  # pieces stay stored; there are as many as rounds
         active = new.select(*by, "id").distinct()
         hop = jumps.select(*by, F.col("id").alias("to"), F.col("to").alias("_next"))
         jumps = jumps.join(active, [*by, "id"], "left_semi").join(hop, [*by, "to"]).select(*by, "id", F.col("_next").alias("to"))
-        jumps = cut_lineage(jumps)
+        jumps = rewritten(jumps)
         step *= 2
 
 
@@ -50,14 +50,14 @@ def roots(parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *by, "id", F.when(F.col("_known"), F.col("root")).otherwise(F.col("id")).alias("root"),
         F.when(F.col("_known"), F.col("depth")).otherwise(0).alias("depth"), (F.col("settled") | F.col("_known").isNull()).alias("settled"),
     )
-    state = cut_lineage(state)
+    state = rewritten(state)
     open_nodes = state.filter(~F.col("settled")).count()
     covered = 1
     while open_nodes and covered <= open_nodes:
         top = state.select(*by, F.col("id").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("settled").alias("_settled"))
         joined = lookup_join(state, top, [*by, "root"])
         move = ~F.col("settled")
-        state = cut_lineage(
+        state = rewritten(
             joined.select(
                 *by, "id", F.when(move, F.col("_root")).otherwise(F.col("root")).alias("root"),
                 F.when(move, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")).alias("depth"),
@@ -77,16 +77,54 @@ def children(parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return parents.filter(F.col("parent_id").isNotNull()).groupBy(*by, F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("children"))
 
 
-def scope_members(owners: DataFrame, closure: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Nodes counted in every scope above their own: ``owners`` (``id``, ``scope``), ``closure`` from :func:`ancestors`.
+def subtree_totals(parents: DataFrame, weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(``id``, ``total``): the ``weight`` of every node and of all nodes below it.  ``weights``: ``id``, ``weight``.
 
-    Nodes are counted per own scope first, so only one row per scope goes through the ancestor join.
+    Doubling without a closure: after k rounds a node has the total of its descendants less than 2^k levels below and
+    hands it to its ancestor 2^k levels above, so every round is one row per node.  Nodes of a parent cycle are below each
+    other and get one total.
     """
-    own = owners.groupBy(*by, F.col("scope").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    lifted = own.join(closure, [*by, "id"])
-    return lifted.groupBy(*by, F.col("ancestor").alias("scope")).agg(
-        F.sum("_n").alias("members"), F.sum(F.when(F.col("distance") == 0, F.col("_n")).otherwise(0)).alias("direct")
-    )
+    known = parents.select(*by, F.col("id").alias("up"), F.lit(True).alias("_known"))
+    up = F.when(F.col("parent_id") != F.col("id"), F.col("parent_id"))
+    state = parents.select(*by, "id", up.alias("up")).join(weights.select(*by, "id", "weight"), [*by, "id"], "left")
+    state = lookup_join(state, known, [*by, "up"]).select(*by, "id", F.when(F.col("_known"), F.col("up")).alias("up"), F.coalesce("weight", F.lit(0)).alias("total"))
+    start = state = rewritten(state)
+    most, reach = state.count(), 1
+    while reach <= most:
+        given = state.filter("up is not null").groupBy(*by, F.col("up").alias("id")).agg(F.sum("total").alias("_given"))
+        above = state.select(*by, F.col("id").alias("up"), F.col("up").alias("_up"))
+        joined = lookup_join(lookup_join(state, given, [*by, "id"]), above, [*by, "up"])
+        state = rewritten(joined.select(*by, "id", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_given", F.lit(0))).alias("total")))
+        reach *= 2
+        if state.filter("up is not null").isEmpty():
+            return state.select(*by, "id", "total")
+    # Whoever still points upwards comes to a cycle, and after so many steps stands on it: each cycle becomes one root.
+    on_cycle = rewritten(state.filter("up is not null").select(*by, F.col("up").alias("id")).distinct())
+    ring = rewritten(start.join(on_cycle, [*by, "id"], "left_semi").select(*by, "id", "up", F.col("id").alias("name")))
+    reach = 1
+    while reach <= most:
+        ahead = ring.select(*by, F.col("id").alias("up"), F.col("up").alias("_up"), F.col("name").alias("_name"))
+        ring = rewritten(ring.join(ahead, [*by, "up"]).select(*by, "id", F.col("_up").alias("up"), F.least("name", "_name").alias("name")))
+        reach *= 2
+    names = ring.select(*by, "id", "name")
+    renamed = lookup_join(start, names, [*by, "id"])
+    renamed = lookup_join(renamed, names.select(*by, F.col("id").alias("up"), F.col("name").alias("_above")), [*by, "up"])
+    merged = renamed.select(*by, F.coalesce("name", "id").alias("id"), F.when(F.col("name").isNull(), F.coalesce("_above", "up")).alias("parent_id"), "total")
+    merged = rewritten(merged.groupBy(*by, "id").agg(F.max("parent_id").alias("parent_id"), F.sum("total").alias("weight")))
+    totals = subtree_totals(merged, merged, by)
+    shared = lookup_join(names, totals.select(*by, F.col("id").alias("name"), "total"), [*by, "name"], "inner").select(*by, "id", "total")
+    return totals.join(on_cycle, [*by, "id"], "left_anti").unionByName(shared)
+
+
+def scope_members(owners: DataFrame, parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Nodes counted in every scope above their own: ``owners`` (``id``, ``scope``), ``parents`` (``id``, ``parent_id``) of the scopes.
+
+    Nodes are counted per own scope first; totals are rolled up without a table of ancestors.
+    """
+    own = rewritten(owners.groupBy(*by, F.col("scope").alias("id")).agg(F.count(F.lit(1)).alias("weight")))
+    totals = subtree_totals(parents, own, by).filter("total > 0")
+    counted = totals.join(own, [*by, "id"], "left")
+    return counted.select(*by, F.col("id").alias("scope"), F.col("total").alias("members"), F.coalesce("weight", F.lit(0)).alias("direct"))
 
 
 def tree_paths(closure: DataFrame, by: Sequence[str] = (), separator: str = "/") -> DataFrame:

@@ -1,4 +1,4 @@
-from .lineage import checkpoint_folder, cut_lineage, store_partitioned
+from .lineage import checkpoint_folder, cut_lineage, rewritten, store_partitioned
 from .skew import lookup_join, only_value
 from .scan import Blocks, positions
 
@@ -6,6 +6,7 @@ __all__ = [
     "Blocks",
     "checkpoint_folder",
     "cut_lineage",
+    "rewritten",
     "lookup_join",
     "only_value",
     "positions",

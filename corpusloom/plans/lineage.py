@@ -7,6 +7,7 @@ Iterations are cut with reliable checkpoints in the shared folder the cluster na
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from collections.abc import Sequence
 
@@ -38,6 +39,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    For loops that join a table with itself: a checkpoint keeps the size the planner has estimated, which such a join squares
+    every round; a written table has its real size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def store_partitioned(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Materialise ``df`` hash-partitioned and sorted by ``keys``, so that later joins on them move only the other side.
 
