@@ -43,13 +43,9 @@ MODEL = """md AS (SELECT 'r' || r_regionkey AS id, 'code-package' AS kind, NULL:
   UNION ALL SELECT 'p' || p_partkey, (['artifact', 'execution-config', 'resource', 'unresolved'])[p_partkey % 4 + 1], NULL, CASE p_partkey % 3 WHEN 0 THEN ['prod'] WHEN 1 THEN ['except:prod'] ELSE [] END, FALSE, NULL, CASE WHEN p_partkey % 4 = 1 THEN 'n' || (p_partkey % 25) END, NULL, FALSE FROM part)"""
 
 
-def model_edges(t, whole=False):
+def model_edges(t):
     """Typed flows between operations and their targets, command order between operations, and recorded definitions."""
-    if whole:
-        lines = t.lineitem.select("l_suppkey", "l_partkey", "l_returnflag", "l_linestatus").distinct()
-    else:
-        # Of each operation and sort of flow, the first part it reaches over all line items, as the SQL below says.
-        lines = t.lineitem.groupBy("l_suppkey", c("l_partkey") % 4, "l_returnflag", "l_linestatus").agg(F.min("l_partkey").alias("l_partkey"))
+    lines = t.lineitem.select("l_suppkey", "l_partkey", "l_returnflag", "l_linestatus").distinct()
     reading = (c("l_partkey") % 4 == 0) & (c("l_returnflag") == "R")
     kind = (
         F.when(reading, "flow-input").when(c("l_partkey") % 4 == 0, "flow-generates").when((c("l_partkey") % 4 == 1) & (c("l_returnflag") == "A"), "flow-deploys").when(c("l_partkey") % 4 == 1, "flow-starts")
@@ -66,7 +62,7 @@ def model_edges(t, whole=False):
 
 
 def model_edges_sql() -> str:
-    return """li AS (SELECT l_suppkey AS k, min(l_partkey) AS p, l_returnflag AS f, l_linestatus AS st FROM lineitem GROUP BY l_suppkey, l_partkey % 4, l_returnflag, l_linestatus),
+    return """li AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS p, l_returnflag AS f, l_linestatus AS st FROM lineitem),
   me0 AS (SELECT CASE WHEN p % 4 = 0 AND f = 'R' THEN 'p' || p ELSE 's' || k END AS src, CASE WHEN p % 4 = 0 AND f = 'R' THEN 's' || k ELSE 'p' || p END AS dst,
   CASE WHEN p % 4 = 0 AND f = 'R' THEN 'flow-input' WHEN p % 4 = 0 THEN 'flow-generates' WHEN p % 4 = 1 AND f = 'A' THEN 'flow-deploys' WHEN p % 4 = 1 THEN 'flow-starts' WHEN p % 4 = 2 AND f = 'A' THEN 'flow-applies' WHEN p % 4 = 2 THEN 'data-operation' ELSE 'http-request' END AS kind,
   CASE WHEN st = 'O' THEN 'prod' ELSE '' END AS environment FROM li UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey // 3), CASE WHEN s_suppkey % 2 = 0 THEN 'flow-precedes' ELSE 'flow-invokes' END, '' FROM supplier WHERE s_suppkey <> s_suppkey // 3
@@ -93,14 +89,9 @@ def env_filter(t):
     f"""WITH RECURSIVE {MODEL}, {EDGES_SQL}, ok AS (SELECT id FROM md WHERE kind = 'application' OR len(environments) = 0 OR list_contains(environments, 'dev') OR environments = ['except:prod'])
   SELECT kind, count(*) AS n FROM me WHERE environment = '' AND src IN (SELECT id FROM ok) AND dst IN (SELECT id FROM ok) GROUP BY kind""",
 )
-def env_edges(t, whole=False):
+def env_edges(t):
     shown = A.env_filter(model_nodes(t), "dev", include_auxiliary=True)
-    return A.env_edges(model_edges(t, whole), shown, "dev").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("env_edges_all")
-def env_edges_all(t):
-    return env_edges(t, whole=True)
+    return A.env_edges(model_edges(t), shown, "dev").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -126,32 +117,22 @@ def content_choices(t):
   al2 AS (SELECT id FROM sub UNION SELECT id FROM sup), up(id) AS (SELECT id FROM al2 UNION SELECT parent_id FROM up JOIN md ON md.id = up.id WHERE parent_id IS NOT NULL)
   SELECT id, CASE WHEN id IN (SELECT id FROM al) THEN 'core' WHEN id IN (SELECT id FROM sub) THEN 'peer' ELSE 'support' END AS role FROM up""",
 )
-def content_range(t, whole=False):
-    nodes, _ = A.content_range(model_nodes(t), model_edges(t, whole), path="publish")
+def content_range(t):
+    nodes, _ = A.content_range(model_nodes(t), model_edges(t), path="publish")
     return nodes
 
 
-@query("content_range_all")
-def content_range_all(t):
-    return content_range(t, whole=True)
-
-
 @query(
     "content_range_runtime",
     f"""WITH RECURSIVE {MODEL}, {model_edges_sql()}, rt AS (SELECT * FROM me WHERE kind IN ('data-operation', 'http-request', 'service-use') AND src NOT IN (SELECT id FROM md WHERE kind = 'tool-operation')),
   core AS (SELECT src AS id FROM rt UNION SELECT dst FROM rt), exp AS (SELECT src AS id FROM me WHERE kind = 'flow-definition' AND dst IN (SELECT id FROM core)), al2 AS (SELECT id FROM core UNION SELECT id FROM exp),
   up(id) AS (SELECT id FROM al2 UNION SELECT parent_id FROM up JOIN md ON md.id = up.id WHERE parent_id IS NOT NULL) SELECT id, CASE WHEN id IN (SELECT id FROM core) THEN 'core' ELSE 'support' END AS role FROM up""",
 )
-def content_range_runtime(t, whole=False):
-    nodes, _ = A.content_range(model_nodes(t), model_edges(t, whole), path="runtime")
+def content_range_runtime(t):
+    nodes, _ = A.content_range(model_nodes(t), model_edges(t), path="runtime")
     return nodes
 
 
-@query("content_range_runtime_all")
-def content_range_runtime_all(t):
-    return content_range_runtime(t, whole=True)
-
-
 @query("content_range_environment")
 def content_range_environment(t):
     nodes, _ = A.content_range(model_nodes(t), model_edges(t, True), environment="prod")
@@ -171,17 +152,12 @@ def content_range_definition(t):
   SELECT a.owner AS src_owner, b.owner AS dst_owner, kind, environment, CASE WHEN a.owner <> b.owner THEN 'connection' WHEN src <> a.owner OR dst <> b.owner THEN 'internal' ELSE 'self' END AS relation, count(*) AS n
   FROM me JOIN ow a ON a.id = src JOIN ow b ON b.id = dst GROUP BY ALL""",
 )
-def scope_projection(t, whole=False):
+def scope_projection(t):
     nodes = model_nodes(t)
-    _, bundled = A.scope_projection(nodes, model_edges(t, whole), TR.ancestors(nodes.select("id", "parent_id")), scope="r1")
+    _, bundled = A.scope_projection(nodes, model_edges(t), TR.ancestors(nodes.select("id", "parent_id")), scope="r1")
     return bundled.groupBy("src_owner", "dst_owner", "kind", "environment", "relation").agg(F.sum("n").alias("n"))
 
 
-@query("scope_projection_all")
-def scope_projection_all(t):
-    return scope_projection(t, whole=True)
-
-
 @query(
     "ownership",
     rf"""WITH {PAGES}, x AS (SELECT page_id, path, CASE WHEN page_id % 5 = 0 THEN 'external' ELSE 'function' END AS kind, page_id % 3 <> 0 AS known, CASE page_id % 4 WHEN 0 THEN 'context:runtime:rt' || (page_id % 7) WHEN 1 THEN 'context:service:svc' ELSE 'context:unclassified' END AS ctx FROM pg)
@@ -220,13 +196,8 @@ TARGETS = """lo AS (SELECT id, kind, coalesce(logical_owner, CASE WHEN kind IN (
 
 
 @query("usage_targets", f"WITH {MODEL}, {EDGES_SQL}, {TARGETS} SELECT id, target FROM tg")
-def usage_targets(t, whole=False):
-    return A.usage_targets(model_nodes(t), model_edges(t, whole))
-
-
-@query("usage_targets_all")
-def usage_targets_all(t):
-    return usage_targets(t, whole=True)
+def usage_targets(t):
+    return A.usage_targets(model_nodes(t), model_edges(t))
 
 
 @query(
@@ -235,13 +206,8 @@ def usage_targets_all(t):
   o AS (SELECT src AS id, count(DISTINCT (kind, dst, environment)) AS n FROM me JOIN ops ON ops.id = src WHERE kind IN ('flow-generates', 'flow-starts', 'flow-deploys', 'flow-applies') GROUP BY 1), k AS (SELECT id, count(*) AS n FROM tg GROUP BY 1)
   SELECT md.id, tool, md.purpose, coalesce(k.n, 0) AS targets, coalesce(i.n, 0) AS inputs, coalesce(o.n, 0) AS outputs, coalesce(k.n, 0) > 0 OR coalesce(i.n, 0) > 0 AS resolved FROM md JOIN ops ON ops.id = md.id LEFT JOIN i ON i.id = md.id LEFT JOIN o ON o.id = md.id LEFT JOIN k ON k.id = md.id""",
 )
-def usage_index(t, whole=False):
-    return A.usage_index(model_nodes(t), model_edges(t, whole)).drop("context")
-
-
-@query("usage_index_all")
-def usage_index_all(t):
-    return usage_index(t, whole=True)
+def usage_index(t):
+    return A.usage_index(model_nodes(t), model_edges(t)).drop("context")
 
 
 @query("simple_overview")
@@ -254,16 +220,11 @@ def simple_overview(t):
     "overview_conservation",
     f"""WITH {MODEL}, {model_edges_sql()} SELECT (SELECT count(*) FROM md) AS entities, (SELECT count(*) FROM me WHERE src IN (SELECT id FROM md) AND dst IN (SELECT id FROM md)) AS relations""",
 )
-def overview_conservation(t, whole=False):
-    units, relations = A.simple_overview(model_nodes(t), model_edges(t, whole))
+def overview_conservation(t):
+    units, relations = A.simple_overview(model_nodes(t), model_edges(t))
     return units.agg(F.count_distinct("id").alias("entities"), F.lit(1).alias("_k")).join(relations.agg(F.sum("n").alias("relations"), F.lit(1).alias("_k")), "_k").drop("_k")
 
 
-@query("overview_conservation_all")
-def overview_conservation_all(t):
-    return overview_conservation(t, whole=True)
-
-
 @query(
     "structural_groups",
     """WITH x AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 'original|' || s_suppkey ELSE 'n' || s_nationkey || '|wrangler.json|' || CASE WHEN s_suppkey % 2 = 0 THEN 'local' ELSE '' END || '|env' || (s_suppkey % 4) END AS key FROM supplier)
@@ -296,14 +257,9 @@ def resource_groups(t):
   SELECT md.id, coalesce(consumers, 0) AS consumers, coalesce(s, 0) AS source_uses, coalesce(d, 0) AS declared_uses, CASE WHEN s > 0 THEN 'source' WHEN d > 0 THEN 'declared' ELSE 'unconfirmed' END AS status, coalesce(s, 0) > 0 OR (coalesce(d, 0) > 0 AND library) AS shared
   FROM md LEFT JOIN g ON g.id = md.id WHERE kind = 'code-package'""",
 )
-def package_usage(t, whole=False):
+def package_usage(t):
     nodes = model_nodes(t)
-    return A.package_usage(nodes, model_edges(t, whole), TR.roots(nodes.select("id", "parent_id")).select("id", "root"))
-
-
-@query("package_usage_all")
-def package_usage_all(t):
-    return package_usage(t, whole=True)
+    return A.package_usage(nodes, model_edges(t), TR.roots(nodes.select("id", "parent_id")).select("id", "root"))
 
 
 @query(
