@@ -428,14 +428,14 @@ def asset_refs(t):
 
 @query(
     "resolve_links",
-    r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1)) AS t FROM pages), k AS (SELECT DISTINCT t FROM h WHERE page_id % 2 = 0),
-  a AS (SELECT page_id, t, count(DISTINCT CASE WHEN k IN (SELECT t FROM k) THEN k END) AS n, min(CASE WHEN k IN (SELECT t FROM k) THEN k END) AS hit FROM (SELECT page_id, t, unnest([t, t || ',', t || '.']) AS k FROM h WHERE page_id % 2 = 1) GROUP BY ALL)
+    r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1)) AS t FROM pages), k AS (SELECT DISTINCT t FROM h),
+  a AS (SELECT page_id, t, count(DISTINCT CASE WHEN k IN (SELECT t FROM k) THEN k END) AS n, min(CASE WHEN k IN (SELECT t FROM k) THEN k END) AS hit FROM (SELECT page_id, t, unnest([t, t || ',', t || '.']) AS k FROM h) GROUP BY ALL)
   SELECT t AS specifier, CASE WHEN n = 1 THEN hit END AS resolved_path, CASE WHEN n = 0 THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' END AS reason, count(*) AS pages FROM a GROUP BY ALL""",
 )
 def resolve_links(t):
     links = t.pages.select("page_id", F.explode(AS.anchors("html")).alias("specifier"))
-    known = links.filter("page_id % 2 = 0").select(c("specifier").alias("path")).distinct()
-    asked = links.filter("page_id % 2 = 1").select("page_id", "specifier").distinct()
+    known = links.select(c("specifier").alias("path")).distinct()
+    asked = links.select("page_id", "specifier").distinct()
     pages = asked.groupBy("specifier").agg(F.count(F.lit(1)).alias("pages"))
     variants = F.array("specifier", F.concat("specifier", F.lit(",")), F.concat("specifier", F.lit(".")))
     answers = IM.resolve_candidates(pages.select("specifier", variants.alias("candidates")), known, ["specifier"])
@@ -551,22 +551,27 @@ def map_tree(t):
 
 @query(
     "line_col",
-    """WITH x AS (SELECT doc_id, text, strpos(text, 'the') - 1 AS p FROM documents WHERE contains(text, 'the')) SELECT doc_id, length(text[:p]) - length(replace(text[:p], chr(10), '')) + 1 AS line,
-  p - coalesce(length(regexp_extract(text[:p], '(?s)^.*\n')), 0) + 1 AS col, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM x""",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents),
+  p AS (SELECT doc_id, line, lines, string_split(row, 'the') AS pieces, unnest(range(1, len(string_split(row, 'the')))) AS k FROM l WHERE contains(row, 'the'))
+  SELECT doc_id, line::INT AS line, (length(array_to_string(pieces[:k], 'the')) + 1)::INT AS col, lines FROM p""",
 )
 def line_col(t):
-    found = t.documents.withColumn("p", F.instr("text", "the") - 1).filter("p >= 0")
-    return found.select("doc_id", XF.line_at("text", "p").alias("line"), XF.column_at("text", "p").alias("col"), XF.line_count("text").alias("lines"))
+    """Every place of a word in every document."""
+    found = t.documents.select("doc_id", XF.line_count("text").alias("lines"), F.explode(XF.places("text", "the")).alias("p"))
+    return found.select("doc_id", "p.line", "p.col", "lines")
 
 
 @query(
     "evidence_label",
-    """WITH x AS (SELECT doc_id, source, strpos(text, 'the') - 1 AS p, text FROM documents WHERE contains(text, 'the')), y AS (SELECT *, length(text[:p]) - length(replace(text[:p], chr(10), '')) + 1 AS a, length(text[:p + 400]) - length(replace(text[:p + 400], chr(10), '')) + 1 AS b FROM x)
-  SELECT doc_id, source || ':' || a || CASE WHEN b > a THEN '–' || b ELSE '' END AS label, greatest(1, a - 2) AS context_start FROM y""",
+    """WITH x AS (SELECT doc_id, source, text, strpos(text, 'the') - 1 AS p, length(text) - length(regexp_extract(text, '(?s)^.*the')) AS rest FROM documents),
+  y AS (SELECT *, length(text[:p]) - length(replace(text[:p], chr(10), '')) + 1 AS a, length(text[:length(text) - rest]) - length(replace(text[:length(text) - rest], chr(10), '')) + 1 AS b FROM x)
+  SELECT doc_id, source || CASE WHEN p < 0 THEN '' ELSE ':' || a || CASE WHEN b > a THEN '–' || b ELSE '' END END AS label, CASE WHEN p >= 0 THEN greatest(1, a - 2) END AS context_start FROM y""",
 )
 def evidence_label(t):
-    found = t.documents.withColumn("p", F.instr("text", "the") - 1).filter("p >= 0").withColumn("e", XF.evidence_range("text", "p", c("p") + 400))
-    return found.select("doc_id", XF.evidence_label("source", F.array("e")).alias("label"), c("e.context_start").alias("context_start"))
+    """The range from the first to the last place of a word in every document; documents without it are named alone."""
+    first, last = F.instr("text", "the") - 1, F.length(F.regexp_extract("text", "(?s)^.*the", 0))
+    found = t.documents.withColumn("p", F.when(first >= 0, first)).withColumn("e", F.when(first >= 0, XF.evidence_range("text", "p", last)))
+    return found.select("doc_id", XF.evidence_label("source", F.array_compact(F.array("e"))).alias("label"), c("e.context_start").alias("context_start"))
 
 
 @query(

@@ -13,15 +13,15 @@ from .registry import PAGES, page_paths, query, s
 
 c = F.col
 
-# Owners: every host, and every host/language folder of pages whose number ends in 0.
-_PLACES = r"""own AS (SELECT DISTINCT split_part(path, '/', 1) AS owner_path FROM pg WHERE page_id % 3 = 0
-  UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM pg WHERE page_id % 10 = 0)"""
+# Owners: every host, and every host/language folder.
+_PLACES = r"""own AS (SELECT DISTINCT split_part(path, '/', 1) AS owner_path FROM pg
+  UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM pg)"""
 
 
 def _places(t):
     parts = F.split("path", "/")
-    hosts = page_paths(t).filter("page_id % 3 = 0").select(F.get(parts, F.lit(0)).alias("owner_path"))
-    folders = page_paths(t).filter("page_id % 10 = 0").select(F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("owner_path"))
+    hosts = page_paths(t).select(F.get(parts, F.lit(0)).alias("owner_path"))
+    folders = page_paths(t).select(F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("owner_path"))
     return hosts.unionByName(folders).distinct().withColumn("owner", F.concat(F.lit("own:"), c("owner_path")))
 
 
@@ -36,11 +36,11 @@ def nearest_owner(t):
 
 @query(
     "region_nesting",
-    f"""WITH {PAGES}, {_PLACES}, r AS (SELECT owner_path AS path FROM own UNION SELECT DISTINCT path FROM pg WHERE page_id % 5 = 0)
+    f"""WITH {PAGES}, {_PLACES}, r AS (SELECT owner_path AS path FROM own UNION SELECT DISTINCT path FROM pg)
   SELECT path, (SELECT 'own:' || p.path FROM r p WHERE starts_with(r.path, p.path || '/') ORDER BY length(p.path) DESC LIMIT 1) AS parent_id FROM r""",
 )
 def region_nesting(t):
-    paths = _places(t).select(c("owner_path").alias("path")).union(page_paths(t).filter("page_id % 5 = 0").select("path")).distinct()
+    paths = _places(t).select(c("owner_path").alias("path")).union(page_paths(t).select("path")).distinct()
     return O.region_nesting(paths.withColumn("id", F.concat(F.lit("own:"), c("path")))).select("path", "parent_id")
 
 
@@ -157,8 +157,8 @@ def match_routes(t):
 
 @query(
     "resolve_references",
-    """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_type AS path, upper(p_name) AS reference FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45),
-  m AS (SELECT 'm' || p_partkey AS id, p_name AS label, p_type AS path FROM part WHERE p_partkey % 40 = 0),
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_type AS path, upper(p_name) AS reference FROM lineitem JOIN part ON p_partkey = l_partkey),
+  m AS (SELECT 'm' || p_partkey AS id, p_name AS label, p_type AS path FROM part),
   l AS (SELECT lower(label) AS key, path, min(id) AS lo, max(id) AS hi FROM m GROUP BY ALL), g AS (SELECT lower(label) AS key, min(id) AS lo, max(id) AS hi FROM m GROUP BY ALL)
   SELECT f.path, reference, CASE WHEN l.lo = l.hi THEN l.lo WHEN g.lo = g.hi THEN g.lo END AS target,
   CASE WHEN l.lo = l.hi THEN 'source' WHEN g.lo = g.hi THEN 'inferred' ELSE 'unresolved' END AS confidence,
@@ -166,8 +166,8 @@ def match_routes(t):
   FROM f LEFT JOIN l ON l.key = lower(reference) AND l.path = f.path LEFT JOIN g ON g.key = lower(reference) GROUP BY ALL""",
 )
 def resolve_references(t):
-    fields = t.lineitem.filter("l_quantity > 45").join(t.part, c("p_partkey") == c("l_partkey")).select(c("p_type").alias("path"), F.upper("p_name").alias("reference"))
-    models = t.part.filter("p_partkey % 40 = 0").select(s("m", c("p_partkey")).alias("id"), c("p_name").alias("label"), c("p_type").alias("path"))
+    fields = t.lineitem.join(t.part, c("p_partkey") == c("l_partkey")).select(c("p_type").alias("path"), F.upper("p_name").alias("reference"))
+    models = t.part.select(s("m", c("p_partkey")).alias("id"), c("p_name").alias("label"), c("p_type").alias("path"))
     return L.resolve_references(fields, models).groupBy("path", "reference", "target", "confidence", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -191,14 +191,14 @@ def db_edges(t):
 
 @query(
     "link_types",
-    """WITH v AS (SELECT 'v' || event_id AS id, event_type AS symbol FROM events WHERE event_type <> 'error'), m AS (SELECT DISTINCT 'm:' || event_type AS id, event_type AS symbol FROM events WHERE event_type <> 'click'),
+    """WITH v AS (SELECT 'v' || event_id AS id, event_type AS symbol FROM events), m AS (SELECT DISTINCT 'm:' || event_type AS id, event_type AS symbol FROM events),
   p AS (SELECT v.id AS value, m.id AS model FROM v JOIN m USING (symbol))
   SELECT left(id, 1) AS side, link, count(*) AS n, count(DISTINCT linked) AS linked FROM
   (SELECT value AS id, model AS linked, 'type' AS link FROM p UNION ALL SELECT model, value, 'value' FROM p) GROUP BY ALL""",
 )
 def link_types(t):
-    values = t.events.filter("event_type <> 'error'").select(s("v", c("event_id")).alias("id"), c("event_type").alias("symbol"))
-    models = t.events.filter("event_type <> 'click'").select(F.concat(F.lit("m:"), "event_type").alias("id"), c("event_type").alias("symbol")).distinct()
+    values = t.events.select(s("v", c("event_id")).alias("id"), c("event_type").alias("symbol"))
+    models = t.events.select(F.concat(F.lit("m:"), "event_type").alias("id"), c("event_type").alias("symbol")).distinct()
     links = L.link_types(values, models)
     return links.groupBy(F.substring("id", 1, 1).alias("side"), "link").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("linked").alias("linked"))
 

@@ -24,6 +24,19 @@ def column_at(text: Column | str, offset: Column | str) -> Column:
     return F.length(F.substring_index(head, "\n", -1)) + 1
 
 
+def places(text: Column | str, word: str) -> Column:
+    """1-based ``line`` and ``col`` of every place of ``word``, in order; the work grows with the length of the text."""
+
+    def in_line(line: Column, at: Column) -> Column:
+        pieces = F.split(line, r"\Q" + word + r"\E", -1)
+        cuts = F.sequence(F.lit(1), F.size(pieces) - 1)
+        column = lambda k: F.length(F.array_join(F.slice(pieces, 1, k), word)) + 1
+        return F.when(F.contains(line, F.lit(word)), F.transform(cuts, lambda k: F.struct((at + 1).alias("line"), column(k).alias("col"))))
+
+    lines = F.transform(F.split(_c(text), "\n", -1), in_line)
+    return F.flatten(F.filter(lines, lambda found: found.isNotNull()))
+
+
 def line_count(text: Column | str) -> Column:
     column = _c(text)
     return F.length(column) - F.length(F.replace(column, F.lit("\n"), F.lit(""))) + 1
