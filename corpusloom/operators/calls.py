@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import cut_lineage, lookup_join
+from ..plans import Blocks, cut_lineage, dyadic_blocks, lookup_join
 
 SEPARATOR = r"\.|::|->"
 # Method names that run when a class is called.
@@ -15,19 +15,39 @@ CONSTRUCTORS = ("constructor", "__init__", "initialize")
 IMPLICIT_THIS_EXCEPT = ("javascript", "typescript", "tsx")
 
 
+def _live_ranges(definitions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Where a definition can be read: from its start to the end of its block, or to the next unconditional one of that block.
+
+    The next one is carried backwards over blocks of rows, so one name may hold any share of the definitions.
+    """
+    key = [*by, "owner", "name", "scope_end"]
+    starts = definitions.groupBy(*key, "start").agg(F.max(~F.col("conditional")).alias("_sure"))
+    cut = Blocks(starts, key, [F.desc("start")])
+    sure = F.when(F.col("_sure"), F.col("start"))
+    local = cut.rows.withColumn("_near", F.last(sure, ignorenulls=True).over(cut.inside.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = cut.carry({"_first": F.min(sure)}, {"_far": ("last", "_first")}, rows=local)
+    ends = carried.select(*key, "start", F.least("scope_end", F.coalesce("_near", "_far") - 1).alias("_to"))
+    return definitions.join(ends, [*key, "start"]).withColumn("_from", F.greatest("start", "scope_start", F.lit(0)))
+
+
 def reaching_definitions(uses: DataFrame, definitions: DataFrame, scopes: DataFrame, parameters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Definitions a use may read: from the latest back to the first unconditional one, else the parameter of that name,
     else the enclosing scope.
 
     ``uses``: ``use_id``, ``owner``, ``name``, ``position``; ``definitions``: ``def_id``, ``owner``, ``name``, ``start``,
     ``scope_start``, ``scope_end``, ``conditional``; ``scopes`` (``id``, ``ancestor``, ``distance``) from tree ancestors;
-    ``parameters``: ``def_id``, ``owner``, ``name``.  The stop point is one mergeable minimum per use.
+    ``parameters``: ``def_id``, ``owner``, ``name``.  The stop point is one mergeable minimum per use.  Uses meet only
+    definitions whose live range holds them: ranges are cut into aligned blocks, and a use lies in one block per level.
     """
     chain = scopes.select(*by, F.col("id").alias("owner"), F.col("ancestor").alias("_scope"), "distance")
     reach = uses.select(*by, "use_id", "owner", "name", "position").join(chain, [*by, "owner"])
-    written = definitions.select(*by, F.col("owner").alias("_scope"), "name", "def_id", "start", "scope_start", "scope_end", "conditional")
-    visible = (F.col("start") <= F.col("position")) & (F.col("scope_start") <= F.col("position")) & (F.col("scope_end") >= F.col("position"))
-    hits = reach.join(written, [*by, "_scope", "name"]).filter(visible)
+    live = _live_ranges(definitions.select(*by, "owner", "name", "def_id", "start", "scope_start", "scope_end", "conditional"), by)
+    blocks = live.withColumn("_b", F.explode(dyadic_blocks(F.col("_from"), F.col("_to"))))
+    written = cut_lineage(blocks.select(*by, F.col("owner").alias("_scope"), "name", "def_id", "start", "conditional", "_b.level", "_b.block"))
+    levels = sorted(row.level for row in written.select("level").distinct().collect())  # at most one row per bit of a position
+    at = F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(F.col("position").cast("bigint"), level).alias("block")) for level in levels])
+    placed = reach.withColumn("_b", F.explode(at)) if levels else reach.withColumn("_b", F.lit(None).cast("struct<level:int,block:bigint>"))
+    hits = placed.select("*", "_b.level", "_b.block").drop("_b").join(written, [*by, "_scope", "name", "level", "block"])
     given = parameters.select(*by, F.col("owner").alias("_scope"), "name", "def_id")
     held = reach.join(given, [*by, "_scope", "name"]).withColumn("start", F.lit(-1)).withColumn("conditional", F.lit(False))
     cols = [*by, "use_id", "distance", "start", "def_id", "conditional"]

@@ -1,11 +1,12 @@
 from .lineage import checkpoint_folder, cut_lineage, rewritten, store_partitioned
 from .skew import lookup_join, only_value
-from .scan import Blocks, positions
+from .scan import Blocks, dyadic_blocks, positions
 
 __all__ = [
     "Blocks",
     "checkpoint_folder",
     "cut_lineage",
+    "dyadic_blocks",
     "rewritten",
     "lookup_join",
     "only_value",

@@ -81,3 +81,22 @@ def positions(
     if count:
         out = out.withColumn(count, F.col("_total"))
     return out.drop("_local", "_before", "_total", "_block")
+
+
+def dyadic_blocks(low: Column, high: Column, levels: int = 62) -> Column:
+    """The range of integers from ``low`` to ``high`` (at least 0) as at most two aligned blocks per level: structs of
+    ``level`` and ``block``, where a number x lies in block x >> level.  An empty range has none."""
+    kind = "struct<lo:bigint,hi:bigint,found:array<struct<level:int,block:bigint>>>"
+    start = F.struct(low.cast("bigint").alias("lo"), (high + 1).cast("bigint").alias("hi"), F.array().cast("array<struct<level:int,block:bigint>>").alias("found")).cast(kind)
+    block = lambda level, at: F.array(F.struct(level.cast("int").alias("level"), at.cast("bigint").alias("block")))
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+
+    def step(state: Column, level: Column) -> Column:
+        # Both ends counted in blocks of this level; an odd end gives its outer block away.
+        lo, hi = state["lo"], state["hi"]
+        left, right = (lo < hi) & (lo % 2 == 1), (lo < hi) & (hi % 2 == 1)
+        low_, high_ = F.when(left, lo + 1).otherwise(lo), F.when(right, hi - 1).otherwise(hi)
+        both = F.concat(state["found"], F.when(left, block(level, lo)).otherwise(none), F.when(right & (high_ >= low_), block(level, high_)).otherwise(none))
+        return F.struct(F.floor(low_ / 2).cast("bigint").alias("lo"), F.floor(high_ / 2).cast("bigint").alias("hi"), both.alias("found")).cast(kind)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda state: state["found"])
