@@ -1,38 +1,51 @@
 """Breadth-first traversal as frontier joins.
 
 The adjacency is stored once, partitioned and sorted by its start, and stays in place: each round moves only the new
-frontier to it and drops nodes seen before.  A start's edges are spread over a few parts, so a hub does not sit in one
-partition; frontier rows are copied to each part.  Frontiers are checkpointed, so plans stay flat and a lost executor
+frontier to it and drops nodes seen before.  The edges of a hub are spread over as many parts as its measured degree asks,
+so it does not sit in one partition; only frontier rows of hubs are copied, one to each part.  Frontiers are checkpointed, so plans stay flat and a lost executor
 re-reads one round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import cut_lineage, store_partitioned
+from ..plans import cut_lineage, rewritten, store_partitioned
 from .filters import edge_direction
 
 DIRECTIONS = ("both", "outgoing", "incoming")
-PARTS = 4
+# Steps of one start that stay in one partition.
+PART_STEPS = 100_000
 
 
-def store_steps(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Store distinct (``from``, ``to``) steps for repeated frontier joins."""
-    spread = steps.select(*by, "from", "to").distinct().withColumn("part", F.pmod(F.xxhash64("to"), F.lit(PARTS)))
-    return store_partitioned(spread, [*by, "from", "part"])
+class Steps(NamedTuple):
+    """A stored adjacency: ``from``, ``to``, ``part``, and the starts that are spread over several parts."""
 
+    rows: DataFrame
+    hubs: DataFrame
 
-def to_parts(frontier: DataFrame) -> DataFrame:
-    """Copy each frontier row to every part of its start."""
-    parts = F.array(*[F.lit(part).cast("bigint") for part in range(PARTS)])
-    return frontier.select("*", F.explode(parts).alias("part"))
 
+def store_steps(steps: DataFrame, by: Sequence[str] = ()) -> Steps:
+    """Store distinct (``from``, ``to``) steps for repeated frontier joins; a start has a part for every ``PART_STEPS`` of its steps."""
+    listed = rewritten(steps.select(*by, "from", "to").distinct())
+    degrees = listed.groupBy(*by, "from").agg(F.ceil(F.count(F.lit(1)) / PART_STEPS).cast("bigint").alias("parts"))
+    hubs = rewritten(degrees.filter("parts > 1"))
+    spread = listed.join(hubs, [*by, "from"], "left").withColumn("part", F.pmod(F.xxhash64("to"), F.coalesce("parts", F.lit(1))))
+    return Steps(store_partitioned(spread.select(*by, "from", "to", "part"), [*by, "from", "part"], cut=False), hubs)
 
-def adjacency(edges: DataFrame, direction: str = "both", by: Sequence[str] = ()) -> DataFrame:
+
+def met(frontier: DataFrame, steps: Steps, by: Sequence[str] = ()) -> DataFrame:
+    """Frontier rows (``id`` and more) with the ``to`` of every step from them; only rows of hubs are copied, one to each part."""
+    starts = frontier.withColumnRenamed("id", "from").join(steps.hubs, [*by, "from"], "left")
+    parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)
+    return starts.withColumn("part", F.explode(parts)).drop("parts").join(steps.rows, [*by, "from", "part"])
+
+
+def adjacency(edges: DataFrame, direction: str = "both", by: Sequence[str] = ()) -> Steps:
     """Stored steps allowed by a direction."""
     forward = edges.select(*by, F.col("src").alias("from"), F.col("dst").alias("to"))
     backward = edges.select(*by, F.col("dst").alias("from"), F.col("src").alias("to"))
@@ -41,7 +54,7 @@ def adjacency(edges: DataFrame, direction: str = "both", by: Sequence[str] = ())
 
 
 def reach(
-    steps: DataFrame, seeds: DataFrame, labels: Sequence[str] = (), by: Sequence[str] = (), max_hops: int | None = None, symmetric: bool = False
+    steps: Steps, seeds: DataFrame, labels: Sequence[str] = (), by: Sequence[str] = (), max_hops: int | None = None, symmetric: bool = False
 ) -> DataFrame:
     """Hop distance from the seeds along stored ``steps``.
 
@@ -54,12 +67,11 @@ def reach(
     seen, before, hop = frontier, None, 0
     while (max_hops is None or hop < max_hops) and not frontier.isEmpty():
         hop += 1
-        starts = to_parts(frontier.withColumnRenamed("id", "from"))
-        met = starts.join(steps, [*by, "from", "part"]).select(*by, *labels, F.col("to").alias("id")).distinct()
+        touched = met(frontier, steps, by).select(*by, *labels, F.col("to").alias("id")).distinct()
         known = seen
         if symmetric:
             known = frontier if before is None else frontier.unionByName(before)
-        fresh = cut_lineage(met.join(known.select(*keys), keys, "left_anti").withColumn("depth", F.lit(hop)))
+        fresh = cut_lineage(touched.join(known.select(*keys), keys, "left_anti").withColumn("depth", F.lit(hop)))
         before, frontier = frontier, fresh
         seen = seen.unionByName(frontier)
         if hop % 16 == 0:  # keep the plan of the union short on very deep graphs

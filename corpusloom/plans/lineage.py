@@ -51,19 +51,19 @@ def rewritten(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def store_partitioned(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def store_partitioned(df: DataFrame, keys: Sequence[str], cut: bool = True) -> DataFrame:
     """Materialise ``df`` hash-partitioned and sorted by ``keys``, so that later joins on them move only the other side.
 
     The stored layout is known to the planner only when the storing plan itself is not adaptive, so adaptive execution
-    is switched off for this one write.
+    is switched off for this one write.  ``cut`` stores ``df`` before, so that what leads to it still runs adaptively; a table
+    that has just been written needs none.
     """
     spark = df.sparkSession
     checkpoint_folder(spark)
     setting = "spark.sql.adaptive.enabled"
     before = spark.conf.get(setting)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Everything upstream still runs adaptively: it is cut off first.
-    source = cut_lineage(df)
+    source = cut_lineage(df) if cut else df
     spark.conf.set(setting, "false")
     try:
         return source.repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)

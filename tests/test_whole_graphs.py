@@ -12,6 +12,7 @@ from conftest import values
 from corpusloom.operators import chains, scc
 from corpusloom.operators import imports as IM
 from corpusloom.operators import scc as K
+from corpusloom.operators import traverse as T
 from corpusloom.operators import tree as R
 
 
@@ -204,3 +205,20 @@ def test_totals_of_trees(spark):
     assert values(got, "id", "total") == sorted(((a, len(members)) for a, members in below.items()), key=repr)
     hot = spark.range(20_000).select(F.col("id").alias("id"), F.when(F.col("id") > 0, F.lit(0)).alias("parent_id"))
     assert R.subtree_totals(hot, hot.select("id", F.lit(2).alias("weight"))).filter("id = 0").first().total == 40_000
+
+
+def test_a_hub_is_spread_by_its_degree(spark, monkeypatch):
+    monkeypatch.setattr(T, "PART_STEPS", 50)
+    rng = random.Random(1)
+    listed = {(0, n) for n in range(1, 700)} | {(rng.randrange(1, 700), rng.randrange(1, 700)) for _ in range(1300)} | {(n, n + 5000) for n in range(0, 700, 50)}
+    edges = edge_table(spark, [pair for pair in listed if pair[0] != pair[1]])
+    steps = T.adjacency(edges, "outgoing")
+    sizes = steps.rows.filter("`from` = 0").groupBy("part").count().collect()
+    assert len(sizes) == 14 and max(r["count"] for r in sizes) < 90 and values(steps.hubs, "from") == [(0,)]
+    assert steps.rows.filter("`from` <> 0 and part > 0").isEmpty()
+    seed = spark.createDataFrame([(0,)], "id long")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    both = {(a, b) for a, b in listed if a != b}
+    assert values(T.bfs_depths(nodes, edges, seed), "id", "depth") == sorted(depths(both | {(b, a) for a, b in both}, 0).items(), key=repr)
+    reached = {n: set(depths(both, n)) for n in {n for pair in both for n in pair}}
+    assert values(K.strong_components(nodes, edges), "id", "component") == sorted(((n, max(m for m in reached[n] if n in reached[m])) for n in reached), key=repr)
