@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import cut_lineage, lookup_join, only_value
+from ..plans import Grown, cut_lineage, lookup_join, only_value
 from .bundles import bundle_arch
 from .filters import with_both_ends
 from .traverse import adjacency, reach
@@ -100,7 +100,8 @@ def content_range(nodes: DataFrame, edges: DataFrame, path: str | None = None, e
     (``definition``, ``default``, ``unknown``).
 
     Returns nodes (``id``, ``role``: core > peer > support) and edge ids.  A slice grows only along command order and
-    typed input/output edges; artifacts are the only shared nodes it may cross.
+    typed input/output edges; artifacts are the only shared nodes it may cross.  What a round adds is stored once, so the plan of a
+    round does not grow with the rounds before it.
     """
     edges = cut_lineage(edges.select("id", "src", "dst", "kind", "environment"))
     placed = cut_lineage(environment_meaning(nodes).select("id", "kind", "purpose", "parent_id", "logical_owner", "meaning", "names"))
@@ -114,14 +115,14 @@ def content_range(nodes: DataFrame, edges: DataFrame, path: str | None = None, e
     else:
         allowed = ops if path is None else ops.limit(0)
     allowed = cut_lineage(allowed.select("id"))
-    roles, included = [], []
+    roles, included = Grown(), Grown()
     rank = {"support": 0, "peer": 1, "core": 2}
 
     def add(frame: DataFrame, role: str) -> None:
-        roles.append(frame.select("id", F.lit(rank[role]).alias("rank")))
+        roles.add(frame.select("id", F.lit(rank[role]).alias("rank")))
 
     def include(frame: DataFrame) -> None:
-        included.append(frame.select("id"))
+        included.add(frame.select("id"))
         add(frame.select(F.explode(F.array("src", "dst")).alias("id")), "peer")
 
     def touching(frame: DataFrame, ids: DataFrame) -> DataFrame:
@@ -139,11 +140,11 @@ def content_range(nodes: DataFrame, edges: DataFrame, path: str | None = None, e
         bridge = real.filter("kind = 'flow-configures'").join(code.select(F.col("id").alias("src"), F.col("logical_owner").alias("_a")), "src").join(
             placed.filter("kind = 'execution-config'").select(F.col("id").alias("dst"), F.col("logical_owner").alias("_b")), "dst"
         ).filter("_a = _b")
-        included.append(bridge.select("id"))
+        included.add(bridge.select("id"))
         add(bridge.select(F.col("src").alias("id")), "support")
         add(bridge.select(F.col("dst").alias("id")), "peer")
         owned = real.filter("kind = 'flow-definition'").join(bridge.select(F.col("src").alias("dst"), F.col("_a").alias("src")).distinct(), ["src", "dst"], "left_semi")
-        included.append(owned.select("id"))
+        included.add(owned.select("id"))
         frontier = op_ids.limit(0)
     elif path == "runtime":
         apart = placed.filter("kind <> 'tool-operation'").select("id")
@@ -170,13 +171,16 @@ def content_range(nodes: DataFrame, edges: DataFrame, path: str | None = None, e
         frontier = seeds.join(op_ids, "id", "left_semi").unionByName(met).distinct()
 
     frontier = cut_lineage(frontier)
-    done = frontier
+    done = Grown()
+    done.add(frontier)
     artifact_ids = cut_lineage(placed.filter("kind = 'artifact'").select("id"))
     artifacts = cut_lineage(artifact_ids.limit(0))
     links = None
     scripts = cut_lineage(ops.filter("purpose = 'script'").select("id").unionByName(allowed).distinct())
     ordered, typed = real.filter(F.col("kind").isin(*ORDER_KINDS)), cut_lineage(real.filter(F.col("kind").isin(*IO_KINDS)))
     while not frontier.isEmpty():
+        for grown in (roles, included, done):
+            grown.close_round()
         callers = ordered.join(frontier.withColumnRenamed("id", "dst"), "dst", "left_semi").join(op_ids.withColumnRenamed("id", "src"), "src", "left_semi")
         free = callers.join(scripts.withColumnRenamed("id", "src"), "src", "left_semi")
         if path == "start":
@@ -196,14 +200,11 @@ def content_range(nodes: DataFrame, edges: DataFrame, path: str | None = None, e
         include(reading)
         include(making)
         next_ops = free.select(F.col("src").alias("id")).unionByName(reading.select(F.col("dst").alias("id"))).unionByName(making.select(F.col("src").alias("id")))
-        frontier = cut_lineage(next_ops.distinct().join(done, "id", "left_anti"))
-        done = done.unionByName(frontier)
+        frontier = cut_lineage(next_ops.distinct().join(done.rows(), "id", "left_anti"))
+        done.add(frontier)
 
     def merged() -> DataFrame:
-        out = roles[0]
-        for part in roles[1:]:
-            out = out.unionByName(part)
-        return out.groupBy("id").agg(F.max("rank").alias("rank")).join(placed.select("id"), "id", "left_semi")
+        return roles.rows().groupBy("id").agg(F.max("rank").alias("rank")).join(placed.select("id"), "id", "left_semi")
 
     if meaning != "definition":
         substance = cut_lineage(merged().select("id"))
@@ -211,7 +212,7 @@ def content_range(nodes: DataFrame, edges: DataFrame, path: str | None = None, e
         explained = placed.filter(F.col("kind").isin("application", "code-package", "shared-code", "code-definition")).select("id")
         for end, other in (("src", "dst"), ("dst", "src")):
             tie = real.filter(F.col("kind").isin(*STRUCTURAL_KINDS)).join(substance.withColumnRenamed("id", end), end, "left_semi").join(explained.withColumnRenamed("id", other), other, "left_semi")
-            included.append(tie.select("id"))
+            included.add(tie.select("id"))
             add(tie.select(F.col(other).alias("id")), "support")
     ranked = cut_lineage(merged())
     from .tree import ancestors
@@ -219,10 +220,7 @@ def content_range(nodes: DataFrame, edges: DataFrame, path: str | None = None, e
     above = ancestors(placed.select("id", "parent_id")).filter("distance > 0").join(ranked.select("id"), "id", "left_semi").select(F.col("ancestor").alias("id")).distinct()
     final = ranked.unionByName(above.withColumn("rank", F.lit(0))).groupBy("id").agg(F.max("rank").alias("rank"))
     role = F.when(F.col("rank") == 2, "core").when(F.col("rank") == 1, "peer").otherwise("support")
-    kept = included[0]
-    for part in included[1:]:
-        kept = kept.unionByName(part)
-    return final.select("id", role.alias("role")), kept.distinct()
+    return final.select("id", role.alias("role")), included.rows().distinct()
 
 
 def scope_projection(nodes: DataFrame, edges: DataFrame, ancestors: DataFrame, scope: str | None = None, environment: str = "") -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,10 @@
-from .lineage import checkpoint_folder, cut_lineage, rewritten, store_partitioned
+from .lineage import Grown, checkpoint_folder, cut_lineage, rewritten, store_partitioned
 from .skew import lookup_join, only_value
 from .scan import Blocks, dyadic_blocks, positions
 
 __all__ = [
     "Blocks",
+    "Grown",
     "checkpoint_folder",
     "cut_lineage",
     "dyadic_blocks",

@@ -69,3 +69,31 @@ def store_partitioned(df: DataFrame, keys: Sequence[str], cut: bool = True) -> D
         return source.repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
     finally:
         spark.conf.set(setting, before)
+
+
+class Grown:
+    """Rows that the rounds of a loop add.  A round's rows are stored once; rounds are merged when there are ``limit`` of them,
+    so the plan of all rows stays as short in the hundredth round as in the first."""
+
+    def __init__(self, limit: int = 8):
+        self.limit, self.parts, self.fresh = limit, [], []
+
+    def add(self, df: DataFrame) -> None:
+        self.fresh.append(df)
+
+    def close_round(self) -> None:
+        if self.fresh:
+            self.parts.append(cut_lineage(_union(self.fresh).distinct()))
+            self.fresh = []
+        if len(self.parts) >= self.limit:
+            self.parts = [cut_lineage(_union(self.parts).distinct())]
+
+    def rows(self) -> DataFrame:
+        return _union([*self.parts, *self.fresh])
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out

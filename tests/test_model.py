@@ -239,3 +239,19 @@ def test_dictionary_report(spark):
         ("duplicate-category", "web"), ("bad-category-id", "Bad Id"), ("missing-related-category", "Bad Id"), ("missing-category", "vitest"), ("missing-related-stack", "vite"), ("missing-relationship-target", "vite"), ("package-owned-twice", "vite"),
         ("alias-owned-twice", "v"), ("parent-cycle", "c1"), ("parent-cycle", "c2"), ("unknown-map-stack", "ghost"), ("category-not-in-map", "c1"), ("stack-not-in-map", "vitest"), ("map-stack-parent", "vite"),
     } <= rules
+
+
+def test_plans_of_a_range_do_not_grow(spark, monkeypatch):
+    """A chain of forty operations takes forty rounds; the stored rounds stay few."""
+    from corpusloom.operators import architecture as A
+    from corpusloom.plans import Grown
+
+    most = []
+    close = Grown.close_round
+    monkeypatch.setattr(Grown, "close_round", lambda self: (close(self), most.append(len(self.parts)))[0])
+    n = 24
+    blank = F.lit(None).cast("string")
+    nodes = spark.range(n).select(F.concat(F.lit("o"), "id").alias("id"), F.lit("tool-operation").alias("kind"), blank.alias("parent_id"), F.array().cast("array<string>").alias("environments"), F.lit(False).alias("auxiliary"), F.when(F.col("id") == n - 1, "start").otherwise("script").alias("purpose"), blank.alias("logical_owner"), blank.alias("tool"), F.lit(False).alias("library"))
+    edges = spark.range(1, n).select(F.concat(F.lit("e"), "id").alias("id"), F.concat(F.lit("o"), F.col("id") - 1).alias("src"), F.concat(F.lit("o"), "id").alias("dst"), F.lit("flow-invokes").alias("kind"), F.lit("").alias("environment"), F.lit("source").alias("confidence"))
+    found, kept = A.content_range(nodes, edges, path="start")
+    assert found.count() == n and kept.count() == n - 1 and max(most) < 8 <= len(most)
