@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,12 @@ RATE = 0.1
 VARIANTS = 0
 _SPACE = "▁"
 _NONE = np.int64(1 << 62)
+_WORD = (1 << 64) - 1
 _CHUNK_BYTES = 2_000_000
 _RUN_BYTES = 1_000_000
 _SHARED_BYTES = 32
+# Pieces of a part above which its agenda is a heap: the same merges, in time that grows with n log n.
+_LONG = 2048
 
 
 class Pieces:
@@ -76,6 +80,7 @@ class Pieces:
                 left, right = ids.get(name[:at]), ids.get(name[at:])
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = i
+        self.pairs = {key: int(self.rank[i]) for key, i in pairs.items()}
         self.keys = np.full(1 << 21, -1, np.int64)
         self.merged = np.zeros(1 << 21, np.int64)
         for key, i in pairs.items():
@@ -116,6 +121,59 @@ def skipped(part: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.nd
     return _drawn(part, _candidate(left, middle, right), rate)
 
 
+def _mixed(x: int, seed: int) -> int:
+    """``mix`` of one number."""
+    x = (x + seed * 0xD1B54A32D192ED03 + 0x2545F4914F6CDD1D) & _WORD
+    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & _WORD
+    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & _WORD
+    return x ^ (x >> 32)
+
+
+def _merge_long(pieces: Pieces, symbol: list[int], agenda: list[int], keyed: int, rate: float, met: list[tuple[int, bool]] | None) -> list[int]:
+    """All merges of one part from its first agenda (rank << 32 | place; ``_NONE`` where there is no pair): its pieces, -1 where merged away."""
+    n, limit, none = len(symbol), rate * (1 << 53), int(_NONE)
+    following, previous, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [entry for entry in agenda if entry < none]
+    heapify(heap)
+    by_rank = pieces.by_rank.tolist()
+
+    def offer(at: int) -> None:
+        agenda[at] = none
+        other = following[at]
+        if other >= n:
+            return
+        rank = pieces.pairs.get(symbol[at] << 20 | symbol[other])
+        if rank is None:
+            return
+        if rate > 0 or met is not None:
+            candidate = _mixed(at << 42 | other << 21 | end[other], 31)
+            skip = (_mixed(keyed ^ candidate, 32) >> 11) < limit
+            if met is not None:
+                met.append((candidate, skip))
+            if skip:
+                return
+        agenda[at] = entry = rank << 32 | at
+        heappush(heap, entry)
+
+    while heap:
+        entry = heappop(heap)
+        at = entry & 0xFFFFFFFF
+        # Entries that were replaced or taken off since are left in the heap.
+        if agenda[at] != entry:
+            continue
+        other = following[at]
+        beyond = following[other]
+        symbol[at], symbol[other] = by_rank[entry >> 32], -1
+        agenda[other] = none
+        following[at], end[at] = beyond, end[other]
+        if beyond < n:
+            previous[beyond] = at
+        offer(at)
+        if previous[at] >= 0:
+            offer(previous[at])
+    return symbol
+
+
 def segment(pieces: Pieces, parts: list[bytes], keyed: np.ndarray, rate: float, met: list[tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all parts one after the other, and their number per part.  ``keyed``: hash of each part with its draw.
 
@@ -160,7 +218,14 @@ def segment(pieces: Pieces, parts: list[bytes], keyed: np.ndarray, rate: float,
 
     offer(np.arange(n))
     bounds = np.append(start, n)
-    active = np.flatnonzero(count > 1)
+    for k in np.flatnonzero(count > _LONG).tolist():
+        low, high = int(start[k]), int(start[k] + count[k])
+        first = np.where(agenda[low:high] < _NONE, agenda[low:high] - low, _NONE)
+        looked: list[tuple[int, bool]] | None = None if met is None else []
+        symbol[low:high] = _merge_long(pieces, symbol[low:high].tolist(), first.tolist(), int(keyed[k]), rate, looked)
+        if looked:
+            met.append((np.full(len(looked), k), np.array([c for c, _ in looked], np.uint64), np.array([skip for _, skip in looked], bool)))
+    active = np.flatnonzero((count > 1) & (count <= _LONG))
     place = _spread(start[active], count[active])
     while len(active):
         width = bounds[active + 1] - bounds[active]

@@ -1,5 +1,6 @@
 """Operators that read and write texts: brute force, exact round trips and held-out labels, with odd inputs."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -293,3 +294,25 @@ def test_chat_is_read_back(spark):
     learnt = "".join(t for r, t in want[1] if r == "assistant")
     assert digests[1].loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest() and digests[1].n_turns == 5
     assert formatted.filter("conv_id = 1").head().formatted.count("</s>") == 2
+
+
+def test_long_parts_take_the_same_merges(monkeypatch):
+    """A heap for long parts gives the segmentation of the agenda, and the same draws; a megabyte without a space ends soon."""
+    import time
+
+    pieces = merge_dropout.Pieces(tokenizer_path(merge_dropout.MODEL))
+    rng = random.Random(2)
+    parts = ["".join(rng.choices("abcdefgheinst", k=rng.randint(1, 400))).encode() for _ in range(40)] + ["日本語テキスト🙂é".encode() * 30, b"a" * 700, b""]
+    keyed = np.array([rng.getrandbits(64) for _ in parts], np.uint64)
+    for rate in (0.0, 0.3):
+        plain, heap = [], []
+        want = merge_dropout.segment(pieces, parts, keyed, rate, plain)
+        monkeypatch.setattr(merge_dropout, "_LONG", 20)
+        got = merge_dropout.segment(pieces, parts, keyed, rate, heap)
+        monkeypatch.undo()
+        assert all((a == b).all() for a, b in zip(want, got, strict=True))
+        looked = lambda met: collections.Counter(zip(*(np.concatenate(x).tolist() for x in zip(*met, strict=True)), strict=True))
+        assert looked(plain) == looked(heap)
+    start = time.perf_counter()
+    ids, count = merge_dropout.segment(pieces, ["".join(rng.choices("abcdefgheinstor", k=1_000_000)).encode()], keyed[:1], 0.1)
+    assert count[0] == len(ids) and time.perf_counter() - start < 30
