@@ -238,6 +238,20 @@ def structural_groups(t):
     return A.structural_groups(rows)
 
 
+@query(
+    "structural_categories",
+    f"""WITH {MODEL}, d AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey % 4 = 1 AND l_returnflag = 'A'),
+  x AS (SELECT 'p' || p_partkey AS id, CASE WHEN k IS NULL THEN 'runtime' ELSE 'destination' END AS category, 'n' || (p_partkey % 25) || '|app.json|' || '|' || CASE p_partkey % 3 WHEN 0 THEN 'prod' WHEN 1 THEN 'except:prod' ELSE '' END AS key
+    FROM part LEFT JOIN d ON k = p_partkey WHERE p_partkey % 4 = 1)
+  SELECT id, CASE WHEN count(*) OVER (PARTITION BY category, key) = 1 THEN category || '|' || key ELSE category || '|' || key || ':' || id END AS group_id, category FROM x
+  UNION ALL SELECT id, 'unconfirmed-code-packages', 'unconfirmed' FROM md WHERE kind = 'code-package' AND parent_id IS NULL AND NOT auxiliary""",
+)
+def structural_categories(t):
+    nodes = model_nodes(t)
+    configurations = nodes.filter("kind = 'execution-config'").select("id", c("logical_owner").alias("owner"), F.lit("app.json").alias("configuration_path"), F.lit(None).cast("string").alias("place"), "environments")
+    return A.structural_groups(configurations, model_edges(t)).unionByName(A.unconfirmed_packages(nodes))
+
+
 @query(
     "resource_groups",
     """WITH x AS (SELECT s_suppkey AS id, 'D1|' || 'w' || (s_suppkey % 40) || '|DB' AS key, s_nationkey % 4 AS e FROM supplier) SELECT id, key AS group_id FROM x WHERE key IN (SELECT key FROM x GROUP BY key HAVING count(*) >= 2 AND count(*) = count(DISTINCT e))""",
@@ -338,8 +352,20 @@ ATTRIBUTED = """ev AS (SELECT 'f' || p_brand || ':' || (p_size % 5) AS fact_id,
 @query("attribute_usage", f"WITH {ATTRIBUTED} SELECT fact_id, scope, role, count(*) AS evidence FROM att GROUP BY ALL")
 def attribute_usage(t):
     fact, evidence, scopes = _usage_inputs(t)
-    rows = V.attribute_usage(fact, evidence, scopes.select(c("path").alias("owner_path"), c("path").alias("owner")))
-    return rows.groupBy("fact_id", "scope", "role").agg(F.count(F.lit(1)).alias("evidence"))
+    return V.attribution_counts(V.attribute_evidence(fact, evidence, scopes.select(c("path").alias("owner_path"), c("path").alias("owner"))))
+
+
+_SCOPE_NAMES = """nm AS (SELECT scope, replace(scope, '/sub', '') AS top, 'scope:' || CASE WHEN scope LIKE '%/sub' THEN 'runtime' WHEN regexp_extract(scope, '[0-9]+$')::INT % 2 = 0 THEN 'package' ELSE 'config' END || ':' || scope AS id
+  FROM (SELECT DISTINCT scope FROM att))"""
+
+
+@query(
+    "stack_map_edges",
+    f"""WITH {ATTRIBUTED}, {_SCOPE_NAMES} SELECT 'view-edge:contains:' || nm.id AS id, 'project:root' AS src, nm.id AS dst, 'contains' AS kind, count(DISTINCT evidence_id) AS evidence
+  FROM nm JOIN att ON att.scope = nm.scope WHERE nm.scope = nm.top OR nm.top NOT IN (SELECT scope FROM nm) GROUP BY nm.id""",
+)
+def stack_map_edges(t):
+    return V.stack_map(*_usage_inputs(t), project="project:root")["edge"].select("id", "src", "dst", "kind", "evidence")
 
 
 @query(

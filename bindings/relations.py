@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import names as NF
 from corpusloom.operators import bundles as B
 from corpusloom.operators import filters as FL
 
@@ -484,3 +485,40 @@ def classify_auxiliary(t):
     folder = F.when(c("doc_id") % 7 == 0, "/tests/").when(c("doc_id") % 11 == 0, "/generated/").otherwise("/src/")
     files = t.documents.select("text", F.concat("source", folder, c("doc_id").cast("string"), F.lit(".md")).alias("path"))
     return FL.classify_auxiliary(files).groupBy("auxiliary", "generated").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "external_layout",
+    """WITH d AS (SELECT l_orderkey AS project, l_suppkey AS src, l_partkey AS dst FROM lineitem), g AS (SELECT project, dst, CASE WHEN min(src) = max(src) THEN min(src)::VARCHAR ELSE 'shared' END AS "group" FROM d GROUP BY ALL),
+  n AS (SELECT project, min(src) = max(src) AS flat FROM d GROUP BY project)
+  SELECT project, dst, "group", CASE WHEN flat THEN 'external' ELSE 'external:source:' || "group" END AS parent, CASE WHEN flat THEN 'flat' ELSE 'grouped' END AS layout FROM g JOIN n USING (project)""",
+)
+def external_layout(t):
+    """Orders are projects, suppliers their sources and parts the external targets: a project with one source is shown flat."""
+    dependencies = t.lineitem.select(c("l_orderkey").alias("project"), c("l_suppkey").alias("src"), c("l_partkey").alias("dst"))
+    return B.external_layout(dependencies, B.external_groups(dependencies, by=["project"]), ["project"])
+
+
+@query(
+    "display_labels",
+    f"""WITH {NODES} SELECT CASE kind WHEN 'function' THEN 'Function' WHEN 'external' THEN 'External call' WHEN 'model' THEN 'Model / Schema' END AS kind_label,
+  CASE confidence WHEN 'source' THEN 'ソースで確認' WHEN 'inferred' THEN '推定' WHEN 'unresolved' THEN '未解決' END AS confidence_label,
+  CASE length("group") % 3 WHEN 0 THEN '利用中' WHEN 1 THEN 'レガシー' END AS status_label, count(*) AS n FROM n GROUP BY ALL""",
+)
+def display_labels(t):
+    status = F.when(F.length("group") % 3 == 0, "active").when(F.length("group") % 3 == 1, "legacy")
+    labels = [NF.kind_label("kind").alias("kind_label"), NF.confidence_label("confidence").alias("confidence_label"), NF.status_label(status).alias("status_label")]
+    return nodes(t).groupBy(*labels).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "relation_readings",
+    """WITH e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, CASE l_returnflag WHEN 'R' THEN 'depends-on' WHEN 'A' THEN 'imports' ELSE 'runs-in' END AS kind FROM lineitem)
+  SELECT node, label, count(*) AS n FROM (SELECT src AS node, kind AS label FROM e UNION ALL SELECT dst, CASE kind WHEN 'depends-on' THEN 'used-by' WHEN 'imports' THEN 'imported-by' ELSE 'hosts' END FROM e) GROUP BY ALL""",
+)
+def relation_readings(t):
+    """Every relation as read from both of its ends."""
+    kind = F.when(c("l_returnflag") == "R", "depends-on").when(c("l_returnflag") == "A", "imports").otherwise("runs-in")
+    e = t.lineitem.select(s("s", c("l_suppkey")).alias("src"), s("p", c("l_partkey")).alias("dst"), kind.alias("kind"))
+    read = e.withColumn("node", F.explode(F.array("src", "dst")))
+    return read.groupBy("node", NF.relation_label_for(c("node"), c("src"), c("dst"), c("kind"), c("kind")).alias("label")).agg(F.count(F.lit(1)).alias("n"))

@@ -134,6 +134,20 @@ def inverse_relation(kind: Column | str) -> Column:
     return mapped(kind, INVERSE_RELATION)
 
 
+def kind_label(kind: Column | str) -> Column:
+    """Display label of a kind of node; the kind itself where it has none."""
+    return F.coalesce(mapped(kind, KIND_LABEL), _c(kind))
+
+
+def confidence_label(confidence: Column | str) -> Column:
+    return F.coalesce(mapped(confidence, CONFIDENCE_LABEL), _c(confidence))
+
+
+def status_label(status: Column | str) -> Column:
+    """Display label of a recorded status; null where none is recorded."""
+    return mapped(status, STATUS_LABEL)
+
+
 def relation_label_for(node: Column, src: Column, dst: Column, kind: Column, label: Column) -> Column:
     """Label of an edge as read from ``node``."""
     return F.when(src == node, label).when(dst == node, inverse_relation(kind)).otherwise(label)

@@ -340,19 +340,37 @@ def usage_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", "tool", "purpose", "targets", "inputs", "outputs", ((F.col("targets") > 0) | (F.col("inputs") > 0)).alias("resolved"), context.alias("context"))
 
 
-def structural_groups(configurations: DataFrame) -> DataFrame:
+def structural_groups(configurations: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Group execution configurations of one (owner, configuration, place) per environment set.
 
     ``configurations``: ``id``, ``owner``, ``configuration_path``, ``place``, ``environments`` (array).  Members without an
     owner or a configuration stay alone; groups in which two members have the same environment set are split.
+    With ``edges`` (``src``, ``dst``, ``kind``), configurations that something deploys to are kept apart from those that run:
+    ``category`` is ``destination`` or ``runtime`` and leads the group id.
     """
     envs = F.array_join(F.array_sort(F.coalesce("environments", F.array().cast("array<string>"))), "+")
     whole = (F.coalesce("owner", F.lit("")) != "") & (F.coalesce("configuration_path", F.lit("")) != "")
     key = F.when(whole, F.concat_ws("|", "owner", "configuration_path", F.coalesce("place", F.lit("")), envs)).otherwise(F.concat_ws("|", F.lit("original"), F.col("id").cast("string")))
+    more = []
+    if edges is not None:
+        published = edges.filter("kind = 'flow-deploys'").select(F.col("dst").alias("id")).distinct().withColumn("_published", F.lit(True))
+        configurations = lookup_join(configurations, published, ["id"]).withColumn("category", F.when(F.col("_published"), "destination").otherwise("runtime"))
+        key, more = F.concat_ws("|", "category", key), ["category"]
     keyed = configurations.withColumn("_key", key).withColumn("_envs", envs)
     checked = keyed.groupBy("_key").agg((F.count_distinct("_envs") == F.count(F.lit(1))).alias("_apart"))
     joined = lookup_join(keyed, checked, ["_key"])
-    return joined.select("id", F.when(F.col("_apart"), F.col("_key")).otherwise(F.concat_ws(":", "_key", F.col("id").cast("string"))).alias("group_id"))
+    return joined.select("id", F.when(F.col("_apart"), F.col("_key")).otherwise(F.concat_ws(":", "_key", F.col("id").cast("string"))).alias("group_id"), *more)
+
+
+def unconfirmed_packages(nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Code packages without a parent that nothing shows to be auxiliary, as one group where there are several.
+
+    ``nodes``: ``id``, ``kind``, ``parent_id``, ``auxiliary``.  Returns ``id``, ``group_id``, ``category``.
+    """
+    loose = nodes.filter((F.col("kind") == "code-package") & F.col("parent_id").isNull() & ~F.coalesce("auxiliary", F.lit(False))).select(*by, "id")
+    number = loose.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    kept = loose.join(number.drop("_n"), list(by), "left_semi") if by else loose.join(number.select(F.lit(True).alias("_several")), F.lit(True), "left_semi")
+    return kept.select(*by, "id", F.lit("unconfirmed-code-packages").alias("group_id"), F.lit("unconfirmed").alias("category"))
 
 
 def resource_groups(configurations: DataFrame) -> DataFrame:

@@ -117,6 +117,15 @@ def external_groups(dependencies: DataFrame, external: DataFrame | None = None,
     return per.select(*by, "dst", group.alias("group"))
 
 
+def external_layout(dependencies: DataFrame, groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Where each external target is shown: below the group of its sources, or, when at most one source has any, directly
+    below the summary of all (``flat``).  Columns: ``dst``, ``group``, ``parent``, ``layout``."""
+    sources = dependencies.groupBy(*by).agg((F.min("src") == F.max("src")).alias("_single")) if by else dependencies.agg((F.min("src") == F.max("src")).alias("_single"))
+    placed = lookup_join(groups, sources, by) if by else groups.join(F.broadcast(sources))  # one row
+    flat = F.coalesce("_single", F.lit(True))
+    return placed.select(*by, "dst", "group", F.when(flat, "external").otherwise(F.concat(F.lit("external:source:"), "group")).alias("parent"), F.when(flat, "flat").otherwise("grouped").alias("layout"))
+
+
 def external_summary(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Targets per group."""
     return groups.groupBy(*by, "group").agg(F.count(F.lit(1)).alias("targets"))

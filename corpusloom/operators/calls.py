@@ -72,14 +72,24 @@ def resolve_calls(
     ``calls``: ``call_id``, ``path``, ``owner``, ``callee``; ``functions``: ``fn_id``, ``path``, ``name``, ``class_name``,
     ``parent``, ``default_export``, ``language``; ``bindings``: ``path``, ``local``, ``original``, ``specifier``;
     ``reachable``: ``path``, ``specifier``, ``target`` (see re-export reach), with ``direct`` for plain imports;
-    ``shadowed``: ``call_id`` of calls whose receiver is a parameter or local; ``classes``: ``path``, ``name``.
+    ``shadowed``: ``call_id`` of calls whose receiver is a parameter or local; ``classes``: ``path``, ``name``.  Functions marked
+    ``initializer`` (the top level of a file) call but are never called, and methods are not declarations of their scope.
     """
+    enclosed = functions
+    if "initializer" in functions.columns:
+        top = functions.filter("initializer").select(*by, F.col("fn_id").alias("parent"), F.lit(True).alias("_top")).distinct()
+        every, functions = functions, functions.filter(~F.coalesce("initializer", F.lit(False)))
+        at_top = lookup_join(functions, top, [*by, "parent"])
+        enclosed = at_top.filter(F.col("_top").isNull() | (F.coalesce("class_name", F.lit("")) == "")).drop("_top")
+    else:
+        every = functions
+
     def per(*keys: str, frame: DataFrame = functions) -> DataFrame:
         """Functions per key as smallest id, largest id and number: enough to tell one candidate from several."""
         return frame.groupBy(*by, *keys).agg(F.min("fn_id").alias("_low"), F.max("fn_id").alias("_high"), F.count(F.lit(1)).alias("_n"))
 
     parts = F.split("callee", SEPARATOR)
-    owner_info = functions.select(*by, F.col("fn_id").alias("owner"), F.col("class_name").alias("_class"), F.col("language").alias("_language"))
+    owner_info = every.select(*by, F.col("fn_id").alias("owner"), F.col("class_name").alias("_class"), F.col("language").alias("_language"))
     asked = calls.select(*by, "call_id", "path", "owner", "callee", F.element_at(parts, -1).alias("name"), F.get(parts, F.lit(0)).alias("_receiver"), (F.size(parts) > 1).alias("_member"), (F.size(parts) == 2).alias("_direct"))
     asked = lookup_join(asked, owner_info, [*by, "owner"])
     asked = cut_lineage(asked.join(shadowed.select(*by, "call_id").distinct(), [*by, "call_id"], "left_anti"))
@@ -92,7 +102,7 @@ def resolve_calls(
     # Tier 1: declarations of the enclosing scopes, nearest first; implicit-this languages see their class next.
     chain = scopes.select(*by, F.col("id").alias("owner"), F.col("ancestor").alias("parent"), "distance")
     places = plain.select(*by, "path", "owner", "name").distinct()
-    nested = places.join(chain, [*by, "owner"]).join(per("path", "name", "parent"), [*by, "path", "name", "parent"])
+    nested = places.join(chain, [*by, "owner"]).join(per("path", "name", "parent", frame=enclosed), [*by, "path", "name", "parent"])
     nearest = nested.groupBy(*by, "path", "owner", "name").agg(F.min_by(F.struct("_low", "_high", "_n", "distance"), "distance").alias("_t")).select(*by, "path", "owner", "name", "_t.*")
     tiers = [tier(lookup_join(plain, nearest, [*by, "path", "owner", "name"], "inner"), F.col("distance") * 2, F.lit("source"))]
     by_class = per("path", "name", "class_name").withColumnRenamed("class_name", "_class")

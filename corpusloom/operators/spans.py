@@ -65,8 +65,10 @@ def bind_spans(spans: DataFrame, functions: DataFrame, by: Sequence[str] = ()) -
     ``spans``: ``path``, ``function_name``, ``line`` (any may be null); ``functions``: ``fn_id``, ``path``, ``label``,
     ``name``, ``line``, ``end_line``.  A recorded path may carry leading folders the source lacks, so its suffixes are
     joined by equality; lines meet through fixed buckets instead of a range condition over a whole file.  The binding
-    is observed when a path was recorded, else inferred.
+    is observed when a path was recorded, else inferred.  Functions marked ``initializer`` (the top level of a file) are no candidates.
     """
+    if "initializer" in functions.columns:
+        functions = functions.filter(~F.coalesce("initializer", F.lit(False)))
     last = F.coalesce("end_line", "line")
     defined = functions.select(*by, "fn_id", F.col("path").alias("_path"), F.array_distinct(F.array_compact(F.array("label", "name"))).alias("_names"), F.col("line").alias("_from"), last.alias("_to"))
     asked = spans.select(*by, "path", "function_name", "line").distinct()

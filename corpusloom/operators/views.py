@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,14 +59,18 @@ def evidence_role() -> Column:
     return F.coalesce("role", inferred)
 
 
-def attribute_usage(fact_evidence: DataFrame, evidence: DataFrame, scopes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Attribute facts to scopes through their evidence.
+class Attribution(NamedTuple):
+    """Evidence of facts by scope, without a row per shared declaration and scope."""
 
-    Usage evidence decides the scopes; declarations count on their own only when there is no usage, otherwise they join
-    the usage of their own scope, or of all usage scopes when their own has none.  Scope evidence supports existing ones.
+    own: DataFrame  # fact_id, fact_kind, stack_id, scope, evidence_id, role: evidence that belongs to one scope
+    shared: DataFrame  # fact_id, fact_kind, stack_id, evidence_id, role: declarations that count for all usage scopes of the fact
+    used: DataFrame  # fact_id, scope: usage scopes
 
-    ``fact_evidence``: ``fact_id``, ``fact_kind``, ``stack_id``, ``explicit``, ``evidence_id``; ``evidence``: ``evidence_id``,
-    ``path``, ``role``, ``detector_id``, ``scope_path``; ``scopes``: ``owner_path``, ``owner``.
+
+def attribute_evidence(fact_evidence: DataFrame, evidence: DataFrame, scopes: DataFrame, by: Sequence[str] = ()) -> Attribution:
+    """Attribute facts to scopes through their evidence; see :func:`attribute_usage` for rules and columns.
+
+    A declaration whose own scope has no usage counts for every usage scope of its fact: it stays one row with the fact.
     """
     joined = lookup_join(fact_evidence, evidence, [*by, "evidence_id"], "inner").withColumn("role", evidence_role())
     own = nearest_owner(joined.select(*by, "path").distinct(), scopes, by).select(*by, "path", F.col("owner").alias("_own"))
@@ -84,10 +89,33 @@ def attribute_usage(fact_evidence: DataFrame, evidence: DataFrame, scopes: DataF
     alone = declared.filter("_used is null and scope is not null").select(*cols)
     backed = lookup_join(declared.filter("_used"), used.withColumn("_match", F.lit(True)), [*by, "fact_id", "scope"])
     matched = backed.filter("_match").select(*cols)
-    loose = backed.filter("_match is null").drop("scope").join(used, [*by, "fact_id"]).select(*cols)
-    settled = usage.unionByName(alone).unionByName(matched).unionByName(loose).distinct()
+    shared = backed.filter("_match is null").select(*[c for c in cols if c != "scope"]).distinct()
+    settled = usage.unionByName(alone).unionByName(matched).distinct()
     support = placed.filter("role = 'scope'").join(settled.select(*by, "fact_id", "scope").distinct(), [*by, "fact_id", "scope"], "left_semi").select(*cols)
-    return settled.unionByName(support.distinct())
+    return Attribution(settled.unionByName(support.distinct()), shared, used)
+
+
+def attribute_usage(fact_evidence: DataFrame, evidence: DataFrame, scopes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Attribute facts to scopes through their evidence.
+
+    Usage evidence decides the scopes; declarations count on their own only when there is no usage, otherwise they join
+    the usage of their own scope, or of all usage scopes when their own has none.  Scope evidence supports existing ones.
+
+    ``fact_evidence``: ``fact_id``, ``fact_kind``, ``stack_id``, ``explicit``, ``evidence_id``; ``evidence``: ``evidence_id``,
+    ``path``, ``role``, ``detector_id``, ``scope_path``; ``scopes``: ``owner_path``, ``owner``.
+    """
+    found = attribute_evidence(fact_evidence, evidence, scopes, by)
+    cols = [*by, "fact_id", "fact_kind", "stack_id", "scope", "evidence_id", "role"]
+    return found.own.select(*cols).unionByName(found.shared.join(found.used, [*by, "fact_id"]).select(*cols))
+
+
+def attribution_counts(found: Attribution, by: Sequence[str] = ()) -> DataFrame:
+    """Pieces of evidence per fact, scope and role.  Shared declarations are counted once per fact and added to its scopes."""
+    key = [*by, "fact_id", "scope", "role"]
+    own = found.own.groupBy(*key).agg(F.count(F.lit(1)).alias("evidence"))
+    shared = found.shared.groupBy(*by, "fact_id", "role").agg(F.count(F.lit(1)).alias("evidence"))
+    lent = found.used.join(shared, [*by, "fact_id"])
+    return own.unionByName(lent.select(*key, "evidence")).groupBy(*key).agg(F.sum("evidence").alias("evidence"))
 
 
 def scope_candidates(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -105,9 +133,12 @@ def scope_candidates(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 def stack_map(
-    fact_evidence: DataFrame, evidence: DataFrame, candidates: DataFrame, by: Sequence[str] = ()
+    fact_evidence: DataFrame, evidence: DataFrame, candidates: DataFrame, by: Sequence[str] = (), project: str | None = None
 ) -> dict[str, DataFrame]:
-    """Technologies per scope: scopes, usages, nested regions and the usages counted per region."""
+    """Technologies per scope: scopes, usages, nested regions and the usages counted per region.
+
+    With ``project``, the id of its node, also the ``edge`` rows from it to the regions that lie in no other one.
+    """
     scopes = scope_candidates(candidates, by)
     owners = scopes.select(*by, F.col("path").alias("owner_path"), "owner")
     attributed = attribute_usage(fact_evidence, evidence, owners, by)
@@ -116,7 +147,12 @@ def stack_map(
     shown = scopes.join(live, [*by, "owner"], "left_semi")
     regions = region_nesting(shown.select(*by, F.col("owner").alias("id"), "path"), by)
     counted = usage.groupBy(*by, "scope").agg(F.count(F.lit(1)).alias("stacks"), F.sum("evidence").alias("evidence"))
-    return {"scope": shown, "usage": usage, "region": regions, "count": counted, "attribution": attributed}
+    out = {"scope": shown, "usage": usage, "region": regions, "count": counted, "attribution": attributed}
+    if project is not None:
+        behind = attributed.groupBy(*by, F.col("scope").alias("dst")).agg(F.count_distinct("evidence_id").alias("evidence"))
+        top = regions.filter("parent_id is null").select(*by, F.lit(project).alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("kind"))
+        out["edge"] = lookup_join(top, behind, [*by, "dst"]).select(*by, F.concat_ws(":", F.lit("view-edge:contains"), "dst").alias("id"), "src", "dst", "kind", "evidence")
+    return out
 
 
 def module_view(modules: DataFrame, imports: DataFrame, by: Sequence[str] = ()) -> dict[str, DataFrame]:
