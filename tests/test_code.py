@@ -116,6 +116,44 @@ def test_call_tiers(spark):
     }
 
 
+def test_initializers_are_not_called(spark):
+    rows = [
+        ("top", "a.ts", "<module>", "", None, False, "typescript", True), ("f", "a.ts", "run", "", "top", False, "typescript", False), ("m", "a.ts", "stop", "K", "top", False, "typescript", False),
+        ("other", "a.ts", "stop", "", "top", False, "typescript", False), ("only", "a.ts", "go", "K", "top", False, "typescript", None),
+    ]
+    functions = spark.createDataFrame(rows, FN + ", initializer boolean")
+    scopes = R.ancestors(functions.select(F.col("fn_id").alias("id"), F.col("parent").alias("parent_id")))
+    calls = spark.createDataFrame([("1", "a.ts", "f", "stop"), ("2", "a.ts", "f", "go"), ("3", "a.ts", "top", "run"), ("4", "a.ts", "f", "<module>")], "call_id string, path string, owner string, callee string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    none = (empty("path string, local string, original string, specifier string"), empty("path string, specifier string, target string, direct boolean"), empty("call_id string"))
+    # A method is no declaration of the file's top level, and the top level itself is nobody's target.
+    got = CA.resolve_calls(calls, functions, scopes, *none)
+    assert values(got, "call_id", "target") == [("1", "other"), ("2", None), ("3", "f"), ("4", None)]
+    from corpusloom.operators import spans as S
+
+    spans = spark.createDataFrame([("s1", "a.ts", None, 5), ("s2", None, "<module>", None)], "span_id string, path string, function_name string, line int")
+    placed = spark.createDataFrame([("top", "a.ts", "<module>", "<module>", 1, 99, True), ("f", "a.ts", "run", "run", 4, 6, False)], "fn_id string, path string, label string, name string, line int, end_line int, initializer boolean")
+    assert values(S.bind_spans(spans, placed), "span_id", "fn_id") == [("s1", "f"), ("s2", None)]
+
+
+def test_external_targets_of_one_source_are_flat(spark):
+    from corpusloom.operators import bundles as B
+
+    one = spark.createDataFrame([("a", "x"), ("a", "y")], "src string, dst string")
+    two = one.unionByName(spark.createDataFrame([("b", "y")], "src string, dst string"))
+    assert values(B.external_layout(one, B.external_groups(one)), "dst", "parent", "layout") == [("x", "external", "flat"), ("y", "external", "flat")]
+    assert values(B.external_layout(two, B.external_groups(two)), "dst", "parent", "layout") == [("x", "external:source:a", "grouped"), ("y", "external:source:shared", "grouped")]
+    assert B.external_layout(one.limit(0), B.external_groups(one.limit(0))).isEmpty()
+
+
+def test_places_of_a_word(spark):
+    from corpusloom.functions import text as XF
+
+    texts = ["a.b a.b\n\na.b", "", None, "a.ba.b", "axb", "\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", XF.places("t", "a.b").alias("p")).collect()
+    assert {r.i: None if r.p is None else [tuple(x) for x in r.p] for r in rows} == {0: [(1, 1), (1, 5), (3, 1)], 1: [], 2: None, 3: [(1, 1), (1, 4)], 4: [], 5: []}
+
+
 def test_reaching_definitions(spark):
     scopes = R.ancestors(spark.createDataFrame([("f", "g"), ("g", None)], "id string, parent_id string"))
     definitions = spark.createDataFrame(
