@@ -5,6 +5,8 @@ Project files and traces are derived row by row from the driver tables, so the r
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import commands as CF
@@ -21,9 +23,11 @@ from corpusloom.sources import dictionary as DI
 from corpusloom.sources import files as FI
 from corpusloom.sources import locks as LO
 from corpusloom.sources import manifests as MA
+from corpusloom.plans import checkpoint_folder
 from corpusloom.sources import traces as TR
+from corpusloom.sources.store import read_store, write_store
 
-from .registry import PAGES, page_paths, query, s
+from .registry import EDGES, NODES, PAGES, edges, nodes, page_paths, query, s
 
 c = F.col
 
@@ -326,6 +330,23 @@ def manifest_forms(t):
     return rows.groupBy("ecosystem", "name", "version_range", "dependency_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "store_roundtrip",
+    f"""WITH {EDGES}, {NODES} SELECT "group" AS project_id, 'fact' AS kind, count(*) AS n, min(id) AS low, max(id) AS high FROM n GROUP BY ALL
+  UNION ALL SELECT e.kind, 'relation', count(*), min(id), max(id) FROM e GROUP BY ALL""",
+)
+def store_roundtrip(t):
+    """Facts and relations as a store gives them back; a version that was never published lies beside them."""
+    path = f"{checkpoint_folder(t.spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    facts, relations = nodes(t).withColumnRenamed("group", "project_id"), edges(t).withColumn("project_id", c("kind"))
+    write_store({"fact": facts}, path)
+    write_store({"relation": relations}, path, keep=True)
+    facts.limit(1).write.parquet(f"{path}/version-unpublished/fact")
+    held = read_store(t.spark, path, "fact", "relation")
+    counted = lambda name: held[name].groupBy("project_id", F.lit(name).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return counted("fact").unionByName(counted("relation"))
+
+
 def _lock_files(t):
     k, n = c("p_partkey"), F.concat(c("p_size").cast("string"), F.lit(".1.0"))
     name = _pick(k, "package-lock.json", "yarn.lock", "Cargo.lock", "uv.lock", "composer.lock", "packages.lock.json", "bun.lock", "deno.lock", "pubspec.lock", "Package.resolved", "yarn.lock")

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
@@ -164,6 +165,16 @@ def test_store_round_trip_and_dictionary(spark, tmp_path):
     assert values(ST.read_store(spark, str(tmp_path / "store"), "fact")["fact"], "project_id", "id") == [("p", "1"), ("q", "2")]
     plan = ST.read_store(spark, str(tmp_path / "store"), "fact")["fact"].filter("project_id = 'p'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(project_id" in plan
+    # A write that fails in its second table, or is not published, changes nothing; the next one shows both tables at once.
+    broken = facts.select("project_id", F.raise_error(F.lit("lost")).cast("string").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        ST.write_store({"fact": facts.limit(1), "edge": broken}, str(tmp_path / "store"), version="two")
+    assert ST.read_store(spark, str(tmp_path / "store"), "fact")["fact"].count() == 2 and ST.published(spark, str(tmp_path / "store"))[0] == 1
+    ST.write_store({"edge": facts.limit(1)}, str(tmp_path / "store"), version="two", keep=True)
+    both = ST.read_store(spark, str(tmp_path / "store"), "fact", "edge")
+    assert both["fact"].count() == 2 and both["edge"].count() == 1 and ST.published(spark, str(tmp_path / "store"))[0] == 2
+    with pytest.raises(FileNotFoundError):
+        ST.read_store(spark, str(tmp_path / "none"), "fact")
     write(tmp_path, {"dict/categories/c.json": '{"id": "web", "name": "Web"}\n', "dict/stacks/s.json": '{"id": "vite", "name": "Vite", "category_id": "web", "aliases": ["v"]}\n'})
     categories, stacks = DI.load_dictionary(spark, str(tmp_path / "dict"))
     assert values(DI.map_tree(categories, stacks), "id", "parent_id") == [("category:web", None), ("stack:vite", "category:web")]
