@@ -595,13 +595,23 @@ def evidence_label(t):
     return found.select("doc_id", XF.evidence_label("source", F.array_compact(F.array("e"))).alias("label"), c("e.context_start").alias("context_start"))
 
 
+_KEYED = r"""(?:["'']?)(?:B2_[A-Z0-9_]+|(?:API|AUTH|ACCESS|SECRET|PRIVATE|PASSWORD|TOKEN|CREDENTIAL)[A-Z0-9_]*)(?:["'']?)\s*[:=]\s*"""
+_HELD = r"""(?:"(?:\\.|[^"\\])*(?:"|\\?$)|''(?:\\.|[^''\\])*(?:''|\\?$)|[^,}\r\n]*)"""
+
+
 @query(
     "mask_secrets",
-    """SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) AS newlines, TRUE AS hidden FROM documents WHERE contains(text, 'token = "')""",
+    rf"""WITH d AS (SELECT doc_id, text || chr(10) || 'API_KEY' || (doc_id % 7) || ' = v' || doc_id || ' , kept' || chr(10) || '''password'': ''a ' || doc_id || chr(10) || 'b'' left' AS t FROM documents WHERE text IS NOT NULL),
+  x AS (SELECT doc_id, string_split_regex(t, '(?is){_KEYED}{_HELD}') AS pieces, regexp_extract_all(t, '(?is){_KEYED}{_HELD}') AS found FROM d),
+  y AS (SELECT doc_id, pieces, list_transform(found, lambda m: [regexp_extract(m, '(?is)^{_KEYED}'), m[length(regexp_extract(m, '(?is)^{_KEYED}')) + 1:]]) AS found FROM x),
+  z AS (SELECT doc_id, pieces, list_transform(found, lambda f: f[1] || CASE WHEN regexp_matches(f[2], '^["'']') THEN regexp_replace(f[2], '[^\r\n]', '•', 'g') ELSE regexp_replace(regexp_replace(f[2], '\s+$', ''), '[^\r\n]', '•', 'g') || regexp_extract(f[2], '\s+$') END) AS shown FROM y)
+  SELECT doc_id, array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || coalesce(shown[i], '')), '') AS masked FROM z""",
 )
 def mask_secrets(t):
-    masked = t.documents.filter(F.contains("text", F.lit('token = "'))).select("doc_id", SF.mask_source("text").alias("m"))
-    return masked.select("doc_id", F.length("m").alias("chars"), (F.length("m") - F.length(F.replace("m", F.lit("\n"), F.lit("")))).alias("newlines"), (F.contains("m", F.lit("token = •")) & ~c("m").rlike(r'token = "')).alias("hidden"))
+    """Every whole text, with two more assignments behind it."""
+    k = c("doc_id").cast("string")
+    added = F.concat("text", F.lit("\nAPI_KEY"), (c("doc_id") % 7).cast("string"), F.lit(" = v"), k, F.lit(" , kept\n'password': 'a "), k, F.lit("\nb' left"))
+    return t.documents.filter("text is not null").select("doc_id", SF.mask_source(added).alias("masked"))
 
 
 @query("public_urls", r"SELECT page_id, regexp_replace(regexp_replace(url, '://', '://'), '(token=)[^&#]*', '\1[redacted]') AS url FROM (SELECT page_id, url || CASE WHEN contains(url, '#') THEN '' WHEN contains(url, '?') THEN '&token=abc' ELSE '?token=abc&x=1' END AS url FROM pages)")
@@ -613,13 +623,13 @@ def public_urls(t):
 
 @query(
     "mask_urls",
-    "SELECT page_id, length(url) + 16 AS chars, TRUE AS hidden FROM pages",
+    """WITH x AS (SELECT page_id, regexp_extract(url, '^[^#]*') AS base, regexp_extract(url, '#.*$') AS rest FROM pages WHERE url IS NOT NULL)
+  SELECT page_id, 'see ' || replace(base, '://', '://•••••••@') || CASE WHEN contains(base, '?') THEN '&' ELSE '?' END || 'sig=•••&plain=4' || rest || ' end' AS masked FROM x""",
 )
 def mask_urls(t):
-    secret = F.concat(F.regexp_replace("url", "://", "://user:pw@"), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("sig=123"))
-    fitted = F.regexp_replace(secret, r"#top\?sig=123$", "?sig=1234567")
-    masked = t.pages.filter("url is not null").select("page_id", fitted.alias("u")).withColumn("m", SF.mask_url_source("u"))
-    return masked.select("page_id", F.length("m").alias("chars"), (~F.contains("m", F.lit("pw")) & ~F.contains("m", F.lit("123"))).alias("hidden"))
+    base, rest = F.regexp_extract("url", "^[^#]*", 0), F.regexp_extract("url", "#.*$", 0)
+    secret = F.concat(F.lit("see "), F.replace(base, F.lit("://"), F.lit("://user:pw@")), F.when(F.contains(base, F.lit("?")), "&").otherwise("?"), F.lit("sig=123&plain=4"), rest, F.lit(" end"))
+    return t.pages.filter("url is not null").select("page_id", SF.mask_url_source(secret).alias("masked"))
 
 
 @query(
