@@ -19,8 +19,8 @@ from corpusloom.session import local_session
 HEADLINE = [
     "bundle_relations", "bundle_with_environment", "summarize_graph", "boundary_stats", "partner_summary", "node_roles", "site_counts", "lift_edges", "edge_slots",
     "nearest_owner", "unique_lookup", "resolve_dependencies", "match_routes", "span_parents", "span_binding", "reaching_defs", "reaching_definitions", "begin_end_pairs", "merge_facts", "stack_usage",
-    "external_groups", "dictionary_search", "entity_search", "scope_members", "tree_closure", "bfs_depths", "khop_relations", "scc_depths", "compress_paths", "reexport_reach", "density", "assign_owners", "resolve_links", "short_labels",
-    "mask_secrets", "otlp_spans", "package_dependencies", "manifest_rows", "lock_rows", "lock_importers", "imports_relative", "call_resolution", "attribute_usage", "package_usage", "module_view", "validate_dictionary",
+    "external_groups", "dictionary_search", "entity_search", "scope_members", "tree_closure", "bfs_depths", "khop_relations", "scc_depths", "compress_paths", "density", "assign_owners", "resolve_links", "short_labels",
+    "mask_secrets", "otlp_spans", "package_dependencies", "manifest_rows", "imports_relative", "call_resolution", "attribute_usage", "package_usage", "module_view", "validate_dictionary",
 ]
 
 

@@ -170,7 +170,7 @@ def node_roles(t):
 _MEMBERS = """m AS (SELECT 'n' || s_nationkey AS region, 's' || s_suppkey AS id FROM supplier
   UNION ALL SELECT 'r' || n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT 'world', 's' || s_suppkey FROM supplier UNION ALL SELECT p_brand, 'p' || p_partkey FROM part
-  UNION ALL SELECT 'world', 'p' || p_partkey FROM part WHERE p_size < 10)"""
+  UNION ALL SELECT 'world', 'p' || p_partkey FROM part)"""
 
 
 def _memberships(t):
@@ -181,7 +181,7 @@ def _memberships(t):
     )
     part = s("p", c("p_partkey")).alias("id")
     return nested.unionByName(t.part.select(c("p_brand").alias("region"), part)).unionByName(
-        t.part.filter("p_size < 10").select(F.lit("world").alias("region"), part)
+        t.part.select(F.lit("world").alias("region"), part)
     )
 
 
