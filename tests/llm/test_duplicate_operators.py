@@ -245,3 +245,30 @@ def test_oracles(spark, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(rows.columns)
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in rows.collect()))) == sorted(map(repr, result.fetchall()))
+
+
+def test_pipeline_with_odd_inputs(spark, tmp_path):
+    """Null, empty and long texts, repeated rows and keys, columns that clash with the stages' own, and an empty table."""
+    rng = random.Random(8)
+    good = [prose(rng, rng.randint(60, 200)) for _ in range(60)]
+    junk = ["## %% && ** ## %%" * rng.randint(1, 9) for _ in range(60)]
+    texts = good + junk + [None, "", " \n\t", good[0], good[1].replace(" ", "\n"), good[2] + " end", prose(rng, 9000)]
+    rows = [(i, t, "en", "s", len(t or ""), "norm", 0.5, True, 7) for i, t in enumerate(texts)] + [(3, good[3], None, None, None, None, None, None, None), (None, good[4], "en", "s", 1, "x", 1.0, False, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, norm string, score double, kept boolean, part int"
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    for name, table in (("odd", docs), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    kept = {r.doc_id for r in pieces}
+    # Junk goes, one of each group of copies stays, and every kept document is packed once and whole.
+    assert not kept & set(range(60, 120)) and len(kept & {1, 124}) == 1 and len(kept & {2, 125}) == 1 and set(range(5, 60)) <= kept
+    assert len(kept & {0, 123}) == 1 and len(kept & {4, None}) == 1
+    tokens = collections.defaultdict(set)
+    for r in pieces:
+        assert 0 < r.length <= 4096
+        tokens[r.doc_id].add(r.doc_tokens)
+    assert all(len(sizes) == 1 for sizes in tokens.values())
+    assert sum(r.length for r in pieces) == sum(size for sizes in tokens.values() for size in sizes)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -316,3 +316,50 @@ def test_long_parts_take_the_same_merges(monkeypatch):
     start = time.perf_counter()
     ids, count = merge_dropout.segment(pieces, ["".join(rng.choices("abcdefgheinstor", k=1_000_000)).encode()], keyed[:1], 0.1)
     assert count[0] == len(ids) and time.perf_counter() - start < 30
+
+
+def plain_features(text):
+    """Shares of grams: runs of letters, digits or signs, and neighbouring words, by their bytes."""
+    data, kinds = (text or "").encode(), {0: [32, *range(9, 14)], 1: [*range(65, 91), *range(97, 123), *range(128, 256)], 2: range(48, 58)}
+    of = {b: k for k, listed in kinds.items() for b in listed}
+    grams, at = [], 0
+    while at < len(data):
+        to = at
+        while to < len(data) and of.get(data[to], 3) == of.get(data[at], 3):
+            to += 1
+        run = data[at:to]
+        if of.get(data[at], 3):
+            capitals = not any(97 <= b < 123 for b in run) and sum(65 <= b < 91 for b in run) > 1
+            grams.append("CAPITALS" if capitals else run)
+        at = to
+    words = data.split()
+    grams += ["SAME" if a == b else (a, b) for a, b in zip(words, words[1:])]
+    found = collections.Counter(grams)
+    return {g: 8.0 * n / max(1, sum(found.values())) for g, n in found.items()} | {"BIAS": 1.0}
+
+
+def test_quality_is_plain_follow_the_leader(spark):
+    """Scores equal those of unhashed features and per-coordinate updates written out."""
+    rng = random.Random(3)
+    words = "river stone BRIDGE Ab1 12 x-y é! the of".split()
+    texts = [" ".join(rng.choices(words[: 9 if i % 2 else 5], k=rng.randint(1, 25))) for i in range(40)] + [None, "", " \n", "NASA NASA 77"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)] + [(1, None), (None, 1), (3, 0)], "doc_id long, quality int")
+    held = {i for i in range(44) if zlib.crc32(str(i).encode()) % 4 == 2}
+    turn = {r.doc_id: r.t for r in docs.select("doc_id", F.xxhash64("doc_id").alias("t")).collect()}
+    listed = sorted([(turn[i], q, i) for i, q in [*((i, i % 2) for i in range(42)), (3, 0)] if i not in held])
+    z, n = collections.Counter(), collections.Counter()
+    weight = lambda g: -np.sign(z[g]) * max(abs(z[g]) - 0.02, 0.0) / ((1.0 + n[g] ** 0.5) / 0.3 + 0.02)
+    margin = lambda x: min(30, max(-30, sum(weight(g) * v for g, v in x.items())))
+    for _ in range(4):
+        for _, label, i in listed:
+            x = plain_features(texts[i])
+            p = 1 / (1 + np.exp(-margin(x)))
+            for g, v in x.items():
+                w, d = weight(g), (p - label) * v
+                step = ((n[g] + d * d) ** 0.5 - n[g] ** 0.5) / 0.3
+                z[g], n[g] = z[g] + d - step * w, n[g] + d * d
+    want = {i: 1 / (1 + np.exp(-margin(plain_features(t)))) for i, t in enumerate(texts)}
+    rows = quality_model.quality_scores(docs, labels).collect()
+    assert {r.doc_id for r in rows if r.held_out} == held and len(rows) == len(texts)
+    assert all(abs(r.score - want[r.doc_id]) < 1e-4 and r.predicted == int(r.score >= 0.7) for r in rows)
