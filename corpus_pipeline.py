@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: quality, exact copies, near copies, repeated passages, packing."""
+"""From raw documents to packed sequences: quality, exact copies, near copies, repeated passages, packing.
+
+Every stage works on all rows that the one before kept; documents keep their columns until they are packed, whatever
+else these are called.  Null and empty texts are judged like others by the classifier and are copies of each other; of
+rows that repeat a key or a text one stays; ties go to the longer text, then to the smaller key; very long texts are read whole.
+An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
