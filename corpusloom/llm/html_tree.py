@@ -4,11 +4,13 @@ Every element is a node that is content or not.  A node's own features and its p
 child) give the model; messages passed from the leaves up and from the root down give each node's exact marginal.  The
 weights are fitted by the gradient of the likelihood, observed minus expected counts, both from the same messages, on
 labelled pages: layouts written out below with their labels, and a bounded number of given pages whose own markup names
-the article.  A block of text belongs to the output if its element's marginal is at least one half.
+the article.  Among a node's features is where it stands: inside an article or not, and in which part beside one.  A block of
+text belongs to the output if the marginal of its block element is at least one half (exactly one half counts).
 
 White space inside a block (a paragraph, heading, list item, …) is one space, character references are decoded, blocks
 are joined by line feeds in page order.  Inputs: null pages are empty and give an empty text; repeated rows are read
-each; an empty table gives no rows; other columns are ignored; unclosed, unknown and broken tags are read as they come.
+each; an empty table gives no rows; other columns are ignored; unclosed, unknown and broken tags are read as they come; pages
+of any length and depth are read whole, level by level.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ _WORD = re.compile(r"[a-z]+|[0-9]+")
 _ASIDE_TAGS = frozenset("nav header footer aside form button script style noscript menu dialog".split())
 _ASIDE_NAMES = frozenset("ad ads advert advertisement sponsor sponsored promo banner cookie consent notice alert sidebar widget menu nav navigation breadcrumb breadcrumbs header footer comment comments reply share social related newsletter subscribe popup modal".split())
 
+_CONTENT_NAMES = frozenset("article content entry post story main".split())
+
 
 def _self_closed(attributes: str) -> bool:
     """Whether a tag ends in a slash that is no part of an unquoted value."""
@@ -86,6 +90,7 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.names, self.parent, self.depth = ["#page"], [()], [0], [0]
         self.blocks: list[tuple[int, str]] = []
+        self.pieces: list[tuple[int, str]] = []
         stack, parts, where, at = [0], [], 0, 0
         skipped: dict[int, int] | None = None
 
@@ -94,7 +99,12 @@ class Page:
             if parts:
                 text = " ".join(html.unescape("".join(parts)).split())
                 if text:
-                    self.blocks.append((where, text))
+                    # Inline elements are judged with the block they stand in.
+                    block = where
+                    while block and self.tags[block] not in _BLOCK:
+                        block = self.parent[block]
+                    self.blocks.append((block, text))
+                    self.pieces.append((where, text))
                 parts = []
 
         for match in _TAG.finditer(source):
@@ -162,6 +172,24 @@ class Page:
                 break
 
 
+def _contexts(page: Page) -> list[tuple[bool, str]]:
+    """Whether a node is inside an article (or a part named like one), and the outermost part beside the article that it is in."""
+    out: list[tuple[bool, str]] = []
+    for node, tag in enumerate(page.tags):
+        within, beside = out[page.parent[node]] if node else (False, "")
+        names = () if tag in ("html", "body") else page.names[node]
+        away, own = any(name in _ASIDE_NAMES for name in names), any(name in _CONTENT_NAMES for name in names)
+        if not beside:
+            if tag in _ASIDE_TAGS:
+                beside = tag
+            elif away and not own:
+                beside = "named"
+            elif away:
+                beside = "mixed"
+        out.append((within or tag in ("article", "main") or (own and not away), beside))
+    return out
+
+
 def _bucket(value: float, *steps: float) -> int:
     return sum(value >= s for s in steps)
 
@@ -182,7 +210,8 @@ def _features(page: Page) -> tuple[list[int], list[int]]:
     """Feature numbers of all nodes one after the other, and how many each node has."""
     n = len(page.tags)
     text, linked, stops = [0] * n, [0] * n, [0] * n
-    for node, block in page.blocks:
+    contexts = _contexts(page)
+    for node, block in page.pieces:
         text[node] += len(block)
         stops[node] += block.count(".") + block.count(",")
         if page.tags[node] == "a":
@@ -198,12 +227,9 @@ def _features(page: Page) -> tuple[list[int], list[int]]:
         size = text[node]
         shape = (_bucket(size, 1, 25, 80, 250, 1000), _bucket(linked[node] / size if size else 0, 0.2, 0.6), _bucket(stops[node] / size if size else 0, 0.005, 0.02), _bucket(size / total, 0.02, 0.2, 0.5))
         found = [_feature(f"tag {tag}"), _feature(f"under {page.tags[page.parent[node]]} {tag}"), _feature(f"shape {shape}"), _feature(f"{tag} shape {shape[:2]}")]
+        found += [_feature(f"context {contexts[node]}"), _feature(f"beside {bool(contexts[node][1])}"), _feature(f"context {contexts[node]} shape {shape[0]}")]
         for name in page.names[node]:
             found.append(_feature(f"name {name}"))
-            if name in _ASIDE_NAMES:
-                found.append(_feature("named beside the article"))
-        if tag in _ASIDE_TAGS:
-            found.append(_feature("tag beside the article"))
         out += found
         count.append(len(found))
     return out, count
@@ -310,20 +336,54 @@ _BODIES = (
 )
 
 
+# Parts beside the article, and what may stand in them: as long and as plain as the article's own text.
+_PARTS = (
+    "<nav>{}</nav>", "<div class=nav>{}</div>", "<header>{}</header>", "<div id=header>{}</div>", "<footer>{}</footer>", "<div class=footer>{}</div>", "<aside>{}</aside>", "<aside class=sidebar>{}</aside>",
+    "<div class=sidebar>{}</div>", "<div class=widget>{}</div>", "<form>{}</form>", "<div class=cookie-notice>{}</div>", "<div class=ad>{}</div>", "<div class='sponsored promo'>{}</div>", "<div id=comments><ol><li>{}</li></ol></div>",
+    "<section class=comments>{}</section>", "<section class=comments><article class=comment>{}</article></section>", "<div class=related>{}</div>", "<div class=newsletter>{}</div>", "<div class=share>{}</div>", "<div class=popup>{}</div>",
+    "<dialog>{}</dialog>", "<menu>{}</menu>", "<div class='alert banner'>{}</div>",
+)
+_FILLINGS = (
+    f"<p>{_LONG}</p>", f"<p>{_LONG} {_SHORT}</p><p>{_LONG}</p>", "<ul><li><a href=/1>Ten things</a></li><li><a href=/2>Seven more</a></li></ul>", f"<h3>More</h3><p>{_SHORT}</p>", _SHORT, f"<div><div><p>{_LONG}</p></div></div>",
+)
+_ARTICLES = (
+    "<article>{0}{1}</article>", "<main><article>{0}{1}</article></main>", "<main>{0}{1}</main>", "<div class=content>{0}{1}</div>", "<article><header><h1>High water</h1></header>{0}{1}</article>",
+    "<div id=post class='entry post-content'><section>{0}{1}</section></div>",
+)
+_TEXTS = (
+    *_BODIES,
+    f"<h1>Links</h1><p>{_LONG}</p><ul><li><a href=/1>The bridge</a></li><li>{_SHORT}</li><li><a href=/2>The meadow</a></li></ul>",
+    f"<h1>Figure</h1><p>{_LONG}</p><figure><img src=a><figcaption>{_SHORT}</figcaption></figure><pre>a = 1</pre><ol><li>One</li><li>Two</li></ol>",
+    f"<h1>Table</h1><table><tr><th>Year</th><th>Height</th></tr><tr><td>1900</td><td><a href=/3>Two</a></td></tr></table><dl><dt>Bank</dt><dd>{_SHORT}</dd></dl><p>{_SHORT}</p>",
+)
+
+
+def _labelled(source: str) -> tuple[Page, list[int]]:
+    """A page whose content stands between the markers x-begin and x-end, without what stands between x-off and x-on."""
+    page = Page("<html><head><title>t</title></head>" + source + "</html>")
+    labels, within, beside = [], False, False
+    for node, tag in enumerate(page.tags):
+        within, beside = (within or tag == "x-begin") and tag != "x-end", (beside or tag == "x-off") and tag != "x-on"
+        labels.append(int(within and not beside and "ad" not in page.names[node] and not tag.startswith("x-")))
+        if tag.startswith("x-"):
+            page.tags[node] = "wbr"  # the markers are no part of the page
+    return page, labels
+
+
 def labelled_pages() -> list[tuple[Page, list[int]]]:
-    """The layouts above with their labels: an element is content if it stands in the braces and is no advert."""
-    out = []
-    for shell, content, body in itertools.product(_SHELLS, _CONTENTS[:-1], _BODIES):
-        page = Page("<html><head><title>t</title></head>" + shell.format(f"<x-begin></x-begin>{content.format(body)}<x-end></x-end>") + "</html>")
-        begin, end = page.tags.index("x-begin"), page.tags.index("x-end")
-        labels = [int(begin < node < end) for node in range(len(page.tags))]
-        for node in range(1, len(page.tags)):
-            if "ad" in page.names[node]:
-                labels[node] = 0
-        # The markers are no part of the page.
-        page.tags[begin] = page.tags[end] = "wbr"
-        labels[begin] = labels[end] = 0
-        out.append((page, labels))
+    """The layouts above with their labels: every shell with every body, and every part before, behind and in an article."""
+    mark = lambda text: f"<x-begin></x-begin>{text}<x-end></x-end>"
+    out = [_labelled(shell.format(mark(content.format(body)))) for shell, content, body in itertools.product(_SHELLS, _CONTENTS[:-1], _BODIES)]
+    turn = itertools.count()
+    for part, filling, place in itertools.product(_PARTS, _FILLINGS, ("before", "behind", "in")):
+        if place == "in" and "header" in part:  # the header of an article is its own
+            continue
+        k = next(turn)
+        beside = f"<x-off></x-off>{part.format(filling)}<x-on></x-on>"
+        article = _ARTICLES[k % len(_ARTICLES)].format(_TEXTS[k % len(_TEXTS)], beside if place == "in" else "")
+        article = mark(article)
+        body = {"before": beside + article, "behind": article + beside, "in": article}[place]
+        out.append(_labelled("<body><nav><a href=/>Home</a></nav>" * (k % 2) + "<body>" * (1 - k % 2) + body + "<footer>Imprint</footer></body>"))
     return out
 
 

@@ -363,3 +363,50 @@ def test_quality_is_plain_follow_the_leader(spark):
     rows = quality_model.quality_scores(docs, labels).collect()
     assert {r.doc_id for r in rows if r.held_out} == held and len(rows) == len(texts)
     assert all(abs(r.score - want[r.doc_id]) < 1e-4 and r.predicted == int(r.score >= 0.7) for r in rows)
+
+
+SENTENCES = "Two sentences stand here in one long paragraph about the harvest of that year. It was larger than anybody in the village could remember, and the barns were full."
+# Parts and article bodies that no training layout holds in this form.
+BESIDE = [
+    "<nav><p>{}</p></nav>", "<header><p>{}</p></header>", "<aside class='sidebar'><p>{}</p></aside>", "<form><p>{}</p></form>", "<div class='cookie-notice'><p>{}</p></div>", "<div class='ad'><p>{}</p></div>",
+    "<div id='comments'><ol><li><p>{}</p></li></ol></div>", "<footer><p>{}</p></footer>", "<section class='comments'><p>{}</p></section>", "<div class='widget'><p>{}</p></div>", "<div class='gdpr consent'><p>{}</p></div>",
+    "<div id='breadcrumbs'><p>{}</p></div>", "<div class='social share'><p>{}</p></div>", "<ul class='menu'><li>{}</li></ul>", "<div role='navigation'><p>{}</p></div>", "<div class='modal'><div><div><p>{}</p></div></div></div>",
+    "<section id='related'><h2>More</h2><p>{}</p></section>",
+]
+BODIES = {
+    "<ul><li><a href=x>Link item</a></li><li>Two</li></ul>": "Link item\nTwo", "<ul><li><a href=x>Link item</a></li><li><a href=y>Link two</a></li></ul>": "Link item\nLink two", "<ol><li>One</li><li>Two</li></ol>": "One\nTwo",
+    "<table><tr><td>A</td><td><a href=z>B</a></td></tr></table>": "A\nB", "<figure><img src=q><figcaption>Caption of it</figcaption></figure>": "Caption of it", "<blockquote>Said so.</blockquote><pre>x = 1</pre>": "Said so.\nx = 1",
+    "<dl><dt>Term</dt><dd>Meaning</dd></dl>": "Term\nMeaning", "<h2>Sub</h2><p>Tiny.</p>": "Sub\nTiny.", "<p><a href=r>All of this paragraph is a link</a></p>": "All of this paragraph is a link",
+}
+
+
+@pytest.fixture(scope="module")
+def tree_model():
+    every = html_tree.labelled_pages()
+    return html_tree.fit([page for page, _ in every], [labels for _, labels in every])
+
+
+def html_cases():
+    body, want = f"<h1>Title</h1><p>{SENTENCES}</p><p>{SENTENCES}</p>", f"Title\n{SENTENCES}\n{SENTENCES}"
+    for article in ("<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>", "<main><article>{}</article></main>"):
+        for part in BESIDE:
+            beside = part.format(SENTENCES)
+            yield f"{beside}{article.format(body)}", want
+            yield f"{article.format(body)}{beside}", want
+            if "header" not in part:
+                yield article.format(body + beside), want
+        for more, text in BODIES.items():
+            yield f"<nav><ul><li><a href=/>Home</a></li></ul></nav>{article.format(body + more)}<footer>Foot</footer>", f"{want}\n{text}"
+    yield f"<article><header><h1>Title</h1><p>Short.</p></header><p>{SENTENCES}</p></article>", f"Title\nShort.\n{SENTENCES}"
+    yield f"<nav><a href=/>Home</a></nav><article><p>Short.</p></article><footer>{SENTENCES}</footer>", "Short."
+    yield f"<nav><a href=/>Home</a></nav><footer>{SENTENCES}</footer>", ""
+    yield f"<article>{'<p>' + SENTENCES + '</p>'}" + f"<p>{SENTENCES}</p>" * 3000 + "</article>", "\n".join([SENTENCES] * 3001)
+    yield f"<article>{'<div>' * 400}<p>{SENTENCES}</p>{'</div>' * 400}</article>", SENTENCES
+
+
+def test_main_texts_of_held_out_layouts(tree_model):
+    cases = [(f"<html><body>{source}</body></html>", want) for source, want in html_cases()]
+    assert len(cases) > 200
+    got = html_tree.extract([html_tree.Page(source) for source, _ in cases], *tree_model)
+    wrong = [(source[:200], text[:100], want[:100]) for (source, want), text in zip(cases, got, strict=True) if text != want]
+    assert not wrong, wrong[:3]
