@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from corpusloom.plans import checkpoint_folder
 from corpusloom.streaming import dedupe_stream, link_stream, pair_brackets_stream, run_available
 
 from .records import BRACKETS
@@ -19,21 +22,49 @@ def _stream(t):
     return raw.withColumn("ts", c("ts").cast("timestamp"))
 
 
-@query("stream_dedupe", "SELECT DISTINCT event_type AS trace_id, user_id::VARCHAR AS span_id FROM events")
+# Events come in four parts by time; some of the first part come behind all others, far beyond the watermark.
+DELIVERED = """b AS (SELECT min(epoch_us(ts)) AS lo, (max(epoch_us(ts)) - min(epoch_us(ts))) // 4 + 1 AS step FROM events),
+  ontime AS (SELECT events.*, event_id - CAST(json_extract_string(props, '$.k') AS BIGINT) AS parent FROM events, b WHERE event_id % 97 <> 0 OR epoch_us(ts) >= lo + step)"""
+
+
+def _delivered(t, again: bool = False):
+    """A stream that delivers every part of the events in a trigger of its own, and in the end what is late and a row two days on.
+
+    ``again`` delivers each part a second time with the next one.
+    """
+    events = t.events.withColumn("ts", c("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    low, high = events.agg(F.min(at), F.max(at)).first()  # one row
+    step = (high - low) // 4 + 1
+    part, n = F.floor((at - low) / step), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    late = (part == 0) & (c("event_id") % 97 == 0)
+    folder = f"{checkpoint_folder(t.spark).rstrip('/')}/delivered-{uuid.uuid4().hex}"
+    for i in range(4):
+        rows = events.filter(~late & ((part == i) | (part == i - 1) if again else (part == i)))
+        rows.repartition(n).write.mode("append").parquet(folder)
+    end = t.spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_micros(F.lit(high + 2 * 86_400_000_000)).alias("ts"), F.lit("end").alias("event_type"))
+    events.filter(late | (part == 3 if again else F.lit(False))).unionByName(end, allowMissingColumns=True).repartition(n).write.mode("append").parquet(folder)
+    # Files are taken in the order they were written, as many at a time as a part has.
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", n).parquet(folder)
+
+
+@query("stream_dedupe", f"WITH {DELIVERED} SELECT event_type AS trace_id, event_id::VARCHAR AS span_id FROM ontime")
 def stream_dedupe(t):
-    spans = _stream(t).select(c("event_type").alias("trace_id"), c("user_id").cast("string").alias("span_id"), "ts")
-    return run_available(dedupe_stream(spans, delay="3650 days")).select("trace_id", "span_id")
+    """Every event is delivered twice, some too late; state lasts an hour of event time."""
+    spans = _delivered(t, again=True).select(c("event_type").alias("trace_id"), c("event_id").cast("string").alias("span_id"), "ts")
+    return run_available(dedupe_stream(spans, delay="1 hour")).filter("span_id <> '-1'").select("trace_id", "span_id")
 
 
 @query(
     "stream_links",
-    """WITH e AS (SELECT event_id, ts, event_id - CAST(json_extract_string(props, '$.k') AS BIGINT) AS parent FROM events) SELECT e.event_id::VARCHAR AS span_id FROM e JOIN events p ON p.event_id = e.parent AND p.ts BETWEEN e.ts - INTERVAL 1 DAY AND e.ts + INTERVAL 1 DAY""",
+    f"""WITH {DELIVERED} SELECT e.event_id::VARCHAR AS span_id, CASE WHEN p.event_id IS NULL THEN 'missing' ELSE 'linked' END AS link
+  FROM ontime e LEFT JOIN ontime p ON p.event_id = e.parent AND p.ts BETWEEN e.ts - INTERVAL 1 HOUR AND e.ts + INTERVAL 1 HOUR""",
 )
 def stream_links(t):
+    """Linked children, and those whose parent has not come when the watermark passes."""
     k = F.get_json_object("props", "$.k").cast("bigint")
-    spans = _stream(t).select(F.lit("t").alias("trace_id"), c("event_id").cast("string").alias("span_id"), (c("event_id") - k).cast("string").alias("parent_span_id"), "ts")
-    linked = run_available(link_stream(spans, spans, delay="2 days", distance="1 day"))
-    return linked.filter("link = 'linked'").select("span_id")
+    spans = _delivered(t).select(F.lit("t").alias("trace_id"), c("event_id").cast("string").alias("span_id"), (c("event_id") - k).cast("string").alias("parent_span_id"), "ts")
+    return run_available(link_stream(spans, spans, delay="1 hour", distance="1 hour")).filter("span_id <> '-1'").select("span_id", "link")
 
 
 @query(
