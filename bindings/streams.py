@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.plans import checkpoint_folder
-from corpusloom.streaming import dedupe_stream, link_stream, pair_brackets_stream, run_available
+from corpusloom.streaming import bracket_rows, dedupe_stream, link_stream, run_available, start_brackets
 
 from .records import BRACKETS
 from .registry import query
@@ -15,35 +15,28 @@ from .registry import query
 c = F.col
 
 
-def _stream(t):
-    """The events file as a stream; event time in session time zone."""
-    schema = t.events.schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    return raw.withColumn("ts", c("ts").cast("timestamp"))
-
-
 # Events come in four parts by time; some of the first part come behind all others, far beyond the watermark.
 DELIVERED = """b AS (SELECT min(epoch_us(ts)) AS lo, (max(epoch_us(ts)) - min(epoch_us(ts))) // 4 + 1 AS step FROM events),
   ontime AS (SELECT events.*, event_id - CAST(json_extract_string(props, '$.k') AS BIGINT) AS parent FROM events, b WHERE event_id % 97 <> 0 OR epoch_us(ts) >= lo + step)"""
 
 
-def _delivered(t, again: bool = False):
+def _delivered(t, again: bool = False, late: bool = True):
     """A stream that delivers every part of the events in a trigger of its own, and in the end what is late and a row two days on.
 
-    ``again`` delivers each part a second time with the next one.
+    ``again`` delivers each part a second time with the next one; without ``late`` nothing is held back.
     """
     events = t.events.withColumn("ts", c("ts").cast("timestamp"))
     at = F.unix_micros("ts")
     low, high = events.agg(F.min(at), F.max(at)).first()  # one row
     step = (high - low) // 4 + 1
     part, n = F.floor((at - low) / step), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    late = (part == 0) & (c("event_id") % 97 == 0)
+    held = (part == 0) & (c("event_id") % 97 == 0) & F.lit(late)
     folder = f"{checkpoint_folder(t.spark).rstrip('/')}/delivered-{uuid.uuid4().hex}"
     for i in range(4):
-        rows = events.filter(~late & ((part == i) | (part == i - 1) if again else (part == i)))
+        rows = events.filter(~held & ((part == i) | (part == i - 1) if again else (part == i)))
         rows.repartition(n).write.mode("append").parquet(folder)
     end = t.spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_micros(F.lit(high + 2 * 86_400_000_000)).alias("ts"), F.lit("end").alias("event_type"))
-    events.filter(late | (part == 3 if again else F.lit(False))).unionByName(end, allowMissingColumns=True).repartition(n).write.mode("append").parquet(folder)
+    events.filter(held | (part == 3 if again else F.lit(False))).unionByName(end, allowMissingColumns=True).repartition(n).write.mode("append").parquet(folder)
     # Files are taken in the order they were written, as many at a time as a part has.
     return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", n).parquet(folder)
 
@@ -73,6 +66,9 @@ def stream_links(t):
   SELECT event_id AS begin_item, ne AS end_item, depth, 'closed' AS status FROM x WHERE phase = 'B' AND np = 'E' UNION ALL SELECT NULL, event_id, NULL, 'orphan' FROM q WHERE orphan""",
 )
 def stream_brackets(t):
+    """Events in four triggers by time; brackets that stay open wait in the state."""
     phase = F.when(c("event_type") == "signup", "B").when(c("event_type") == "purchase", "E")
-    events = _stream(t).select(c("user_id").cast("string").alias("thread"), F.unix_micros("ts").alias("position"), c("event_id").alias("item"), phase.alias("phase")).filter("phase is not null")
-    return run_available(pair_brackets_stream(events)).select("begin_item", "end_item", "depth", "status")
+    events = _delivered(t, late=False).select(c("user_id").cast("string").alias("thread"), F.unix_micros("ts").alias("position"), c("event_id").alias("item"), phase.alias("phase")).filter("phase is not null")
+    folder = f"{checkpoint_folder(t.spark).rstrip('/')}/brackets-{uuid.uuid4().hex}"
+    start_brackets(events, folder).awaitTermination()
+    return bracket_rows(t.spark, folder).select("begin_item", "end_item", "depth", "status")

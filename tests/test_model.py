@@ -14,7 +14,7 @@ from corpusloom.operators import quality as Q
 from corpusloom.operators import search as SE
 from corpusloom.operators import spans as S
 from corpusloom.operators import views as V
-from corpusloom.streaming import pair_brackets_stream, run_available
+from corpusloom.streaming import bracket_rows, open_brackets, pair_trigger, start_brackets
 
 
 def test_crowding_matches_brute_force(spark):
@@ -111,15 +111,40 @@ def test_brackets_with_one_hot_thread(spark):
     assert got == closed and spans.filter("end_item is null").count() == len(stack)
 
 
-def test_stream_pairs_over_two_batches(spark, tmp_path):
+def test_stream_pairs_over_triggers_and_a_restart(spark, tmp_path):
     schema = "thread string, position bigint, item bigint, phase string"
-    source = str(tmp_path / "in")
-    spark.createDataFrame([("t", 1, 1, "B"), ("t", 2, 2, "B"), ("u", 1, 9, "E")], schema).coalesce(1).write.parquet(source)
-    first = pair_brackets_stream(spark.readStream.schema(schema).parquet(source))
-    assert values(run_available(first), "begin_item", "end_item", "status") == [(None, 9, "orphan")]
-    spark.createDataFrame([("t", 3, 3, "E"), ("t", 4, 4, "E")], schema).coalesce(1).write.mode("append").parquet(source)
-    both = pair_brackets_stream(spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(source))
-    assert values(run_available(both).filter("status = 'closed'"), "begin_item", "end_item", "depth", "parent_item") == [(1, 4, 1, None), (2, 3, 2, 1)]
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    deliver = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+    go = lambda **more: start_brackets(spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(source), folder, **more).awaitTermination()
+    columns = ("thread", "begin_item", "end_item", "depth", "parent_item", "status")
+    deliver(("t", 1, 1, "B"), ("t", 2, 2, "B"), ("u", 1, 9, "E"), ("v", 1, 20, "B"))
+    go()
+    assert values(bracket_rows(spark, folder), *columns) == [("u", None, 9, None, None, "orphan")]
+    # A new query goes on with what the first one left open; rows behind a thread's last position are late.
+    deliver(("t", 3, 3, "E"), ("t", 4, 4, "B"))
+    deliver(("t", 2, 5, "E"), ("t", 5, 6, "E"), ("t", 6, 7, "E"), ("t", 7, 8, "E"))
+    go()
+    want = [("t", 1, 7, 1, None, "closed"), ("t", 2, 3, 2, 1, "closed"), ("t", 4, 6, 2, 1, "closed"), ("t", None, 5, None, None, "late"), ("t", None, 8, None, None, "orphan"), ("u", None, 9, None, None, "orphan")]
+    assert values(bracket_rows(spark, folder), *columns) == sorted(want, key=repr) and values(open_brackets(spark, folder, 2), "item") == [(20,)]
+    # A silent thread is given up.
+    deliver(("t", 500, 30, "B"))
+    go(patience=100)
+    assert values(bracket_rows(spark, folder).filter("status = 'unclosed'"), *columns) == [("v", 20, None, 1, None, "unclosed")]
+    assert values(open_brackets(spark, folder, 3), "thread", "item") == [("t", 30)]
+
+
+def test_triggers_give_what_one_batch_gives(spark):
+    """Random events of a hot thread and others, cut into triggers at any place."""
+    rng = random.Random(12)
+    events = [("hot" if rng.random() < 0.7 else rng.choice("xyz"), i, i, rng.choice("BBE" if i < 200 else "BEE")) for i in range(400)]
+    schema = "thread string, position bigint, item bigint, phase string"
+    empty = lambda kind: spark.createDataFrame([], kind)
+    whole, left, _ = pair_trigger(spark.createDataFrame(events, schema), empty("thread string, position bigint, item bigint"), empty("thread string, last bigint"))
+    open_, seen, got = empty("thread string, position bigint, item bigint"), empty("thread string, last bigint"), []
+    for a, b in ((0, 90), (90, 230), (230, 400)):
+        rows, open_, seen = pair_trigger(spark.createDataFrame(events[a:b], schema), open_, seen)
+        got += [tuple(r) for r in rows.collect()]
+    assert sorted(got, key=repr) == values(whole, *whole.columns) and values(open_, "item") == values(left, "item")
 
 
 def test_last_before_crosses_blocks(spark):
