@@ -35,6 +35,8 @@ def local_session(name: str = "corpusloom", cores: str | int = "*", shuffle_part
         .config("spark.ui.enabled", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Recording the call site of every column expression takes longer than building the readers' large expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SQL_SETTINGS.items():
         builder = builder.config(key, value)
