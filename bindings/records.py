@@ -149,7 +149,7 @@ def span_binding(t):
     file = F.concat(F.lower("p_type"), F.lit("/"), F.lower("p_brand"), F.lit(".py"))
     start = (c("p_partkey") % 97) * 10
     functions = t.part.select(c("p_partkey").alias("fn_id"), file.alias("path"), c("p_name").alias("label"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name"), (start + 1).alias("line"), (start + c("p_size")).alias("end_line"))
-    lines = t.lineitem.join(t.part, c("p_partkey") == c("l_partkey"))
+    lines = t.lineitem.join(t.part.hint("merge"), c("p_partkey") == c("l_partkey"))
     spans = lines.select(
         F.when(c("l_linenumber") != 7, F.concat(F.lit("/srv/app/"), file)).alias("path"),
         F.when((c("l_linenumber") % 2 == 0) | (c("l_linenumber") == 7), c("p_name")).alias("function_name"),

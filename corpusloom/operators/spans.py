@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import path_suffixes
-from ..plans import Blocks, lookup_join, only_value
+from ..plans import Blocks, cut_lineage, lookup_join, only_value
 
 SPAN_KEY = ("trace_id", "span_id")
 
@@ -56,7 +56,23 @@ def trace_warnings(spans: DataFrame, logs: DataFrame | None = None, by: Sequence
     return out
 
 
-LINE_BUCKET = 64
+def _pieces(ranges: DataFrame) -> DataFrame:
+    """Cut every range of lines [``_from``, ``_to``] into aligned blocks of 1, 4, 16 … lines (``_level``, ``_block``), at most six of a size.
+
+    A line lies in one block of each size, so it meets a range by equality, and ranges that share a block can be aggregated before.
+    """
+    first = lambda level: f"shiftright(_from + shiftleft(1L, 2 * ({level})) - 1, 2 * ({level}))"
+    last = lambda level: f"shiftright(_to + 1, 2 * ({level})) - 1"
+    sized = ranges.withColumn("_level", F.expr(f"explode(sequence(0, {TOP_LEVEL}))"))
+    sized = sized.selectExpr("*", f"{first('_level')} AS _a", f"{last('_level')} AS _b", f"4 * ({first('_level + 1')}) AS _inner_a", f"4 * ({last('_level + 1')}) + 4 AS _inner_b")
+    some = lambda low, high: f"IF({low} <= {high}, sequence({low}, {high}), CAST(array() AS array<bigint>))"
+    # Blocks inside a larger one that the range holds as a whole are left to that one.
+    blocks = f"IF(_inner_a < _inner_b, concat({some('_a', '_inner_a - 1')}, {some('_inner_b', '_b')}), {some('_a', '_b')})"
+    return sized.withColumn("_block", F.explode(F.expr(blocks))).drop("_from", "_to", "_a", "_b", "_inner_a", "_inner_b")
+
+
+#: The largest block that a range can hold has a quarter of the bits of its length.
+TOP_LEVEL = "CAST((length(bin(_to - _from + 1)) - 1) DIV 2 AS INT)"
 
 
 def bind_spans(spans: DataFrame, functions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -64,39 +80,54 @@ def bind_spans(spans: DataFrame, functions: DataFrame, by: Sequence[str] = ()) -
 
     ``spans``: ``path``, ``function_name``, ``line`` (any may be null); ``functions``: ``fn_id``, ``path``, ``label``,
     ``name``, ``line``, ``end_line``.  A recorded path may carry leading folders the source lacks, so its suffixes are
-    joined by equality; lines meet through fixed buckets instead of a range condition over a whole file.  The binding
+    joined by equality; lines meet through aligned blocks of lines.  Functions are reduced to their smallest and largest id
+    per path, name and block before any span meets them, so no span is paired with all functions that fit it.  The planner takes
+    exploded and grouped tables for as small as their source, so their joins are merged, never broadcast by that estimate.  The binding
     is observed when a path was recorded, else inferred.  Functions marked ``initializer`` (the top level of a file) are no candidates.
     """
     if "initializer" in functions.columns:
         functions = functions.filter(~F.coalesce("initializer", F.lit(False)))
     last = F.coalesce("end_line", "line")
-    defined = functions.select(*by, "fn_id", F.col("path").alias("_path"), F.array_distinct(F.array_compact(F.array("label", "name"))).alias("_names"), F.col("line").alias("_from"), last.alias("_to"))
-    asked = spans.select(*by, "path", "function_name", "line").distinct()
+    names = F.array_distinct(F.array_compact(F.array("label", "name")))
+    defined = functions.select(*by, "fn_id", F.col("path").alias("_path"), names.alias("_names"), F.col("line").cast("long").alias("_from"), last.cast("long").alias("_to"))
+    asked = cut_lineage(spans.select(*by, "path", "function_name", "line").distinct())
     key = [*by, "path", "function_name", "line"]
-    located = asked.filter(F.col("path").isNotNull()).withColumn("_path", F.explode(path_suffixes("path")))
-    bucket = F.floor(F.col("line") / LINE_BUCKET)
-    buckets = defined.filter(F.col("_from").isNotNull()).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / LINE_BUCKET), F.floor(F.col("_to") / LINE_BUCKET))))
-    named = defined.withColumn("function_name", F.explode("_names"))
-    fits_name = F.col("function_name").isNull() | F.array_contains("_names", F.col("function_name"))
-    fits_line = (F.col("_from") <= F.col("line")) & (F.col("_to") >= F.col("line"))
-
-    by_line = located.filter(F.col("line").isNotNull()).withColumn("_bucket", bucket).join(buckets, [*by, "_path", "_bucket"]).filter(fits_name & fits_line)
-    by_name = located.filter(F.col("line").isNull() & F.col("function_name").isNotNull()).join(named.select(*by, "fn_id", "_path", "function_name"), [*by, "_path", "function_name"])
-    per_file = defined.groupBy(*by, "_path").agg(F.min("fn_id").alias("_low"), F.max("fn_id").alias("_high"))
-    by_file = located.filter(F.col("line").isNull() & F.col("function_name").isNull()).join(per_file, [*by, "_path"])
-    loose = asked.filter(F.col("path").isNull() & F.col("function_name").isNotNull())
-    per_name = named.groupBy(*by, "function_name").agg(F.min("fn_id").alias("_low"), F.max("fn_id").alias("_high"))
-    by_bare = loose.filter(F.col("line").isNull()).join(per_name, [*by, "function_name"])
-    bare_bucket = buckets.withColumn("function_name", F.explode("_names"))
-    by_bare_line = loose.filter(F.col("line").isNotNull()).withColumn("_bucket", bucket).join(bare_bucket, [*by, "function_name", "_bucket"]).filter(fits_line)
-
-    one = [part.select(*key, F.col("fn_id").alias("_low"), F.col("fn_id").alias("_high")) for part in (by_line, by_name, by_bare_line)]
-    pairs = one[0].unionByName(one[1]).unionByName(one[2]).unionByName(by_file.select(*key, "_low", "_high")).unionByName(by_bare.select(*key, "_low", "_high"))
+    ends = [F.min("_low").alias("_low"), F.max("_high").alias("_high")]
+    ids = [F.col("fn_id").alias("_low"), F.col("fn_id").alias("_high")]
+    named = defined.withColumn("function_name", F.explode("_names")).select(*by, "_path", "function_name", "_from", "_to", *ids)
+    # A span without a name asks for any function: ``_any`` keeps these apart from an empty name.
+    each = named.select(*by, "_path", F.col("function_name").alias("_name"), F.lit(False).alias("_any"), "_from", "_to", "_low", "_high").unionByName(
+        defined.select(*by, "_path", F.lit("").alias("_name"), F.lit(True).alias("_any"), "_from", "_to", *ids)
+    )
+    ranged = each.filter("_from <= _to").groupBy(*by, "_path", "_name", "_any", "_from", "_to").agg(*ends)
+    pieces = _pieces(ranged).groupBy(*by, "_path", "_name", "_any", "_level", "_block").agg(*ends)
+    longest = F.max(F.when(F.col("_from") <= F.col("_to"), F.expr(TOP_LEVEL))).alias("_top")
+    at_levels = lambda rows: rows.withColumn("_level", F.explode(F.sequence(F.lit(0), "_top"))).withColumn("_block", F.expr("shiftright(CAST(line AS BIGINT), 2 * _level)"))
+
+    per_file = defined.select(*by, "_path", "_from", "_to", *ids).groupBy(*by, "_path").agg(*ends, longest)
+    located = asked.filter(F.col("path").isNotNull()).withColumn("_path", F.explode(path_suffixes("path"))).join(per_file.hint("merge"), [*by, "_path"])
+    by_file = located.filter(F.col("line").isNull() & F.col("function_name").isNull())
+    in_file = located.drop("_low", "_high")
+    lines = in_file.filter(F.col("line").isNotNull() & F.col("_top").isNotNull())
+    lines = at_levels(lines.withColumn("_any", F.col("function_name").isNull()).withColumn("_name", F.coalesce("function_name", F.lit(""))))
+    by_line = lines.join(pieces.hint("merge"), [*by, "_path", "_name", "_any", "_level", "_block"])
+    per_name_in_file = named.groupBy(*by, "_path", "function_name").agg(*ends)
+    by_name = in_file.filter(F.col("line").isNull() & F.col("function_name").isNotNull()).join(per_name_in_file.hint("merge"), [*by, "_path", "function_name"])
+    per_name = named.groupBy(*by, "function_name").agg(*ends, longest)
+    loose = asked.filter(F.col("path").isNull() & F.col("function_name").isNotNull()).join(per_name.hint("merge"), [*by, "function_name"])
+    by_bare = loose.filter(F.col("line").isNull())
+    bare_pieces = pieces.filter("not _any").groupBy(*by, F.col("_name").alias("function_name"), "_level", "_block").agg(*ends)
+    bare_lines = at_levels(loose.drop("_low", "_high").filter(F.col("line").isNotNull() & F.col("_top").isNotNull()))
+    by_bare_line = bare_lines.join(bare_pieces.hint("merge"), [*by, "function_name", "_level", "_block"])
+
+    pairs = by_line.select(*key, "_low", "_high")
+    for part in (by_name, by_bare_line, by_file, by_bare):
+        pairs = pairs.unionByName(part.select(*key, "_low", "_high"))
     # Null-safe key: absent parts become text markers before grouping and joining.
     marks = [F.to_json(F.struct("path", "function_name", "line")).alias("_asked")]
     best = pairs.select(*by, *marks, "_low", "_high").groupBy(*by, "_asked").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     best = best.select(*by, "_asked", F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias("fn_id"))
-    joined = lookup_join(spans.withColumn("_asked", F.to_json(F.struct("path", "function_name", "line"))), best, [*by, "_asked"]).drop("_asked")
+    joined = lookup_join(spans.withColumn("_asked", F.to_json(F.struct("path", "function_name", "line"))), best.hint("merge"), [*by, "_asked"]).drop("_asked")
     return joined.withColumn("confidence", F.when(F.col("fn_id").isNotNull(), F.when(F.col("path").isNotNull(), "observed").otherwise("inferred")))
 
 

@@ -123,6 +123,35 @@ def test_otlp_spans_logs_and_links(spark):
     assert values(bound.filter("fn_id is not null"), "span_id", "fn_id", "confidence") == [("a", "f", "observed")]
 
 
+def test_spans_meet_functions_by_blocks_of_lines_not_one_by_one(spark):
+    """Nested, crossing, long and empty ranges under one name against the plain definition; a hot file yields no pairs."""
+    import random
+
+    draw = random.Random(5)
+    functions = []
+    for number in range(300):
+        line = draw.choice([draw.randint(1, 40), draw.randint(1, 90_000)])
+        functions.append((number, draw.choice(["a.py", "x/a.py", "b.py"]), draw.choice(["f", "g", ""]), draw.choice(["f", "h", None]), draw.choice([line, line, None]), draw.choice([line + draw.randint(-2, 70), line + 50_000, None])))
+    spans = [(path, name, draw.choice([None, draw.randint(0, 45), draw.randint(0, 140_000)])) for path in ("/s/x/a.py", "b.py", "none.py", None) for name in ("f", "h", "", None) for _ in range(12)]
+    table = spark.createDataFrame(functions, "fn_id long, path string, label string, name string, line int, end_line int")
+    asked = spark.createDataFrame(spans, "path string, function_name string, line int").distinct()
+
+    def fits(span, fn):
+        path, name, line = span
+        end = fn[5] if fn[5] is not None else fn[4]
+        in_path = path is None or ("/" + path).endswith("/" + fn[1])
+        in_line = line is None or (fn[4] is not None and fn[4] <= line <= end)
+        return in_path and in_line and (name is None or name in fn[2:4]) and not (path is None and name is None)
+
+    want = set()
+    for span in set(spans):
+        found = [fn[0] for fn in functions if fits(span, fn)]
+        want.add((*span, found[0] if len(found) == 1 else None))
+    got = S.bind_spans(asked, table)
+    assert {(r["path"], r["function_name"], r["line"], r["fn_id"]) for r in got.collect()} == want and any(row[3] is not None for row in want)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_log_lines_with_unknown_spans_only_warn(spark):
     lines = documents(spark, {"message": "one", "spanId": "x"}, {"message": "two", "spanId": "y"}, {"nothing": 1})
     spans, logs = TR.structured_records(lines)
