@@ -92,8 +92,11 @@ def command_targets(fragments: DataFrame, technologies: DataFrame, runtimes: Dat
     overall = one(databases.withColumn("_k", F.lit(1)).groupBy(*key).agg(F.min_by("fact_id", "seq").alias("_any")))
     names = databases.select(*by, "package_id", "fact_id", "seq", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("binding"), F.lower("database_name"))))).alias("name"))
     words = asked.select(*by, "fragment_id", "package_id", F.posexplode(F.slice("positional", 2, F.greatest(F.size("positional"), F.lit(1)))).alias("_at", "_word")).withColumn("name", F.lower("_word"))
-    local = words.join(names, [*by, "package_id", "name"]).groupBy(*by, "fragment_id").agg(F.min_by("fact_id", F.struct("_at", "seq")).alias("_named_own"))
-    wide = words.drop("package_id").join(names.drop("package_id"), [*by, "name"]).groupBy(*by, "fragment_id").agg(F.min_by("fact_id", F.struct("_at", "seq")).alias("_named_any"))
+    # Only the first database of a name can be meant, so names are reduced before any word meets them.
+    first = [F.min_by("fact_id", "seq").alias("fact_id"), F.min("seq").alias("seq")]
+    in_package, anywhere = names.groupBy(*by, "package_id", "name").agg(*first), names.groupBy(*by, "name").agg(*first)
+    local = lookup_join(words, in_package, [*by, "package_id", "name"], "inner").groupBy(*by, "fragment_id").agg(F.min_by("fact_id", F.struct("_at", "seq")).alias("_named_own"))
+    wide = lookup_join(words, anywhere, [*by, "name"], "inner").groupBy(*by, "fragment_id").agg(F.min_by("fact_id", F.struct("_at", "seq")).alias("_named_any"))
     joined = lookup_join(lookup_join(asked, per_package, [*by, "package_id"]), overall, key)
     joined = lookup_join(lookup_join(joined, local, [*by, "fragment_id"]), wide, [*by, "fragment_id"])
     target = F.when(F.col("_own").isNotNull(), F.coalesce("_named_own", "_own")).otherwise(F.coalesce("_named_any", "_any"))
