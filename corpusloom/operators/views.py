@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import dir_name
-from ..plans import cut_lineage, lookup_join
+from ..plans import lookup_join, rewritten
 from .bundles import degrees
 from .filters import edges_for
 from .merge import stack_usage
@@ -73,14 +73,14 @@ def attribute_evidence(fact_evidence: DataFrame, evidence: DataFrame, scopes: Da
     A declaration whose own scope has no usage counts for every usage scope of its fact: it stays one row with the fact.
     """
     joined = lookup_join(fact_evidence, evidence, [*by, "evidence_id"], "inner").withColumn("role", evidence_role())
-    own = nearest_owner(joined.select(*by, "path").distinct(), scopes, by).select(*by, "path", F.col("owner").alias("_own"))
+    own = nearest_owner(evidence.select(*by, "path").distinct(), scopes, by).select(*by, "path", F.col("owner").alias("_own"))
     placed = lookup_join(joined, own, [*by, "path"])
     if "scope_path" in evidence.columns:
         named = placed.filter(F.col("scope_path").isNotNull()).select(*by, F.col("scope_path").alias("path")).distinct()
         explicit = nearest_owner(named, scopes, by, is_directory=True).select(*by, F.col("path").alias("scope_path"), F.col("owner").alias("_named"))
         placed = lookup_join(placed, explicit, [*by, "scope_path"]).withColumn("_own", F.coalesce("_named", "_own"))
     # Four branches below read this table; store it once.
-    placed = cut_lineage(placed.select(*by, "fact_id", "fact_kind", "stack_id", F.col("_own").alias("scope"), "evidence_id", "role"))
+    placed = rewritten(placed.select(*by, "fact_id", "fact_kind", "stack_id", F.col("_own").alias("scope"), "evidence_id", "role"))
     cols = [*by, "fact_id", "fact_kind", "stack_id", "scope", "evidence_id", "role"]
     usage = placed.filter("role = 'usage' and scope is not null").select(*cols)
     used = usage.select(*by, "fact_id", "scope").distinct()
@@ -104,7 +104,10 @@ def attribute_usage(fact_evidence: DataFrame, evidence: DataFrame, scopes: DataF
     ``fact_evidence``: ``fact_id``, ``fact_kind``, ``stack_id``, ``explicit``, ``evidence_id``; ``evidence``: ``evidence_id``,
     ``path``, ``role``, ``detector_id``, ``scope_path``; ``scopes``: ``owner_path``, ``owner``.
     """
-    found = attribute_evidence(fact_evidence, evidence, scopes, by)
+    return _attributed(attribute_evidence(fact_evidence, evidence, scopes, by), by)
+
+
+def _attributed(found: Attribution, by: Sequence[str]) -> DataFrame:
     cols = [*by, "fact_id", "fact_kind", "stack_id", "scope", "evidence_id", "role"]
     return found.own.select(*cols).unionByName(found.shared.join(found.used, [*by, "fact_id"]).select(*cols))
 
@@ -118,6 +121,33 @@ def attribution_counts(found: Attribution, by: Sequence[str] = ()) -> DataFrame:
     return own.unionByName(lent.select(*key, "evidence")).groupBy(*key).agg(F.sum("evidence").alias("evidence"))
 
 
+def _distinct_evidence(found: Attribution, by: Sequence[str], per: Sequence[str]) -> DataFrame:
+    """Distinct pieces of evidence per scope and ``per``.
+
+    Evidence with one row belongs to one fact: it is counted there, and the counts are lent to the scopes of the fact.  Only evidence
+    with several rows, which could be counted twice in a scope, meets the scopes piece by piece.
+    """
+    item, group = [*by, *per, "evidence_id"], [*by, "scope", *per]
+    rows = found.own.select(*item, "fact_id", "scope", F.lit(False).alias("_shared"))
+    rows = rows.unionByName(found.shared.select(*item, "fact_id", F.lit(None).cast("string").alias("scope"), F.lit(True).alias("_shared"))).filter("evidence_id is not null")
+    counted = rows.groupBy(*item).agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct("_shared", "fact_id", "scope")).alias("_row"))
+    single = counted.filter("_rows = 1").groupBy(*by, *per, "_row").agg(F.count(F.lit(1)).alias("evidence")).select(*by, *per, "_row.*", "evidence")
+    several = rows.join(counted.filter("_rows > 1").select(*item), item, "left_semi")
+    lent = lambda frame: frame.filter("not _shared").select(*group, *frame.columns[-1:]).unionByName(frame.filter("_shared").drop("scope").join(found.used, [*by, "fact_id"]).select(*group, *frame.columns[-1:]))
+    twice = lent(several.select(*by, *per, "_shared", "fact_id", "scope", "evidence_id")).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("evidence"))
+    return lent(single).unionByName(twice).groupBy(*group).agg(F.sum("evidence").alias("evidence"))
+
+
+def usage_counts(found: Attribution, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`stack_usage` of all attributed evidence, without a row per shared declaration and scope."""
+    cols = [*by, "fact_id", "stack_id", F.col("fact_kind").alias("kind"), "role"]
+    own = found.own.select("scope", *cols).distinct()
+    shared = found.shared.select(*cols).distinct().join(found.used, [*by, "fact_id"])
+    facts = stack_usage(own.unionByName(shared.select(*own.columns)).withColumn("evidence_id", F.lit(0)), by).drop("evidence")
+    joined = lookup_join(facts, _distinct_evidence(found, by, ["stack_id"]), [*by, "scope", "stack_id"])
+    return joined.select(*by, "scope", "stack_id", F.coalesce("evidence", F.lit(0)).alias("evidence"), "facts", "kinds", "used", "declared")
+
+
 def scope_candidates(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One scope per path: the highest-ranked source wins; desktop kind, explicit boundary and package identity stick.
 
@@ -141,15 +171,17 @@ def stack_map(
     """
     scopes = scope_candidates(candidates, by)
     owners = scopes.select(*by, F.col("path").alias("owner_path"), "owner")
-    attributed = attribute_usage(fact_evidence, evidence, owners, by)
-    usage = stack_usage(attributed.withColumnRenamed("fact_kind", "kind"), by)
-    live = usage.select(*by, F.col("scope").alias("owner")).distinct()
+    found = attribute_evidence(fact_evidence, evidence, owners, by)
+    found = found._replace(own=rewritten(found.own), shared=rewritten(found.shared))
+    usage = usage_counts(found, by)
+    # Shared declarations count only for scopes that have evidence of their own.
+    live = found.own.select(*by, F.col("scope").alias("owner")).distinct()
     shown = scopes.join(live, [*by, "owner"], "left_semi")
     regions = region_nesting(shown.select(*by, F.col("owner").alias("id"), "path"), by)
     counted = usage.groupBy(*by, "scope").agg(F.count(F.lit(1)).alias("stacks"), F.sum("evidence").alias("evidence"))
-    out = {"scope": shown, "usage": usage, "region": regions, "count": counted, "attribution": attributed}
+    out = {"scope": shown, "usage": usage, "region": regions, "count": counted, "attribution": _attributed(found, by)}
     if project is not None:
-        behind = attributed.groupBy(*by, F.col("scope").alias("dst")).agg(F.count_distinct("evidence_id").alias("evidence"))
+        behind = _distinct_evidence(found, by, []).withColumnRenamed("scope", "dst")
         top = regions.filter("parent_id is null").select(*by, F.lit(project).alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("kind"))
         out["edge"] = lookup_join(top, behind, [*by, "dst"]).select(*by, F.concat_ws(":", F.lit("view-edge:contains"), "dst").alias("id"), "src", "dst", "kind", "evidence")
     return out

@@ -51,3 +51,26 @@ def test_generators_meet_each_applying_operation_once(spark):
     got = A.usage_targets(nodes, edges)
     assert joined_rows(got) <= 110
     assert {(r["id"], r["target"]) for r in got.collect()} == {(op, f"r{i}") for op in ("g0", "a0") for i in range(30)}
+
+
+def test_shared_declarations_are_counted_per_fact_not_per_scope(spark):
+    """Evidence of one fact, of two facts of one stack and of two stacks, with and without a scope of its own."""
+    from corpusloom.operators import views as V
+    from corpusloom.operators.merge import stack_usage
+
+    n, scopes = 90, 20
+    facts = [("f1", "s1"), ("f2", "s1"), ("f3", "s2")]
+    held = [(fact, "technology", stack, False, f"e{i}") for i in range(n) for k, (fact, stack) in enumerate(facts) if i % 3 == k or i % 7 == 0]
+    used = [(fact, "technology", stack, False, f"u{fact}{i}") for i in range(scopes) for fact, stack in facts if (i + len(stack + fact) + int(fact[1])) % 3]
+    places = [(row[4], f"none/{row[4]}.ts" if i % 11 else "p/d3/a.ts", None, "package-dependency", None) for i, row in enumerate(held)]
+    places += [(row[4], f"p/d{row[4][3:]}/a.ts", None, "source-import", None) for row in used]
+    evidence = spark.createDataFrame(places, "evidence_id string, path string, role string, detector_id string, scope_path string").dropDuplicates(["evidence_id"])
+    fact = spark.createDataFrame(held + used, "fact_id string, fact_kind string, stack_id string, explicit boolean, evidence_id string")
+    candidates = spark.createDataFrame([(f"p/d{i}", "package", "application", False, None) for i in range(scopes)], "path string, source string, kind string, explicit boolean, fact_id string")
+    out = V.stack_map(fact, evidence, candidates, project="root")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    whole = out["attribution"]
+    assert rows(out["usage"]) == rows(stack_usage(whole.withColumnRenamed("fact_kind", "kind")))
+    want = {(r["scope"], r["n"]) for r in whole.groupBy("scope").agg(F.count_distinct("evidence_id").alias("n")).collect()}
+    assert {(r["dst"], r["evidence"]) for r in out["edge"].collect()} == want
+    assert whole.count() > 900 and joined_rows(out["usage"]) < whole.count() * 0.7
