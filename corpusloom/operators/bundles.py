@@ -231,21 +231,24 @@ def dependency_detail(edges: DataFrame, summary: Column) -> DataFrame:
 def boundary_stats(edges: DataFrame, memberships: DataFrame) -> DataFrame:
     """Internal, outgoing and incoming edges of each region over its (transitive) members.
 
-    ``memberships`` (``region``, ``id``) may nest; an edge is internal to every region that holds both its ends.  Ends
-    are counted per node before they meet the memberships, so only internal edges are looked at pair by pair, and
-    parallel edges are merged first.
+    ``memberships`` (``region``, ``id``) may nest; an edge is internal to every region that holds both its ends.  Nodes of the same
+    regions are one class, named by a fingerprint of its regions: an edge is counted between two classes, and only the counts meet
+    the regions.
     """
     inside = memberships.select("region", "id").distinct()
-
-    def lifted(end: str, name: str) -> DataFrame:
-        per_node = edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-        return per_node.join(inside, "id").groupBy("region").agg(F.sum("_n").alias(name))
-
-    pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_n"))
-    held = pairs.join(inside.withColumnRenamed("id", "src"), "src").join(inside.withColumnRenamed("id", "dst"), ["dst", "region"])
-    internal = held.groupBy("region").agg(F.sum("_n").alias("internal"))
-    ends = lifted("src", "_out").join(lifted("dst", "_in"), "region", "full").join(internal, "region", "left").fillna(0)
-    return ends.select("region", "internal", (F.col("_out") - F.col("internal")).alias("outgoing"), (F.col("_in") - F.col("internal")).alias("incoming"))
+    classes = inside.groupBy("id").agg(
+        F.struct(F.bit_xor(F.xxhash64(F.lit("a"), "region")), F.bit_xor(F.xxhash64(F.lit("b"), "region")), F.count(F.lit(1))).alias("class")
+    )
+    held = inside.join(classes, "id").select("class", "region").distinct()
+    between = edges.select("src", "dst")
+    for end in ("src", "dst"):
+        between = lookup_join(between, classes.select(F.col("id").alias(end), F.col("class").alias(f"_{end}")), [end])
+    counts = between.groupBy("_src", "_dst").agg(F.count(F.lit(1)).alias("_n"))
+    side = lambda end, mark: counts.join(held.withColumnRenamed("class", end), end).select("region", F.struct("_src", "_dst").alias("_pair"), "_n", F.lit(mark).alias("_side"))
+    # A pair of classes meets a region once from each side that lies in it.
+    met = side("_src", 1).unionByName(side("_dst", 2)).groupBy("region", "_pair", "_n").agg(F.sum("_side").alias("_sides"))
+    total = lambda sides: F.sum(F.when(F.col("_sides") == sides, F.col("_n")).otherwise(0))
+    return met.groupBy("region").agg(total(3).alias("internal"), total(1).alias("outgoing"), total(2).alias("incoming"))
 
 
 def unresolved_summary(nodes: DataFrame, edges: DataFrame, call_site: Sequence[str]) -> DataFrame:

@@ -74,3 +74,44 @@ def test_shared_declarations_are_counted_per_fact_not_per_scope(spark):
     want = {(r["scope"], r["n"]) for r in whole.groupBy("scope").agg(F.count_distinct("evidence_id").alias("n")).collect()}
     assert {(r["dst"], r["evidence"]) for r in out["edge"].collect()} == want
     assert whole.count() > 900 and joined_rows(out["usage"]) < whole.count() * 0.7
+
+
+def test_places_take_one_pass_over_a_long_line(spark):
+    import time
+
+    from corpusloom.functions import text as XF
+
+    n = 30_000
+    texts = spark.createDataFrame([(1, "x the\n\nthethe ünthe"), (2, ""), (3, None), (4, "the " * n)], "id int, text string")
+    begun = time.time()
+    rows = texts.select("id", F.explode(XF.places("text", "the")).alias("p")).select("id", "p.line", "p.col").collect()
+    assert time.time() - begun < 20
+    assert [tuple(r) for r in rows[:4]] == [(1, 1, 3), (1, 3, 1), (1, 3, 4), (1, 3, 10)]
+    assert [r["col"] for r in rows[4:]] == list(range(1, 4 * n, 4))
+
+
+def test_edges_meet_regions_as_counts_of_classes(spark):
+    """Edges between nodes of the same regions are one row before any region is met."""
+    import random
+
+    from corpusloom.operators import bundles as B
+
+    draw = random.Random(3)
+    regions = {f"n{i}": {f"r{i % 3}", "all"} | ({"odd"} if i % 2 else set()) for i in range(40)}
+    edges = [(f"n{draw.randint(0, 49)}", f"n{draw.randint(0, 49)}") for _ in range(2000)]
+    held = spark.createDataFrame([(region, node) for node, of in regions.items() for region in of], "region string, id string")
+    got = B.boundary_stats(spark.createDataFrame(edges, "src string, dst string"), held)
+    want = set()
+    for region in {"r0", "r1", "r2", "all", "odd"}:
+        ends = [(region in regions.get(a, ()), region in regions.get(b, ())) for a, b in edges]
+        want.add((region, ends.count((True, True)), ends.count((True, False)), ends.count((False, True))))
+    assert {tuple(r) for r in got.collect()} == want
+    assert joined_rows(got) <= len(edges)
+
+
+def test_rows_of_a_small_file_are_dealt_before_costly_work(spark):
+    from bindings import QUERIES
+
+    for name in ("name_functions", "ddl_fields", "ddl_constraints", "manifest_forms"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
