@@ -23,7 +23,7 @@ from corpusloom.sources import dictionary as DI
 from corpusloom.sources import files as FI
 from corpusloom.sources import locks as LO
 from corpusloom.sources import manifests as MA
-from corpusloom.plans import checkpoint_folder
+from corpusloom.plans import checkpoint_folder, spread
 from corpusloom.sources import traces as TR
 from corpusloom.sources.store import read_store, write_store
 
@@ -184,7 +184,7 @@ def _package_files(t):
         F.when(c("p_size") % 3 == 0, '"exports": {".": {"import": "./m.js"}, "./sub": "./s.js"}').otherwise('"exports": "./only.js"'), F.lit(", }"),
     )
     text = F.when(c("p_partkey") % 50 == 7, "not json").otherwise(body)
-    return t.part.select(s("pkg/", c("p_partkey"), "/package.json").alias("path"), text.alias("text"))
+    return spread(t.part).select(s("pkg/", c("p_partkey"), "/package.json").alias("path"), text.alias("text"))
 
 
 @query(
@@ -240,7 +240,7 @@ def _manifest_files(t):
         F.concat(F.lit('let p = Package(dependencies: [.package(url: "https://x/y/Zip.git", from: "'), n, F.lit('")])')),
         F.concat(F.lit('{"imports": {"z": "npm:zod@'), n, F.lit('", "l": "./local.ts"}}')),
     )
-    return t.part.select(F.concat(s("m/", k, "/"), name).alias("path"), text.alias("text"))
+    return spread(t.part).select(F.concat(s("m/", k, "/"), name).alias("path"), text.alias("text"))
 
 
 @query(
@@ -280,7 +280,7 @@ def _project_files(t):
         F.concat(F.lit('{"tasks": {"dev": "run '), n, F.lit('"}, "workspace": ["a"], "lock": "d.lock", "imports": {"l": "../l.ts"}}')),
         F.concat(F.lit("[versions]\nv = \""), n, F.lit("\"\n[libraries]\njson-core = { module = \"org.j:core\", version.ref = \"v\" }\n")),
     )
-    return t.part.select(F.lit("p").alias("project_id"), F.concat(s("m", k, "/"), file).alias("path"), text.alias("text"))
+    return spread(t.part).select(F.lit("p").alias("project_id"), F.concat(s("m", k, "/"), file).alias("path"), text.alias("text"))
 
 
 _PARTS = "WITH p AS (SELECT p_partkey AS k, p_partkey % 14 AS f, lower(replace(p_type, ' ', '-')) AS name, p_size::VARCHAR AS n FROM part)"
@@ -364,7 +364,7 @@ def _lock_files(t):
         F.concat(F.lit('{"pins": [{"identity": "zip", "state": {"version": "'), n, F.lit('"}}], "version": 2}')),
         F.concat(F.lit('__metadata:\n  version: 6\n\n"a@npm:^1, a@npm:^2":\n  version: '), n, F.lit('\n  resolution: "a@npm:1"\n')),
     )
-    return t.part.select(F.concat(s("m/", k, "/"), name).alias("path"), text.alias("text"))
+    return spread(t.part).select(F.concat(s("m/", k, "/"), name).alias("path"), text.alias("text"))
 
 
 @query(
@@ -472,7 +472,7 @@ def _schema_files(t):
     )
     prisma = F.concat(F.lit("model U"), n, F.lit(" {\n id Int @id @default(autoincrement())\n post P? @relation(fields: [pid], references: [id])\n pid Int? // c\n}\nmodel P {\n id Int @id\n}\n"))
     graphql = F.concat(F.lit("type Q"), n, F.lit(" {\n me(id: ID!): U!\n n: Int\n}\ntype U { \n id: ID!\n}\n"))
-    return t.part.select(s("db/", k).alias("path"), _pick(k, "sql", "prisma", "graphql").alias("language"), _pick(k, sql, prisma, graphql).alias("text"))
+    return spread(t.part).select(s("db/", k).alias("path"), _pick(k, "sql", "prisma", "graphql").alias("language"), _pick(k, sql, prisma, graphql).alias("text"))
 
 
 @query(
@@ -691,7 +691,7 @@ def path_functions(t):
     """SELECT p_partkey, '@' || lower(p_type) || '/pkg' AS root, lower(replace(p_name, ' ', '-')) AS pypi, '/u/:id' AS route, 'used-by' AS inverse, CASE WHEN p_size % 2 = 0 THEN 'web' END AS scope FROM part""",
 )
 def name_functions(t):
-    return t.part.select(
+    return spread(t.part).select(
         "p_partkey", NF.npm_root(F.concat(F.lit("@"), F.lower("p_type"), F.lit("/pkg/deep"))).alias("root"), NF.normalize_identifier(F.lit("pypi"), F.replace("p_name", F.lit(" "), F.lit("_."))).alias("pypi"),
         NF.file_route(F.concat(F.lit("app/(grp)/u/[id]/route.ts"), F.lit(""))).alias("route"), NF.inverse_relation(F.lit("uses")).alias("inverse"),
         PF.config_scope_boundary(F.when(c("p_size") % 2 == 0, "web/src/**/*.ts").otherwise("tests/**")).alias("scope"),

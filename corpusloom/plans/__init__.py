@@ -1,5 +1,5 @@
 from .lineage import Grown, checkpoint_folder, cut_lineage, rewritten, store_partitioned
-from .skew import lookup_join, only_value
+from .skew import lookup_join, only_value, spread
 from .scan import Blocks, dyadic_blocks, positions
 
 __all__ = [
@@ -12,5 +12,6 @@ __all__ = [
     "lookup_join",
     "only_value",
     "positions",
+    "spread",
     "store_partitioned",
 ]
