@@ -115,3 +115,20 @@ def test_rows_of_a_small_file_are_dealt_before_costly_work(spark):
     for name in ("name_functions", "ddl_fields", "ddl_constraints", "manifest_forms"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
+
+
+def test_rounds_of_headers_do_not_compute_the_includes_anew(spark):
+    from corpusloom.operators import imports as IM
+
+    n, read = 6, spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        read.add(1)
+        return name
+
+    names = spark.range(n).select(F.concat(F.lit("d/h"), "id", F.lit(".h")).alias("path"), F.concat(F.lit("h"), F.col("id") + 1, F.lit(".h")).alias("specifier"))
+    includes = names.withColumn("specifier", F.udf(counted, "string")("specifier"))
+    units = spark.createDataFrame([("d/h0.h", "c", ["x"])], "path string, language string, include_dirs array<string>")
+    got = IM.header_languages(units, includes, names.select("path"))
+    assert {tuple(r) for r in got.collect()} == {(f"d/h{i}.h", "c") for i in range(n)}
+    assert read.value <= 2 * n
