@@ -222,3 +222,27 @@ def test_a_hub_is_spread_by_its_degree(spark, monkeypatch):
     assert values(T.bfs_depths(nodes, edges, seed), "id", "depth") == sorted(depths(both | {(b, a) for a, b in both}, 0).items(), key=repr)
     reached = {n: set(depths(both, n)) for n in {n for pair in both for n in pair}}
     assert values(K.strong_components(nodes, edges), "id", "component") == sorted(((n, max(m for m in reached[n] if n in reached[m])) for n in reached), key=repr)
+
+
+@pytest.mark.parametrize("ends", [60, 10**6])
+def test_longest_paths_settle_a_block_a_round(spark, monkeypatch, ends):
+    # Edges upwards and, for the other half, between nodes named at random, so that paths leave blocks and come back.
+    rng = random.Random(ends)
+    listed = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)}
+    name = {n: n if n < 20 else 1000 - (n * 37) % 97 for n in range(40)}
+    listed = {(name[a], name[b]) for a, b in listed}
+    depth = {n: 0 for pair in listed for n in pair}
+    for _ in depth:
+        for a, b in listed:
+            depth[b] = max(depth[b], depth[a] + 1)
+    monkeypatch.setattr(scc, "BLOCK_ENDS", ends)
+    assert values(K.longest_depths(edge_table(spark, listed)), "id", "depth") == sorted(depth.items(), key=repr)
+
+
+def test_junctions_of_one_block_take_one_round(spark, monkeypatch):
+    # A path of 300 junctions: every node also leads two nodes on.
+    jobs = []
+    for module, name in ((chains, "rewritten"), (scc, "rewritten"), (scc, "cut_lineage")):
+        monkeypatch.setattr(module, name, lambda df, cut=getattr(module, name): jobs.append(1) or cut(df))
+    found = K.longest_depths(edge_table(spark, {(n, n + k) for n in range(300) for k in (1, 2)}))
+    assert found.filter("depth = id or id = 301 and depth = 300").count() == 302 and len(jobs) < 30
