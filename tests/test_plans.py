@@ -67,3 +67,31 @@ def test_glob_keys_lose_no_match(spark):
     assert values(glob_join(every, rejected, by=["project"]), "project", "path") == sorted({(g, p) for g in globs for p in paths} - set(want))
     _, unmatched = match_members(spark.createDataFrame([(g,) for g in [*globs, "none/*", "*.nope"]], "pattern string"), table)
     assert values(unmatched) == [("*.nope",), ("none/*",)]
+
+
+def test_shuffle_partitions_follow_the_rows(spark, monkeypatch):
+    from bindings import code, registry
+    from corpusloom import session
+
+    monkeypatch.setattr(session, "PARTITION_ROWS", 3)
+    lines = spark.createDataFrame([(o, n, (o + n) % 7) for o in range(10) for n in range(1, 4)], "l_orderkey long, l_linenumber int, l_partkey long")
+    tables = registry.Tables(spark, "unused")
+    tables.lineitem = lines
+    found = code.reexport_reach(tables)
+    names = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert names == ("10", "8m") and found.count() > 0
+    registry.Tables(spark, "unused")  # the next query begins without them
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
+
+
+def test_reexport_counts_do_not_meet_imports_by_component(spark, monkeypatch):
+    from corpusloom.operators import imports as IM
+
+    # All files are one component: imports must be joined by their target file, of which there are many.
+    rows = [(f"f{n}", f"s{n}", f"f{(n + 1) % 20}", True) for n in range(20)]
+    found = IM.reexport_reach(spark.createDataFrame(rows, "path string, specifier string, target string, reexport boolean"))
+    joined = []
+    plain = IM.lookup_join
+    monkeypatch.setattr(IM, "lookup_join", lambda left, right, on, *more: joined.append(list(on)) or plain(left, right, on, *more))
+    assert {tuple(r) for r in IM.reexport_counts(found).collect()} == {(f"f{n}", f"s{n}", 20) for n in range(20)}
+    assert joined[-1] == ["target"]
