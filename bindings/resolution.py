@@ -9,7 +9,7 @@ from corpusloom.operators import lookups as L
 from corpusloom.operators import owners as O
 from corpusloom.operators import windows as W
 
-from .registry import PAGES, page_paths, query, s
+from .registry import PAGES, page_paths, query, s, sized
 
 c = F.col
 
@@ -356,6 +356,7 @@ def lock_versions(t):
 )
 def lock_importers(t):
     """Nations are projects of one workspace, parts its packages; what a nation asks for in the lock decides among their versions."""
+    t = sized(t, "lineitem")
     buyers = t.lineitem.join(t.orders, c("o_orderkey") == c("l_orderkey")).join(t.customer, c("c_custkey") == c("o_custkey"))
     project, part, version = s("n", c("c_nationkey")), s("p", c("l_partkey")), s("1.", c("l_suppkey") % 3, ".0")
     dependencies = buyers.select(project.alias("project_dir"), project.alias("project_name"), part.alias("name"), F.lit("cargo").alias("ecosystem"), F.lit("*").alias("version_range")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.commands import TOOL_TECHNOLOGY
 from ..functions.names import lookup_key, mapped, normalize_identifier, normalize_route
 from ..functions.paths import glob_to_regex
-from ..plans import lookup_join, only_value
+from ..plans import cut_lineage, lookup_join, only_value, rewritten
 from .filters import glob_join, path_keys, pattern_keys
 
 
@@ -250,21 +250,26 @@ def valid_version(ecosystem: Column, version: Column) -> Column:
     return out.otherwise(version.rlike(VERSION_RULE_OTHER))
 
 
-def _asked_by_project(hits: DataFrame, reach: DataFrame, projects: DataFrame, held: DataFrame, asks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Locked rows that the project's own package in the lock asks for; all rows where the lock has no such package or several."""
+def _own_packages(reach: DataFrame, projects: DataFrame, held: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The project's own package (``_own``) in each lock it reaches, where the lock holds exactly one."""
     place = [*by, "project_dir", "ecosystem", "lock_dir"]
     packages = held.filter(F.col("ecosystem").isin("cargo", "pypi")).select(*by, "lock_dir", "ecosystem", F.col("_key").alias("_own"), "importer", F.col("source_identity").alias("_from"))
     at = reach.select(*place).distinct().join(projects, [*by, "project_dir", "ecosystem"])
     # A package is the project's own by its folder; a Cargo package without a source is of this workspace.
     own = at.join(packages, [*by, "lock_dir", "ecosystem", "_own"]).filter((F.col("importer") == F.col("project_dir")) | ((F.col("ecosystem") == "cargo") & F.col("_from").isNull()))
-    alone = own.groupBy(*place, "_own").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(*place, "_own")
+    return cut_lineage(own.groupBy(*place, "_own").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(*place, "_own"))
+
+
+def _asked_by_project(hits: DataFrame, alone: DataFrame, asks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Locked rows that the project's own package in the lock asks for; all rows where the lock has no such package or several
+    (``_owned`` is null)."""
+    place = [*by, "project_dir", "ecosystem", "lock_dir"]
     listed = asks.select(
         *by, "lock_dir", "ecosystem", normalize_identifier("ecosystem", "owner").alias("_own"), normalize_identifier("ecosystem", "name").alias("_key"), F.col("version").alias("_version"), F.col("source_identity").alias("_source")
     )
-    asked = alone.join(listed, [*by, "lock_dir", "ecosystem", "_own"]).alias("a")
-    marked = hits.join(alone.select(*place, F.lit(True).alias("_owned")).distinct(), place, "left")
-    free = marked.filter("_owned is null").drop("_owned")
-    bound = marked.filter("_owned").drop("_owned").alias("h")
+    asked = listed.join(alone, [*by, "lock_dir", "ecosystem", "_own"]).alias("a")
+    free = hits.filter("_owned is null")
+    bound = hits.filter("_owned").alias("h")
     same = F.lit(True)
     for column in [*place, "_key"]:
         same = same & (F.col(f"h.{column}") == F.col(f"a.{column}"))
@@ -296,21 +301,29 @@ def resolve_versions(dependencies: DataFrame, locks: DataFrame, members: DataFra
     held = locks.withColumn("_key", normalize_identifier("ecosystem", "name")).withColumn("_bad", ~valid_version(F.col("ecosystem"), F.col("version")))
     chosen = F.col("lock_path") if "lock_path" in wanted.columns else F.lit(None).cast("string")
     disabled = F.coalesce("lock_disabled", F.lit(False)) if "lock_disabled" in wanted.columns else F.lit(False)
-    wanted = wanted.withColumn("_chosen", F.when(disabled, "").otherwise(F.coalesce(chosen, F.lit("*"))))
+    # Read by each of the steps below, and so are the locks.
+    wanted = rewritten(wanted.withColumn("_chosen", F.when(disabled, "").otherwise(F.coalesce(chosen, F.lit("*")))))
+    held = rewritten(held)
     asked = wanted.select(*by, "project_dir", "ecosystem", "_key", "version_range", "_chosen").distinct()
     reach = asked.filter("_chosen <> ''").withColumn("lock_dir", F.when(F.col("_chosen") == "*", F.col("project_dir")).otherwise(F.col("_chosen")))
     if members is not None:
         listed = members.select(*by, "lock_dir", "ecosystem", "project_dir").filter("lock_dir <> project_dir").distinct()
         reach = reach.unionByName(asked.filter("_chosen = '*'").join(listed, [*by, "project_dir", "ecosystem"]))
-    hits = reach.join(held.select(*by, "lock_dir", "ecosystem", "_key", "version", "descriptor", "source_identity", "framework", "_bad"), [*by, "lock_dir", "ecosystem", "_key"])
-    hits = hits.filter(F.col("descriptor").isNull() | (F.col("descriptor") == F.col("version_range")))
     if asks is not None:
         projects = wanted.select(*by, "project_dir", "ecosystem", normalize_identifier("ecosystem", "project_name").alias("_own")).distinct()
-        hits = _asked_by_project(hits, reach, projects, held, asks, by)
+        alone = _own_packages(reach, projects, held, by)
+        # Marked before a row meets all versions of its name.
+        reach = lookup_join(reach, alone.select(*by, "project_dir", "ecosystem", "lock_dir", F.lit(True).alias("_owned")).distinct(), [*by, "project_dir", "ecosystem", "lock_dir"])
+    hits = reach.join(held.select(*by, "lock_dir", "ecosystem", "_key", "version", "descriptor", "source_identity", "framework", "_bad"), [*by, "lock_dir", "ecosystem", "_key"])
+    hits = hits.filter(F.col("descriptor").isNull() | (F.col("descriptor") == F.col("version_range"))).drop("descriptor")
+    if asks is not None:
+        hits = _asked_by_project(hits, alone, asks, by)
+    # One distinct count only: a second one would write every row three times.
+    source = F.coalesce("source_identity", F.lit(""))
     per_lock = hits.groupBy(*by, "project_dir", "ecosystem", "_key", "version_range", "_chosen", "lock_dir").agg(
         F.min("version").alias("_v0"),
         F.max("version").alias("_v1"),
-        F.count_distinct(F.coalesce("source_identity", F.lit(""))).alias("_sources"),
+        (F.min(source) != F.max(source)).alias("_sources"),
         F.max("_bad").alias("_bad"),
         F.count(F.lit(1)).alias("_rows"),
         F.count_distinct("framework").alias("_frameworks"),
@@ -325,7 +338,7 @@ def resolve_versions(dependencies: DataFrame, locks: DataFrame, members: DataFra
     status = (
         F.when(F.col("_l").isNull(), "unlocked")
         .when(F.col("_l._bad"), "unsupported")
-        .when((~one & ~per_framework) | (F.col("_l._sources") > 1), "ambiguous")
+        .when((~one & ~per_framework) | F.col("_l._sources"), "ambiguous")
         .when(one, "resolved")
         .otherwise("per-framework")
     )

@@ -95,3 +95,17 @@ def test_reexport_counts_do_not_meet_imports_by_component(spark, monkeypatch):
     monkeypatch.setattr(IM, "lookup_join", lambda left, right, on, *more: joined.append(list(on)) or plain(left, right, on, *more))
     assert {tuple(r) for r in IM.reexport_counts(found).collect()} == {(f"f{n}", f"s{n}", 20) for n in range(20)}
     assert joined[-1] == ["target"]
+
+
+def test_locked_rows_are_written_once_per_version(spark):
+    from corpusloom.operators import lookups as L
+
+    deps = spark.createDataFrame([("a", "a", n, "cargo", "*") for n in ("x", "y", "z")], "project_dir string, project_name string, name string, ecosystem string, version_range string")
+    held = [("x", "1.0.0", "r"), ("x", "1.0.0", "s"), ("y", "1.0.0", "r"), ("y", "2.0.0", "r"), ("z", "1.0.0", "r"), ("a", "0.1.0", None)]
+    kind = "lock_dir string, ecosystem string, name string, version string, source_identity string, descriptor string, framework string, importer string"
+    locks = spark.createDataFrame([("a", "cargo", n, v, o, None, None, None) for n, v, o in held], kind)
+    asks = spark.createDataFrame([("a", "cargo", "a", "x", None, None), ("a", "cargo", "a", "y", "2.0.0", None)], "lock_dir string, ecosystem string, owner string, name string, version string, source_identity string")
+    found = L.resolve_versions(deps, locks, asks=asks)
+    assert {(r.name, r.status, r.resolved_version) for r in found.collect()} == {("x", "ambiguous", None), ("y", "resolved", "2.0.0"), ("z", "unlocked", None)}
+    # Two distinct counts side by side would write every row three times.
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
