@@ -132,3 +132,23 @@ def test_rounds_of_headers_do_not_compute_the_includes_anew(spark):
     got = IM.header_languages(units, includes, names.select("path"))
     assert {tuple(r) for r in got.collect()} == {(f"d/h{i}.h", "c") for i in range(n)}
     assert read.value <= 2 * n
+
+
+def test_edges_of_a_range_meet_their_ends_once(spark, monkeypatch):
+    """Rounds move ids; the edges of the model are stored with the marks of their ends and as input and output, not again per step."""
+    from corpusloom.operators import architecture as A
+
+    stored = []
+    for name in ("cut_lineage", "rewritten"):
+        keep = getattr(A, name)
+        monkeypatch.setattr(A, name, lambda df, keep=keep: (stored.append(df.count()) if {"dst", "other"} & set(df.columns) else None, keep(df))[1])
+    n = 30
+    node = lambda ids, kind, envs: ids.select("id", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("parent_id"), envs.cast("array<string>").alias("environments"), F.lit("build").alias("purpose"), F.lit(None).cast("string").alias("logical_owner"))
+    named = lambda prefix, size: spark.range(size).select(F.concat(F.lit(prefix), "id").alias("id"))
+    nodes = node(named("o", 1), "tool-operation", F.array(F.lit("prod"))).unionByName(node(named("p", 1), "tool-operation", F.array())).unionByName(node(named("t", n), "artifact", F.array()))
+    edge = lambda prefix, src, dst, kind: named("t", n).select(F.concat(F.lit(prefix), "id").alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), F.lit("").alias("environment"))
+    edges = edge("g", F.lit("o0"), F.col("id"), "flow-generates").unionByName(edge("i", F.col("id"), F.lit("p0"), "flow-input"))
+    roles, kept = A.content_range(nodes, edges, environment="prod")
+    assert {(r["id"], r["role"]) for r in roles.collect()} == {("o0", "core"), ("p0", "peer")} | {(f"t{i}", "peer") for i in range(n)}
+    assert {r["id"] for r in kept.collect()} == {f"{p}t{i}" for p in "gi" for i in range(n)}
+    assert sum(stored) <= 2 * 2 * n
