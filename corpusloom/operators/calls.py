@@ -102,7 +102,9 @@ def resolve_calls(
     # Tier 1: declarations of the enclosing scopes, nearest first; implicit-this languages see their class next.
     chain = scopes.select(*by, F.col("id").alias("owner"), F.col("ancestor").alias("parent"), "distance")
     places = plain.select(*by, "path", "owner", "name").distinct()
-    nested = places.join(chain, [*by, "owner"]).join(per("path", "name", "parent", frame=enclosed), [*by, "path", "name", "parent"])
+    # Names meet only those scopes above them that declare anything in their file.
+    seen = places.select(*by, "path", "owner").distinct().join(chain, [*by, "owner"]).join(enclosed.select(*by, "path", "parent").distinct(), [*by, "path", "parent"], "left_semi")
+    nested = places.join(seen, [*by, "path", "owner"]).join(per("path", "name", "parent", frame=enclosed), [*by, "path", "name", "parent"])
     nearest = nested.groupBy(*by, "path", "owner", "name").agg(F.min_by(F.struct("_low", "_high", "_n", "distance"), "distance").alias("_t")).select(*by, "path", "owner", "name", "_t.*")
     tiers = [tier(lookup_join(plain, nearest, [*by, "path", "owner", "name"], "inner"), F.col("distance") * 2, F.lit("source"))]
     by_class = per("path", "name", "class_name").withColumnRenamed("class_name", "_class")

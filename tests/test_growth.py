@@ -152,3 +152,22 @@ def test_edges_of_a_range_meet_their_ends_once(spark, monkeypatch):
     assert {(r["id"], r["role"]) for r in roles.collect()} == {("o0", "core"), ("p0", "peer")} | {(f"t{i}", "peer") for i in range(n)}
     assert {r["id"] for r in kept.collect()} == {f"{p}t{i}" for p in "gi" for i in range(n)}
     assert sum(stored) <= 2 * 2 * n
+
+
+def test_names_of_a_scope_meet_only_scopes_that_declare_in_its_file(spark):
+    """Forty enclosing scopes of other files, twenty names asked in one function: no row per name and scope."""
+    from corpusloom.operators import calls as CA
+
+    depth, names = 40, 20
+    functions = [(f"f{i}", "far.ts", f"n{i}", "", f"f{i - 1}" if i else None, False, "typescript") for i in range(depth)]
+    functions += [("own", "a.ts", "own", "", f"f{depth - 1}", False, "typescript"), ("n3", "a.ts", "n3", "", f"f{depth - 1}", False, "typescript")]
+    functions = spark.createDataFrame(functions, "fn_id string, path string, name string, class_name string, parent string, default_export boolean, language string")
+    scopes = [(f"f{i}", f"f{j}", i - j) for i in range(depth) for j in range(i + 1)]
+    scopes += [(name, f"f{j}", depth - j) for name in ("own", "n3") for j in range(depth)] + [("own", "own", 0), ("n3", "n3", 0)]
+    scopes = spark.createDataFrame(scopes, "id string, ancestor string, distance int")
+    calls = spark.createDataFrame([(f"c{i}", "a.ts", "own", f"n{i}") for i in range(names)], "call_id string, path string, owner string, callee string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    none = (empty("path string, local string, original string, specifier string"), empty("path string, specifier string, target string, direct boolean"), empty("call_id string"))
+    got = CA.resolve_calls(calls, functions, scopes, *none)
+    assert joined_rows(got) <= 5 * names
+    assert {(r["call_id"], r["target"]) for r in got.collect()} == {(f"c{i}", "n3" if i == 3 else None) for i in range(names)}
