@@ -53,6 +53,22 @@ def test_generators_meet_each_applying_operation_once(spark):
     assert {(r["id"], r["target"]) for r in got.collect()} == {(op, f"r{i}") for op in ("g0", "a0") for i in range(30)}
 
 
+def test_units_of_an_overview_do_not_multiply_targets_out(spark, monkeypatch):
+    """Generators meet the operations that apply their output, not all that these apply."""
+    from corpusloom.operators import architecture as A
+
+    most = [0]
+    keep = A.cut_lineage
+    monkeypatch.setattr(A, "cut_lineage", lambda df: (most.append(joined_rows(df)), keep(df))[1])
+    row = lambda id_, kind, purpose=None: (id_, kind, None, [], False, purpose, None, "t", None, None, False)
+    schema = "id string, kind string, parent_id string, environments array<string>, auxiliary boolean, purpose string, logical_owner string, tool string, request_owner string, definition_owner string, has_entry boolean"
+    nodes = [row(f"{k}{i}", kind, purpose) for k, kind, purpose in (("g", "tool-operation", "generate"), ("a", "tool-operation", "apply"), ("t", "artifact", None)) for i in range(8)] + [row(f"r{i}", "resource") for i in range(240)]
+    edges = [(f"g{i}", f"t{i}", "flow-generates") for i in range(8)] + [(f"t{i}", f"a{k}", "flow-input") for i in range(8) for k in range(8)] + [(f"a{i % 8}", f"r{i}", "flow-applies") for i in range(240)]
+    units, _ = A.simple_overview(spark.createDataFrame(nodes, schema), spark.createDataFrame([(*e, "", "source") for e in edges], "src string, dst string, kind string, environment string, confidence string"))
+    assert units.filter("rule = 'usage'").select("unit").distinct().count() == 16
+    assert max(most) <= len(edges) + len(nodes)
+
+
 def test_shared_declarations_are_counted_per_fact_not_per_scope(spark):
     """Evidence of one fact, of two facts of one stack and of two stacks, with and without a scope of its own."""
     from corpusloom.operators import views as V

@@ -227,6 +227,36 @@ def test_simple_overview_units(spark):
     assert values(A.folded_paths(units, edges), "producer", "artifact", "consumer") == [("build", "dist", "deploy")]
 
 
+def test_usages_with_equal_targets_purpose_and_context_are_one_unit(spark):
+    """Partition of the operations of random models against the definition, with targets multiplied out."""
+    import random
+
+    draw = random.Random(11)
+    purposes = ["generate", "generate", "apply", "build", "serve"]
+    op = lambda i: (f"o{i}", "tool-operation", None, [], False, purposes[i % 5], None, draw.choice("vw"), None, None, False)
+    plain = lambda id_, kind, owner=None: (id_, kind, None, [], False, None, owner, None, None, None, False)
+    nodes = [op(i) for i in range(60)] + [plain(f"a{i}", "artifact") for i in range(4)] + [plain(f"r{i}", "resource") for i in range(3)] + [plain(f"c{i}", "execution-config", f"a{i}") for i in range(2)]
+    rows = set()
+    for i in range(60):
+        for _ in range(draw.randint(0, 2)):
+            kind = draw.choice(["flow-generates", "flow-generates", "flow-applies", "flow-input", "flow-input", "flow-starts"])
+            other = draw.choice({"flow-generates": ["a0", "a1", "a2"], "flow-applies": ["r0", "r1", "c0"], "flow-input": ["a0", "a1", "c0", "c1"], "flow-starts": ["c0", "r2"]}[kind])
+            rows.add((other, f"o{i}", kind) if kind == "flow-input" else (f"o{i}", other, kind))
+    nodes = spark.createDataFrame(nodes, ND)
+    edges = spark.createDataFrame([(f"e{i}", *row, "", "source") for i, row in enumerate(sorted(rows))], ED)
+    targets = {}
+    for id_, target in values(A.usage_targets(nodes, edges), "id", "target"):
+        targets.setdefault(id_, set()).add(target)
+    want = {}
+    for id_, tool, purpose, context, resolved in values(A.usage_index(nodes, edges), "id", "tool", "purpose", "context", "resolved"):
+        want.setdefault((tool, purpose, context, frozenset(targets.get(id_, ()))) if resolved else id_, set()).add(id_)
+    got = {}
+    for id_, unit in values(A.simple_overview(nodes, edges)[0].filter("rule = 'usage'"), "id", "unit"):
+        got.setdefault(unit, set()).add(id_)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and max(map(len, got.values())) > 1
+    assert all(unit.split(":", 2)[2] == min(members) for unit, members in got.items())
+
+
 def test_usage_context_is_order_free(spark):
     nodes = spark.createDataFrame([("o1", "tool-operation", None, [], False, "build", None, "v", None, None, False), ("o2", "tool-operation", None, [], False, "build", None, "v", None, None, False), ("o3", "tool-operation", None, [], False, "build", None, "v", None, None, False), ("x", "artifact", None, [], False, None, None, None, None, None, False), ("y", "artifact", None, [], False, None, None, None, None, None, False)], ND)
     edges = spark.createDataFrame([("1", "o1", "x", "flow-generates", "", "s"), ("2", "o1", "y", "flow-generates", "", "s"), ("3", "o2", "y", "flow-generates", "", "s"), ("4", "o2", "x", "flow-generates", "", "s"), ("5", "o3", "x", "flow-generates", "", "s")], ED)
