@@ -227,6 +227,14 @@ def test_simple_overview_units(spark):
     assert values(A.folded_paths(units, edges), "producer", "artifact", "consumer") == [("build", "dist", "deploy")]
 
 
+def test_folded_artifacts_hand_on_by_a_path(spark):
+    nodes, edges = small_model(spark)
+    units, relations = A.simple_overview(nodes, edges)
+    owner = dict(values(units, "id", "unit"))
+    between = values(relations.filter("not internal"), "src", "dst", "kind", "n")
+    assert (owner["build"], owner["deploy"], "artifact-path", 1) in between and not any(kind == "flow-input" for *_, kind, _ in between)
+
+
 def test_usages_with_equal_targets_purpose_and_context_are_one_unit(spark):
     """Partition of the operations of random models against the definition, with targets multiplied out."""
     import random
@@ -257,6 +265,33 @@ def test_usages_with_equal_targets_purpose_and_context_are_one_unit(spark):
     assert all(unit.split(":", 2)[2] == min(members) for unit, members in got.items())
 
 
+def test_the_overview_query_has_groups_and_relations(spark):
+    from bindings import QUERIES
+    from bindings import model as M
+    from bindings.registry import Tables
+
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["simple_overview"](spark, folder)
+    tables = Tables(spark, folder)
+    nodes, edges = M.model_nodes(tables), M.model_edges(tables)
+    units, _ = A.simple_overview(nodes, edges, M.structural_categories(tables).select("id", "group_id"))
+    owner = {id_: (unit, rule) for id_, unit, rule in values(units, "id", "unit", "rule")}
+    assert values(got.filter("rule is not null"), "rule", "entities", "units") == sorted(
+        ((rule, sum(r == rule for _, r in owner.values()), len({u for u, r in owner.values() if r == rule})) for rule in {r for _, r in owner.values()}), key=repr
+    )
+    assert "group" in {rule for _, rule in owner.values()}
+    counted = {}
+    for src, dst, kind, confidence in values(edges, "src", "dst", "kind", "confidence"):
+        if src in owner and dst in owner:
+            (a, rule), (b, _) = owner[src], owner[dst]
+            kind = "reference" if kind in A.REFERENCE_KINDS else "artifact-path" if kind == "flow-input" and rule == "folded" and a != b else kind
+            seen = counted.setdefault(kind, [0, set(), 0])
+            seen[0] += 1
+            seen[1] |= {(a, b, confidence)} if a != b else set()
+            seen[2] += a == b
+    assert values(got.filter("kind is not null"), "kind", "edges", "relations", "internal") == sorted(((kind, n, len(pairs), inside) for kind, (n, pairs, inside) in counted.items()), key=repr)
+
+
 def test_usage_context_is_order_free(spark):
     nodes = spark.createDataFrame([("o1", "tool-operation", None, [], False, "build", None, "v", None, None, False), ("o2", "tool-operation", None, [], False, "build", None, "v", None, None, False), ("o3", "tool-operation", None, [], False, "build", None, "v", None, None, False), ("x", "artifact", None, [], False, None, None, None, None, None, False), ("y", "artifact", None, [], False, None, None, None, None, None, False)], ND)
     edges = spark.createDataFrame([("1", "o1", "x", "flow-generates", "", "s"), ("2", "o1", "y", "flow-generates", "", "s"), ("3", "o2", "y", "flow-generates", "", "s"), ("4", "o2", "x", "flow-generates", "", "s"), ("5", "o3", "x", "flow-generates", "", "s")], ED)
