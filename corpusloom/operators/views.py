@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import dir_name
@@ -60,39 +60,53 @@ def evidence_role() -> Column:
 
 
 class Attribution(NamedTuple):
-    """Evidence of facts by scope, without a row per shared declaration and scope."""
+    """Evidence of facts by scope, without a row per shared declaration and scope.
 
-    own: DataFrame  # fact_id, fact_kind, stack_id, scope, evidence_id, role: evidence that belongs to one scope
-    shared: DataFrame  # fact_id, fact_kind, stack_id, evidence_id, role: declarations that count for all usage scopes of the fact
+    A row without an ``evidence_id`` stands for ``n`` pieces of evidence that have no other row; one with an id for itself.
+    """
+
+    own: DataFrame  # fact_id, fact_kind, stack_id, scope, evidence_id, role, n: evidence that belongs to one scope
+    shared: DataFrame  # fact_id, fact_kind, stack_id, evidence_id, role, n: declarations that count for all usage scopes of the fact
     used: DataFrame  # fact_id, scope: usage scopes
 
 
-def attribute_evidence(fact_evidence: DataFrame, evidence: DataFrame, scopes: DataFrame, by: Sequence[str] = ()) -> Attribution:
+def attribute_evidence(fact_evidence: DataFrame, evidence: DataFrame, scopes: DataFrame, by: Sequence[str] = (), counted: bool = False, stored: bool = True) -> Attribution:
     """Attribute facts to scopes through their evidence; see :func:`attribute_usage` for rules and columns.
 
     A declaration whose own scope has no usage counts for every usage scope of its fact: it stays one row with the fact.
+    ``counted`` merges evidence of one fact only with others of its fact, path and role as soon as it has met its fact: what follows
+    moves counts, and ids only of evidence that several facts have.  Without ``stored`` nothing is written before it is asked for.
     """
     joined = lookup_join(fact_evidence, evidence, [*by, "evidence_id"], "inner").withColumn("role", evidence_role())
+    places = ["path", "scope_path"] if "scope_path" in evidence.columns else ["path"]
+    rows = joined.select(*by, "fact_id", "fact_kind", "stack_id", "evidence_id", "role", *places).withColumn("n", F.lit(1).cast("long"))
+    merged = lambda frame, columns: frame.groupBy(*columns).agg(F.when(F.col("evidence_id").isNull(), F.sum("n")).otherwise(1).alias("n"))
+    if counted:
+        alone = F.count(F.lit(1)).over(Window.partitionBy(*by, "evidence_id")) == 1
+        rows = rows.withColumn("_alone", alone).withColumn("evidence_id", F.when(~F.col("_alone"), F.col("evidence_id"))).drop("_alone")
+        evidence = rows = rewritten(merged(rows, [name for name in rows.columns if name != "n"]))
     own = nearest_owner(evidence.select(*by, "path").distinct(), scopes, by).select(*by, "path", F.col("owner").alias("_own"))
-    placed = lookup_join(joined, own, [*by, "path"])
-    if "scope_path" in evidence.columns:
+    placed = lookup_join(rows, own, [*by, "path"])
+    if "scope_path" in places:
         named = placed.filter(F.col("scope_path").isNotNull()).select(*by, F.col("scope_path").alias("path")).distinct()
         explicit = nearest_owner(named, scopes, by, is_directory=True).select(*by, F.col("path").alias("scope_path"), F.col("owner").alias("_named"))
         placed = lookup_join(placed, explicit, [*by, "scope_path"]).withColumn("_own", F.coalesce("_named", "_own"))
-    # Four branches below read this table; store it once.
-    placed = rewritten(placed.select(*by, "fact_id", "fact_kind", "stack_id", F.col("_own").alias("scope"), "evidence_id", "role"))
     cols = [*by, "fact_id", "fact_kind", "stack_id", "scope", "evidence_id", "role"]
-    usage = placed.filter("role = 'usage' and scope is not null").select(*cols)
+    placed = placed.withColumn("scope", F.col("_own")).select(*cols, "n")
+    if stored:
+        # Four branches below read this table; store it once.
+        placed = rewritten(placed)
+    usage = placed.filter("role = 'usage' and scope is not null")
     used = usage.select(*by, "fact_id", "scope").distinct()
     facts_used = used.select(*by, "fact_id").distinct().withColumn("_used", F.lit(True))
     declared = lookup_join(placed.filter("role = 'declaration'"), facts_used, [*by, "fact_id"])
-    alone = declared.filter("_used is null and scope is not null").select(*cols)
+    alone = declared.filter("_used is null and scope is not null").select(*cols, "n")
     backed = lookup_join(declared.filter("_used"), used.withColumn("_match", F.lit(True)), [*by, "fact_id", "scope"])
-    matched = backed.filter("_match").select(*cols)
-    shared = backed.filter("_match is null").select(*[c for c in cols if c != "scope"]).distinct()
-    settled = usage.unionByName(alone).unionByName(matched).distinct()
-    support = placed.filter("role = 'scope'").join(settled.select(*by, "fact_id", "scope").distinct(), [*by, "fact_id", "scope"], "left_semi").select(*cols)
-    return Attribution(settled.unionByName(support.distinct()), shared, used)
+    matched = backed.filter("_match").select(*cols, "n")
+    shared = merged(backed.filter("_match is null"), [c for c in cols if c != "scope"])
+    settled = merged(usage.unionByName(alone).unionByName(matched), cols)
+    support = placed.filter("role = 'scope'").join(settled.select(*by, "fact_id", "scope").distinct(), [*by, "fact_id", "scope"], "left_semi")
+    return Attribution(settled.unionByName(merged(support, cols)), shared, used)
 
 
 def attribute_usage(fact_evidence: DataFrame, evidence: DataFrame, scopes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -115,8 +129,8 @@ def _attributed(found: Attribution, by: Sequence[str]) -> DataFrame:
 def attribution_counts(found: Attribution, by: Sequence[str] = ()) -> DataFrame:
     """Pieces of evidence per fact, scope and role.  Shared declarations are counted once per fact and added to its scopes."""
     key = [*by, "fact_id", "scope", "role"]
-    own = found.own.groupBy(*key).agg(F.count(F.lit(1)).alias("evidence"))
-    shared = found.shared.groupBy(*by, "fact_id", "role").agg(F.count(F.lit(1)).alias("evidence"))
+    own = found.own.groupBy(*key).agg(F.sum("n").alias("evidence"))
+    shared = found.shared.groupBy(*by, "fact_id", "role").agg(F.sum("n").alias("evidence"))
     lent = found.used.join(shared, [*by, "fact_id"])
     return own.unionByName(lent.select(*key, "evidence")).groupBy(*key).agg(F.sum("evidence").alias("evidence"))
 
@@ -128,10 +142,12 @@ def _distinct_evidence(found: Attribution, by: Sequence[str], per: Sequence[str]
     with several rows, which could be counted twice in a scope, meets the scopes piece by piece.
     """
     item, group = [*by, *per, "evidence_id"], [*by, "scope", *per]
-    rows = found.own.select(*item, "fact_id", "scope", F.lit(False).alias("_shared"))
-    rows = rows.unionByName(found.shared.select(*item, "fact_id", F.lit(None).cast("string").alias("scope"), F.lit(True).alias("_shared"))).filter("evidence_id is not null")
+    every = found.own.select(*item, "fact_id", "scope", F.lit(False).alias("_shared"), "n")
+    every = every.unionByName(found.shared.select(*item, "fact_id", F.lit(None).cast("string").alias("scope"), F.lit(True).alias("_shared"), "n"))
+    rows = every.filter("evidence_id is not null").drop("n")
     counted = rows.groupBy(*item).agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct("_shared", "fact_id", "scope")).alias("_row"))
     single = counted.filter("_rows = 1").groupBy(*by, *per, "_row").agg(F.count(F.lit(1)).alias("evidence")).select(*by, *per, "_row.*", "evidence")
+    single = single.unionByName(every.filter("evidence_id is null").groupBy(*by, *per, "_shared", "fact_id", "scope").agg(F.sum("n").alias("evidence")))
     several = rows.join(counted.filter("_rows > 1").select(*item), item, "left_semi")
     lent = lambda frame: frame.filter("not _shared").select(*group, *frame.columns[-1:]).unionByName(frame.filter("_shared").drop("scope").join(found.used, [*by, "fact_id"]).select(*group, *frame.columns[-1:]))
     twice = lent(several.select(*by, *per, "_shared", "fact_id", "scope", "evidence_id")).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("evidence"))
@@ -171,7 +187,7 @@ def stack_map(
     """
     scopes = scope_candidates(candidates, by)
     owners = scopes.select(*by, F.col("path").alias("owner_path"), "owner")
-    found = attribute_evidence(fact_evidence, evidence, owners, by)
+    found = attribute_evidence(fact_evidence, evidence, owners, by, counted=True)
     found = found._replace(own=rewritten(found.own), shared=rewritten(found.shared))
     usage = usage_counts(found, by)
     # Shared declarations count only for scopes that have evidence of their own.
@@ -179,7 +195,7 @@ def stack_map(
     shown = scopes.join(live, [*by, "owner"], "left_semi")
     regions = region_nesting(shown.select(*by, F.col("owner").alias("id"), "path"), by)
     counted = usage.groupBy(*by, "scope").agg(F.count(F.lit(1)).alias("stacks"), F.sum("evidence").alias("evidence"))
-    out = {"scope": shown, "usage": usage, "region": regions, "count": counted, "attribution": _attributed(found, by)}
+    out = {"scope": shown, "usage": usage, "region": regions, "count": counted, "attribution": _attributed(attribute_evidence(fact_evidence, evidence, owners, by, stored=False), by)}
     if project is not None:
         behind = _distinct_evidence(found, by, []).withColumnRenamed("scope", "dst")
         top = regions.filter("parent_id is null").select(*by, F.lit(project).alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("kind"))

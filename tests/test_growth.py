@@ -92,6 +92,31 @@ def test_shared_declarations_are_counted_per_fact_not_per_scope(spark):
     assert whole.count() > 900 and joined_rows(out["usage"]) < whole.count() * 0.7
 
 
+def test_evidence_of_one_fact_is_counted_where_it_meets_the_fact(spark, monkeypatch):
+    """Only ids of evidence that several facts have are kept; repeated rows, recorded scopes and supporting evidence count as before."""
+    import random
+
+    from corpusloom.operators import views as V
+    from corpusloom.operators.merge import stack_usage
+
+    draw, n = random.Random(5), 400
+    stored, keep = [], V.rewritten
+    monkeypatch.setattr(V, "rewritten", lambda df: (stored.append(df.count()), keep(df))[1])
+    held = [(f"f{k}", "technology", f"s{k % 2}", False, f"e{i}") for i in range(n) for k in {draw.randint(0, 3)} | ({draw.randint(0, 3)} if i % 20 == 0 else set())]
+    held += held[:10]
+    places = [(f"e{i}", f"p/d{draw.randint(0, 4)}/a.ts", draw.choice(["usage", "declaration", "scope"]), None, "p/d1" if i % 50 == 0 else None) for i in range(n)]
+    fact = spark.createDataFrame(held, "fact_id string, fact_kind string, stack_id string, explicit boolean, evidence_id string")
+    evidence = spark.createDataFrame(places, "evidence_id string, path string, role string, detector_id string, scope_path string")
+    candidates = spark.createDataFrame([(f"p/d{i}", "package", "application", False, None) for i in range(3)], "path string, source string, kind string, explicit boolean, fact_id string")
+    out = V.stack_map(fact, evidence, candidates, project="root")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert max(stored) < n / 2
+    whole = V.attribute_usage(fact, evidence, V.scope_candidates(candidates).select(F.col("path").alias("owner_path"), "owner"))
+    assert rows(out["attribution"].select(*whole.columns)) == rows(whole) and whole.count() > n / 2
+    assert rows(out["usage"]) == rows(stack_usage(whole.withColumnRenamed("fact_kind", "kind")))
+    assert {(r["dst"], r["evidence"]) for r in out["edge"].collect()} == {(r["scope"], r["n"]) for r in whole.groupBy("scope").agg(F.count_distinct("evidence_id").alias("n")).collect()}
+
+
 def test_places_take_one_pass_over_a_long_line(spark):
     import time
 
