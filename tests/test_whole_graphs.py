@@ -239,6 +239,19 @@ def test_longest_paths_settle_a_block_a_round(spark, monkeypatch, ends):
     assert values(K.longest_depths(edge_table(spark, listed)), "id", "depth") == sorted(depth.items(), key=repr)
 
 
+def test_edges_between_far_nodes_do_not_make_blocks_smaller(spark, monkeypatch):
+    # 20,000 edges between any two of 1,000 nodes: few lie inside a block, so a block may hold many nodes.
+    rng, jobs = random.Random(4), []
+    listed = {tuple(sorted(rng.sample(range(1000), 2))) for _ in range(20_000)}
+    depth = [0] * 1000
+    for a, b in sorted(listed):
+        depth[b] = max(depth[b], depth[a] + 1)
+    monkeypatch.setattr(scc, "BLOCK_ENDS", 2000)
+    monkeypatch.setattr(scc, "cut_lineage", lambda df, cut=scc.cut_lineage: jobs.append(1) or cut(df))
+    assert values(K.longest_depths(edge_table(spark, listed)), "id", "depth") == sorted(((n, d) for n, d in enumerate(depth)), key=repr)
+    assert len(jobs) < 40
+
+
 def test_junctions_of_one_block_take_one_round(spark, monkeypatch):
     # A path of 300 junctions: every node also leads two nodes on.
     jobs = []
