@@ -175,6 +175,24 @@ def test_rounds_of_headers_do_not_compute_the_includes_anew(spark):
     assert read.value <= 2 * n
 
 
+def test_imports_of_a_closure_are_computed_once(spark):
+    """Unresolved imports have no files; paths of one file, a ring and a tail, counted over two projects with the same names."""
+    from corpusloom.operators import imports as IM
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        read.add(1)
+        return name
+
+    rows = [(p, f"f{n}", f"s{n}", f"f{(n + 1) % 10}", True) for p in "pq" for n in range(10)] + [("p", "f0", "tail", "t0", False), ("p", "t0", "s", "t1", True), ("q", "f3", "gone", None, True)]
+    imports = spark.createDataFrame(rows, "project_id string, path string, specifier string, target string, reexport boolean").withColumn("specifier", F.udf(counted, "string")("specifier"))
+    got = IM.reexport_counts(IM.reexport_reach(imports, ["project_id"]), ["project_id"])
+    want = {(p, f"f{n}", f"s{n}", 10) for p in "pq" for n in range(10)} | {("p", "f0", "tail", 2), ("p", "t0", "s", 1)}
+    assert {tuple(r) for r in got.select("project_id", "path", "specifier", "targets").collect()} == want
+    assert read.value <= len(rows)
+
+
 def test_edges_of_a_range_meet_their_ends_once(spark, monkeypatch):
     """Rounds move ids; the edges of the model are stored with the marks of their ends and as input and output, not again per step."""
     from corpusloom.operators import architecture as A
