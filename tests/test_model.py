@@ -227,6 +227,21 @@ def test_simple_overview_units(spark):
     assert values(A.folded_paths(units, edges), "producer", "artifact", "consumer") == [("build", "dist", "deploy")]
 
 
+def test_auxiliary_owners_keep_what_is_theirs(spark):
+    nodes, edges = small_model(spark)
+    n = lambda id_, kind, owner=None, defn=None: (id_, kind, None, [], False, "serve" if kind == "tool-operation" else None, owner, "vite", None, defn, False)
+    more = [n("mine", "artifact", "tests"), n("run2", "execution-config", "tests"), n("run3", "execution-config", "tests"), n("op1", "tool-operation", None, "tests"), n("op2", "tool-operation", None, "app")]
+    nodes = nodes.unionByName(spark.createDataFrame(more, ND))
+    edges = edges.unionByName(spark.createDataFrame([("8", "op1", "run2", "flow-starts", "", "source"), ("9", "op2", "run3", "flow-starts", "", "source")], ED))
+    groups = spark.createDataFrame([("run2", "g"), ("run3", "g")], "id string, group_id string")
+    units, _ = A.simple_overview(nodes, edges, groups)
+    owner = {id_: (unit, rule) for id_, unit, rule in values(units, "id", "unit", "rule")}
+    home = owner["tests"][0]
+    assert [owner[id_] for id_ in ("mine", "run2", "op1")] == [(home, "inside")] * 3
+    # Another operation starts this one, so it is told apart from its owner.
+    assert owner["run3"][1] == "group" and owner["op2"][1] == "usage" and units.count() == nodes.count()
+
+
 def test_folded_artifacts_hand_on_by_a_path(spark):
     nodes, edges = small_model(spark)
     units, relations = A.simple_overview(nodes, edges)
